@@ -1,6 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality_rules
+from . import decontaminate, near_dedup, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.query}
+QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op5_simhash_decontamination": decontaminate.query,
+    "op6_probminhash_dedup": near_dedup.query,
+}
 SQL: dict[str, str] = {}
