@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, near_dedup, quality_rules
+from . import decontaminate, near_dedup, quality_rules, secrets, sentencepieces
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_multipart_secrets": secrets.query,
     "op5_simhash_decontamination": decontaminate.query,
     "op6_probminhash_dedup": near_dedup.query,
+    "op7_sentencepiece": sentencepieces.query,
 }
 SQL: dict[str, str] = {}
