@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +97,7 @@ def hashed_words(lists: list[list], cache: dict) -> tuple[np.ndarray, np.ndarray
     """Hashes of all words, one list after another, and the lists' offsets."""
     offsets = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    get = cache.__getitem__
-    h = np.fromiter((get(w) for x in lists for w in x), np.uint64, int(offsets[-1]))
+    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(lists)), np.uint64, int(offsets[-1]))
     return h, offsets
 
 
@@ -132,7 +131,3 @@ def shingles(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
         order = np.argsort(d, kind="stable")
         s, d = s[order], d[order]
     return s, d
-
-
-def home() -> str:
-    return os.path.dirname(os.path.abspath(__file__))
