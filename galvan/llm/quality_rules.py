@@ -13,6 +13,7 @@ repeated doc_ids give a row each; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,17 +105,29 @@ def _features():
     return f
 
 
-def _distance(p, q):
-    """Jensen-Shannon distance of two histograms, base 2."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    tp, tq = total(p), total(q)
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of the rows of two matrices of counts, base 2; nan where a row is empty."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = p / p.sum(1, keepdims=True), q / q.sum(1, keepdims=True)
+        m = (p + q) / 2
+        x = np.where(p > 0, p * np.log2(p / m), 0).sum(1) + np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+        return np.where(np.isnan(p.sum(1) + q.sum(1)), np.nan, np.sqrt(np.maximum(x, 0) / 2))
 
-    def part(x, y):
-        a, b = x / tp, y / tq
-        m = (a + b) / 2
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / m)).otherwise(0.0)
 
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda a, v: a + v) / 2)))
+COUNTS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def _compared(min_chars: int, min_words: int, max_char: float, max_word: float):
+    def run(batches):
+        for b in batches:
+            wide = lambda c, n: np.array([x if x is not None else [0] * n for x in b.column(c).to_pylist()], float).reshape(-1, n)  # noqa: E731, B023
+            chars = wide("chars", len(CLASSES))
+            by_char = np.where(chars.sum(1) >= min_chars, distances(chars, wide("ref_chars", len(CLASSES))), np.nan)
+            by_word = np.where(np.array(b.column("n_words")) >= min_words, distances(wide("words", N_SLOTS), wide("ref_words", N_SLOTS)), np.nan)
+            kept = ~np.array(b.column("base_failed").to_pylist(), bool) & ~(by_char > max_char) & ~(by_word > max_word)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in COUNTS], pa.array(kept), pa.array(by_char, mask=np.isnan(by_char)), pa.array(by_word, mask=np.isnan(by_word))], names=[*COUNTS, "kept", "char_distance", "word_distance"])
+
+    return run
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -132,12 +145,9 @@ def references(found: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row a document: the base counts, both distances (null below the guard) and `kept`."""
     found = written(features(docs), "quality")
-    out = found.join(references(found), "lang", "left").withColumns({
-        "char_distance": F.when(F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, v: a + v) >= min_chars, _distance(F.col("chars").cast("array<double>"), F.col("ref_chars"))),
-        "word_distance": F.when(F.col("n_words") >= min_words, _distance(F.col("words").cast("array<double>"), F.col("ref_words"))),
-    })
-    kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")
+    both = found.join(references(found), "lang", "left")
+    types = ", ".join(f"{c} {'boolean' if c == 'base_failed' else 'bigint'}" for c in COUNTS)
+    return both.mapInArrow(_compared(min_chars, min_words, max_char, max_word), types + ", kept boolean, char_distance double, word_distance double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

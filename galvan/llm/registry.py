@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, near_dedup, quality_rules, secrets, sentencepieces
+from . import decontaminate, near_dedup, quality_rules, secrets, sentencepieces, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -8,5 +8,6 @@ QUERIES = {
     "op5_simhash_decontamination": decontaminate.query,
     "op6_probminhash_dedup": near_dedup.query,
     "op7_sentencepiece": sentencepieces.query,
+    "op9_token_files": token_files.query,
 }
 SQL: dict[str, str] = {}
