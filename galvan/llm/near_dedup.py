@@ -8,9 +8,10 @@ point is later than the latest register (early termination). Registers agree wit
 
 Banding: 32 bands of 4 registers; a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^32 = 5e-8. Pairs are
 verified by weighted Jaccard similarity over all shingles (sum of minima over sum of maxima, 0.8 or more). No bucket is
-expanded into all of its pairs: each member is compared with the bucket's smallest member, verified links join classes,
-and then only buckets that still hold several classes are looked at, in rounds with other representatives, and at last
-pair by pair between different classes alone. So every link between different texts that a bucket holds is in the classes.
+expanded into its pairs: each member is compared with the bucket's hub, and verified links join classes. Buckets that still hold
+several classes chain their documents to groups; groups are cut into blocks of bounded size, and a task compares the
+documents of two blocks that are of different classes, exactly and without a row for each pair. So no link between different
+texts that meet in a bucket is lost to the classes; within a class not every link is looked for.
 
 Defined results: a text of 1 to 4 words is one shingle; a null, empty or wordless text is a class of its own; repeated
 doc_ids with the same words are one document, and with different words their classes meet; other columns are ignored.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from .common import WordHashes, hashed_words, map_texts, mixed, shingles, table,
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-#: Rounds with other representatives before the remaining pairs of classes are compared one by one.
-ROUNDS = 2
+#: Shingles of a block, of which a task compares two.
+BLOCK = 500_000
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -109,22 +111,61 @@ def _sets():
     return f
 
 
-def _pairs_with_representative(bands: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): members of a bucket and its representative, of different classes."""
-    rows = bands if classes is None else bands.join(classes, "doc_id")
-    cls = "doc_id" if classes is None else "class_id"
-    order = F.col("doc_id") if turn == 0 else F.xxhash64(F.col("doc_id"), F.lit(turn))
-    best = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("b"), F.col(cls).alias("bc"))).alias("r"), F.min(cls).alias("lo"), F.max(cls).alias("hi")).filter("lo <> hi").select("band", "r.b", "r.bc")
-    return rows.join(best, "band").filter(F.col(cls) != F.col("bc")).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+def _pairs_with_hubs(bands: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket and its hub, the member whose buckets are the largest in sum: originals rather than copies."""
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"))
+    central = bands.join(sizes, "band").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    hubs = bands.join(central, "doc_id").groupBy("band").agg(F.min(F.struct((-F.col("n")).alias("o"), F.col("doc_id").alias("hub"))).alias("h")).select("band", "h.hub")
+    return bands.join(hubs, "band").filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _remaining_pairs(bands: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of a bucket between different classes."""
+def _groups(bands: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, class_id, grp): groups of three documents or more that buckets of several classes chain together. A bucket's pair
+    of two documents is done, as one of them was the hub."""
     rows = bands.join(classes, "doc_id")
-    mixed_buckets = rows.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo <> hi").select("band")
-    rows = rows.join(mixed_buckets, "band", "left_semi")
-    left, right = rows.select("band", F.col("doc_id").alias("a"), F.col("class_id").alias("ac")), rows.select("band", F.col("doc_id").alias("b"), F.col("class_id").alias("bc"))
-    return left.join(right, "band").filter("a < b AND ac <> bc").select("a", "b").distinct()
+    low = rows.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "first")
+    edges = bands.join(low, "band").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    return components(written(edges, "chains")).withColumnRenamed("class_id", "grp").join(classes, "doc_id")
+
+
+def _compare(threshold: float):
+    """Two blocks of a group -> links between different classes. Intersections of one document with all are counted at once."""
+
+    def run(key, t):
+        doc, cls, block = (np.array(t.column(c)) for c in ("doc_id", "class_id", "block"))
+        elements = t.column("elements").combine_chunks()
+        size = np.diff(np.array(elements.offsets))
+        flat = np.array(elements.flatten())
+        universe, ids = np.unique(flat, return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flags = np.zeros(len(universe), bool)
+        lo, hi = key[1].as_py(), key[2].as_py()
+        cls = cls.copy()
+        out = []
+        for i in np.flatnonzero(block == lo).tolist():
+            own = ids[ends[i] : ends[i + 1]]
+            flags[own] = True
+            common = np.add.reduceat(flags[ids], ends[:-1])
+            flags[own] = False
+            near = (block == hi) & (cls != cls[i]) & (common >= threshold * (size + size[i] - common))
+            for j in np.flatnonzero(near).tolist():
+                if cls[j] != cls[i]:
+                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), common[j] / (size[i] + size[j] - common[j])))
+                    cls[cls == cls[j]] = cls[i]  # their other pairs say nothing new
+        a, b, x = zip(*out, strict=True) if out else ((), (), ())
+        return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(x, pa.float64())})
+
+    return run
+
+
+def _links_within(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes of a group. A group is cut into blocks of bounded size, and each two blocks are a task."""
+    rows = groups.join(sets, "doc_id").filter("size(elements) > 0")
+    blocks = rows.groupBy("grp").agg(F.ceil(F.sum(F.size("elements").cast("bigint")) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "grp").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) AS int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "class_id", "block", "elements")
+    return rows.groupBy("grp", "lo", "hi").applyInArrow(_compare(threshold), "a bigint, b bigint, similarity double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -171,19 +212,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bands = written(bands.join(shared, "band", "left_semi"), "bands")
     candidates = bands.select("doc_id").distinct()
     sets = written(map_texts(docs, _sets, "doc_id bigint, elements array<int>").join(candidates, "doc_id", "left_semi"), "sets")
-    edges, tried, found = None, None, None
-    for turn in range(ROUNDS + 1):
-        everyone = None
-        if turn:
-            everyone = candidates.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-        pairs = _pairs_with_representative(bands, everyone, turn) if turn < ROUNDS else _remaining_pairs(bands, everyone)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verified(pairs, sets, threshold), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        found = written(components(edges), "classes")
+    edges = written(verified(written(_pairs_with_hubs(bands), "pairs"), sets, threshold), "links")
+    by_class = lambda e: candidates.join(written(components(e), "classes"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    groups = written(_groups(bands, by_class(edges)), "groups")
+    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links"))
+    found = by_class(edges)
     n_links = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     texts = reps.join(found, "doc_id", "left").join(n_links, "doc_id", "left").select("k1", "k2", "k3", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     out = signed.select("doc_id", "k1", "k2", key.alias("k3")).join(texts, ["k1", "k2", "k3"]).select("doc_id", "class_id", "n_links")
