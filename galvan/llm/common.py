@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -81,6 +83,14 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str], pa.RecordBa
     return df.mapInArrow(run, struct)
 
 
+def of_worker(key, make: Callable):
+    """What `make` gives, kept by the Python worker for its later tasks."""
+    kept = sys.modules.setdefault("galvan_worker", types.ModuleType("galvan_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for as many words as memory allows."""
 

@@ -32,7 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, shared_dir, small_batches, table, written
+from .common import CHUNK_BYTES, chunks, of_worker, shared_dir, small_batches, table, written
 from .sentencepieces import gather
 
 BLOCK = 1 << 16
@@ -56,7 +56,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n, dtype=np.int32)
     step = np.zeros(n, np.int32)
     chosen = np.zeros(n, np.uint8)
+    narrow = np.cumsum(np.bincount(bits, minlength=65))
     for s, (count, b) in reversed(SELECTORS.items()):
+        if narrow[b] + 60 < min(count, n):  # too few values for a word, padding included
+            continue
         # values until the next one that is too wide; after the last one there is room for padding
         until = np.minimum.accumulate(np.where(bits > b, at, np.int32(n + 64))[::-1])[::-1] - at
         fits = until >= count
@@ -159,7 +162,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\sa-z0-9{
 
 
 class Encoder:
-    REMEMBERED = 150_000
+    REMEMBERED = 400_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,41 +176,56 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.flat, self.ends = array("I"), array("q", [0])
+        self.rare: dict[bytes, int] = {}
         encoder = self
 
         class Rows(dict):
+            """chunk -> row of its ids; once full, further chunks are kept for the texts at hand only."""
+
             def __missing__(self, chunk: bytes) -> int:
+                full = len(self) >= encoder.REMEMBERED
+                if full and (row := encoder.rare.get(chunk)) is not None:
+                    return row
                 encoder.flat.extend(encoder._ids(chunk.decode("utf-8", "surrogatepass")))
                 encoder.ends.append(len(encoder.flat))
-                self[chunk] = row = len(encoder.ends) - 2
+                (encoder.rare if full else self)[chunk] = row = len(encoder.ends) - 2
                 return row
 
         self.rows = Rows()
 
     def _ids(self, chunk: str) -> list[int]:
-        if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
+        if chunk.isascii() and chunk.isalpha():
+            pieces = (chunk.lower(),)
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            pieces = _PIECES.findall(chunk.lower())
+        else:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         out = []
-        for p in _PIECES.findall(chunk.lower()):
-            ids = self.pieces.get(p)
+        known = self.pieces.get
+        for p in pieces:
+            ids = known(p)
             if ids is None:
-                if len(self.pieces) >= self.REMEMBERED:
-                    self.pieces.clear()
                 spelled = p if p.isascii() else "".join(self.of_byte[b] for b in p.encode())
-                self.pieces[p] = ids = [t.id for t in self.model.tokenize(spelled)]
+                ids = tuple([t.id for t in self.model.tokenize(spelled)])
+                if len(self.pieces) < self.REMEMBERED:
+                    self.pieces[p] = ids
             out += ids
         return out
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each text's with the end id, and their numbers."""
-        if len(self.rows) > self.REMEMBERED:
-            self._forget()
         lists = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
         flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
+        if len(self.rare) > 0.3 * len(at):  # other texts than those that were remembered
+            self._forget()
+        elif self.rare:
+            kept = len(self.rows)
+            del self.flat[self.ends[kept] :], self.ends[kept + 1 :]
+            self.rare = {}
         ids, each = gather(flat, ends, at)
         sums = np.concatenate([[0], np.cumsum(each)])
         cuts = sums[np.concatenate([[0], np.cumsum(n)])]
@@ -234,7 +252,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     sink = fs.open_output_stream(name)
-                    writer, encoder = Writer(sink), Encoder(path)
+                    writer, encoder = Writer(sink), of_worker(("tokens", path), lambda: Encoder(path))
                 ids, counts = encoder.encode(texts)
                 writer.add(batch.column("doc_id")[start : start + len(texts)].to_pylist(), counts.tolist(), ids)
                 n_ids += len(ids)
@@ -250,7 +268,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, from the files."""
     parts = manifest.withColumn("first", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    parts = parts.select("part", "file", F.coalesce("first", F.lit(0)).cast("bigint").alias("first")).repartitionByRange("part")
+    parts = parts.select("part", "file", F.coalesce("first", F.lit(0)).cast("bigint").alias("first")).repartitionByRange(max(1, manifest.count()), "part")  # a task for each file
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
