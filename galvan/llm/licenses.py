@@ -19,10 +19,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Separators and word characters, as regular expressions.
 _S, _W = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -53,20 +53,33 @@ def _phrase(words: str) -> str:
     return f"(?<!{_W})(?i:{f'{_S}+'.join(words.split())})(?!{_W})"
 
 
+def count_words(c: Column) -> Column:
+    """Pieces between separators, less empty ones at the ends."""
+    edge = lambda at: F.substring(c, at, 1).rlike(_S).cast("int")
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, f"{_S}+")) - edge(1) - edge(-1)).cast("bigint")
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_words and what the phrases give. Phrases share no words, so their places never overlap."""
+    """doc_id, row, n_words and what the phrases give. Phrases share no words, so their places never overlap. Texts without all words
+    of a phrase somewhere, nearly all of them, are told by plain substring searches."""
     every = "(?:" + "|".join(_phrase(p) for p, _ in PHRASES) + ")"
-    text = F.col("t")
-    count = lambda x: F.regexp_count(x, F.lit(f"{_W}+")).cast("bigint")
-    found = text.rlike(every)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t")).select(
+    may = F.lit(False)
+    for phrase, _ in PHRASES:
+        has_all = F.lit(True)
+        for w in phrase.split():
+            has_all = has_all & F.col("low").contains(w)
+        may = may | has_all
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
+    texts = texts.select("doc_id", "t", F.lower("t").alias("low")).select("doc_id", "t", (may & F.col("t").rlike(every)).alias("found"))
+    found = lambda x: F.when(F.col("found"), x)
+    return texts.select(
         "doc_id",
         F.xxhash64("t").alias("row"),
-        count(text).alias("n_words"),
-        F.when(found, F.regexp_count(text, F.lit(every))).otherwise(0).cast("bigint").alias("n_base"),
-        F.when(found, count(F.regexp_extract(text, f"(?s)^(.*?){every}", 1))).alias("first_word"),
-        F.when(found, count(F.regexp_extract(text, f"(?s)^(.*){every}", 1))).alias("last_word"),
-        F.when(found, F.concat_ws(",", *[F.when(text.rlike(_phrase(p)), F.lit(label)) for p, label in sorted(PHRASES, key=lambda x: x[1])])).otherwise("").alias("base_labels"),
+        count_words(F.col("t")).alias("n_words"),
+        found(F.regexp_count("t", F.lit(every))).otherwise(0).cast("bigint").alias("n_base"),
+        found(count_words(F.regexp_extract("t", f"(?s)^(.*?){every}", 1))).alias("first_word"),
+        found(count_words(F.regexp_extract("t", f"(?s)^(.*){every}", 1))).alias("last_word"),
+        found(F.concat_ws(",", *[F.when(F.col("t").rlike(_phrase(p)), F.lit(label)) for p, label in sorted(PHRASES, key=lambda x: x[1])])).otherwise("").alias("base_labels"),
     )
 
 
@@ -102,6 +115,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         .filter(F.arrays_overlap("words", literal(sorted(prefix_words))))
         .select("doc_id", "row", F.size(F.array_remove(F.array_distinct("words"), "")).alias("n"), F.array_sort(F.transform(F.array_intersect("words", literal(vocabulary)), lambda w: ranks_of[w])).alias("own"))
     )
+    candidates = written(candidates, "license-blocks")  # few blocks; and no filter on their ranks moves before the prefix filter
     pairs = candidates.select("doc_id", "row", "n", "own", F.posexplode("own").alias("own_at", "rank")).join(F.broadcast(index), "rank")
     pairs = pairs.filter(F.element_at(F.array_intersect("own", "prefix"), 1) == F.col("rank"))  # once a block and notice
     pairs = pairs.filter("n >= least").filter("1 + least(size(ranks) - at, size(own) - own_at) - 1 >= least")
