@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, shingles, table
+from .common import WordHashes, hashed_words, map_texts, of_worker, shingles, table
 from .near_dedup import THRESHOLD, WORDS, words_of
 
 RADIUS = 23
@@ -116,7 +116,7 @@ FOUND = "doc_id bigint, item_ids array<bigint>, starts array<bigint>, similariti
 
 def _scan(index, threshold: float):
     def make():
-        cache = WordHashes()
+        cache = of_worker("words", WordHashes)
         it = Index.__new__(Index)
         it.__dict__.update(index.value)
 

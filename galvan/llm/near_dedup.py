@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, mixed, shingles, table, written
+from .common import WordHashes, hashed_words, map_texts, mixed, of_worker, shingles, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -73,7 +73,7 @@ SIGNED = "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>"
 
 
 def _sign():
-    cache = WordHashes()
+    cache = of_worker("words", WordHashes)
     m = BANDS * ROWS
     salt = mixed(np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
@@ -95,7 +95,7 @@ def _sign():
 
 def _sets():
     """Shingles as 32-bit numbers; the c-th occurrence of a shingle is an element of its own, so that sets give weighted similarity."""
-    cache = WordHashes()
+    cache = of_worker("words", WordHashes)
 
     def f(texts, batch):
         s, doc = shingles(*hashed_words([words_of(t) for t in texts], cache), WORDS)

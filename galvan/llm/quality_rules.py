@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, map_texts, table, written
+from .common import hashed_words, map_texts, of_worker, table, written
 
 #: Common words whose shares are compared; the rest is one class.
 COMMON_WORDS = {
@@ -66,7 +66,7 @@ SCHEMA = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbo
 
 
 def _features():
-    byte_class, slots = _classes(), _Slots()
+    byte_class, slots = _classes(), of_worker("slots", _Slots)
     symbols = list(SYMBOLS)
 
     def f(texts, batch):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, mixed, table
+from .common import map_texts, mixed, of_worker, table
 
 UNKNOWN = 10.0
 LONG = 128
@@ -86,7 +86,7 @@ class Codec:
             texts[i] = bytes([b])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.byte_offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(p: str) -> int:
@@ -115,8 +115,8 @@ class Codec:
             j -= n
         return [i for x in reversed(out) for i in x]
 
-    def together(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as 32-bit numbers."""
         n, length = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(_U) + _U(1)
         prefix = np.zeros((length + 1, n), _U)
@@ -149,9 +149,9 @@ class Codec:
         out = []
         for w, r in zip(words, rows.T, strict=True):
             if (r == -1).any():
-                out.append(np.array([i for c, x in zip(w, r.tolist(), strict=True) if x != -2 for i in ([x] if x >= 0 else self.spelled(c))], np.int32))
+                out.append(np.array([i for c, x in zip(w, r.tolist(), strict=True) if x != -2 for i in ([x] if x >= 0 else self.spelled(c))], np.int32).tobytes())
             else:
-                out.append(r[r >= 0].astype(np.int32))
+                out.append(r[r >= 0].astype(np.int32).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,17 +165,17 @@ class Codec:
         for w in number:
             if w not in self.cache:
                 by_length.setdefault(len(w), []).append(w)
-        fresh: dict[str, np.ndarray] = {}
+        fresh: dict[str, bytes] = {}
         for length, words in by_length.items():
             if length > LONG:
-                fresh |= {w: np.array(self.one(w), np.int32) for w in words}
+                fresh |= {w: np.array(self.one(w), np.int32).tobytes() for w in words}
             else:
                 for k in range(0, len(words), 20_000):
                     fresh |= zip(words[k : k + 20_000], self.together(words[k : k + 20_000]), strict=True)
         known = [self.cache[w] if w in self.cache else fresh[w] for w in number]
         self.cache |= {w: x for w, x in fresh.items() if len(w) <= 24}
-        flat = np.concatenate([*known, np.zeros(0, np.int32)]).astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in known])]).astype(np.int64)
+        flat = np.frombuffer(b"".join(known), np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in known])]).astype(np.int64)
         ids, n = gather(flat, offsets, at)
         of_word = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         return ids, of_word[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
@@ -185,9 +185,9 @@ class Codec:
         return gather(self.bytes, self.byte_offsets, ids.astype(np.int64))[0].tobytes()
 
 
-def _coder(model, digest: bool):
+def _coder(model, path: str, digest: bool):
     def make():
-        codec = Codec(model.value)
+        codec = of_worker(("codec", path), lambda: Codec(model.value))
 
         def f(texts, batch):
             ids, offsets = codec.encode(texts)
@@ -205,18 +205,20 @@ def _coder(model, digest: bool):
 
 def encoded(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids; or instead of the ids their checksum and whether they decode to the text."""
-    model = docs.sparkSession.sparkContext.broadcast(load(path or default_model()))
-    return map_texts(docs.select(F.col("doc_id").cast("bigint"), "text"), _coder(model, digest), "doc_id bigint, n_tokens bigint, " + ("ids_crc32 bigint, decoded_equal boolean" if digest else "ids array<int>"))
+    path = path or default_model()
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
+    return map_texts(docs.select(F.col("doc_id").cast("bigint"), "text"), _coder(model, path, digest), "doc_id bigint, n_tokens bigint, " + ("ids_crc32 bigint, decoded_equal boolean" if digest else "ids array<int>"))
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids. Null ids are an empty text."""
     import pyarrow as pa
 
-    model = tokens.sparkSession.sparkContext.broadcast(load(path or default_model()))
+    path = path or default_model()
+    model = tokens.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
-        codec = Codec(model.value)
+        codec = of_worker(("codec", path), lambda: Codec(model.value))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codec.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
