@@ -217,18 +217,12 @@ def post_processed_timecoded(words: Column, lexicon: Lexicon, **options) -> Colu
 
 
 def substituted(words: Column, table: dict[tuple[str, ...], list[str]]) -> Column:
-    """Greedy n-gram substitution on an array of words, natively: a fold that skips what an earlier n-gram took."""
-    key = F.create_map(*[F.lit(x) for k in table for x in (" ".join(k), " ".join(table[k]))]) if table else None
-    if key is None:
-        return words
-    low = F.transform(words, F.lower)
-    at = lambda i, n: F.when(i + n - 1 <= F.size(words), F.try_element_at(key, F.array_join(F.slice(low, i, n), " ")))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, i):
-        three, two, one = at(i, 3), at(i, 2), at(i, 1)
-        n = F.when(three.isNotNull(), 3).when(two.isNotNull(), 2).otherwise(1)
-        new = F.coalesce(three, two, one, F.element_at(words, i))
-        return F.when(i < a["next"], a).otherwise(F.struct((i + n).alias("next"), F.concat(a["out"], F.split(new, " ")).alias("out")))
-
-    return F.when(F.size(words) == 0, words).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), start, step, lambda a: a["out"]))
+    """Greedy n-gram substitution on an array of words. A fold over the array would copy what it has made at each word, so whole
+    batches go through Arrow."""
+    i = Inverse(Lexicon())
+
+    @F.pandas_udf("array<string>")
+    def f(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else [x.word for x in i.replaced([Said(w) for w in r], table)])
+
+    return f(words)

@@ -20,6 +20,11 @@ def chars(s: str) -> str:
     return "[" + "".join(re.escape(c) for c in s) + "]"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once: what a lambda refers to from outside is computed again at each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def split_words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 

@@ -21,12 +21,12 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams, the last one too."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return T.bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
 
 
 def ngram_counts(docs: DataFrame, tokens: Column, n: int, least: int = 1, heads_only: bool = False) -> DataFrame:
-    grams = ngrams(tokens, n)
-    return vocabulary(docs, F.slice(grams, 1, 1) if heads_only else grams, least).withColumnRenamed("token", "ngram")
+    return vocabulary(docs, ngrams(F.slice(tokens, 1, n) if heads_only else tokens, n), least).withColumnRenamed("token", "ngram")
 
 
 def letter_counts(docs: DataFrame, text: Column) -> DataFrame:

@@ -1,7 +1,6 @@
 """All queries of the library with their equivalent SQL."""
 
-from __future__ import annotations
+from . import corpus_queries, speech_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "j11_vocabulary"

@@ -110,7 +110,7 @@ def mutated_names(names: DataFrame) -> DataFrame:
     to = F.create_map(*[F.lit(x) for kv in {"P": "B", "B": "V", "M": "V", "K": "G", "T": "D"}.items() for x in kv])
     new, old = F.try_element_at(to, F.substring("word", 1, 1)), F.substring("word", 1, 1)
     swapped = F.transform("prons", lambda p: F.when(F.substring(p, 1, 1) == old, F.concat(new, F.substr(p, F.lit(2)))).otherwise(p))
-    made = names.filter(new.isNotNull()).select(F.concat(new, F.substr("word", F.lit(2))).alias("word"), swapped.alias("prons"), F.lit(1).alias("o"))
+    made = names.filter(new.isNotNull()).select(F.concat(new, F.substr("word", F.lit(2))).alias("mutated"), swapped.alias("said"), F.lit(1)).toDF("word", "prons", "o")
     return names.select("word", "prons", F.lit(0).alias("o")).unionByName(made).groupBy("word").agg(F.max_by("prons", "o").alias("prons"))
 
 
