@@ -111,7 +111,7 @@ class Index:
         return best
 
 
-FOUND = "doc_id bigint, item_ids array<bigint>, starts array<bigint>, similarities array<double>"
+FOUND = "doc_id bigint, row bigint, item_ids array<bigint>, starts array<bigint>, similarities array<double>"
 
 
 def _scan(index, threshold: float):
@@ -133,7 +133,7 @@ def _scan(index, threshold: float):
                         items[d].append(it.ids[item])
                         starts[d].append(start)
                         sims[d].append(x)
-            return {"doc_id": batch.column("doc_id"), "item_ids": items, "starts": starts, "similarities": sims}
+            return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "item_ids": items, "starts": starts, "similarities": sims}
 
         return f
 
@@ -156,19 +156,23 @@ def item_blocks(items: DataFrame, rows: int, chars: int):
 
 def scan(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rows: int = ITEMS_AT_ONCE) -> DataFrame:
     """One row a document: contaminated, item_ids and, in their order, where the best window starts and its similarity."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("doc_id", "text").alias("row"))
     sc = docs.sparkSession.sparkContext
     found = [map_texts(docs, _scan(sc.broadcast(Index(block).__dict__), threshold), FOUND) for block in item_blocks(items, rows, CHARS_AT_ONCE)]
+    lists = {"item_ids": "array<bigint>", "starts": "array<bigint>", "similarities": "array<double>"}
     if not found:
-        out = docs.select("doc_id", F.array().cast("array<bigint>").alias("item_ids"), F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<double>").alias("similarities"))
+        out = docs.select("doc_id", *[F.array().cast(t).alias(c) for c, t in lists.items()])
     elif len(found) == 1:
         out = found[0]
     else:
-        # each block saw every document once, clean ones too; the lists of a document are short
-        out = found[0]
+        # the first block's rows are one for each document; of the others only those with matches, few and short, are shuffled
+        more = None
         for x in found[1:]:
-            out = out.unionByName(x)
-        out = out.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "starts", "similarities")])
+            x = x.filter("size(item_ids) > 0").dropDuplicates(["doc_id", "row"])
+            more = x if more is None else more.unionByName(x)
+        more = more.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists])
+        out = found[0].join(more, "row", "left").select("doc_id", *[F.concat(c, F.coalesce(f"more_{c}", F.array().cast(t))).alias(c) for c, t in lists.items()])
+    out = out.select("doc_id", *lists)
     return out.withColumn("contaminated", F.size("item_ids") > 0).withColumn("similarity", F.coalesce(F.array_max("similarities"), F.lit(0.0)))
 
 

@@ -131,7 +131,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret span is replaced by its kind in brackets, and n_chars follows. Overlapping spans are masked as one."""
-    found = scan(docs).filter(F.size("found") > 0).groupBy("doc_id").agg(F.min("found").alias("found"))
+    found = scan(docs).filter(F.size("found") > 0).groupBy("doc_id").agg(F.min("found").alias("__found"))
     names = F.array(*[F.lit(k) for k in ORDER])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -140,10 +140,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kept = F.when(fresh, F.concat(F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.element_at(names, s["rank"] + 1), F.lit("]"))).otherwise("")
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept).alias("out"))
 
-    masked = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
-    text = F.when(F.col("found").isNotNull(), masked).otherwise(F.col("text"))
-    out = docs.join(found, "doc_id", "left")
-    kept = {c: F.col(c) for c in docs.columns} | {"text": text}
+    masked = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
+    out = docs.join(found, "doc_id", "left").withColumn("__masked", masked)
+    hit = F.col("__found").isNotNull()
+    kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        kept["n_chars"] = F.when(F.col("found").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast("bigint")
+        kept["n_chars"] = F.when(hit, F.length("__masked")).otherwise(F.col("n_chars")).cast("bigint")
     return out.select(*[kept[c].alias(c) for c in docs.columns])

@@ -261,7 +261,7 @@ def _by_document(doc: np.ndarray, *cols):
     order = np.argsort(doc, kind="stable")
     doc, cols = doc[order], [c[order] for c in cols]
     ids, starts = np.unique(doc, return_index=True)
-    ends = np.append(starts[1:], len(doc))
+    ends = np.append(starts[1:], len(doc))[: len(ids)]
     return {int(d): [c[a:b] for c in cols] for d, a, b in zip(ids, starts, ends, strict=True)}
 
 
