@@ -40,9 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
+def packed(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """The same rows in fewer tasks and files, if there would be more than the cluster has cores and than `per_task` rows ask for."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
+def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there and lost executors cost nothing.
+    rows: about how many there are, if that is known, so that small tables are few files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = packed(df, rows, 200_000)
     path = f"{shared_dir(spark)}/galvan-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, of_worker, shingles, table
+from .common import WordHashes, hashed_words, map_texts, of_worker, packed, shingles, table
 from .near_dedup import THRESHOLD, WORDS, words_of
 
 RADIUS = 23
@@ -182,5 +182,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any item, with their columns."""
-    clean = scan(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_anti")
+    found = scan(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return packed(docs.join(found, "doc_id", "left_anti"), docs.count(), 8_000)

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed, table, written
 
 #: Separators and word characters, as regular expressions.
 _S, _W = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -129,7 +129,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     own = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.array_sort(F.array_union(own, F.coalesce("more", F.array().cast("array<string>")))), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    return base(docs).join(found, ["doc_id", "row"], "left").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"))
+    both = packed(base(docs).join(found, ["doc_id", "row"], "left"), docs.count(), 100_000)
+    return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, mixed, of_worker, shingles, table, written
+from .common import WordHashes, hashed_words, map_texts, mixed, of_worker, packed, shingles, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -119,13 +119,14 @@ def _pairs_with_hubs(bands: DataFrame) -> DataFrame:
     return bands.join(hubs, "band").filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _groups(bands: DataFrame, classes: DataFrame) -> DataFrame:
+def _groups(bands: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """(doc_id, class_id, grp): groups of three documents or more that buckets of several classes chain together. A bucket's pair
     of two documents is done, as one of them was the hub."""
-    rows = bands.join(classes, "doc_id")
-    low = rows.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "first")
+    members = bands.join(classes, "doc_id")
+    low = members.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "first")
     edges = bands.join(low, "band").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    return components(written(edges, "chains")).withColumnRenamed("class_id", "grp").join(classes, "doc_id")
+    edges = written(edges, "chains", n)
+    return components(edges, edges.count()).withColumnRenamed("class_id", "grp").join(classes, "doc_id")
 
 
 def _compare(threshold: float):
@@ -178,9 +179,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (common / (na + nb - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def components(edges: DataFrame, what: str = "components") -> DataFrame:
+def components(edges: DataFrame, rows: int, what: str = "components") -> DataFrame:
     """(doc_id, class_id): the smallest id of the component, for the ends of the edges (a, b). Alternating large-star and
-    small-star rounds, each written to the shared folder; stars of hot nodes are aggregated before they are shuffled."""
+    small-star rounds, each written to the shared folder; stars of hot nodes are aggregated before they are shuffled.
+    rows: about how many edges there are."""
     e = edges.select("a", "b")
     before = None
     while True:
@@ -191,7 +193,7 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         joined = e.join(low, "a")
         e = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        e = written(e, what)
+        e = written(e, what, rows)
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             return e.groupBy("a").agg(F.min("b").alias("class_id")).withColumnRenamed("a", "doc_id").unionByName(e.select(F.col("b").alias("doc_id"), F.col("b").alias("class_id")).distinct())
@@ -202,25 +204,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_links (verified links found for the document's text), kept (the class's first)."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     signed = written(map_texts(docs, _sign, SIGNED), "signed")
+    n = signed.count()
     # a row for each different text; wordless documents stay apart
     key = F.when(F.col("n") > 0, F.lit(0)).otherwise(F.col("doc_id"))
     reps = signed.groupBy("k1", "k2", key.alias("k3")).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("k1", "k2", "k3", "r.*")
-    reps = written(reps, "texts")
+    reps = written(reps, "texts", 4 * n)
     bands = reps.select("doc_id", F.explode("bands").alias("band"))
     # only buckets of two texts or more matter
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("band")
-    bands = written(bands.join(shared, "band", "left_semi"), "bands")
+    bands = written(bands.join(shared, "band", "left_semi"), "bands", 8 * n)
     candidates = bands.select("doc_id").distinct()
-    sets = written(map_texts(docs, _sets, "doc_id bigint, elements array<int>").join(candidates, "doc_id", "left_semi"), "sets")
-    edges = written(verified(written(_pairs_with_hubs(bands), "pairs"), sets, threshold), "links")
-    by_class = lambda e: candidates.join(written(components(e), "classes"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    groups = written(_groups(bands, by_class(edges)), "groups")
-    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links"))
+    sets = written(map_texts(docs, _sets, "doc_id bigint, elements array<int>").join(candidates, "doc_id", "left_semi"), "sets", 20 * n)
+    edges = written(verified(_pairs_with_hubs(bands), sets, threshold), "links", n)
+    by_class = lambda e: candidates.join(components(e, e.count()), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    groups = written(_groups(bands, by_class(edges), n), "groups", n)
+    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links", n))
     found = by_class(edges)
     n_links = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     texts = reps.join(found, "doc_id", "left").join(n_links, "doc_id", "left").select("k1", "k2", "k3", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     out = signed.select("doc_id", "k1", "k2", key.alias("k3")).join(texts, ["k1", "k2", "k3"]).select("doc_id", "class_id", "n_links")
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return packed(out.withColumn("kept", F.col("doc_id") == F.col("class_id")), n, 100_000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,4 +232,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class, with its columns."""
-    return docs.join(classes(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    return packed(docs.join(classes(docs).filter("kept").select("doc_id"), "doc_id", "left_semi"), docs.count(), 8_000)

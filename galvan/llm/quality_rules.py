@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, map_texts, of_worker, table, written
+from .common import hashed_words, map_texts, of_worker, packed, table, written
 
 #: Common words whose shares are compared; the rest is one class.
 COMMON_WORDS = {
@@ -157,4 +157,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their columns. Repeated doc_ids are told apart by nothing here: one kept row keeps them all."""
     kept = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return packed(docs.join(kept, "doc_id", "left_semi"), docs.count(), 8_000)

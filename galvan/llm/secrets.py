@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed, table, written
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Greedy runs, so that asking for the least length in the pattern drops the same matches as asking afterwards.
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     found = written(parsed(docs), "secrets")
     more = linked(found, reach).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", F.col("rank").cast("int").alias("rank"), "end")).alias("linked"))
     base = F.concat("assign", "access", "hex")
-    out = found.join(more, ["doc_id", "row"], "left").withColumn("every", F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPAN)))))
+    out = packed(found.join(more, ["doc_id", "row"], "left"), found.count(), 100_000).withColumn("every", F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPAN)))))
     count = lambda c: F.size(c).cast("bigint")
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("every")).alias("spans"), F.size(F.coalesce("linked", F.array().cast(SPAN))).cast("bigint").alias("n_linked"), F.col("every").alias("found"))
 
@@ -146,4 +146,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kept["n_chars"] = F.when(hit, F.length("__masked")).otherwise(F.col("n_chars")).cast("bigint")
-    return out.select(*[kept[c].alias(c) for c in docs.columns])
+    return packed(out.select(*[kept[c].alias(c) for c in docs.columns]), docs.count(), 8_000)

@@ -141,9 +141,9 @@ def test_signatures_estimate_similarity():
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (3, 10)]
-    got = near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    got = near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"), 7).collect()
     assert dict((r.doc_id, r.class_id) for r in got) == {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6}
-    assert near_dedup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert near_dedup.components(spark.createDataFrame([], "a bigint, b bigint"), 0).count() == 0
 
 
 def test_decontamination(spark, docs, texts, none):
