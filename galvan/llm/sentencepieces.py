@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ from .common import map_texts, mixed, of_worker, table
 UNKNOWN = 10.0
 LONG = 128
 #: Words whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _CUT = re.compile(r" *[^ ]+| +")
@@ -86,7 +88,8 @@ class Codec:
             texts[i] = bytes([b])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.byte_offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        self.cache: dict[str, bytes] = {}
+        self.rows: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
 
     @staticmethod
     def _hash(p: str) -> int:
@@ -115,8 +118,8 @@ class Codec:
             j -= n
         return [i for x in reversed(out) for i in x]
 
-    def together(self, words: list[str]) -> list[bytes]:
-        """Ids of words of one length, as 32-bit numbers."""
+    def together(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words of one length in another order, their ids one after another, and how many each has."""
         n, length = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(_U) + _U(1)
         prefix = np.zeros((length + 1, n), _U)
@@ -146,39 +149,41 @@ class Codec:
             on = everyone[step > 0]
             rows[step[on] - 1, on] = piece[step[on], on]
             step[on] -= back[step[on], on]
-        out = []
-        for w, r in zip(words, rows.T, strict=True):
-            if (r == -1).any():
-                out.append(np.array([i for c, x in zip(w, r.tolist(), strict=True) if x != -2 for i in ([x] if x >= 0 else self.spelled(c))], np.int32).tobytes())
-            else:
-                out.append(r[r >= 0].astype(np.int32).tobytes())
-        return out
+        rows = rows.T
+        odd = (rows == -1).any(1)
+        plain = rows[~odd]
+        used = plain >= 0
+        spelled = [[i for c, x in zip(words[k], rows[k].tolist(), strict=True) if x != -2 for i in ([x] if x >= 0 else self.spelled(c))] for k in np.flatnonzero(odd).tolist()]
+        order = [words[k] for k in np.flatnonzero(~odd).tolist()] + [words[k] for k in np.flatnonzero(odd).tolist()]
+        return order, np.concatenate([plain[used], *spelled]).astype(np.int32), np.concatenate([used.sum(1), [len(x) for x in spelled]]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the texts' offsets."""
         lists = [_CUT.findall(t.replace("▁", _STAND_IN)) if "▁" in t else _CUT.findall(t) for t in texts]
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(w, len(number)) for x in lists for w in x), np.int64)
-        if len(self.cache) > REMEMBERED:
-            self.cache.clear()
         by_length: dict[int, list[str]] = {}
-        for w in number:
-            if w not in self.cache:
-                by_length.setdefault(len(w), []).append(w)
-        fresh: dict[str, bytes] = {}
+        for w in set(chain.from_iterable(lists)).difference(self.rows):
+            by_length.setdefault(len(w), []).append(w)
+        kept, full = len(self.rows), len(self.rows) >= REMEMBERED
         for length, words in by_length.items():
-            if length > LONG:
-                fresh |= {w: np.array(self.one(w), np.int32).tobytes() for w in words}
-            else:
-                for k in range(0, len(words), 20_000):
-                    fresh |= zip(words[k : k + 20_000], self.together(words[k : k + 20_000]), strict=True)
-        known = [self.cache[w] if w in self.cache else fresh[w] for w in number]
-        self.cache |= {w: x for w, x in fresh.items() if len(w) <= 24}
-        flat = np.frombuffer(b"".join(known), np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in known])]).astype(np.int64)
-        ids, n = gather(flat, offsets, at)
-        of_word = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        return ids, of_word[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+            for k in range(0, len(words), 20_000):
+                part = words[k : k + 20_000]
+                if length > LONG:
+                    found = [self.one(w) for w in part]
+                    ids, counts = np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+                else:
+                    part, ids, counts = self.together(part)
+                self.rows |= zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True)
+                self.ends.frombytes((len(self.flat) + np.cumsum(counts)).astype(np.int64).tobytes())
+                self.flat.frombytes(ids.tobytes())
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        ids, each = gather(np.array(self.flat, np.int32), np.array(self.ends, np.int64), at)
+        if full:  # what is new is kept for these texts only
+            for w in chain.from_iterable(by_length.values()):
+                del self.rows[w]
+            del self.flat[self.ends[kept] :], self.ends[kept + 1 :]
+        of_word = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+        return ids, of_word[np.concatenate([[0], np.cumsum(n)])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids."""
