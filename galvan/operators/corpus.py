@@ -102,6 +102,13 @@ def paragraphs(df: DataFrame, part: list[str], order: str, line: str) -> DataFra
     return joined.filter("ended").select(*part, F.col("lines")[0][order].alias(order), F.array_join(F.transform("lines", lambda x: x["line"]), " ").alias("paragraph"))
 
 
+def zipped(long: DataFrame, by: str, short: DataFrame, other: str) -> DataFrame:
+    """Row by row in order, as far as the shorter one goes; of the longer one only so many rows are sorted into one place."""
+    n = short.count()
+    number = lambda df, c: df.withColumn("__row", F.row_number().over(Window.orderBy(c)))
+    return number(top(long, n, F.asc(by)), by).join(number(short, other), "__row").drop("__row")
+
+
 def jaccard_share(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sizes of the intersection and the union of two one-column sets, and their ratio."""
     both, either = a.intersect(b).agg(F.count("*").alias("both")), a.union(b).distinct().agg(F.count("*").alias("either"))

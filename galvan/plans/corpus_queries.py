@@ -187,12 +187,8 @@ def _(spark, d):
 
 @query("j6_zip_join", "SELECT doc_id, item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) USING (r)")
 def _(spark, d):
-    # ids in order are positions already where they are dense; ranks of a range-sorted column need no single task for the data itself
-    a = table(spark, d, "documents").select("doc_id")
-    b = table(spark, d, "benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("r"))
-    n = b.agg(F.max("r").alias("n"))
-    first = C.top(a, 100_000, F.asc("doc_id")).join(F.broadcast(n)).withColumn("r", F.row_number().over(Window.orderBy("doc_id"))).filter("r <= n")
-    return first.join(b, "r").select("doc_id", "item_id")
+    b = table(spark, d, "benchmark").select("item_id")
+    return C.zipped(table(spark, d, "documents").select("doc_id"), "doc_id", b, "item_id")
 
 
 @query("j8_distinct", "SELECT count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents")
