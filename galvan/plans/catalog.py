@@ -1,6 +1,6 @@
 """All queries of the library with their equivalent SQL."""
 
-from . import corpus_queries, speech_queries, text_queries  # noqa: F401
+from . import corpus_queries, more_queries, speech_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "j11_vocabulary"
