@@ -53,19 +53,15 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, _U), np.zeros(0, _U)
     bits = _BITS_16[v.astype(np.int64)] if int(v.max()) < 1 << 16 else np.searchsorted(_POWERS, v, "right").astype(np.uint8) + 1
-    at = np.arange(n, dtype=np.int32)
-    step = np.zeros(n, np.int32)
+    # widest value of the next 1, 2, 4, ... ; after the last one there is room for padding
+    widest = {1: np.concatenate([bits, np.zeros(64, np.uint8)])}
+    for k in (1, 2, 4, 8, 16):
+        widest[2 * k] = np.maximum(widest[k][:-k], widest[k][k:])
     chosen = np.zeros(n, np.uint8)
-    narrow = np.cumsum(np.bincount(bits, minlength=65))
     for s, (count, b) in reversed(SELECTORS.items()):
-        if narrow[b] + 60 < min(count, n):  # too few values for a word, padding included
-            continue
-        # values until the next one that is too wide; after the last one there is room for padding
-        until = np.minimum.accumulate(np.where(bits > b, at, np.int32(n + 64))[::-1])[::-1] - at
-        fits = until >= count
-        if fits.any():
-            step[fits], chosen[fits] = count, s
-    step[chosen == 0] = 1
+        k = 1 << count.bit_length() - 1
+        chosen = np.where(np.maximum(widest[k][:n], widest[k][count - k : count - k + n]) <= b, np.uint8(s), chosen)
+    step = _COUNT[chosen]
     starts, i, jumps = [], 0, step.tolist()
     while i < n:
         starts.append(i)
