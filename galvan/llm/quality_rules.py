@@ -151,7 +151,35 @@ def judge(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORD
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def sql() -> str:
+    """The same rows. Where a document lacks a class, the class adds its reference share to the sum."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    slots = sorted({w for x in COMMON_WORDS.values() for w in x})
+    classes = {"lower_": "[a-z]", "upper_": "[A-Z]", "digit": "[0-9]", "space": r"[\x09-\x0D\x20]", "punctuation": "[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>]", "not_ascii": r"[^\x00-\x7F]"}
+    count = lambda p: f"length(t) - length(regexp_replace(t, {quoted(p)}, '', 'g'))"
+    divergence = "sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, a) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS a FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY r),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+    SELECT r, doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({count(classes['symbol'])} AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r))),
+c0 AS (SELECT r, lang, base_failed, n_words, length(t) AS n, {', '.join(f'{count(p)} AS {k}' for k, p in classes.items())} FROM base),
+c1 AS (SELECT r, lang, base_failed, n, unnest([{', '.join(quoted(k) for k in classes)}, 'other']) AS class, unnest([{', '.join(classes)}, n - ({' + '.join(classes)})]) AS x FROM c0),
+cq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM c1 WHERE NOT base_failed GROUP BY lang, class),
+cd AS (SELECT r, sqrt(greatest(0, {divergence}) / 2) AS char_distance FROM (SELECT r, x / n AS p, q FROM c1 JOIN cq USING (lang, class) WHERE n >= {MIN_CHARS}) GROUP BY r),
+s0 AS (SELECT r, lang, base_failed, n_words, CASE WHEN v IN ({', '.join(map(quoted, slots))}) THEN v ELSE '' END AS class FROM (SELECT r, lang, base_failed, n_words, trim(lower(unnest(w)), {quoted(".,;:!?'" + chr(34) + "()-")}) AS v FROM base)),
+s1 AS (SELECT r, lang, base_failed, n_words, class, count(*) AS x FROM s0 GROUP BY ALL),
+sq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM s1 WHERE NOT base_failed GROUP BY lang, class),
+sd AS (SELECT r, sqrt(greatest(0, {divergence} + 1 - sum(q)) / 2) AS word_distance FROM (SELECT r, x / n_words AS p, coalesce(q, 0) AS q FROM s1 LEFT JOIN sq USING (lang, class) WHERE n_words >= {MIN_WORDS} AND lang IN (SELECT lang FROM sq)) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept,
+    round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM base LEFT JOIN cd USING (r) LEFT JOIN sd USING (r)"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,4 +25,4 @@ QUERIES = {
     "op9_token_files": token_files.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
-SQL = {"op8_license_scan": licenses.sql()}
+SQL = {"op1_quality_rules": quality_rules.sql(), "op8_license_scan": licenses.sql()}
