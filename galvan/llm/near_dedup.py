@@ -215,10 +215,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bands = written(bands.join(shared, "band", "left_semi"), "bands", 8 * n)
     candidates = bands.select("doc_id").distinct()
     sets = written(map_texts(docs, _sets, "doc_id bigint, elements array<int>").join(candidates, "doc_id", "left_semi"), "sets", 20 * n)
-    edges = written(verified(_pairs_with_hubs(bands), sets, threshold), "links", n)
+    edges = written(verified(_pairs_with_hubs(bands), sets, threshold), "links", 20 * n)  # few rows, but the shingles of many pass through
     by_class = lambda e: candidates.join(components(e, e.count()), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     groups = written(_groups(bands, by_class(edges), n), "groups", n)
-    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links", n))
+    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links", 20 * n))
     found = by_class(edges)
     n_links = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     texts = reps.join(found, "doc_id", "left").join(n_links, "doc_id", "left").select("k1", "k2", "k3", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
