@@ -158,7 +158,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\sa-z0-9{
 
 
 class Encoder:
-    REMEMBERED = 400_000
+    REMEMBERED = 300_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,7 +172,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.ends = array("I"), array("q", [0])
         self.rare: dict[bytes, int] = {}
         encoder = self
@@ -184,27 +184,28 @@ class Encoder:
                 full = len(self) >= encoder.REMEMBERED
                 if full and (row := encoder.rare.get(chunk)) is not None:
                     return row
-                encoder.flat.extend(encoder._ids(chunk.decode("utf-8", "surrogatepass")))
+                encoder.flat.frombytes(encoder._ids(chunk.decode("utf-8", "surrogatepass")))
                 encoder.ends.append(len(encoder.flat))
                 (encoder.rare if full else self)[chunk] = row = len(encoder.ends) - 2
                 return row
 
         self.rows = Rows()
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk as 32-bit numbers."""
         if chunk.isascii() and chunk.isalpha():
             pieces = (chunk.lower(),)
         elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
             pieces = _PIECES.findall(chunk.lower())
         else:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = []
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        out = b""
         known = self.pieces.get
         for p in pieces:
             ids = known(p)
             if ids is None:
                 spelled = p if p.isascii() else "".join(self.of_byte[b] for b in p.encode())
-                ids = tuple([t.id for t in self.model.tokenize(spelled)])
+                ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
                 if len(self.pieces) < self.REMEMBERED:
                     self.pieces[p] = ids
             out += ids
