@@ -16,13 +16,13 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 
 
 def wer_parts(reference: Column, hypothesis: Column) -> Column:
-    """(edits, words): each different word of the pair becomes one character of the private planes, so that the edit distance of
-    characters is that of words."""
+    """(edits, words): each different word of the pair becomes one character beyond the first plane, which has room for a million
+    words, so that the edit distance of characters is that of words."""
     words = F.struct(T.split_words(reference).alias("a"), T.split_words(hypothesis).alias("b"))
 
     def coded(s):
         both = F.array_union(s["a"], s["b"])
-        return T.bound(both, lambda v: F.struct(*[F.array_join(F.transform(s[x], lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 0xE000), 4, "0")), "UTF-16BE")), "").alias(x) for x in "ab"]))
+        return T.bound(both, lambda v: F.struct(*[F.array_join(F.transform(s[x], lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 0xFFFF), 8, "0")), "UTF-32")), "").alias(x) for x in "ab"]))
 
     return T.bound(words, lambda s: T.bound(coded(s), lambda c: F.struct(F.levenshtein(c["a"], c["b"]).alias("edits"), F.size(s["a"]).alias("words"))))
 

@@ -86,6 +86,22 @@ def _(spark, d):
     return both.select("item_id", p["edits"].alias("edits"), p["words"].alias("words"))
 
 
+@query(
+    "h11_cer_whole",
+    f"SELECT item_id, round(levenshtein(a, b) / length(a), 9) AS cer FROM (SELECT b.item_id, {_ASCII.format(c='b.text')} AS a, {_ASCII.format(c='d.text')} AS b FROM benchmark b JOIN documents d ON b.item_id = d.doc_id)",
+)
+def _(spark, d):
+    both = table(spark, d, "benchmark").select("item_id", _ascii("text").alias("a")).join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), _ascii("text").alias("b")), "item_id")
+    return both.select("item_id", F.round(A.cer(F.col("a"), F.col("b")), 9).alias("cer"))
+
+
+@query("h11_wer_whole")
+def _(spark, d):
+    both = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a")).join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("b")), "item_id")
+    p = A.wer_parts(F.col("a"), F.col("b"))
+    return both.select("item_id", p["edits"].alias("edits"), p["words"].alias("words"))
+
+
 @query("h12_weighted_score", "SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS value FROM events GROUP BY 1")
 def _(spark, d):
     return A.weighted(table(spark, d, "events"), "value", F.col("user_id"), "event_type").withColumn("value", F.round("value", 6))

@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -47,3 +48,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    same = " ".join(f"word{chr(97 + i)}" for i in range(25))
+    many = [f"w{i}" for i in range(9000)]
+    pairs = [(1, same, same + " more words here"), (2, same, same), (3, same + " end", same), (4, "a b c", ""), (5, " ".join(many), f"{many[8200]} {many[8195]}"), (6, "été\n\n là", "la été")]
+    for name, key, at in (("benchmark", "item_id", 1), ("documents", "doc_id", 2)):
+        spark.createDataFrame([(p[0], p[at]) for p in pairs], f"{key} bigint, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.item_id: (r.edits, r.words) for r in catalog.QUERIES["h11_wer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (edits(a.split(), b.split()), len(a.split())) for i, a, b in pairs}
+    folded = lambda t: re.sub("[^a-z ]", "", t.lower())
+    got = {r.item_id: r.cer for r in catalog.QUERIES["h11_cer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(edits(folded(a), folded(b)) / len(folded(a)), 9) for i, a, b in pairs}
