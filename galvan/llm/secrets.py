@@ -5,8 +5,9 @@ Multipart linking adds weak spans, which mean nothing alone: identifiers (client
 under other names, and long mixed tokens) and endpoints (URLs and host:port). Spans are cut into scopes: bins of `reach` code
 points of one document. An interval join links parts: a weak identifier or weak secret is reported only if a secret part,
 respectively an identifier or endpoint, lies within `reach` code points; an endpoint only if both an identifier and a
-secret do. The join is an equi-join on document and bin with the first start and last end of each role in a bin, so
-thousands of parts in one text never make pairs.
+secret do. Distances count from the end of the span before to the start of the one behind. The join is an equi-join on document
+and bin, where a weak span meets all bins within reach of its start and end, with the first start and last end of each role in
+a bin, so thousands of parts in one text never make pairs; as a bin is no longer than the reach, that is exact.
 
 Defined results: a null or empty text has no spans and the hash of the empty string; repeated doc_ids are told apart by
 a row number made from the row's content hash and are scanned each; ties in start are ordered by kind as listed; other columns are ignored.
@@ -97,12 +98,12 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     cover = parts.select("doc_id", "row", "role", "start", "end", F.explode(F.sequence(F.expr(f"start div {reach}"), F.expr(f"(end - 1) div {reach}"))).alias("bin"))
     bins = cover.groupBy("doc_id", "row", "bin", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     by_role = bins.groupBy("doc_id", "row", "bin").agg(*[f(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("identifier", "secret", "endpoint") for f, c in ((F.min, "first"), (F.max, "last"))])
-    # a row of bins reaches the candidates of its own bin and of both neighbours
-    near = by_role.select("*", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("for_bin")).drop("bin")
     base = len(ORDER) - len(WEAK)
-    weak = parts.filter(F.col("rank") >= base).select("*", F.expr(f"start div {reach}").alias("for_bin"))
+    # a weak span meets every bin that a span within reach of its start or end has a code point in; `end` is exclusive
+    met = F.sequence(F.expr(f"greatest(start - {reach} - 1, 0) div {reach}"), F.expr(f"(end + {reach}) div {reach}"))
+    weak = parts.filter(F.col("rank") >= base).select("*", F.explode(met).alias("bin"))
     close = lambda r: (F.col(f"{r}_first") <= F.col("end") + reach) & (F.col(f"{r}_last") >= F.col("start") - reach)
-    seen = weak.join(near, ["doc_id", "row", "for_bin"]).groupBy("doc_id", "row", "start", "rank", "end", "role").agg(*[F.max(F.coalesce(close(r), F.lit(False))).alias(f"has_{r}") for r in ("identifier", "secret", "endpoint")])
+    seen = weak.join(by_role, ["doc_id", "row", "bin"]).groupBy("doc_id", "row", "start", "rank", "end", "role").agg(*[F.max(F.coalesce(close(r), F.lit(False))).alias(f"has_{r}") for r in ("identifier", "secret", "endpoint")])
     ok = F.lit(False)
     for role, wanted in needs.items():
         every = F.lit(True)

@@ -190,6 +190,34 @@ def test_secrets(spark, docs, texts, none):
     assert rows(secrets.scan(none)) == []
 
 
+def test_links_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    base = len(secrets.ORDER) - len(secrets.WEAK)
+    # a weak key 299..360 and a URL at 610; the farthest and the first too far; parts longer than two bins
+    cases = [[(299, 4, 360), (610, 6, 640)], [(100, 4, 160), (460, 6, 480)], [(100, 4, 160), (461, 6, 480)], [(0, 6, 300), (600, 4, 660)], [(10, 5, 1500), (1750, 3, 1770)], [(10, 6, 1200), (1400, 1, 1420), (1450, 0, 1470)]]
+    for _ in range(300):
+        starts = np.cumsum(r.integers(1, 500, r.integers(2, 9)))
+        cases.append([(int(a), int(r.integers(0, len(secrets.ORDER))), int(a + r.choice([5, 60, 300, 900, r.integers(1, 700)]))) for a in starts])
+    table = [(i, 7, [c for c in x if c[1] == 0], [c for c in x if c[1] == 1], [c for c in x if c[1] == 2], [c for c in x if c[1] >= base]) for i, x in enumerate(cases)]
+    kinds = "assign access hex weak".split()
+    found = spark.createDataFrame(table, "doc_id bigint, row bigint, " + ", ".join(f"{k} {secrets.SPAN}" for k in kinds))
+    role = lambda s: secrets.ROLES[secrets.ORDER[s[1]]]
+    expected = set()
+    for i, x in enumerate(cases):
+        for s in x:
+            near = {role(o) for o in x if o[0] <= s[2] + secrets.REACH and o[2] >= s[0] - secrets.REACH}
+            ok = {"identifier": "secret" in near, "secret": bool(near & {"identifier", "endpoint"}), "endpoint": {"identifier", "secret"} <= near}
+            if s[1] >= base and ok[role(s)]:
+                expected.add((i, *s))
+    assert {(o.doc_id, o.start, o.rank, o.end) for o in secrets.linked(found).collect()} == expected
+
+
+def test_far_secret_is_masked(spark):
+    text = "x " * 149 + " private_key=" + "k" * 48 + " " + "y " * 124 + "https://db.example.com"
+    out = secrets.stage(spark, spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "").first().text
+    assert "kkkk" not in out and "[key]" in out
+
+
 def test_masked_secrets(docs):
     masked = secrets.stage(docs.sparkSession, docs, "")
     assert masked.columns == docs.columns and masked.count() == docs.count()
