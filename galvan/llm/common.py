@@ -12,7 +12,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time.
 CHUNK_BYTES = 2 << 20
@@ -56,6 +57,29 @@ def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def content_key(df: DataFrame, *columns: str) -> Column:
+    """A hash of the columns that there are, which is never null: rows of equal content have equal keys, with or without a doc_id."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns if c in df.columns])
+
+
+def late_key(*columns: Column) -> Column:
+    """A key among the 2^52 largest numbers, so behind nearly all doc_ids, of a row without a doc_id of its own."""
+    return F.lit(2**63 - 1) - F.xxhash64(*columns).bitwiseAND(F.lit(2**52 - 1))
+
+
+def row_keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a key of their own: doc_id, if no other row has it, or for the first of its rows by content; else a late key of
+    content and number. It follows from content alone, so that it may be computed again."""
+    docs = docs.withColumn("__h", content_key(docs, *docs.columns))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min("__h").alias("__first")).filter("__n > 1")
+    both = docs.join(repeated, F.col("doc_id") == F.col("__id"), "left")
+    plain = both.filter("doc_id IS NOT NULL AND __n IS NULL").withColumn(name, F.col("doc_id").cast("bigint"))
+    odd = both.filter("doc_id IS NULL OR __n IS NOT NULL").withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h")))
+    first = F.col("doc_id").isNotNull() & (F.col("__h") == F.col("__first")) & (F.col("__i") == 1)
+    odd = odd.withColumn(name, F.when(first, F.col("doc_id").cast("bigint")).otherwise(late_key(F.col("__h"), F.col("__i")))).drop("__i")
+    return plain.unionByName(odd).drop("__h", "__id", "__n", "__first")
+
+
 def chunks(texts: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in slices of about `limit` characters; a null is an empty text, a very long text a slice of its own."""
     start, size, part = 0, 0, []

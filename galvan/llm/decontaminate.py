@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, of_worker, packed, shingles, table
+from .common import content_key, WordHashes, hashed_words, map_texts, of_worker, packed, shingles, table
 from .near_dedup import THRESHOLD, WORDS, words_of
 
 RADIUS = 23
@@ -181,6 +181,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any item, with their columns."""
-    found = scan(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return packed(docs.join(found, "doc_id", "left_anti"), docs.count(), 8_000)
+    """Rows without a window of any item, with their columns, whether or not they have a doc_id."""
+    keyed = docs.withColumn("__key", content_key(docs, "doc_id", "text"))
+    found = scan(keyed.withColumn("doc_id", F.col("__key")), table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return packed(keyed.join(found, "__key", "left_anti").select(*docs.columns), docs.count(), 8_000)

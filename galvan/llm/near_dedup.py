@@ -14,7 +14,9 @@ documents of two blocks that are of different classes, exactly and without a row
 texts that meet in a bucket is lost to the classes; within a class not every link is looked for.
 
 Defined results: a text of 1 to 4 words is one shingle; a null, empty or wordless text is a class of its own; repeated
-doc_ids with the same words are one document, and with different words their classes meet; other columns are ignored.
+doc_ids with the same words are one document, and with different words their classes meet; rows with a null doc_id and the same text
+are one document behind (nearly) all ids, and the class_id is null where they are the class's first; other columns are ignored.
+The stage has a key for each row, so it keeps one row of each class, also among repeated and null doc_ids.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, map_texts, mixed, of_worker, packed, shingles, table, written
+from .common import WordHashes, hashed_words, late_key, map_texts, mixed, of_worker, packed, row_keyed, shingles, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -202,7 +204,9 @@ def components(edges: DataFrame, rows: int, what: str = "components") -> DataFra
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_links (verified links found for the document's text), kept (the class's first)."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    missing = F.col("doc_id").isNull()
+    unnamed = docs.filter(missing).select(late_key(F.coalesce("text", F.lit(""))).alias("unnamed")).distinct()
+    docs = docs.select(F.when(missing, late_key(F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"), "text")
     signed = written(map_texts(docs, _sign, SIGNED), "signed")
     n = signed.count()
     # a row for each different text; wordless documents stay apart
@@ -223,7 +227,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_links = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     texts = reps.join(found, "doc_id", "left").join(n_links, "doc_id", "left").select("k1", "k2", "k3", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     out = signed.select("doc_id", "k1", "k2", key.alias("k3")).join(texts, ["k1", "k2", "k3"]).select("doc_id", "class_id", "n_links")
-    return packed(out.withColumn("kept", F.col("doc_id") == F.col("class_id")), n, 100_000)
+    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    if unnamed.isEmpty():
+        return packed(out, n, 100_000)
+    for c in ("doc_id", "class_id"):
+        out = out.join(unnamed, F.col(c) == F.col("unnamed"), "left").withColumn(c, F.when(F.col("unnamed").isNull(), F.col(c))).drop("unnamed")
+    return packed(out, n, 100_000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,5 +240,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class, with its columns."""
-    return packed(docs.join(classes(docs).filter("kept").select("doc_id"), "doc_id", "left_semi"), docs.count(), 8_000)
+    """The first row of each class, with its columns."""
+    keyed = row_keyed(docs, "__key")
+    kept = classes(keyed.select(F.col("__key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("__key"))
+    return packed(keyed.join(kept, "__key", "left_semi").select(*docs.columns), docs.count(), 8_000)

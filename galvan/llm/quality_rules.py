@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, map_texts, of_worker, packed, table, written
+from .common import content_key, hashed_words, map_texts, of_worker, packed, table, written
 
 #: Common words whose shares are compared; the rest is one class.
 COMMON_WORDS = {
@@ -183,6 +183,7 @@ FROM base LEFT JOIN cd USING (r) LEFT JOIN sd USING (r)"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their columns. Repeated doc_ids are told apart by nothing here: one kept row keeps them all."""
-    kept = judge(docs).filter("kept").select("doc_id").distinct()
-    return packed(docs.join(kept, "doc_id", "left_semi"), docs.count(), 8_000)
+    """Rows that the rules keep, with their columns. Rows of the same doc_id (or none), language and text are judged alike."""
+    keyed = docs.withColumn("__key", content_key(docs, "doc_id", "lang", "text"))
+    kept = judge(keyed.withColumn("doc_id", F.col("__key"))).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return packed(keyed.join(kept, "__key", "left_semi").select(*docs.columns), docs.count(), 8_000)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, written
+from .common import content_key, packed, table, written
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Greedy runs, so that asking for the least length in the pattern drops the same matches as asking afterwards.
@@ -118,12 +118,12 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """One row a document: counts of base spans, the hash of the base spans, all spans as a string and as an array."""
-    found = written(parsed(docs), "secrets")
+    found = written(parsed(docs), "secrets").withColumn("id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     more = linked(found, reach).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", F.col("rank").cast("int").alias("rank"), "end")).alias("linked"))
     base = F.concat("assign", "access", "hex")
     out = packed(found.join(more, ["doc_id", "row"], "left"), found.count(), 100_000).withColumn("every", F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPAN)))))
     count = lambda c: F.size(c).cast("bigint")
-    return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("every")).alias("spans"), F.size(F.coalesce("linked", F.array().cast(SPAN))).cast("bigint").alias("n_linked"), F.col("every").alias("found"))
+    return out.select(F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("every")).alias("spans"), F.size(F.coalesce("linked", F.array().cast(SPAN))).cast("bigint").alias("n_linked"), F.col("every").alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret span is replaced by its kind in brackets, and n_chars follows. Overlapping spans are masked as one."""
-    found = scan(docs).filter(F.size("found") > 0).groupBy("doc_id").agg(F.min("found").alias("__found"))
+    keyed = docs.withColumn("__key", content_key(docs, "text"))
+    found = scan(keyed.select(F.col("__key").alias("doc_id"), "text")).filter(F.size("found") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.min("found").alias("__found"))
     names = F.array(*[F.lit(k) for k in ORDER])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -142,7 +143,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept).alias("out"))
 
     masked = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
-    out = docs.join(found, "doc_id", "left").withColumn("__masked", masked)
+    out = keyed.join(found, "__key", "left").withColumn("__masked", masked)
     hit = F.col("__found").isNotNull()
     kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

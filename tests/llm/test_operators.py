@@ -367,3 +367,25 @@ def test_cotraining(spark, docs, texts):
     few = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1)], "doc_id bigint, quality int")
     assert len(rows(quality_model.classify(docs, few))) == len(texts)
     assert {r["score"] for r in rows(quality_model.classify(docs, few.limit(0)))} == {0.5}
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """Null and repeated doc_ids neither lose rows nor take others with them."""
+    a, b, c = prose(31), prose(32), prose(33)
+    secret = "client_id=abcd1234 private_key=" + "k" * 20
+    items = [(None, a), (1, a), (2, a), (None, b), (None, b), (5, c), (5, c), (5, b + " " + c), (None, "..."), (None, None), (7, "x " + secret), (None, secret), (9, secret), (9, "plain words")]
+    d = spark.createDataFrame(items, "doc_id bigint, text string").repartition(3).cache()
+    got = [(r.doc_id, r.class_id, r.kept) for r in near_dedup.classes(d).collect()]
+    assert len(got) == len(items) and all(k is not None for _, _, k in got)
+    assert {x for x in got if x[0] in (1, 2)} == {(1, 1, True), (2, 1, False)} and (None, 1, False) in got
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.stage(spark, d, "").collect())
+    assert kept[1, a] == kept[None, b] == kept[5, c] == kept[5, b + " " + c] == kept[None, "..."] == kept[None, None] == kept[9, "plain words"] == 1
+    assert sum(kept.values()) == len({t for _, t in items if t}) + 1
+    masked = [(r.doc_id, r.text) for r in secrets.stage(spark, d, "").collect()]
+    assert len(masked) == len(items) and not any(t and "kkkk" in t for _, t in masked) and (9, "plain words") in masked
+    spark.createDataFrame([(1, a)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = collections.Counter((r.doc_id, r.text) for r in decontaminate.stage(spark, d, str(tmp_path)).collect())
+    assert clean == collections.Counter(x for x in items if x[1] != a)
+    full = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in items], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    named = full.withColumn("doc_id", secrets.F.monotonically_increasing_id())
+    assert sorted(str(r.text) for r in quality_rules.stage(spark, full, "").collect()) == sorted(str(r.text) for r in quality_rules.stage(spark, named, "").collect())
