@@ -4,10 +4,14 @@ Every whole text gets a histogram of character classes and one of common words.
 of these histograms over all of its documents that pass the base rules, so it follows the corpus. A document is
 rejected if it fails a base rule or if the Jensen-Shannon distance (base 2, square root of the divergence) between a
 histogram and the reference exceeds a threshold. Guards: the character test needs `min_chars` characters and the word test
-`min_words` words, as short texts diverge by chance.
-
-Defined results: a null or empty text has no words and fails the base rule; a null language is the language "und";
-repeated doc_ids give a row each; other columns are ignored.
+`min_words` words. A sample of n words diverges from its own source by about k / n (squared distance, k growing with the number of
+classes), so the word test allows sqrt(max_word^2 + SPREAD / n). A language needs MIN_DOCS documents that pass the base rules; below
+that its documents have no distances and the base rules alone decide.
+
+Defined results: a null or empty text has no words and fails the base rule; a null language is the language "und"; a null doc_id
+is a row like others; repeated doc_ids and repeated rows give a row each; distances equal to the limit pass; no documents give no
+rows; texts of any length are taken whole; other columns are ignored. The stage's own least number of words is `STAGE_WORDS`: it has no
+cause to drop a short clean text, so what the guards leave out stays.
 """
 
 from __future__ import annotations
@@ -30,7 +34,13 @@ COMMON_WORDS = {
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other", "not_ascii")
 SYMBOLS = b"#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.5
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.25
+#: What 1 / (number of words) adds to the squared word distance, by chance; base-passing documents that a language's reference needs.
+SPREAD, MIN_DOCS = 7.0, 20
+#: Least words of a text that the pipeline's stage keeps.
+STAGE_WORDS = 1
+#: Languages up to whose number the references, 290 numbers each, are broadcast.
+BROADCAST_LANGUAGES = 10_000
 
 
 def _classes() -> np.ndarray:
@@ -124,28 +134,32 @@ def _compared(min_chars: int, min_words: int, max_char: float, max_word: float):
             chars = wide("chars", len(CLASSES))
             by_char = np.where(chars.sum(1) >= min_chars, distances(chars, wide("ref_chars", len(CLASSES))), np.nan)
             by_word = np.where(np.array(b.column("n_words")) >= min_words, distances(wide("words", N_SLOTS), wide("ref_words", N_SLOTS)), np.nan)
-            kept = ~np.array(b.column("base_failed").to_pylist(), bool) & ~(by_char > max_char) & ~(by_word > max_word)
+            n = np.maximum(np.array(b.column("n_words")), 1)
+            kept = ~np.array(b.column("base_failed").to_pylist(), bool) & ~(by_char > max_char) & ~(by_word > np.sqrt(max_word * max_word + SPREAD / n))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in COUNTS], pa.array(kept), pa.array(by_char, mask=np.isnan(by_char)), pa.array(by_word, mask=np.isnan(by_word))], names=[*COUNTS, "kept", "char_distance", "word_distance"])
 
     return run
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, least_words: int = 50) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("lang", F.lit("und")).alias("lang"), "text"), _features, SCHEMA).withColumn(
-        "base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+        "base_failed", F.expr(f"n_words < {least_words} OR 100 * n_repeat_words > 50 * n_words")
     )
 
 
 def references(found: DataFrame) -> DataFrame:
-    """lang -> summed histograms over its documents that pass the base rules."""
+    """lang -> summed histograms over its documents that pass the base rules, if there are MIN_DOCS."""
     sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]).cast("double") for i in range(n)])
-    return found.filter("NOT base_failed").groupBy("lang").agg(sums("chars", len(CLASSES)).alias("ref_chars"), sums("words", N_SLOTS).alias("ref_words"))
+    summed = found.filter("NOT base_failed").groupBy("lang").agg(F.count("*").alias("n"), sums("chars", len(CLASSES)).alias("ref_chars"), sums("words", N_SLOTS).alias("ref_words"))
+    return summed.filter(F.col("n") >= MIN_DOCS).drop("n")
 
 
-def judge(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """One row a document: the base counts, both distances (null below the guard) and `kept`."""
-    found = written(features(docs), "quality")
-    both = found.join(references(found), "lang", "left")
+def judge(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, least_words: int = 50) -> DataFrame:
+    """One row a document: the base counts, both distances (null below the guard) and `kept`. least_words: of the base rule.
+    A row a language is broadcast, so that a language of most documents isn't one task; past BROADCAST_LANGUAGES both sides are shuffled."""
+    found = written(features(docs, least_words), "quality")
+    per_language = written(references(found), "references", 1)
+    both = found.join(F.broadcast(per_language) if per_language.count() <= BROADCAST_LANGUAGES else per_language, "lang", "left")
     types = ", ".join(f"{c} {'boolean' if c == 'base_failed' else 'bigint'}" for c in COUNTS)
     return both.mapInArrow(_compared(min_chars, min_words, max_char, max_word), types + ", kept boolean, char_distance double, word_distance double")
 
@@ -171,13 +185,14 @@ base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r))),
 c0 AS (SELECT r, lang, base_failed, n_words, length(t) AS n, {', '.join(f'{count(p)} AS {k}' for k, p in classes.items())} FROM base),
 c1 AS (SELECT r, lang, base_failed, n, unnest([{', '.join(quoted(k) for k in classes)}, 'other']) AS class, unnest([{', '.join(classes)}, n - ({' + '.join(classes)})]) AS x FROM c0),
-cq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM c1 WHERE NOT base_failed GROUP BY lang, class),
+few AS (SELECT lang FROM base WHERE NOT base_failed GROUP BY lang HAVING count(*) < {MIN_DOCS}),
+cq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM c1 WHERE NOT base_failed AND lang NOT IN (FROM few) GROUP BY lang, class),
 cd AS (SELECT r, sqrt(greatest(0, {divergence}) / 2) AS char_distance FROM (SELECT r, x / n AS p, q FROM c1 JOIN cq USING (lang, class) WHERE n >= {MIN_CHARS}) GROUP BY r),
 s0 AS (SELECT r, lang, base_failed, n_words, CASE WHEN v IN ({', '.join(map(quoted, slots))}) THEN v ELSE '' END AS class FROM (SELECT r, lang, base_failed, n_words, trim(lower(unnest(w)), {quoted(".,;:!?'" + chr(34) + "()-")}) AS v FROM base)),
 s1 AS (SELECT r, lang, base_failed, n_words, class, count(*) AS x FROM s0 GROUP BY ALL),
-sq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM s1 WHERE NOT base_failed GROUP BY lang, class),
+sq AS (SELECT lang, class, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM s1 WHERE NOT base_failed AND lang NOT IN (FROM few) GROUP BY lang, class),
 sd AS (SELECT r, sqrt(greatest(0, {divergence} + 1 - sum(q)) / 2) AS word_distance FROM (SELECT r, x / n_words AS p, coalesce(q, 0) AS q FROM s1 LEFT JOIN sq USING (lang, class) WHERE n_words >= {MIN_WORDS} AND lang IN (SELECT lang FROM sq)) GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= sqrt({MAX_WORD_DISTANCE * MAX_WORD_DISTANCE} + {SPREAD} / greatest(n_words, 1)) AS kept,
     round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
 FROM base LEFT JOIN cd USING (r) LEFT JOIN sd USING (r)"""
 
@@ -185,5 +200,5 @@ FROM base LEFT JOIN cd USING (r) LEFT JOIN sd USING (r)"""
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the rules keep, with their columns. Rows of the same doc_id (or none), language and text are judged alike."""
     keyed = docs.withColumn("__key", content_key(docs, "doc_id", "lang", "text"))
-    kept = judge(keyed.withColumn("doc_id", F.col("__key"))).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
+    kept = judge(keyed.withColumn("doc_id", F.col("__key")), least_words=STAGE_WORDS).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
     return packed(keyed.join(kept, "__key", "left_semi").select(*docs.columns), docs.count(), 8_000)
