@@ -1,49 +1,72 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of letters, digits and underscores in lower case; shingles have five words and weigh as often as they
-occur. For an item of n words, a document's windows of n words get 64-bit SimHash fingerprints over their weighted
-shingles. Fingerprints are looked up in a multi-index: eight blocks of eight bits, each with a table of all values within
-two bits of an item's block. If all eight blocks differed in three bits or more, the distance would be 24 or more, so
-every item within radius 23 is found. Candidates are then verified by exact weighted Jaccard similarity (0.8 or more).
+occur. Every window of a document that is as long as an item gets a 64-bit SimHash fingerprint over its weighted shingles:
+running sums of the 64 votes give the votes of any window as one difference. Fingerprints, and nothing else, make
+candidates. They are looked up in a multi-index of the items of that length: four blocks of sixteen bits, each with all values
+within three bits of an item's block. If all four blocks differed in four bits or more, the distance would be 16 or more, so
+every item within RADIUS = 15 is found. Candidates are then verified by exact weighted Jaccard similarity (0.8 or more).
 
-Windows that hold too few of the benchmark's shingles to reach the similarity (a bound, not a guess) get no fingerprint,
-so the work on clean text is one lookup a shingle. Items are taken in blocks of bounded size; each block is a set of
-queries against all documents, so any number of items works.
+Fingerprints of similar windows are near, not always within the radius; `tests/llm` measures the recall against brute force
+over all windows. Window lengths above FINE are taken in steps of an eighth of the power of two below (an item's beginning is then looked
+for in windows that are up to an eighth shorter), so that there are few lengths whatever the items; verification is at the item's own length.
+
+Items are taken in blocks of bounded size, each a set of queries against all documents. With several blocks, the
+matches of one are written to the shared folder and its broadcast is destroyed before the next begins.
 
 Defined results: null and empty texts are clean; items of fewer than five words have no five-word shingle and match
-nothing; a document shorter than an item is one window; repeated items count each by its id; repeated doc_ids give a row each.
+nothing; a document that is shorter than an item is one window; of equally similar windows the first counts; repeated items count each by
+its id; a null doc_id is a row like others; repeated doc_ids and repeated rows give a row each; texts of any length are taken whole;
+no documents give no rows, no items no contamination; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, WordHashes, hashed_words, map_texts, of_worker, packed, shingles, table
+from .common import WordHashes, content_key, hashed_words, map_texts, of_worker, packed, shared_dir, shingles, table
 from .near_dedup import THRESHOLD, WORDS, words_of
 
-RADIUS = 23
+RADIUS = 15
+#: Blocks of the multi-index and bits of each.
+BLOCKS, WIDTH = 4, 16
+#: Window lengths up to which each length is taken by itself.
+FINE = 16
+#: Window starts whose votes are summed at a time (the sums then stay in the processor's cache) and looked up at a time.
+STARTS, LOOKED_UP = 1024, 1 << 15
 #: Items whose index is sent to the workers at a time, and characters of their texts.
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 4096, 16 << 20
 _U = np.uint64
-_BITS = np.arange(64, dtype=_U)
 
 
-def simhash(s: np.ndarray) -> int:
-    """Fingerprint of a multiset of shingles."""
-    votes = (((s[:, None] >> _BITS) & _U(1)).astype(np.int32) * 2 - 1).sum(0)
-    return int(((votes > 0).astype(_U) << _BITS).sum(dtype=_U))
+def window_length(m: int) -> int:
+    """The length of the windows that items of m shingles are looked for in."""
+    step = 1 << max(0, m.bit_length() - FINE.bit_length() + 1)
+    return m if m <= FINE else m // step * step
+
+
+def running_votes(s: np.ndarray, longest: int) -> np.ndarray:
+    """Of each bit, how many shingles before a place have it; modulo a power of two that no window's length reaches."""
+    bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+    sums = np.zeros((len(s) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
+    return sums
+
+
+def fingerprints(ones: np.ndarray, m: int) -> np.ndarray:
+    """SimHash of multisets of m shingles, from how many have each bit: the bits that more than half have."""
+    return np.packbits(ones > m // 2, axis=None, bitorder="little").view(_U)
 
 
-def window_simhashes(s: np.ndarray, m: int, starts: np.ndarray) -> np.ndarray:
-    """Fingerprints of s[i:i+m] for all starts i."""
-    lo = starts.min()
-    part = s[lo : starts.max() + m]
-    sums = np.zeros((len(part) + 1, 64), np.int32)
-    np.cumsum(((part[:, None] >> _BITS) & _U(1)).astype(np.int8) * 2 - 1, axis=0, out=sums[1:], dtype=np.int32)
-    votes = sums[starts - lo + m] - sums[starts - lo]
-    return ((votes > 0).astype(_U) << _BITS).sum(1, dtype=_U)
+def simhash(s: np.ndarray) -> int:
+    """Fingerprint of a multiset of shingles."""
+    return int(fingerprints(running_votes(s, len(s))[-1:], len(s))[0])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -55,59 +78,101 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return low / (len(a) + len(b) - low)
 
 
+def _flips() -> np.ndarray:
+    """All 16-bit values with at most RADIUS // BLOCKS bits."""
+    v = np.arange(1 << WIDTH, dtype=np.uint32)
+    return v[np.bitwise_count(v) <= RADIUS // BLOCKS].astype(np.uint16)
+
+
+class Lookup:
+    """The multi-index of up to 64 items of one window length: of each block's value, which items are near it, as a bit each."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray, flips: np.ndarray) -> None:
+        self.items, self.prints = items, prints
+        self.near = np.zeros((BLOCKS, 1 << WIDTH), np.uint8 if len(items) <= 8 else np.uint16 if len(items) <= 16 else _U)
+        for i, p in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS)):
+            for b in range(BLOCKS):
+                self.near[b, p[b] ^ flips] |= self.near.dtype.type(1 << i)
+
+    def within(self, prints: np.ndarray):
+        """(rows of `prints`, item) of all that are within the radius."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        any_near = self.near[0].take(blocks[:, 0], mode="clip")
+        for b in range(1, BLOCKS):
+            any_near |= self.near[b].take(blocks[:, b], mode="clip")
+        rows = np.flatnonzero(any_near)
+        found, prints = any_near[rows], prints[rows]
+        for i, item in enumerate(self.items.tolist()):
+            at = np.flatnonzero(found & found.dtype.type(1 << i))
+            at = at[np.bitwise_count(prints[at] ^ self.prints[i]) <= RADIUS]
+            if len(at):
+                yield rows[at], item
+
+
 class Index:
-    """The items' shingles, fingerprints and multi-index tables."""
+    """The items' shingles and fingerprints, and a multi-index for each window length."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        cache = WordHashes()
         kept = [(i, w) for i, t in items if len(w := words_of(t or "")) >= WORDS]
         self.ids = [i for i, _ in kept]
-        h, offsets = hashed_words([w for _, w in kept], cache)
+        h, offsets = hashed_words([w for _, w in kept], WordHashes())
         s, of = shingles(h, offsets, WORDS)
         self.shingles = [s[of == i] for i in range(len(kept))]
         self.sizes = np.array([len(w) - WORDS + 1 for _, w in kept], np.int64)
-        self.all = np.unique(s)
-        order = np.argsort(s, kind="stable")
-        self.sorted, self.owner = s[order], of[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.all & _U((1 << 20) - 1)).astype(np.int64)] = True
-        self.prints = np.array([simhash(x) for x in self.shingles], _U)
-        value = np.arange(256, dtype=np.uint8)
-        self.tables = []
-        for b in range(8):
-            block = (self.prints >> _U(8 * b)).astype(np.uint8)
-            near = np.bitwise_count(value[:, None] ^ block[None, :]) <= RADIUS // 8
-            self.tables.append([np.flatnonzero(x) for x in near])
-
-    def within(self, fingerprint: int) -> np.ndarray:
-        """Items whose fingerprints are within the radius."""
-        found = np.unique(np.concatenate([t[fingerprint >> 8 * b & 255] for b, t in enumerate(self.tables)]))
-        return found[np.bitwise_count(self.prints[found] ^ _U(fingerprint)) <= RADIUS]
-
-    def hits(self, s: np.ndarray) -> np.ndarray:
-        """Which shingles the benchmark has."""
-        hit = self.filter[(s & _U((1 << 20) - 1)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        if len(at):
-            i = np.searchsorted(self.all, s[at])
-            hit[at] = self.all[np.minimum(i, len(self.all) - 1)] == s[at]
-        return hit
-
-    def matches(self, s: np.ndarray, hit: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
-        """item -> (best similarity, shingle where the window starts) of a document with the shingles s."""
-        best: dict[int, tuple[float, int]] = {}
-        counts = np.concatenate([[0], np.cumsum(hit)])
-        lo, hi = np.searchsorted(self.sorted, s[hit], "left"), np.searchsorted(self.sorted, s[hit], "right")
-        owners = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)])) if len(lo) else []
-        for m in sorted({int(self.sizes[o]) for o in owners}):
-            size = min(m, len(s))
-            starts = np.arange(len(s) - size + 1)
-            starts = starts[counts[starts + size] - counts[starts] >= np.ceil(threshold / (1 + threshold) * (m + size) - 1e-9)]
-            for part in np.array_split(starts, max(1, -(-len(starts) // 4096))) if len(starts) else []:
-                for start, p in zip(part.tolist(), window_simhashes(s, size, part).tolist(), strict=True):
-                    for item in self.within(p):
-                        if self.sizes[item] == m and (x := similarity(s[start : start + size], self.shingles[item])) >= threshold and x > best.get(int(item), (0.0, 0))[0]:
-                            best[int(item)] = x, start
+        prints, flips = np.array([simhash(x) for x in self.shingles], _U), _flips()
+        lengths = np.array([window_length(int(m)) for m in self.sizes], np.int64)
+        # a shorter beginning of a long item is what its windows are compared with
+        begun = np.array([p if m == n else simhash(x[:n]) for p, m, n, x in zip(prints, self.sizes, lengths, self.shingles, strict=True)], _U)
+        lookups = lambda at, x: [Lookup(at[i : i + 64], x[at[i : i + 64]], flips) for i in range(0, len(at), 64)]
+        self.by_length = {int(n): lookups(np.flatnonzero(lengths == n), begun) for n in np.unique(lengths)}
+        # whole texts that are shorter than an item are compared with all of it
+        self.longest = int(self.sizes.max()) if kept else 0
+        self.of_whole = lookups(np.arange(len(kept)), prints)
+
+    def candidates(self, s: np.ndarray, doc: np.ndarray, threshold: float):
+        """(first shingles, item) of all windows of the documents whose fingerprint is near an item's. s: shingles of documents, one
+        after another; doc: their documents."""
+        shortest = min(self.by_length)
+        step = max(STARTS, 4 * self.longest)
+        for lo in range(0, len(s), LOOKED_UP):
+            upto = min(lo + LOOKED_UP, len(s))
+            prints = {m: np.zeros(max(0, min(upto, len(s) - m + 1) - lo), _U) for m in self.by_length}
+            for a in range(lo, upto, step):
+                sums = running_votes(s[a : min(a + step, upto) + self.longest], self.longest)
+                for m, found in prints.items():
+                    k = min(step, len(found) - (a - lo))
+                    if k > 0:
+                        found[a - lo : a - lo + k] = fingerprints(sums[m : m + k] - sums[:k], m)
+            for m, found in prints.items():
+                for lookup in self.by_length[m]:
+                    for row, item in lookup.within(found):
+                        row += lo
+                        yield row[doc[row] == doc[row + m - 1]], item
+        ids, begin, n = np.unique(doc, return_index=True, return_counts=True)
+        small = np.flatnonzero((n < self.longest) & (n >= threshold * shortest))
+        if len(small):
+            whole = np.array([simhash(s[begin[i] : begin[i] + n[i]]) for i in small.tolist()], _U)
+            for lookup in self.of_whole:
+                for row, item in lookup.within(whole):
+                    own = n[small[row]]
+                    yield begin[small[row]][(own < self.sizes[item]) & (own >= threshold * self.sizes[item])], item
+
+    def matches(self, s: np.ndarray, doc: np.ndarray, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
+        """(document, item) -> (best similarity, shingle of the document where the first such window starts)."""
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        seen = set()
+        for starts, item in self.candidates(s, doc, threshold):
+            for start in starts.tolist():
+                m, d = int(self.sizes[item]), int(doc[start])
+                begin, end = int(np.searchsorted(doc, d, "left")), int(np.searchsorted(doc, d, "right"))
+                at = min(start, max(begin, end - m))  # the item is longer than the looked-up window at most
+                if (at, item) in seen:
+                    continue
+                seen.add((at, item))
+                x = similarity(s[at : min(at + m, end)], self.shingles[item])
+                had = best.get((d, item), (0.0, 0))
+                if x >= threshold and (x > had[0] or (x == had[0] and at - begin < had[1])):
+                    best[d, item] = x, at - begin
         return best
 
 
@@ -121,18 +186,13 @@ def _scan(index, threshold: float):
         it.__dict__.update(index.value)
 
         def f(texts, batch):
-            h, offsets = hashed_words([words_of(t) for t in texts], cache)
-            s, doc = shingles(h, offsets, WORDS)
+            s, doc = shingles(*hashed_words([words_of(t) for t in texts], cache), WORDS)
             items, starts, sims = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
-            if len(it.ids) and len(s):
-                hit = it.hits(s)
-                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-                for d in np.unique(doc[hit]).tolist():
-                    a, b = ends[d], ends[d + 1]
-                    for item, (x, start) in sorted(it.matches(s[a:b], hit[a:b], threshold).items()):
-                        items[d].append(it.ids[item])
-                        starts[d].append(start)
-                        sims[d].append(x)
+            if it.ids and len(s):
+                for (d, item), (x, start) in sorted(it.matches(s, doc, threshold).items()):
+                    items[d].append(it.ids[item])
+                    starts[d].append(start)
+                    sims[d].append(x)
             return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "item_ids": items, "starts": starts, "similarities": sims}
 
         return f
@@ -158,20 +218,24 @@ def scan(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rows:
     """One row a document: contaminated, item_ids and, in their order, where the best window starts and its similarity."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("doc_id", "text").alias("row"))
     sc = docs.sparkSession.sparkContext
-    found = [map_texts(docs, _scan(sc.broadcast(Index(block).__dict__), threshold), FOUND) for block in item_blocks(items, rows, CHARS_AT_ONCE)]
     lists = {"item_ids": "array<bigint>", "starts": "array<bigint>", "similarities": "array<double>"}
-    if not found:
+    blocks = item_blocks(items, rows, CHARS_AT_ONCE)
+    first, second = next(blocks, None), next(blocks, None)
+    scanned = lambda index: map_texts(docs, _scan(index, threshold), FOUND)
+    if first is None:
         out = docs.select("doc_id", *[F.array().cast(t).alias(c) for c, t in lists.items()])
-    elif len(found) == 1:
-        out = found[0]
+    elif second is None:
+        out = scanned(sc.broadcast(Index(first).__dict__))
     else:
-        # the first block's rows are one for each document; of the others only those with matches, few and short, are shuffled
-        more = None
-        for x in found[1:]:
-            x = x.filter("size(item_ids) > 0").dropDuplicates(["doc_id", "row"])
-            more = x if more is None else more.unionByName(x)
-        more = more.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists])
-        out = found[0].join(more, "row", "left").select("doc_id", *[F.concat(c, F.coalesce(f"more_{c}", F.array().cast(t))).alias(c) for c, t in lists.items()])
+        # of each block only rows with matches, few and short, are kept
+        path = f"{shared_dir(docs.sparkSession)}/galvan-matches-{uuid.uuid4().hex}"
+        for block in chain((first, second), blocks):
+            index = sc.broadcast(Index(block).__dict__)
+            scanned(index).filter("size(item_ids) > 0").dropDuplicates(["row"]).write.mode("append").parquet(path)
+            index.destroy()
+        found = docs.sparkSession.read.schema(FOUND).parquet(path)
+        found = found.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+        out = docs.join(found, "row", "left").select("doc_id", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in lists.items()])
     out = out.select("doc_id", *lists)
     return out.withColumn("contaminated", F.size("item_ids") > 0).withColumn("similarity", F.coalesce(F.array_max("similarities"), F.lit(0.0)))
 

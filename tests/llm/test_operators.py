@@ -165,11 +165,48 @@ def test_windows_against_brute_force():
         for k in range(edits):
             w[k] = f"z{k}"
         text = prose(31, 30).split() + w + prose(32, 30).split()
-        h, offsets = decontaminate.hashed_words([text], decontaminate.WordHashes())
-        s, _ = decontaminate.shingles(h, offsets, 5)
+        s, doc = decontaminate.shingles(*decontaminate.hashed_words([text], decontaminate.WordHashes()), 5)
         best = max(decontaminate.similarity(s[i : i + 36], index.shingles[0]) for i in range(len(s) - 35))
-        got = index.matches(s, index.hits(s), 0.8)
-        assert (0 in got) == (best >= 0.8) and (0 not in got or got[0][0] == best)
+        got = index.matches(s, doc, 0.8)
+        assert ((0, 0) in got) == (best >= 0.8) and ((0, 0) not in got or got[0, 0][0] == best)
+
+
+def test_multi_index_finds_all_within_the_radius():
+    r = np.random.default_rng(8)
+    prints = r.integers(0, 2**64, 70, dtype=np.uint64)
+    lookups = [decontaminate.Lookup(np.arange(i, min(i + n, 70)), prints[i : i + n], decontaminate._flips()) for n in (5, 12, 64) for i in range(0, 70, n)]
+    asked = []
+    for p in prints.tolist():
+        for d in (0, 5, 14, 15, 16, 20):
+            for b in r.choice(64, d, replace=False).tolist():
+                p ^= 1 << b
+            asked.append(p)
+    asked = np.array(asked, np.uint64)
+    expected = {(i, j) for i, x in enumerate(asked.tolist()) for j, y in enumerate(prints.tolist()) if (x ^ y).bit_count() <= decontaminate.RADIUS}
+    found = collections.Counter((i, j) for lookup in lookups for rows, j in lookup.within(asked) for i in rows.tolist())
+    assert set(found) == expected and set(found.values()) == {3}
+
+
+def test_recall_of_fingerprints_against_brute_force():
+    """Near copies of passages in prose, of items below and above the finest window lengths, and whole texts shorter than the item."""
+    r = np.random.default_rng(21)
+    near = caught = 0
+    for i in range(250):
+        item = prose(500 + i, int(r.integers(9, 150)), 3000).split()
+        w = list(item)
+        for _ in range(int(r.integers(0, 3))):  # cuts and changes at the ends, and within longer items
+            k = int(r.integers(len(w)))
+            w = w[1:] if k < 3 else w[:-1] if k > len(w) - 3 else [*w[:k], "changed", *w[k + 1 :]]
+        around = [prose(9000 + i, 25, 3000).split(), prose(9500 + i, 25, 3000).split()] if i % 5 else [[], []]
+        index = decontaminate.Index([(0, " ".join(item)), (1, prose(7000 + i, 60))])
+        s, doc = decontaminate.shingles(*decontaminate.hashed_words([["other"] * 7, around[0] + w + around[1]], decontaminate.WordHashes()), 5)
+        own, m = s[doc == 1], int(index.sizes[0])
+        best = max(decontaminate.similarity(own[k : k + m], index.shingles[0]) for k in range(max(1, len(own) - m + 1)))
+        got = index.matches(s, doc, 0.8)
+        near += best >= 0.8
+        caught += (1, 0) in got
+        assert best >= 0.8 or (1, 0) not in got
+    assert near > 120 and caught >= 0.97 * near, (near, caught)
 
 
 def base_spans(t):
