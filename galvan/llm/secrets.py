@@ -9,8 +9,9 @@ secret do. Distances count from the end of the span before to the start of the o
 and bin, where a weak span meets all bins within reach of its start and end, with the first start and last end of each role in
 a bin, so thousands of parts in one text never make pairs; as a bin is no longer than the reach, that is exact.
 
-Defined results: a null or empty text has no spans and the hash of the empty string; repeated doc_ids are told apart by
-a row number made from the row's content hash and are scanned each; ties in start are ordered by kind as listed; other columns are ignored.
+Defined results: a null or empty text has no spans and the hash of the empty string; a null doc_id is a row like others; repeated doc_ids
+are told apart by the hash of their texts and are scanned each, repeated rows give a row each; ties in start are ordered by kind as
+listed; a text of many thousand spans takes time in proportion; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,30 +40,66 @@ REACH = 300
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
+#: Pieces whose lengths are summed together, and code points of a text that are masked together.
+STEP, PART = 64, 4096
+
+
+def bound(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def placed(cut: Column, rank: int) -> Column:
+    """The matches in a text that is cut before each of them, each ended by \x02. The lengths before a match are summed by blocks, so
+    that thousands of matches take time in proportion: a fold that appends copies what it has at each step."""
+    from_to = lambda lengths, at, n: F.aggregate(F.slice(lengths, at + 1, n), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    numbers = lambda n: F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+    def match(p, i, lengths, before):
+        # i pieces and what stands before the first one come before this piece; each of the pieces has a \x02
+        at = i + 1
+        start = F.element_at(before, F.floor(at / STEP).cast("int") + 1) + from_to(lengths, at - at % STEP, at % STEP) - i
+        m = F.substring_index(p, "\x02", 1)
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), m.alias("m"))
+
+    blocks = lambda lengths: F.transform(numbers(F.ceil(F.size(lengths) / STEP).cast("int")), lambda k: from_to(lengths, k * STEP, F.lit(STEP)))
+    before = lambda sums: F.transform(numbers(F.size(sums)), lambda k: from_to(sums, F.lit(0), k))
+    found = lambda lengths, sums: F.transform(F.slice(cut, 2, F.size(cut)), lambda p, i: match(p, i, lengths, sums))
+    lengths = F.transform(cut, lambda x: F.length(x).cast("bigint"))
+    return bound(lengths, lambda n: bound(blocks(n), lambda s: bound(before(s), lambda x: found(n, x))))
+
+
 def spans(text: Column, kind: str, pattern: str, keep: Column | None = None, gate: str | None = None) -> Column:
     """(start, rank of the kind, end) of all matches. The text is cut at its matches, whose lengths give the places.
     keep: a condition on the match m, by its text."""
     marked = F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), pattern, "\x01$0\x02")
-    cut = F.split(marked, "\x01")
-    pieces = F.slice(cut, 2, F.size(cut))
-    first = F.length(F.element_at(cut, 1)).cast("bigint")
-    start = F.struct(first.alias("at"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,m:string>>").alias("found"))
-
-    def step(a, p):
-        m = F.substring_index(p, "\x02", 1)
-        n = F.length(m).cast("bigint")
-        return F.struct(
-            (a["at"] + F.length(p).cast("bigint") - 1).alias("at"),
-            F.concat(a["found"], F.array(F.struct(a["at"].alias("start"), F.lit(ORDER.index(kind)).alias("rank"), (a["at"] + n).alias("end"), m.alias("m")))).alias("found"),
-        )
-
-    found = F.aggregate(pieces, start, step, lambda a: a["found"])
+    found = bound(F.split(marked, "\x01"), lambda cut: placed(cut, ORDER.index(kind)))
     if keep is not None:
         found = F.filter(found, keep)
     found = F.transform(found, lambda s: F.struct(s["start"], s["rank"], s["end"]))
     return F.when(text.rlike(gate or pattern), found).otherwise(F.array().cast(SPAN))
 
 
+def masked(text: Column, found: Column) -> Column:
+    """The text with each span replaced by its kind in brackets, at its start; overlapping spans are one. Parts of PART code points are
+    masked apart, so that no long text is copied for each span."""
+    names = F.array(*[F.lit(k) for k in ORDER])
+
+    def part(p, k):
+        begin = k.cast("bigint") * PART
+        own = F.filter(found, lambda s: (s["start"] < begin + PART) & (s["end"] > begin))
+
+        def step(a, s):
+            fresh = s["start"] >= a["at"]
+            shown = F.concat(F.substr(p, (a["at"] - begin + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.element_at(names, s["rank"] + 1), F.lit("]"))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.when(fresh, shown).otherwise("")).alias("out"))
+
+        start = F.struct(begin.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(own, start, step, lambda a: F.concat(a["out"], F.when(a["at"] < begin + PART, F.substr(p, (a["at"] - begin + 1).cast("int"))).otherwise("")))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), part), "")
+
+
 def shown(s: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     names = F.array(*[F.lit(k) for k in ORDER])
@@ -89,7 +126,7 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     roles = F.array(*[F.lit(ROLES[k]) for k in ORDER])
     parts = (
         found.filter(F.size("weak") > 0)
-        .select("doc_id", "row", F.explode(F.array_distinct(F.concat("assign", "access", "hex", "weak"))).alias("s"))
+        .select("doc_id", "row", F.explode(F.concat("assign", "access", "hex", "weak")).alias("s"))
         .select("doc_id", "row", "s.*")
         .select("*", F.element_at(roles, F.col("rank") + 1).alias("role"))
     )
@@ -134,16 +171,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret span is replaced by its kind in brackets, and n_chars follows. Overlapping spans are masked as one."""
     keyed = docs.withColumn("__key", content_key(docs, "text"))
     found = scan(keyed.select(F.col("__key").alias("doc_id"), "text")).filter(F.size("found") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.min("found").alias("__found"))
-    names = F.array(*[F.lit(k) for k in ORDER])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        kept = F.when(fresh, F.concat(F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.element_at(names, s["rank"] + 1), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept).alias("out"))
-
-    masked = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
-    out = keyed.join(found, "__key", "left").withColumn("__masked", masked)
+    out = keyed.join(found, "__key", "left").withColumn("__masked", masked(F.col("text"), F.col("__found")))
     hit = F.col("__found").isNotNull()
     kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
