@@ -426,3 +426,30 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     full = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in items], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     named = full.withColumn("doc_id", secrets.F.monotonically_increasing_id())
     assert sorted(str(r.text) for r in quality_rules.stage(spark, full, "").collect()) == sorted(str(r.text) for r in quality_rules.stage(spark, named, "").collect())
+
+
+def test_many_secrets_in_a_long_text(spark):
+    """Thousands of spans, over the edges of the parts that are masked together, some of them overlapping."""
+    r = np.random.default_rng(12)
+    words = [str(r.choice(["ab12" * 8, "é🎉", "token=abcdefgh" + "0f" * 20, "plain"])) for _ in range(6000)]
+    text = " ".join(words) + " secret=" + "y" * 9000 + " end"
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in base_spans(text))
+    assert got.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+    out, at = "", 0
+    for a, k, z in sorted((x.start, x.rank, x.end) for x in got.found):
+        if a >= at:
+            out += text[at:a] + f"[{secrets.ORDER[k]}]"
+        at = max(at, z)
+    masked = secrets.stage(spark, spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "").first()
+    assert masked.text == out + text[at:]
+
+
+def test_licenses_across_lines(spark):
+    """Wrapped notices are found, words that lie apart are not, and only A-Z are lower-cased."""
+    notice = dict(licenses.TEMPLATES)["mit-notice"].split()
+    wrapped = "\n".join(" * " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
+    apart = "released " + prose(80, 300) + " under the license " + prose(81, 300) + " mit"
+    items = [(1, prose(82, 37) + "\n" + wrapped + "\n" + prose(83, 50)), (2, apart), (3, "RELEASED under THE\nMIT licenſe"), (None, "Released\nunder the\nMIT License"), (5, " ".join(notice[: len(notice) // 2]))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(items, "doc_id bigint, text string")).collect()}
+    assert got == {1: ("mit-notice", 1.0), 2: ("", 0.0), 3: ("", 0.0), None: ("mit", 1.0), 5: ("", 0.0)}
