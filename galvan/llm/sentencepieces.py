@@ -2,15 +2,18 @@
 
 A text's spaces become U+2581 and it is cut where a space follows another character, as no piece spans such a place. Different
 words of equal length advance together: at each end, hashes of all substrings (prefix hashes, so one multiplication each)
-probe the sorted keys of the pieces, and a vectorised maximum stores score and backpointer. Of equal scores the longest last
-piece wins. Characters that no piece covers cost `UNKNOWN` below the lowest score and become byte pieces; U+2581 itself does
-too, so decoding gives back every text exactly. Nothing is normalised and no prefix is added.
+probe the sorted keys of the pieces, and a vectorised maximum stores score and backpointer. Words of over LONG characters (scripts
+without spaces, encoded data) probe all of their substrings of a length at once. They are cut where no piece that was found spans a place,
+which changes no best path; the parts advance together with other words. What is still long advances by itself, a vectorised maximum over
+the lengths of pieces at each end. Of equal scores the longest last piece wins. Characters that no piece covers cost `UNKNOWN` below
+the lowest score and become byte pieces; U+2581 itself does too, so decoding gives back every text exactly. Nothing is normalised and
+no prefix is added.
 
 Scores: a unigram model's own log-probabilities. A BPE model only ranks its pieces; their log-probabilities then follow
 Zipf's law, -log(rank + 1).
 
-Defined results: a null text is empty and has no ids; words of over `LONG` characters take the same search word by word;
-repeated doc_ids give a row each; other columns are ignored.
+Defined results: a null text is empty and has no ids; a null doc_id is a row like others; repeated doc_ids and repeated rows give a row
+each; texts of any length are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import map_texts, mixed, of_worker, table
 
 UNKNOWN = 10.0
 LONG = 128
+#: Ends of pieces in one long word that are prepared at a time.
+ENDS = 1 << 16
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 _U = np.uint64
@@ -101,21 +106,64 @@ class Codec:
     def spelled(self, c: str) -> list[int]:
         return [self.of_byte[b] for b in ("▁" if c == _STAND_IN else c).encode()]
 
-    def one(self, word: str) -> list[int]:
-        """The same search for one word."""
-        best, back = [0.0] + [-math.inf] * len(word), [(0, -1)] * (len(word) + 1)
-        for j in range(1, len(word) + 1):
-            for n in range(min(self.longest, j), 0, -1):
-                i = self.ids.get(word[j - n : j], -1)
-                x = best[j - n] + (self.scores[i] if i >= 0 else self.unknown if n == 1 else -math.inf)
-                if x > best[j]:
-                    best[j], back[j] = x, (n, i)
-        out: list[list[int]] = []
-        j = len(word)
+    def probed(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of hashes that pieces have, the pieces' rows)."""
+        at = np.flatnonzero(self.filter[(h & _U((1 << 20) - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        hit = self.keys[k] == h[at]
+        return at[hit], k[hit]
+
+    def found_in(self, word: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, pieces' rows) of all pieces in a word, longest first."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)
+        h, out = np.zeros(len(word), _U), []
+        for m in range(1, min(self.longest, len(word)) + 1):
+            h = h[: len(word) - m + 1] * _P + chars[m - 1 :]
+            at, k = self.probed(mixed(h ^ _U(m << 56)))
+            if len(at):
+                out.append((m, at, k))
+        return out[::-1]
+
+    def parts(self, word: str) -> list[tuple[str, list]]:
+        """A long word cut where no piece spans a place: (part, its pieces as in `found_in`)."""
+        pieces, spans = self.found_in(word), np.zeros(len(word) + 1, np.int64)
+        for m, at, _ in pieces:
+            if m > 1:
+                spans[at + 1] += 1
+                spans[at + m] -= 1
+        cuts = [0, *np.flatnonzero(np.cumsum(spans)[1:-1] == 0).tolist(), len(word)]
+        cuts[1:-1] = [c + 1 for c in cuts[1:-1]]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = []
+            if b - a > LONG:
+                for m, at, k in pieces:
+                    i, j = np.searchsorted(at, [a, b])
+                    own.append((m, at[i:j] - a, k[i:j]))
+            out.append((word[a:b], own))
+        return out
+
+    def alone(self, word: str, pieces: list) -> list[int]:
+        """The search in one long word: at each end a maximum over the lengths of the pieces that end there."""
+        n = len(word)
+        lengths = np.array([m for m, _, _ in pieces] + [1])
+        best, length, piece = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        best[0] = 0
+        for lo in range(1, n + 1, ENDS):
+            hi = min(lo + ENDS, n + 1)
+            score, ids = np.full((hi - lo, len(lengths)), -np.inf), np.full((hi - lo, len(lengths)), -1, np.int32)
+            score[:, -1] = self.unknown
+            for r, (m, at, k) in enumerate(pieces):
+                i, j = np.searchsorted(at, [lo - m, hi - m])
+                score[at[i:j] + m - lo, r], ids[at[i:j] + m - lo, r] = self.key_scores[k[i:j]], self.key_ids[k[i:j]]
+            for j in range(lo, hi):
+                x = best[np.maximum(j - lengths, 0)] + score[j - lo]
+                c = int(x.argmax())
+                best[j], length[j], piece[j] = x[c], lengths[c], ids[j - lo, c]
+        out, j = [], n
         while j:
-            n, i = back[j]
-            out.append([i] if i >= 0 else self.spelled(word[j - 1]))
-            j -= n
+            out.append([int(piece[j])] if piece[j] >= 0 else self.spelled(word[j - 1]))
+            j -= int(length[j])
         return [i for x in reversed(out) for i in x]
 
     def together(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -132,11 +180,8 @@ class Codec:
         for j in range(1, length + 1):
             for m in range(min(self.longest, j), 0, -1):
                 h = mixed((prefix[j] - prefix[j - m] * powers[m]) ^ _U(m << 56))
-                at = np.flatnonzero(self.filter[(h & _U((1 << 20) - 1)).astype(np.int64)])
+                at, k = self.probed(h)
                 if len(at):
-                    k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-                    hit = self.keys[k] == h[at]
-                    at, k = at[hit], k[hit]
                     x = best[j - m, at] + self.key_scores[k]
                     better = x > best[j, at]
                     at, k = at[better], k[better]
@@ -161,30 +206,41 @@ class Codec:
         """Ids of all texts, one after another, and the texts' offsets."""
         lists = [_CUT.findall(t.replace("▁", _STAND_IN)) if "▁" in t else _CUT.findall(t) for t in texts]
         by_length: dict[int, list[str]] = {}
-        for w in set(chain.from_iterable(lists)).difference(self.rows):
+        single: dict[str, list] = {}
+        new = set(chain.from_iterable(lists)).difference(self.rows)
+        cut = {w: self.parts(w) for w in new if len(w) > LONG}
+        for w, own in chain.from_iterable(cut.values()):
+            if len(w) > LONG:
+                single[w] = own
+        short = {w for w in new if len(w) <= LONG} | {w for w, _ in chain.from_iterable(cut.values()) if len(w) <= LONG and w not in self.rows}
+        for w in short:
             by_length.setdefault(len(w), []).append(w)
-        kept, full = len(self.rows), len(self.rows) >= REMEMBERED
-        for length, words in by_length.items():
+        kept, full = len(self.ends) - 1, len(self.rows) >= REMEMBERED
+        for words in by_length.values():
             for k in range(0, len(words), 20_000):
-                part = words[k : k + 20_000]
-                if length > LONG:
-                    found = [self.one(w) for w in part]
-                    ids, counts = np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
-                else:
-                    part, ids, counts = self.together(part)
-                self.rows |= zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True)
-                self.ends.frombytes((len(self.flat) + np.cumsum(counts)).astype(np.int64).tobytes())
-                self.flat.frombytes(ids.tobytes())
+                self._keep(*self.together(words[k : k + 20_000]))
+        n_short = len(self.ends) - 1
+        if single:
+            found = [self.alone(w, own) for w, own in single.items()]
+            self._keep(list(single), np.concatenate(found).astype(np.int32), np.array([len(x) for x in found], np.int64))
+        # a long word's ids are those of its parts
+        lists = [[p for w in x for p in ([q for q, _ in cut[w]] if len(w) > LONG and w in cut else (w,))] for x in lists] if cut else lists
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
         ids, each = gather(np.array(self.flat, np.int32), np.array(self.ends, np.int64), at)
-        if full:  # what is new is kept for these texts only
-            for w in chain.from_iterable(by_length.values()):
-                del self.rows[w]
-            del self.flat[self.ends[kept] :], self.ends[kept + 1 :]
+        # once full, what is new is kept for these texts only; long parts always are, as they hardly come again
+        for w in chain(chain.from_iterable(by_length.values()), single) if full else single:
+            del self.rows[w]
+        last = kept if full else n_short
+        del self.flat[self.ends[last] :], self.ends[last + 1 :]
         of_word = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
         return ids, of_word[np.concatenate([[0], np.cumsum(n)])]
 
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.rows |= zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True)
+        self.ends.frombytes((len(self.flat) + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids."""
         return gather(self.bytes, self.byte_offsets, ids.astype(np.int64))[0].tobytes()

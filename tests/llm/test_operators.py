@@ -313,13 +313,75 @@ def _codec(kept=[]):  # noqa: B006
     return kept[0]
 
 
+def best_pieces(codec, word):
+    """The same search for one word, a character at a time."""
+    best, back = [0.0] + [-np.inf] * len(word), [(0, -1)] * (len(word) + 1)
+    for j in range(1, len(word) + 1):
+        for n in range(min(codec.longest, j), 0, -1):
+            i = codec.ids.get(word[j - n : j], -1)
+            x = best[j - n] + (codec.scores[i] if i >= 0 else codec.unknown if n == 1 else -np.inf)
+            if x > best[j]:
+                best[j], back[j] = x, (n, i)
+    out, j = [], len(word)
+    while j:
+        n, i = back[j]
+        out.append([i] if i >= 0 else codec.spelled(word[j - 1]))
+        j -= n
+    return [i for x in reversed(out) for i in x]
+
+
+def brute_ids(codec, text):
+    return [i for w in sentencepieces._CUT.findall(text.replace("▁", sentencepieces._STAND_IN)) for i in best_pieces(codec, w)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=50))
 def test_pieces_round_trip_and_search(text):
     codec = _codec()
     ids, _ = codec.encode([text])
     assert codec.decode(ids) == text.encode()
-    assert ids.tolist() == [i for w in sentencepieces._CUT.findall(text.replace("▁", sentencepieces._STAND_IN)) for i in codec.one(w)]
+    assert ids.tolist() == brute_ids(codec, text)
+
+
+def test_pieces_of_long_words(monkeypatch):
+    """Words without spaces: cut into parts that advance with others, or alone where pieces overlap all along."""
+    codec, r = _codec(), np.random.default_rng(4)
+    words = ["".join(chr(x) for x in r.integers(0x4E00, 0x5200, 3000)), "x" * 3000, "".join(chr(x) for x in r.integers(97, 123, 5000)), "ab" * 400 + "漢字🎉" * 50 + "" * 200, "y" * 129]
+    texts = [f"short words {w} and {words[i - 1][:300]}" for i, w in enumerate(words)] + ["", "plain"]
+    for long, ends, remembered in ((128, 1 << 16, 300_000), (128, 100, 0), (3, 7, 20), (40, 50, 0)):
+        for k, v in (("LONG", long), ("ENDS", ends), ("REMEMBERED", remembered)):
+            monkeypatch.setattr(sentencepieces, k, v)
+        fresh = sentencepieces.Codec(sentencepieces.load(sentencepieces.default_model()))
+        for _ in range(2):
+            ids, offsets = fresh.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [brute_ids(codec, t) for t in texts]
+        assert len(fresh.ends) - 1 == len(fresh.rows) and len(fresh.flat) == fresh.ends[-1]
+
+
+def test_pieces_of_a_unigram_model(tmp_path):
+    """True scores: the same ids as the public library gives for a unigram model, made by hand of pieces and scores."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    m, r = pb.ModelProto(), np.random.default_rng(6)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, 0
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", False, False
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))):
+        m.pieces.add(piece=piece, score=0.0, type=kind)
+    letters = "abcde▁"
+    made = sorted({"".join(r.choice(list(letters[: -1 if j else None]), int(r.integers(1, 6)))) for j in range(400)} | set(letters) | {"▁" + "".join(r.choice(list(letters[:-1]), 2)) for _ in range(30)})
+    made = [p for p in made if "▁" not in p[1:]]
+    for p in made:
+        m.pieces.add(piece=p, score=float(-2.0 * len(p) ** 0.5 - r.random() * 6), type=1)
+    m.trainer_spec.vocab_size = len(m.pieces)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    codec = sentencepieces.Codec(sentencepieces.load(str(path)))
+    texts = ["".join(r.choice(list("abcde  "), int(r.integers(1, 400)))) for _ in range(60)] + ["abcé de", "zab cd"]
+    ids, offsets = codec.encode(texts)
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == sp.encode(t), t
 
 
 def test_pieces(docs, texts, none):
