@@ -100,10 +100,10 @@ class Lookup:
         any_near = self.near[0].take(blocks[:, 0], mode="clip")
         for b in range(1, BLOCKS):
             any_near |= self.near[b].take(blocks[:, b], mode="clip")
-        rows = np.flatnonzero(any_near)
+        rows = np.flatnonzero(any_near != 0)
         found, prints = any_near[rows], prints[rows]
         for i, item in enumerate(self.items.tolist()):
-            at = np.flatnonzero(found & found.dtype.type(1 << i))
+            at = np.flatnonzero((found & found.dtype.type(1 << i)) != 0)
             at = at[np.bitwise_count(prints[at] ^ self.prints[i]) <= RADIUS]
             if len(at):
                 yield rows[at], item
@@ -118,6 +118,7 @@ class Index:
         h, offsets = hashed_words([w for _, w in kept], WordHashes())
         s, of = shingles(h, offsets, WORDS)
         self.shingles = [s[of == i] for i in range(len(kept))]
+        self.sorted = [np.unique(x) for x in self.shingles]
         self.sizes = np.array([len(w) - WORDS + 1 for _, w in kept], np.int64)
         prints, flips = np.array([simhash(x) for x in self.shingles], _U), _flips()
         lengths = np.array([window_length(int(m)) for m in self.sizes], np.int64)
@@ -162,17 +163,23 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         seen = set()
         for starts, item in self.candidates(s, doc, threshold):
-            for start in starts.tolist():
-                m, d = int(self.sizes[item]), int(doc[start])
-                begin, end = int(np.searchsorted(doc, d, "left")), int(np.searchsorted(doc, d, "right"))
-                at = min(start, max(begin, end - m))  # the item is longer than the looked-up window at most
-                if (at, item) in seen:
+            own, m, d = self.sorted[item], int(self.sizes[item]), doc[starts]
+            begin, end = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
+            at = np.minimum(starts, np.maximum(begin, end - m))  # the item is longer than the looked-up window at most
+            n = np.minimum(m, end - at)
+            # how many shingles the item has bounds the similarity
+            place = np.arange(m)
+            window = s[np.minimum(at[:, None] + place, len(s) - 1)]
+            has = (own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window) & (place < n[:, None])
+            for k in np.flatnonzero(has.sum(1) * (1 + threshold) >= threshold * (m + n) - 1e-9).tolist():
+                if (int(at[k]), item) in seen:
                     continue
-                seen.add((at, item))
-                x = similarity(s[at : min(at + m, end)], self.shingles[item])
-                had = best.get((d, item), (0.0, 0))
-                if x >= threshold and (x > had[0] or (x == had[0] and at - begin < had[1])):
-                    best[d, item] = x, at - begin
+                seen.add((int(at[k]), item))
+                x = similarity(window[k, : n[k]], self.shingles[item])
+                key, first = (int(d[k]), item), int(at[k] - begin[k])
+                had = best.get(key, (0.0, 0))
+                if x >= threshold and (x > had[0] or (x == had[0] and first < had[1])):
+                    best[key] = x, first
         return best
 
 
