@@ -1,15 +1,21 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words (runs of letters, digits and underscores in lower case) and their first four to seven letters, hashed into
-2^18 buckets. The model is w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the buckets that a text has (x = 1), so a pair of
-terms can mean more than either alone. It is trained by AdaGrad on the logistic loss, on at most SAMPLE labelled rows (those of the
-smallest hashes of doc_id), over the TERMS buckets that tell the classes apart best in that sample. Then every whole text is scored.
+2^18 buckets. The model is w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the buckets that a text has, so a pair of terms can mean
+more than either alone, also where neither means anything by itself. x is 1, or sqrt(SCALED / n) for a text of n > SCALED buckets, as sums
+over thousands of terms would drown everything else.
+
+It is trained on at most SAMPLE labelled rows (those of the smallest hashes of doc_id), over all buckets that occur in one of FREQUENT
+of these texts, whatever the label: what a handful of texts have can't be learnt from them. AdaGrad on the logistic loss, with weights and
+factors shrunk towards zero after each step (L1 and group L1); the shrinkage of the weights begins strong, so that what tells most comes
+first. Of the epochs the one of the least loss on every eighth row, which is not trained on, is taken. Then every whole text is scored.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read. Labels, language, source and doc_id are no
 inputs of a score.
 
-Defined results: a null or empty text has no terms and gets the score of the intercept; repeated doc_ids give a row each, repeated
-labels count once, as toxic if any is; without labels every score is 0.05; a null doc_id is not held out; other columns are ignored.
+Defined results: a null or empty text has no terms and gets the score of the intercept; repeated doc_ids and repeated rows give a row each,
+repeated labels count once, as toxic if any is; without labels every score is 0.05; a null doc_id is not held out; an empty table gives no
+rows; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from .common import map_texts, table, written
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
-TERMS = 4096
-RANK, EPOCHS, RATE, BATCH = 8, 12, 0.1, 128
+FREQUENT, SCALED = 150, 300
+RANK, EPOCHS, RATE, BATCH = 8, 24, 0.1, 128
+#: Shrinkage of weights at first and at last, and of factors.
+SHRINK_FIRST, SHRINK_LAST, SHRINK_FACTORS = 0.015, 0.003, 0.003
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -57,45 +65,60 @@ def active(text: str, terms: Terms) -> np.ndarray:
 
 
 class Machine:
-    """A factorization machine for presence features."""
+    """A factorization machine for terms that a text has or not."""
 
     def __init__(self, n: int, prior: float, seed: int = 7) -> None:
         self.w0 = float(np.log(prior / (1 - prior)))
         self.w = np.zeros(n)
-        self.v = np.random.default_rng(seed).normal(0, 0.05, (n, RANK))
-
-    def logits(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits, and the sums of factors, of texts whose terms are ids[offsets[i]:offsets[i+1]]."""
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        n = len(offsets) - 1
-        linear = np.bincount(doc, self.w[ids], n)
-        v = self.v[ids]
-        sums = np.stack([np.bincount(doc, v[:, f], n) for f in range(RANK)], 1)
-        squares = np.bincount(doc, (v * v).sum(1), n)
-        return self.w0 + linear + 0.5 * ((sums * sums).sum(1) - squares), sums
+        self.v = np.random.default_rng(seed).normal(0, 0.01, (n, RANK))
+
+    def _parts(self, ids: np.ndarray, offsets: np.ndarray):
+        n = np.diff(offsets)
+        doc = np.repeat(np.arange(len(n)), n)
+        x = np.minimum(1, np.sqrt(SCALED / np.maximum(n, 1)))[doc]
+        vx = self.v[ids] * x[:, None]
+        sums = np.stack([np.bincount(doc, vx[:, f], len(n)) for f in range(RANK)], 1)
+        return doc, x, vx, sums, self.w0 + np.bincount(doc, self.w[ids] * x, len(n)) + 0.5 * ((sums * sums).sum(1) - np.bincount(doc, (vx * vx).sum(1), len(n)))
+
+    def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Logits of texts whose terms are ids[offsets[i]:offsets[i+1]]."""
+        return np.clip(self._parts(ids, offsets)[-1], -30, 30)
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
         rng = np.random.default_rng(seed)
-        g0, gw, gv = 1e-8, np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
+        joined = lambda part: (np.concatenate([*(rows[k] for k in part), np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(rows[k]) for k in part])]).astype(np.int64))
+        g0, gw, gv = 1e-5, np.full(len(self.w), 1e-5), np.full(self.v.shape, 1e-5)
+        checked, trained = np.arange(0, len(rows), 8), np.flatnonzero(np.arange(len(rows)) % 8)
+        best = None
+        for epoch in range(EPOCHS):
+            shrink = max(SHRINK_LAST, SHRINK_FIRST * (1 - epoch / (0.7 * EPOCHS)))
+            order = rng.permutation(trained)
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
-                ids = np.concatenate([rows[k] for k in part])
-                offsets = np.concatenate([[0], np.cumsum([len(rows[k]) for k in part])])
-                z, sums = self.logits(ids, offsets)
+                ids, offsets = joined(part)
+                doc, x, vx, sums, z = self._parts(ids, offsets)
                 e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-                doc = np.repeat(np.arange(len(part)), np.diff(offsets))
                 used, at = np.unique(ids, return_inverse=True)
-                dw = np.bincount(at, e[doc], len(used)) + 1e-5 * self.w[used]
-                d = e[doc][:, None] * (sums[doc] - self.v[ids])
-                dv = np.stack([np.bincount(at, d[:, f], len(used)) for f in range(RANK)], 1) + 1e-4 * self.v[used]
+                dw = np.bincount(at, e[doc] * x, len(used))
+                d = (e[doc] * x)[:, None] * (sums[doc] - vx)
+                dv = np.stack([np.bincount(at, d[:, f], len(used)) for f in range(RANK)], 1)
                 g0 += e.sum() ** 2
                 self.w0 -= RATE * e.sum() / np.sqrt(g0)
                 gw[used] += dw * dw
-                self.w[used] -= RATE * dw / np.sqrt(gw[used])
+                step = RATE / np.sqrt(gw[used])
+                w = self.w[used] - step * dw
+                self.w[used] = np.sign(w) * np.maximum(np.abs(w) - shrink * step, 0)
                 gv[used] += dv * dv
-                self.v[used] -= RATE / 2 * dv / np.sqrt(gv[used])
+                step = RATE / 2 / np.sqrt(gv[used])
+                v = self.v[used] - step * dv
+                size = np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+                self.v[used] = v * np.maximum(0, 1 - SHRINK_FACTORS * step.mean(1, keepdims=True) / size)
+            p = np.clip(1 / (1 + np.exp(-self.logits(*joined(checked)))), 1e-9, 1 - 1e-9)
+            loss = -(y[checked] * np.log(p) + (1 - y[checked]) * np.log(1 - p)).mean()
+            if best is None or loss < best[0]:
+                best = loss, self.w0, self.w.copy(), self.v.copy()
+        if best:
+            _, self.w0, self.w, self.v = best
         return self
 
 
@@ -116,14 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
         return map_texts(texts, make, "doc_id bigint, toxic int, terms array<int>")
 
-    counted = buckets(None).select("toxic", F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = buckets(None).select(F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not total.n:
         return {}, Machine(0, 0.05)
-    p = min(max(total.toxic / total.n, 1e-6), 1 - 1e-6)
-    z = F.abs(F.col("toxic") - p * F.col("n")) / F.sqrt(p * (1 - p) * F.col("n"))
-    best = counted.filter("n >= 8").select("b", z.alias("z")).filter("z > 4").orderBy(F.desc("z"), "b").limit(TERMS).collect()
-    chosen = {b: i for i, b in enumerate(sorted(r.b for r in best))}
+    p = total.toxic / total.n
+    frequent = counted.filter(F.col("n") >= max(3, total.n / FREQUENT)).select("b").collect()  # 2^18 numbers at most
+    chosen = {b: i for i, b in enumerate(sorted(r.b for r in frequent))}
     rows = buckets(chosen).select("doc_id", "toxic", "terms").toPandas().sort_values("doc_id", kind="stable")
     machine = Machine(len(chosen), min(max(p, 0.01), 0.99))
     return chosen, machine.fit([np.array(t, np.int64) for t in rows.terms], rows.toxic.to_numpy(float))
@@ -141,8 +163,8 @@ def scores(docs: DataFrame, chosen: dict[int, int], machine: Machine) -> DataFra
 
         def f(texts, batch):
             rows = [active(t, terms) for t in texts]
-            z, _ = m.logits(np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
-            return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
+            z = m.logits(np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64))
+            return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-z))}
 
         return f
 

@@ -446,6 +446,30 @@ def test_toxicity_learns_pairs(spark, none):
     assert {round(r.score, 9) for r in toxicity.classify(t, t.filter("false")).collect()} == {0.05}
 
 
+def test_toxicity_learns_what_means_nothing_alone(spark):
+    """Toxic if one of two terms is there without the other: neither has any marginal effect."""
+    r, out = np.random.default_rng(10), []
+    for i in range(2400):
+        w = [f"c{x}" for x in r.integers(0, 300, 30)]
+        a, b = r.random(2) < 0.5
+        w[3], w[7] = ("zig" if a else "zag"), ("pim" if b else "pam")
+        out.append((i, " ".join(w), int(a != b)))
+    t = spark.createDataFrame(out, "doc_id bigint, text string, toxic int")
+    got = toxicity.classify(t.select("doc_id", "text"), t.select("doc_id", "toxic")).join(t, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 400 and (held.predicted == held.toxic).mean() > 0.97
+
+
+def test_toxicity_forward_pass():
+    """Logits against the sum over all pairs."""
+    r, m = np.random.default_rng(11), toxicity.Machine(50, 0.2)
+    m.w, m.v = r.normal(0, 1, 50), r.normal(0, 1, (50, toxicity.RANK))
+    rows = [np.array([3, 7, 20]), np.zeros(0, np.int64), np.arange(50), np.array([9])]
+    got = m.logits(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]))
+    for z, x in zip(got, rows, strict=True):
+        assert z == pytest.approx(np.clip(m.w0 + m.w[x].sum() + sum(m.v[a] @ m.v[b] for a, b in itertools.combinations(x, 2)), -30, 30))
+
+
 def test_toxicity_reads_no_held_out_label(spark):
     t = labelled(spark)
     lied = t.select("doc_id", toxicity.F.when(toxicity.held_out("doc_id"), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")).alias("toxic"))
