@@ -7,16 +7,18 @@ whose points fall on random registers, a register keeps its earliest point, and
 point is later than the latest register (early termination). Registers agree with the probability Jaccard similarity.
 
 Banding: 32 bands of 4 registers; a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^32 = 5e-8. Pairs are
-verified by weighted Jaccard similarity over all shingles (sum of minima over sum of maxima, 0.8 or more). No bucket is
-expanded into its pairs: each member is compared with the bucket's hub, and verified links join classes. Buckets that still hold
-several classes chain their documents to groups; groups are cut into blocks of bounded size, and a task compares the
-documents of two blocks that are of different classes, exactly and without a row for each pair. So no link between different
+verified by weighted Jaccard similarity over all shingles (sum of minima over sum of maxima, 0.8 or more), each a 32-bit hash: two
+different shingles of a pair of texts count as one with odds of 2^-32. No bucket is expanded into its pairs: each member is compared with
+the bucket's hub, and verified links join classes. In a bucket that still holds several classes (buckets of the same members are one), every
+link between classes has an end outside its largest class: those members are compared with all, exactly and without a row for each
+pair. Both sides are cut into blocks of bounded size, and a task takes two; small buckets share tasks. So no link between different
 texts that meet in a bucket is lost to the classes; within a class not every link is looked for.
 
 Defined results: a text of 1 to 4 words is one shingle; a null, empty or wordless text is a class of its own; repeated
 doc_ids with the same words are one document, and with different words their classes meet; rows with a null doc_id and the same text
 are one document behind (nearly) all ids, and the class_id is null where they are the class's first; other columns are ignored.
-The stage has a key for each row, so it keeps one row of each class, also among repeated and null doc_ids.
+The stage has a key for each row, so it keeps one row of each class, also among repeated and null doc_ids. Pairs of similarity 0.8 exactly are
+links; an empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .common import WordHashes, hashed_words, late_key, map_texts, mixed, of_wor
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-#: Shingles of a block, of which a task compares two.
+#: Shingles of a block, of which a task compares two; also of the small buckets of a task.
 BLOCK = 500_000
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -121,54 +123,65 @@ def _pairs_with_hubs(bands: DataFrame) -> DataFrame:
     return bands.join(hubs, "band").filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _groups(bands: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(doc_id, class_id, grp): groups of three documents or more that buckets of several classes chain together. A bucket's pair
-    of two documents is done, as one of them was the hub."""
+def _mixed(bands: DataFrame, classes: DataFrame) -> DataFrame:
+    """(grp, doc_id, class_id, outside): members of buckets of three texts or more that hold several classes; outside: not of the
+    bucket's largest class. A bucket's pair of two texts is done, as one of them was the hub. Of buckets with the same members one is taken."""
     members = bands.join(classes, "doc_id")
-    low = members.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("band", "first")
-    edges = bands.join(low, "band").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    edges = written(edges, "chains", n)
-    return components(edges, edges.count()).withColumnRenamed("class_id", "grp").join(classes, "doc_id")
+    by_class = members.groupBy("band", "class_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    buckets = by_class.groupBy("band").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("largest"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    one = buckets.filter("classes > 1 AND n > 2").groupBy("n", "x", "y").agg(F.min(F.struct("band", "largest")).alias("b")).select("b.*")
+    return members.join(one, "band").select(F.col("band").alias("grp"), "doc_id", "class_id", (F.col("class_id") != F.col("largest")).alias("outside"))
 
 
 def _compare(threshold: float):
-    """Two blocks of a group -> links between different classes. Intersections of one document with all are counted at once."""
+    """Blocks of buckets -> links between different classes. Intersections of one text with all of the other block are counted at once."""
 
-    def run(key, t):
-        doc, cls, block = (np.array(t.column(c)) for c in ("doc_id", "class_id", "block"))
-        elements = t.column("elements").combine_chunks()
-        size = np.diff(np.array(elements.offsets))
-        flat = np.array(elements.flatten())
+    def block(doc, cls, side, size, flat):
         universe, ids = np.unique(flat, return_inverse=True)
         ends = np.concatenate([[0], np.cumsum(size)])
-        flags = np.zeros(len(universe), bool)
-        lo, hi = key[1].as_py(), key[2].as_py()
-        cls = cls.copy()
-        out = []
-        for i in np.flatnonzero(block == lo).tolist():
+        flags, cls = np.zeros(len(universe), bool), cls.copy()
+        for i in np.flatnonzero(side == 0).tolist():
+            if (cls == cls[i]).all():
+                continue
             own = ids[ends[i] : ends[i + 1]]
             flags[own] = True
-            common = np.add.reduceat(flags[ids], ends[:-1])
+            common = np.add.reduceat(flags[ids], ends[:-1], dtype=np.int64)
             flags[own] = False
-            near = (block == hi) & (cls != cls[i]) & (common >= threshold * (size + size[i] - common))
+            near = (side == 1) & (cls != cls[i]) & (common >= threshold * (size + size[i] - common))
             for j in np.flatnonzero(near).tolist():
                 if cls[j] != cls[i]:
-                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), common[j] / (size[i] + size[j] - common[j])))
+                    yield min(doc[i], doc[j]), max(doc[i], doc[j]), common[j] / (size[i] + size[j] - common[j])
                     cls[cls == cls[j]] = cls[i]  # their other pairs say nothing new
-        a, b, x = zip(*out, strict=True) if out else ((), (), ())
-        return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(x, pa.float64())})
+
+    def run(key, t):
+        t = t.sort_by([("grp", "ascending"), ("s", "ascending"), ("a", "ascending")])
+        doc, cls, side, grp, s, a = (np.array(t.column(c)) for c in ("doc_id", "class_id", "side", "grp", "s", "a"))
+        elements = t.column("elements").combine_chunks()
+        offsets, flat = np.array(elements.offsets), np.array(elements.values)
+        size = np.diff(offsets)
+        cuts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1]), [True]]))
+        out = [x for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for x in block(doc[lo:hi], cls[lo:hi], side[lo:hi], size[lo:hi], flat[offsets[lo] : offsets[hi]])]
+        x, y, similarity = zip(*out, strict=True) if out else ((), (), ())
+        return pa.Table.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
 
     return run
 
 
-def _links_within(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between different classes of a group. A group is cut into blocks of bounded size, and each two blocks are a task."""
-    rows = groups.join(sets, "doc_id").filter("size(elements) > 0")
-    blocks = rows.groupBy("grp").agg(F.ceil(F.sum(F.size("elements").cast("bigint")) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "grp").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) AS int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "class_id", "block", "elements")
-    return rows.groupBy("grp", "lo", "hi").applyInArrow(_compare(threshold), "a bigint, b bigint, similarity double")
+def _links_within(mixed_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes of a bucket: of blocks of members outside the largest class with blocks of all."""
+    rows = mixed_.join(sets, "doc_id").filter("size(elements) > 0")
+    size = F.size("elements").cast("bigint")
+    sums = written(rows.groupBy("grp").agg(F.sum(F.when(F.col("outside"), size).otherwise(0)).alias("s"), F.sum(size).alias("a")), "buckets")
+    total = sums.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+    blocks = sums.select("grp", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(f"n_{c}") for c in "sa"])
+    rows = rows.join(blocks, "grp")
+    of_row = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(f"n_{c}")).cast("int").alias(c)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"n_{c}") - 1)).alias(c)
+    kept = ["grp", "n_s", "n_a", "doc_id", "class_id", "elements"]
+    sides = rows.filter("outside").select(*kept, F.lit(0).alias("side"), of_row("s"), every("a")).unionByName(rows.select(*kept, F.lit(1).alias("side"), every("s"), of_row("a")))
+    tasks = max(1, -(-total // BLOCK))
+    task = F.when((F.col("n_s") == 1) & (F.col("n_a") == 1), F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", "s", "a"))
+    return sides.select(task.alias("task"), "grp", "s", "a", "side", "doc_id", "class_id", "elements").groupBy("task").applyInArrow(_compare(threshold), "a bigint, b bigint, similarity double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -221,8 +234,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = written(map_texts(docs, _sets, "doc_id bigint, elements array<int>").join(candidates, "doc_id", "left_semi"), "sets", 20 * n)
     edges = written(verified(_pairs_with_hubs(bands), sets, threshold), "links", 20 * n)  # few rows, but the shingles of many pass through
     by_class = lambda e: candidates.join(components(e, e.count()), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    groups = written(_groups(bands, by_class(edges), n), "groups", n)
-    edges = edges.unionByName(written(_links_within(groups, sets, threshold), "links", 20 * n))
+    mixed_ = written(_mixed(bands, by_class(edges)), "mixed", n)
+    edges = edges.unionByName(written(_links_within(mixed_, sets, threshold), "links", 20 * n))
     found = by_class(edges)
     n_links = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     texts = reps.join(found, "doc_id", "left").join(n_links, "doc_id", "left").select("k1", "k2", "k3", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
