@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,37 +16,16 @@ from .lexicon import Lexicon
 from .tokens import Tokenizer
 
 WORD = "struct<word:string,start:double,end:double,conf:double>"
-# What number words are worth, and which words may follow which.
-VALUES = {
-    "mann": 0, "zero": 0, "un": 1, "ur": 1, "ul": 1, "unan": 1, "daou": 2, "zaou": 2, "div": 2, "tri": 3, "teir": 3, "pevar": 4, "peder": 4, "pemp": 5, "bemp": 5, "c'hwec'h": 6,
-    "seizh": 7, "eizh": 8, "nav": 9, "dek": 10, "unnek": 11, "daouzek": 12, "trizek": 13, "pevarzek": 14, "pemzek": 15, "c'hwezek": 16, "seitek": 17, "triwec'h": 18, "naontek": 19,
-    "ugent": 20, "tregont": 30, "kant": 100, "c'hant": 100, "mil": 1000, "vil": 1000, "milion": 10**6, "vilion": 10**6, "miliard": 10**9, "viliard": 10**9, "hanter": 0.5,
+# Number words.
+ONES = {
+    "unan": 1, "un": 1, "ur": 1, "ul": 1, "daou": 2, "zaou": 2, "div": 2, "tri": 3, "teir": 3, "pevar": 4, "peder": 4, "pemp": 5, "bemp": 5, "c'hwec'h": 6, "seizh": 7, "eizh": 8, "nav": 9,
 }
-LINKS = ("ha", "hag", "warn")
-_TEENS = "dek unnek daouzek trizek pevarzek pemzek c'hwezek seitek triwec'h naontek"
-_REST = f"unan un ul ur daou tri pevar pemp c'hwec'h seizh eizh nav {_TEENS} ugent tregont hanter"
-#: words: what follows them; END is the end of a number and * a noun.
-_FOLLOW = (
-    ("zero", "END"),
-    ("unan", "END warn ha hag"),
-    ("ur", "c'hant mil milion miliard *"),
-    ("un ul div teir peder", "END warn ha hag *"),
-    ("daou zaou", "END warn ha ugent hag c'hant vil vilion viliard *"),
-    ("tri pevar", "END warn ha hag ugent c'hant mil milion *"),
-    ("pemp bemp c'hwec'h seizh eizh", "END warn ha hag kant mil milion *"),
-    ("nav", "END warn ha hag c'hant mil milion *"),
-    (_TEENS, "END ha kant mil milion *"),
-    ("ugent tregont", "END mil milion *"),
-    ("kant c'hant", f"END {_REST} mil milion *"),
-    ("mil vil", f"END {_REST} kant *"),
-    ("milion vilion miliard viliard", "END *"),
-    ("ha", "tregont daou tri pevar"),
-    ("hag", "hanter"),
-    ("hanter", "kant"),
-    ("warn", "ugent"),
-)
-FOLLOW = {w: set(after.split()) for words, after in _FOLLOW for w in words.split()}
-STARTERS = set(f"zero zaou div teir peder bemp kant mil {_REST}".split())
+TEENS = {"dek": 10, "unnek": 11, "daouzek": 12, "trizek": 13, "pevarzek": 14, "pemzek": 15, "c'hwezek": 16, "seitek": 17, "triwec'h": 18, "naontek": 19}
+TENS = {"ugent": 20, "tregont": 30, "daou-ugent": 40, "hanter-kant": 50, "tri-ugent": 60, "pevar-ugent": 80}
+HUNDRED, THOUSAND = ("kant", "c'hant"), ("mil", "vil")
+LARGE = {"miliard": 10**9, "viliard": 10**9, "milion": 10**6, "vilion": 10**6}
+NOTHING = ("zero", "mann")
+_MARKS = ".…,;:!?»)”\""
 
 
 @dataclass
@@ -56,24 +38,99 @@ class Said:
     conf: float = 1.0
 
 
-def worth(words: list) -> float:
-    """The value of number words; a link word is "+". Half goes with the next word; below a hundred the part after the link comes first;
-    else the largest word multiplies what stands before it and adds what follows."""
-    words = list(words)
-    while 0.5 in words and words.index(0.5) < len(words) - 1:
-        i = words.index(0.5)
-        words[i : i + 2] = [0.5 * words[i + 1]] if words[i + 1] != "+" else [words[i + 1]]
-    numbers = [w for w in words if w != "+"]
-    if not numbers:
+@dataclass(frozen=True)
+class Parse:
+    """A number that ends before word `end`; the noun may stand before its last part (pemp bloaz warn-ugent)."""
+
+    end: int
+    value: int
+    noun: int | None = None
+
+
+class Grammar:
+    """Numbers among the words of a sentence. Each rule gives all its parses from a place on:
+
+    tens      ugent | tregont | daou-ugent | hanter-kant | tri-ugent | pevar-ugent, with a hyphen or a space
+    hundred   below a hundred: one | teen | tens | one [noun] warn-ugent | one [noun] ha(g) tens | teen [noun] ha 60 or 80
+    thousand  [one or teen] kant [hundred] | hundred
+    million   [thousand below 1000] mil [thousand] | thousand
+    number    [million below a million] milion or miliard [smaller number] | hanter of one of these | million"""
+
+    def __init__(self, words: list[str], is_noun: Callable[[str], bool] = lambda w: False, stops: set[int] = frozenset()) -> None:
+        """stops: words after which no number goes on."""
+        self.words, self.is_noun = words, is_noun
+        #: of each place, behind which word a number from there ends at the latest
+        self.upto = [len(words)] * (len(words) + 1)
+        for i in range(len(words) - 1, -1, -1):
+            self.upto[i] = i + 1 if i in stops else self.upto[i + 1]
+        self.known: dict[tuple, list[Parse]] = {}
+
+    def at(self, i: int) -> str:
+        return self.words[i] if i < len(self.words) else ""
+
+    def tens(self, i: int) -> list[Parse]:
+        forms = {i + 1: self.at(i), i + 2: f"{self.at(i)}-{self.at(i + 1)}"}
+        return [Parse(end, TENS[form]) for end, form in forms.items() if form in TENS]
+
+    def added(self, i: int) -> list[Parse]:
+        """What is said after the ones or teens of a number below a hundred."""
+        link, one, two = self.at(i), self.at(i), f"{self.at(i)}-{self.at(i + 1)}"
+        if "warn-ugent" in (one, two):
+            return [Parse(i + 1 + (one == "warn"), 20)]
+        return [p for p in self.tens(i + 1) if p.value > 20 and link == ("hag" if p.value == 50 else "ha")]
+
+    def hundred(self, i: int) -> list[Parse]:
+        low = ONES.get(self.at(i)) or TEENS.get(self.at(i))
+        if low is None:
+            return self.tens(i)
+        out = [Parse(i + 1, low), *self.tens(i)]
+        for noun in (None, i + 1):
+            if noun is None or self.is_noun(self.at(noun)):
+                out += [Parse(p.end, low + p.value, noun) for p in self.added(i + 1 if noun is None else i + 2) if low < 10 or p.value in (60, 80)]
+        return out
+
+    def then(self, i: int, value: int, rule: Callable[[int], list[Parse]], below: int) -> list[Parse]:
+        """`value`, alone or with a smaller number behind it."""
+        return [Parse(i, value)] + [Parse(p.end, value + p.value, p.noun) for p in rule(i) if p.value < below]
+
+    def thousand(self, i: int) -> list[Parse]:
+        times = ONES.get(self.at(i)) or TEENS.get(self.at(i))
+        out = self.hundred(i)
+        if self.at(i) in HUNDRED:
+            out += self.then(i + 1, 100, self.hundred, 100)
+        elif times and self.at(i + 1) in HUNDRED:
+            out += self.then(i + 2, 100 * times, self.hundred, 100)
+        return out
+
+    def million(self, i: int) -> list[Parse]:
+        key = ("million", i)
+        if key not in self.known:
+            before = [Parse(i, 1)] + [p for p in self.thousand(i) if p.value < 1000 and p.noun is None]
+            self.known[key] = self.thousand(i) + [q for p in before if self.at(p.end) in THOUSAND for q in self.then(p.end + 1, 1000 * p.value, self.thousand, 1000)]
+        return self.known[key]
+
+    def number(self, i: int, below: int = 10**12) -> list[Parse]:
+        out = [p for p in self.million(i) if p.value < below]
+        halved = {**dict.fromkeys(THOUSAND, 1000), **LARGE}.get(self.at(i + 1))
+        if self.at(i) == "hanter" and halved and halved // 2 < below:
+            out.append(Parse(i + 2, halved // 2))
+        for p in [Parse(i, 1), *self.million(i)]:
+            size = LARGE.get(self.at(p.end))
+            if size and size < below and p.noun is None and p.value < 10**6:
+                out += self.then(p.end + 1, p.value * size, lambda j, size=size: self.number(j, size), size)
+        return out
+
+    def longest(self, i: int) -> Parse | None:
+        if self.at(i) in NOTHING:
+            return Parse(i + 1, 0)
+        return max((p for p in self.number(i) if p.end <= self.upto[i]), key=lambda p: (p.end, p.value), default=None)
+
+
+def value(words: list[str]) -> int | None:
+    """What number words are worth, if all of them are one number."""
+    if len(words) == 1 and words[0] in NOTHING:
         return 0
-    if "+" in words and max(numbers) < 100:
-        i = len(words) - 1 - words[::-1].index("+")
-        return worth(words[i + 1 :] + words[:i])
-    if len(words) == 1:
-        return words[0]
-    top = max(numbers)
-    i = words.index(top)
-    return (worth(words[:i]) or 1) * top + worth(words[i + 1 :])
+    return max((p.value for p in Grammar(words).number(0) if p.end == len(words)), default=None)
 
 
 class Inverse:
@@ -81,90 +138,37 @@ class Inverse:
         self.noun, self.lex, self.least = Tokenizer(lexicon).noun, lexicon, least
 
     def words(self, items: list[Said]) -> list[Said]:
-        """Numbers of `least` or more become digits. A conjunction at the end of a number is kept."""
-        split: list[Said] = []
-        for x in items:
-            head, dash, tail = x.word.rpartition("-")
-            if dash and (tail == "ugent" or x.word == "hanter-kant"):
-                half = (x.end - x.start) / 2
-                split += [replace(x, word=head, end=x.start + half), replace(x, word=tail, start=x.start + half)]
-            else:
-                split.append(x)
+        """Numbers of `least` or more become digits, the longest from each place on; a noun within one comes behind it, in its last time.
+        Punctuation at the end of a word ends a number and stays."""
+        cores = [x.word.rstrip(_MARKS) or x.word for x in items]
+        tails = [x.word[len(c) :] for x, c in zip(items, cores, strict=True)]
+        grammar = Grammar(cores, lambda w: w == "%" or self.noun(w), {i for i, t in enumerate(tails) if t})
         out: list[Said] = []
-        chain: list[Said] = []
-        noun: Said | None = None
-
-        def flush() -> None:
-            nonlocal chain, noun
-            keep = len(chain)
-            while keep and chain[keep - 1].word in LINKS:
-                keep -= 1
-            number, links = chain[:keep], chain[keep:]
-            value = worth([VALUES.get(x.word, "+") for x in number])
-            if number and value >= self.least:
-                out.append(Said(str(int(value)), number[0].start, number[-1].end))
+        i = 0
+        while i < len(items):
+            p = grammar.longest(i)
+            if p is None or p.value < self.least:
+                end = i + 1 if p is None else p.end
+                out += items[i:end]
             else:
-                out.extend(number)
-            if noun:
-                if out and noun.start < out[-1].end:  # it stood within the number
-                    length = noun.end - noun.start
-                    out[-1] = replace(out[-1], end=out[-1].end - length)
-                    noun = replace(noun, start=out[-1].end, end=out[-1].end + length)
-                out.append(noun)
-            out.extend(links)
-            chain, noun = [], None
-
-        def cut_at_link() -> None:
-            """Ends the number before its last "ha" or "hag"; what follows begins another."""
-            nonlocal chain
-            at = next((i for i in range(len(chain) - 1, -1, -1) if chain[i].word in ("ha", "hag")), None)
-            rest: list[Said] = []
-            if at is not None:
-                chain, rest = chain[: at + 1], chain[at + 1 :]
-            flush()
-            chain = rest
-
-        for i, x in enumerate(split):
-            after = split[i + 1].word if i + 1 < len(split) else ""
-            follow = FOLLOW[chain[-1].word] if chain else set()
-            if not chain:
-                (chain if x.word in STARTERS else out).append(x)
-            elif x.word in follow:
-                chain.append(x)
-            elif x.word in STARTERS:
-                if "END" in follow:
-                    flush()
-                else:
-                    cut_at_link()
-                chain.append(x)
-            elif ("*" in follow and self.noun(x.word)) or x.word == "%":
+                end, last = p.end, items[p.end - 1].end
+                noun = items[p.noun] if p.noun is not None else None
+                cut = last - (noun.end - noun.start) if noun else last
+                tail = tails[end - 1]
+                out.append(Said(f"{p.value}{'' if noun else tail}", items[i].start, cut))
                 if noun:
-                    cut_at_link()
-                noun = x
-                if not chain or after not in LINKS:
-                    flush()
-            else:
-                flush()
-                out.append(x)
-        if chain:
-            flush()
+                    out.append(replace(noun, word=cores[p.noun] + tail, start=cut, end=last))
+            i = end
         return out
 
     def replaced(self, items: list[Said], table: dict[tuple[str, ...], list[str]]) -> list[Said]:
         """Of the n-grams at a place the longest that the table has; its time is shared evenly."""
         out, i = [], 0
-        while i < len(items):
-            for n in (3, 2, 1):
-                new = table.get(tuple(x.word.lower() for x in items[i : i + n])) if i + n <= len(items) else None
-                if new:
-                    step = (items[i + n - 1].end - items[i].start) / len(new)
-                    out += [Said(w, items[i].start + k * step, items[i].start + (k + 1) * step, items[i].conf) for k, w in enumerate(new)]
-                    i += n
-                    break
-            else:
-                out.append(items[i])
-                i += 1
-        return out
+        for at, n, new in found_ngrams([x.word.lower() for x in items], table):
+            step = (items[at + n - 1].end - items[at].start) / len(new)
+            out += items[i:at] + [Said(w, items[at].start + k * step, items[at].start + (k + 1) * step, items[at].conf) for k, w in enumerate(new)]
+            i = at + n
+        return out + items[i:]
 
     def post_processed(self, items: list[Said], normalize: bool = False, keep_fillers: bool = True) -> list[Said]:
         if not keep_fillers:
@@ -216,13 +220,41 @@ def post_processed_timecoded(words: Column, lexicon: Lexicon, **options) -> Colu
     return _on_words(lambda x: i.post_processed(x, **options))(words)
 
 
+def found_ngrams(words: list[str], table: dict[tuple[str, ...], list[str]], places: list[int] | None = None) -> Iterator[tuple[int, int, list[str]]]:
+    """(place, n, substitute) of what is replaced, from left to right. places: where an n-gram of the table may begin, if that is known."""
+    done = 0
+    for i in range(len(words)) if places is None else places:
+        if i < done:
+            continue
+        for n in (3, 2, 1):
+            new = table.get(tuple(words[i : i + n])) if i + n <= len(words) else None
+            if new:
+                yield i, n, new
+                done = i + n
+                break
+
+
 def substituted(words: Column, table: dict[tuple[str, ...], list[str]]) -> Column:
     """Greedy n-gram substitution on an array of words. A fold over the array would copy what it has made at each word, so whole
-    batches go through Arrow."""
-    i = Inverse(Lexicon())
+    batches go through Arrow: all words of a batch are looked up at once, and only places where an n-gram may begin are visited."""
+    first = pa.array(sorted({k[0] for k in table}), pa.string())
 
     @F.pandas_udf("array<string>")
     def f(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else [x.word for x in i.replaced([Said(w) for w in r], table)])
+        lists = pa.array(rows, pa.list_(pa.string()))
+        hits = pc.is_in(pc.utf8_lower(lists.values), value_set=first).to_numpy(zero_copy_only=False).nonzero()[0]
+        offsets = lists.offsets.to_numpy()
+        cuts = hits.searchsorted(offsets)
+        out = []
+        for r, a, lo, hi in zip(rows, offsets, cuts, cuts[1:], strict=False):
+            if r is None or lo == hi:
+                out.append(r)
+                continue
+            old, new, i = list(r), [], 0
+            for at, n, put in found_ngrams([w.lower() if w is not None else "" for w in old], table, (hits[lo:hi] - a).tolist()):
+                new += old[i:at] + put
+                i = at + n
+            out.append(new + old[i:])
+        return pd.Series(out, dtype=object)
 
     return f(words)

@@ -1,0 +1,118 @@
+"""Examples with their results: the same rows as literals in the SQL, so that whole functions are held against known results."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from ..functions import inverse, lexicon, numbers, phonetics, tokens
+from ..operators import align as A
+from .registry import query
+from .text_queries import _frame, _rows
+
+_SMALL = lexicon.small()
+LEX = replace(
+    _SMALL,
+    nouns_m=_SMALL.nouns_m | {"marc'h", "korn-boud", "bit", "babig", "eur", "metr", "kilometr", "kilogramm"},
+    nouns_f=_SMALL.nouns_f | {"plac'h", "patatezenn", "skouerenn", "loarenn", "steredenn", "eur"},
+)
+
+# Sentences and what they are in words.
+NORMALIZED = [
+    ("d'an 3 a viz Here", "d'an tri a viz Here"),
+    ("1 skouerenn", "ur skouerenn"),
+    ("tro dro da 85000 den e Mec'hiko", "tro dro da pemp ha pevar-ugent mil den e Mec'hiko"),
+    ("12 000 euro", "daouzek mil euro"),
+    ("92 ki", "daouzek ki ha pevar-ugent"),
+    ("Ouzhpenn da 42 bemdez", "Ouzhpenn da daou ha daou-ugent bemdez"),
+    ("51 dre den", "unan hag hanter-kant dre den"),
+    ("da lavaret eo 950km", "da lavaret eo nav c'hant hanter-kant kilometr"),
+    ("34% e 2010", "pevar ha tregont dre gant e daou vil dek"),
+    ("12e30, 11e35, 9e15, 8e45", "kreisteiz hanter, unnek eur pemp ha tregont, nav eur ha kard, nav eur nemet kard"),
+    ("da 5e56 e roas an urzh", "da c'hwec'h eur nemet pevar e roas an urzh"),
+    ("Loeiz XVI", "Loeiz c'hwezek"),
+    ("kemeret perzh er 7vet hag en 8vet kuzuliadegoù", "kemeret perzh er seizhvet hag en eizhvet kuzuliadegoù"),
+    ("en XXIvet kantved", "en un warn-ugentvet kantved"),
+    ("d'an oad a 25 bloaz", "d'an oad a pemp bloaz warn-ugent"),
+    ("e 1982 e varvas", "e mil nav c'hant daou ha pevar-ugent e varvas"),
+    ("1, 1 c'hazh, 21 loarenn", "unan, ur c'hazh, ul loarenn warn-ugent"),
+    ("32 687 bit", "daou ha tregont mil c'hwec'h kant seizh bit ha pevar-ugent"),
+    ("21000 steredenn", "unan warn-ugent mil steredenn"),
+]
+# Spoken numbers and what they are in digits, from 4 on.
+DIGITS = [
+    ("un den", "un den"), ("ur marc'h", "ur marc'h"), ("peder plac'h", "4 plac'h"), ("ur c'hant bennak a dud", "100 bennak a dud"), ("er bloavez mil nav c'hant pevar ha pevar-ugent", "er bloavez 1984"),
+    ("naontek kant c'hwec'h ha tregont", "1936"), ("kant daou vil pevarzek", "102014"), ("unan daou tri staget mat ar c'hi", "unan daou tri staget mat ar c'hi"),
+    ("seizh eizh nav deomp da c’hoari atav", "7 8 9 deomp da c’hoari atav"), ("kant tri patatezenn hag hanter-kant am eus debret", "153 patatezenn am eus debret"), ("dek den mil kazh", "10 den 1000 kazh"),
+    ("pemp kazh ha c'hwec'h pesk", "5 kazh ha 6 pesk"), ("daou gorn-boud warn-ugent", "22 gorn-boud"), ("ar c'hoant da zaou vil daou ha tregont", "ar c'hoant da 2032"), ("kant hanter-kant den a oa", "150 den a oa"),
+]
+# Article and noun, whether it is masculine or feminine, and the reading with its mutation.
+ARTICLES = [("ar", "ki", True, False, "ar c'hi"), ("an", "dor", False, True, "an nor"), ("ur", "kador", False, True, "ur gador"), ("ul", "taol", False, True, "un daol"), ("an", "godell", False, True, "ar c'hodell"), ("ar", "bag", False, True, "ar vag"), ("ar", "mamm", False, True, "ar vamm")]
+# Texts and their forms after tokenizing and rendering.
+RENDERED = [
+    ('"Digoret eo ar brezel douzh ar viruz brein-se."', '"Digoret eo ar brezel douzh ar viruz brein-se."'),
+    ("Ha setu perak ‚oa bet divizet ganeomp", "Ha setu perak‚ oa bet divizet ganeomp"),
+    ("3 / 4 eus an dud.", "3/4 eus an dud."),
+    ("Dindan c'hwec'h vloaz :digoust.", "Dindan c'hwec'h vloaz : digoust."),
+    ("unan... daou ...tri ... pevar ....pemp!... c'hwec'h,....seizh", "unan... daou... tri... pevar.... pemp !... c'hwec'h,.... seizh"),
+    ("n'eus ster ebet, « na penn na lost» da gement-se.", "n'eus ster ebet, « na penn na lost » da gement-se."),
+    ("un abadenn “ mikro digor” tro-dro d’ar rap", "un abadenn “mikro digor” tro-dro d’ar rap"),
+    ("Gouel Broadel ar Brezhoneg ( GBB ) .", "Gouel Broadel ar Brezhoneg (GBB)."),
+]
+# Texts, their tokens and their sentences.
+COUNTS = [("unan daou tri", 3, 0), ("demat,deoc'h", 3, 0), ("fin miz Gouere.Laouen e oa", 8, 1), ("Demat. Mont a ra ?", 8, 2), ("\"N'eo ket gwir !\" a huchas heñ.", 11, 1), ("«N'eo ket gwir !» a huchas heñ.", 11, 1)]
+# Words and how they are said first.
+SAID = [("tra-mañ-tra", "T R A M AN T R A"), ("B", "B E"), ("Ñ", "EH N T I L D E")]
+# Sentences, recognised words, and which words each sentence is.
+SENTENCES = ["- Demat Bleuenn ! Dale zo ganin, digarez.", "- Demat Deni ! Pelec’h emaout ?", "- E kreiz-kêr Kemper emaon c’hoazh. Stank eo an dremeniri.", "- Mat eo. Gortoz a reomp ac’hanout. Na rez ket bil !", "- Trugarez dit. - Ken bremaik."]
+HEARD = "demat bleuñv dale zo ganin digarez nemet enni pelec'h emaout e kreiz kêr Kemper emañ c'hoazh stank eo an dremeniri mat eo gortoz a reont ar c'hannad na rez ket bil trugarez dit kent bremaik"
+SPANS = [(0, 6), (6, 10), (10, 20), (20, 31), (31, 35)]
+
+
+def _shown(rows, wanted: str, name: str) -> str:
+    """Of example rows the input s and the wanted result under the query's name for it."""
+    return f"SELECT s, {wanted} AS {name} FROM {_rows(rows, 's, ' + wanted)}"
+
+
+@query("e9_normalized_examples", _shown(NORMALIZED, "wanted", "said"))
+def _(spark, d):
+    return _frame(spark, NORMALIZED, "s, wanted").select("s", tokens.normalized(F.col("s"), LEX).alias("said"))
+
+
+@query("e11_digits_examples", _shown(DIGITS, "wanted", "digits"))
+def _(spark, d):
+    return _frame(spark, DIGITS, "s, wanted").select("s", inverse.digits(F.col("s"), LEX, 4).alias("digits"))
+
+
+@query("e4_article_examples", f"SELECT article, noun, wanted FROM {_rows([(a, n, w) for a, n, _, _, w in ARTICLES], 'article, noun, wanted')}")
+def _(spark, d):
+    rows = _frame(spark, ARTICLES, "article, noun, m, f, wanted")
+    reading = F.lit(None).cast("string")
+    for article in sorted({a for a, *_ in ARTICLES}):
+        found = numbers.article_noun(F.col("noun"), article, F.col("m"), F.col("f"))
+        reading = F.when(F.col("article") == article, F.element_at(F.filter(found, lambda x: x == F.col("wanted")), 1)).otherwise(reading)
+    return rows.select("article", "noun", reading.alias("wanted"))
+
+
+@query("d10_rendered_examples", _shown(RENDERED, "wanted", "text"))
+def _(spark, d):
+    return _frame(spark, RENDERED, "s, wanted").select("s", tokens.detokenized(tokens.tokenized(F.col("s"), LEX)).alias("text"))
+
+
+@query("d2_d4_count_examples", f"SELECT s, CAST(n AS INT) AS n, CAST(m AS INT) AS sentences FROM {_rows(COUNTS, 's, n, m')}")
+def _(spark, d):
+    t = tokens.tokenized(F.col("s"), LEX)
+    return _frame(spark, COUNTS, "s, n, m").select("s", F.size(t).alias("n"), F.size(F.filter(t, lambda x: x["type"] == "END_OF_SENTENCE")).alias("sentences"))
+
+
+@query("f1_said_examples", _shown(SAID, "wanted", "said"))
+def _(spark, d):
+    return _frame(spark, SAID, "s, wanted").select("s", F.element_at(phonetics.phonetized(F.col("s"), LEX)["variants"], 1).alias("said"))
+
+
+@query("h1_aligned_examples", f"SELECT CAST(sentence AS INT) AS sentence, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi FROM {_rows([(i, a, b) for i, (a, b) in enumerate(SPANS)], 'sentence, lo, hi')}")
+def _(spark, d):
+    sentences = _frame(spark, [(1, i, s) for i, s in enumerate(SENTENCES)], "doc, pos, text")
+    words = _frame(spark, [(1, i, w) for i, w in enumerate(HEARD.split())], "doc, pos, word")
+    return A.aligned(sentences, words, "doc").select("sentence", "lo", "hi")

@@ -1,0 +1,317 @@
+"""Expected rows of the queries whose input is a few literals, worked out by hand from the rules, as SQL."""
+
+from __future__ import annotations
+
+
+def _value(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_value, v)) + "]"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+
+
+def sql(columns: dict[str, str], rows: list[tuple]) -> str:
+    names = list(columns)
+    picked = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in columns.items())
+    values = ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows)
+    quoted = ", ".join(f'"{c}"' for c in names)
+    return f"SELECT {picked} FROM (VALUES {values}) AS t({quoted})"
+
+
+# Columns and rows by query.
+ROWS: dict[str, tuple[dict[str, str], list[tuple]]] = {
+    "a4_a7_carried": (
+        {"file": "VARCHAR", "line": "INTEGER", "text": "VARCHAR", "speaker": "VARCHAR", "gender": "VARCHAR", "parser": "VARCHAR"},
+        [
+            ('a', 1, 'Demat', 'yann', None, 'me'),
+            ('a', 2, 'Ya', 'yann', 'm', 'me'),
+            ('b', 0, 'Nann', None, None, None),
+            ('b', 1, 'Kenavo', 'marie', None, None),
+        ],
+    ),
+    "a8_header": (
+        {"file": "VARCHAR", "source": "VARCHAR", "lang": "VARCHAR"},
+        [
+            ('a.ali', 'test', 'br'),
+        ],
+    ),
+    "a21_subtitles": (
+        {"file": "VARCHAR", "n": "INTEGER", "start": "DOUBLE", "end": "DOUBLE", "text": "VARCHAR"},
+        [
+            ('a.srt', 0, 1.5, 3.0, "Demat deoc'h"),
+            ('a.srt', 1, 603.25, 3604.0, 'Ya'),
+        ],
+    ),
+    "d6_numerals": (
+        {"s": "VARCHAR", "data": "VARCHAR", "type": "VARCHAR", "number": "VARCHAR", "unit": "VARCHAR"},
+        [
+            ('12 000 euro', '12000 euro', 'QUANTITY', '12000', 'euro'),
+            ('12 2010 34 kazh', '12', 'NUMBER', None, None),
+            ('12 2010 34 kazh', '2010', 'NUMBER', None, None),
+            ('12 2010 34 kazh', '34 kazh', 'QUANTITY', '34', 'kazh'),
+            ('1.000.000 den', '1000000', 'NUMBER', None, None),
+            ('5km 3% 25 °C', '5km', 'QUANTITY', '5', 'km'),
+            ('5km 3% 25 °C', '3%', 'QUANTITY', '3', '%'),
+            ('5km 3% 25 °C', '25°C', 'QUANTITY', '25', '°C'),
+            ('XIV 3vet IIvet 9e15', 'XIV', 'ROMAN_NUMBER', None, None),
+            ('XIV 3vet IIvet 9e15', '3vet', 'ORDINAL', None, None),
+            ('XIV 3vet IIvet 9e15', 'IIvet', 'ROMAN_ORDINAL', None, None),
+            ('XIV 3vet IIvet 9e15', '9e15', 'TIME', None, None),
+        ],
+    ),
+    "d8_persons": (
+        {"s": "VARCHAR", "data": "VARCHAR"},
+        [
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 'It. Marie Gall'),
+            ('C. Kozh an Bras h.a…', 'C. Kozh an Bras'),
+        ],
+    ),
+    "d9_tokens": (
+        {"s": "VARCHAR", "pos": "INTEGER", "data": "VARCHAR", "norm": "VARCHAR[]", "type": "VARCHAR", "flags": "VARCHAR[]", "number": "VARCHAR", "unit": "VARCHAR"},
+        [
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 0, 'Demat', [], 'WORD', ['FIRST_WORD'], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 1, 'It.', ['Itron'], 'ABBREVIATION', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 2, 'Marie', [], 'FIRST_NAME', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 3, 'Gall', [], 'LAST_NAME', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 4, ',', [], 'PUNCTUATION', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 5, 'penaos', [], 'WORD', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 6, 'emañ', [], 'WORD', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 7, 'ar', [], 'WORD', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 8, 'bed', [], 'WORD', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 9, '?', [], 'PUNCTUATION', [], None, None),
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 10, '', [], 'END_OF_SENTENCE', [], None, None),
+            ('12 000 euro ha 92 ki.', 0, '12000 euro', [], 'QUANTITY', ['MASCULINE'], '12000', 'euro'),
+            ('12 000 euro ha 92 ki.', 1, 'ha', [], 'WORD', [], None, None),
+            ('12 000 euro ha 92 ki.', 2, '92 ki', [], 'QUANTITY', ['MASCULINE'], '92', 'ki'),
+            ('12 000 euro ha 92 ki.', 3, '.', [], 'PUNCTUATION', [], None, None),
+            ('12 000 euro ha 92 ki.', 4, '', [], 'END_OF_SENTENCE', [], None, None),
+            ('(GBB).', 0, '(', [], 'PUNCTUATION', ['OPENING_PUNCT'], None, None),
+            ('(GBB).', 1, 'GBB', [], 'ACRONYM', ['FIRST_WORD'], None, None),
+            ('(GBB).', 2, ')', [], 'PUNCTUATION', ['CLOSING_PUNCT'], None, None),
+            ('(GBB).', 3, '.', [], 'PUNCTUATION', [], None, None),
+            ('(GBB).', 4, '', [], 'END_OF_SENTENCE', [], None, None),
+            ('pemp!...', 0, 'pemp', [], 'WORD', ['FIRST_WORD'], None, None),
+            ('pemp!...', 1, '!', [], 'PUNCTUATION', [], None, None),
+            ('pemp!...', 2, '', [], 'END_OF_SENTENCE', [], None, None),
+            ('pemp!...', 3, '...', ['…'], 'PUNCTUATION', [], None, None),
+            ('Hirio e oa 3 bloaz.', 0, 'Hiziv', [], 'WORD', ['CORRECTED'], None, None),
+            ('Hirio e oa 3 bloaz.', 1, 'e', [], 'WORD', [], None, None),
+            ('Hirio e oa 3 bloaz.', 2, 'oa', [], 'WORD', [], None, None),
+            ('Hirio e oa 3 bloaz.', 3, '3 bloaz', [], 'QUANTITY', ['MASCULINE'], '3', 'bloaz'),
+            ('Hirio e oa 3 bloaz.', 4, '.', [], 'PUNCTUATION', [], None, None),
+            ('Hirio e oa 3 bloaz.', 5, '', [], 'END_OF_SENTENCE', [], None, None),
+            ("d'ar 3e, 9e15", 0, "d'ar", [], 'WORD', ['FIRST_WORD'], None, None),
+            ("d'ar 3e, 9e15", 1, '3e', [], 'ORDINAL', [], None, None),
+            ("d'ar 3e, 9e15", 2, ',', [], 'PUNCTUATION', [], None, None),
+            ("d'ar 3e, 9e15", 3, '9e15', [], 'TIME', [], None, None),
+            ('{spk: a} <NTT> un dra- mañ', 0, '{spk: a}', [], 'METADATA', [], None, None),
+            ('{spk: a} <NTT> un dra- mañ', 1, '<NTT>', [], 'SPECIAL_TOKEN', ['FIRST_WORD'], None, None),
+            ('{spk: a} <NTT> un dra- mañ', 2, 'un', [], 'WORD', [], None, None),
+            ('{spk: a} <NTT> un dra- mañ', 3, 'dra-', [], 'WORD', ['STUTTER'], None, None),
+            ('{spk: a} <NTT> un dra- mañ', 4, 'mañ', [], 'WORD', [], None, None),
+            ('C. Kozh an Bras h.a…', 0, 'C.', [], 'ACRONYM', ['FIRST_WORD'], None, None),
+            ('C. Kozh an Bras h.a…', 1, 'Kozh', [], 'LAST_NAME', [], None, None),
+            ('C. Kozh an Bras h.a…', 2, 'an', [], 'WORD', [], None, None),
+            ('C. Kozh an Bras h.a…', 3, 'Bras', [], 'LAST_NAME', [], None, None),
+            ('C. Kozh an Bras h.a…', 4, 'h.a', ['hag all'], 'ABBREVIATION', [], None, None),
+            ('C. Kozh an Bras h.a…', 5, '…', [], 'PUNCTUATION', [], None, None),
+            ('XIV ha 2010 12 34', 0, 'XIV', [], 'ROMAN_NUMBER', ['FIRST_WORD'], None, None),
+            ('XIV ha 2010 12 34', 1, 'ha', [], 'WORD', [], None, None),
+            ('XIV ha 2010 12 34', 2, '2010', [], 'NUMBER', [], None, None),
+            ('XIV ha 2010 12 34', 3, '12', [], 'NUMBER', [], None, None),
+            ('XIV ha 2010 12 34', 4, '34', [], 'NUMBER', [], None, None),
+        ],
+    ),
+    "d10_d12_rendered": (
+        {"s": "VARCHAR", "same": "VARCHAR", "sentences": "VARCHAR", "corrected": "VARCHAR"},
+        [
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 'Demat It. Marie Gall, penaos emañ ar bed\xa0?', 'Demat It. Marie Gall, penaos emañ ar bed\xa0?\n', 'Demat It. Marie Gall, penaos emañ ar bed\xa0?'),
+            ('12 000 euro ha 92 ki.', '12000 euro ha 92 ki.', '12000 euro ha 92 ki.\n', '12000 euro ha 92 ki.'),
+            ('(GBB).', '(GBB).', '(GBB).\n', '(GBB).'),
+            ('pemp!...', 'pemp\xa0!...', 'Pemp\xa0!\n...', 'pemp\xa0!...'),
+            ('Hirio e oa 3 bloaz.', 'Hirio e oa 3 bloaz.', 'Hirio e oa 3 bloaz.\n', 'Hiziv e oa 3 bloaz.'),
+            ("d'ar 3e, 9e15", "d'ar 3e, 9e15", "D'ar 3e, 9e15", "d'ar 3e, 9e15"),
+            ('{spk: a} <NTT> un dra- mañ', '{spk: a} <NTT> un dra- mañ', '{spk: a} <NTT> un dra- mañ', '{spk: a} <NTT> un dra- mañ'),
+            ('C. Kozh an Bras h.a…', 'C. Kozh an Bras h.a…', 'C. Kozh an Bras h.a…', 'C. Kozh an Bras h.a…'),
+            ('XIV ha 2010 12 34', 'XIV ha 2010 12 34', 'Xiv ha 2010 12 34', 'XIV ha 2010 12 34'),
+        ],
+    ),
+    "e3_e4_articles": (
+        {"noun": "VARCHAR", "reading": "VARCHAR"},
+        [
+            ('kazh', "ar c'hazh"),
+            ('kador', 'ar gador'),
+            ('tour', 'an dour'),
+            ('gwezenn', 'ar wezenn'),
+            ('gar', "ar c'har"),
+            ('bag', 'ar vag'),
+            ('Maouez', 'ar Vaouez'),
+            ('levr', 'al levr'),
+            ('den', 'an den'),
+            ('dor', 'an nor'),
+            ('taol', 'an taol'),
+            ('taol', 'an daol'),
+        ],
+    ),
+    "e6_e7_ordinals": (
+        {"s": "VARCHAR", "ordinal": "VARCHAR", "roman": "VARCHAR", "roman_ordinal": "VARCHAR"},
+        [
+            ('1añ', 'kentañ', None, None),
+            ('3vet', 'teirvet', None, None),
+            ('12vet', 'daouzekvet', None, None),
+            ('IIvet', None, None, 'eilvet'),
+            ('XIVvet', None, None, 'pevarzekvet'),
+            ('XXXV', None, 'pemp ha tregont', None),
+            ('XL', None, None, None),
+            ('x', None, None, None),
+        ],
+    ),
+    "e8_e9_normalized": (
+        {"s": "VARCHAR", "said": "VARCHAR"},
+        [
+            ('Demat It. Marie Gall, penaos emañ ar bed ?', 'Demat Itron Marie Gall, penaos emañ ar bed\xa0?'),
+            ('12 000 euro ha 92 ki.', 'Daouzek mil euro ha daouzek ki ha pevar-ugent.'),
+            ('(GBB).', '(GBB).'),
+            ('pemp!...', 'Pemp\xa0!…'),
+            ('Hirio e oa 3 bloaz.', 'Hiziv e oa tri bloaz.'),
+            ("d'ar 3e, 9e15", "D'ar trede, nav eur ha kard"),
+            ('{spk: a} <NTT> un dra- mañ', '{spk: a} <NTT> un dra- mañ'),
+            ('C. Kozh an Bras h.a…', 'C. Kozh an Bras hag all…'),
+            ('XIV ha 2010 12 34', 'Pevarzek ha daou vil dek daouzek pevar ha tregont'),
+        ],
+    ),
+    "e10_e12_digits": (
+        {"s": "VARCHAR", "digits": "VARCHAR", "timed": "VARCHAR"},
+        [
+            ("pemp kazh ha c'hwec'h pesk", '5 kazh ha 6 pesk', '[{"word":"5","start":0.0,"end":1.0,"conf":1.0},{"word":"kazh","start":2.0,"end":3.0,"conf":1.0},{"word":"ha","start":4.0,"end":5.0,"conf":1.0},{"word":"6","start":6.0,"end":7.0,"conf":1.0},{"word":"pesk","start":8.0,"end":9.0,"conf":1.0}]'),
+            ('daou vil tregont', '2030', '[{"word":"2030","start":0.0,"end":5.0,"conf":1.0}]'),
+            ('pemp bloaz warn-ugent', '25 bloaz', '[{"word":"25","start":0.0,"end":4.0,"conf":1.0},{"word":"bloaz","start":4.0,"end":5.0,"conf":1.0}]'),
+            ('tri-ugent den', '60 den', '[{"word":"60","start":0.0,"end":1.0,"conf":1.0},{"word":"den","start":2.0,"end":3.0,"conf":1.0}]'),
+            ('hanter-kant ki', '50 ki', '[{"word":"50","start":0.0,"end":1.0,"conf":1.0},{"word":"ki","start":2.0,"end":3.0,"conf":1.0}]'),
+            ("mil nav c'hant tregont", '1930', '[{"word":"1930","start":0.0,"end":7.0,"conf":1.0}]'),
+            ("ur c'hazh ha pemp mañ", "ur c'hazh ha 5 mañ", '[{"word":"ur","start":0.0,"end":1.0,"conf":1.0},{"word":"c\'hazh","start":2.0,"end":3.0,"conf":1.0},{"word":"ha","start":4.0,"end":5.0,"conf":1.0},{"word":"5","start":6.0,"end":7.0,"conf":1.0},{"word":"mañ","start":8.0,"end":9.0,"conf":1.0}]'),
+            ('an dra se', 'an dra se', '[{"word":"an","start":0.0,"end":1.0,"conf":1.0},{"word":"dra","start":2.0,"end":3.0,"conf":1.0},{"word":"se","start":4.0,"end":5.0,"conf":1.0}]'),
+        ],
+    ),
+    "e14_e16_post_processed": (
+        {"s": "VARCHAR", "text": "VARCHAR", "timed": "VARCHAR"},
+        [
+            ("pemp kazh ha c'hwec'h pesk", '5 kazh ha 6 pesk', '[{"word":"5","start":0.0,"end":1.0,"conf":1.0},{"word":"kazh","start":2.0,"end":3.0,"conf":1.0},{"word":"ha","start":4.0,"end":5.0,"conf":1.0},{"word":"6","start":6.0,"end":7.0,"conf":1.0},{"word":"pesk","start":8.0,"end":9.0,"conf":1.0}]'),
+            ('daou vil tregont', '2030', '[{"word":"2030","start":0.0,"end":5.0,"conf":1.0}]'),
+            ('pemp bloaz warn-ugent', '25 bloaz', '[{"word":"25","start":0.0,"end":4.0,"conf":1.0},{"word":"bloaz","start":4.0,"end":5.0,"conf":1.0}]'),
+            ('tri-ugent den', '60 den', '[{"word":"60","start":0.0,"end":1.0,"conf":1.0},{"word":"den","start":2.0,"end":3.0,"conf":1.0}]'),
+            ('hanter-kant ki', '50 ki', '[{"word":"50","start":0.0,"end":1.0,"conf":1.0},{"word":"ki","start":2.0,"end":3.0,"conf":1.0}]'),
+            ("mil nav c'hant tregont", '1930', '[{"word":"1930","start":0.0,"end":7.0,"conf":1.0}]'),
+            ("ur c'hazh ha pemp mañ", "ur c'hazh ha 5 mañ", '[{"word":"ur","start":0.0,"end":1.0,"conf":1.0},{"word":"c\'hazh","start":2.0,"end":3.0,"conf":1.0},{"word":"ha","start":4.0,"end":5.0,"conf":1.0},{"word":"5","start":6.0,"end":7.0,"conf":1.0},{"word":"mañ","start":8.0,"end":9.0,"conf":1.0}]'),
+            ('an dra se', 'an dra-se', '[{"word":"an","start":0.0,"end":1.0,"conf":1.0},{"word":"dra-se","start":2.0,"end":5.0,"conf":1.0}]'),
+        ],
+    ),
+    "e15_joined_demonstratives": (
+        {"s": "VARCHAR", "text": "VARCHAR"},
+        [
+            ("pemp kazh ha c'hwec'h pesk", "pemp kazh ha c'hwec'h pesk"),
+            ('daou vil tregont', 'daou vil tregont'),
+            ('pemp bloaz warn-ugent', 'pemp bloaz warn-ugent'),
+            ('tri-ugent den', 'tri-ugent den'),
+            ('hanter-kant ki', 'hanter-kant ki'),
+            ("mil nav c'hant tregont", "mil nav c'hant tregont"),
+            ("ur c'hazh ha pemp mañ", "ur c'hazh ha pemp mañ"),
+            ('an dra se', 'an dra-se'),
+        ],
+    ),
+    "f1_phonetized": (
+        {"s": "VARCHAR", "said": "VARCHAR", "errors": "INTEGER"},
+        [
+            ('tra-mañ-tra', 'T R A M AN T R A', 0),
+            ('B', 'B E', 0),
+            ('GBB', 'J E B E B E', 0),
+            ('kazh', 'K A Z', 0),
+            ('football', 'F OU T B A L', 0),
+            ('euh', 'OE', 0),
+            ('ti', 'T I|T EE', 0),
+            ('Brest', 'B R EH S T', 0),
+            ('xx1', 'K S K S', 1),
+            ("c'hoarzh", 'X O A R Z', 0),
+        ],
+    ),
+    "g1_regions": (
+        {"line": "INTEGER", "start": "DOUBLE", "end": "DOUBLE", "text": "VARCHAR", "meta": "VARCHAR"},
+        [
+            (0, None, None, None, '{"source":"test"}'),
+            (1, None, None, None, '{"lang":"br","source":"test"}'),
+            (2, 1.5, 3.0, 'Demat ', '{"lang":"br","source":"test"}'),
+            (2, 1.5, 3.0, 'Ya ', '{"gender":"m","lang":"br","source":"test","speaker":"yann_gall"}'),
+            (2, 1.5, 3.0, 'oui ', '{"gender":"m","lang":"fr","source":"test","speaker":"yann_gall"}'),
+            (2, 1.5, 3.0, 'mat', '{"gender":"m","lang":"br","source":"test","speaker":"yann_gall"}'),
+            (4, 3.0, 4.25, ' Kenavo', '{"gender":"m","lang":"br","source":"test","speaker":"marie"}'),
+            (5, 5.0, 6.0, ' Echu ', '{"accent":"unknown","gender":"m","lang":"br","source":"test","speaker":"yann_gall"}'),
+            (5, 5.0, 6.0, ' gevier', '{"accent":"unknown","gender":"m","lang":"br","source":"test","speaker":"yann_gall","train":"false"}'),
+        ],
+    ),
+    "g2_g6_squeezed": (
+        {"line": "INTEGER", "text": "VARCHAR", "speaker": "VARCHAR", "start": "DOUBLE", "end": "DOUBLE"},
+        [
+            (2, None, None, 1.5, 3.0),
+            (4, 'Kenavo', 'marie', 3.0, 4.25),
+            (5, 'Echu', 'yann_gall', 5.0, 6.0),
+        ],
+    ),
+    "g5_extracted_metadata": (
+        {"s": "VARCHAR", "text": "VARCHAR", "meta": "VARCHAR", "unknown": "VARCHAR"},
+        [
+            ('Gwin roz {spk: b11_paotr1; gender:m} {start: 60.139; end: 62.972}', 'Gwin roz', '{"speaker":"b11_paotr1","gender":"m","start":"60.139","end":"62.972"}', ''),
+            ("Demat {?} deoc'h {Yann Ar Gall} ha {?}", "Demat {?} deoc'h  ha {?}", '{"speaker":"yann_ar_gall"}', '1,7'),
+            ('hep titl', 'hep titl', '{}', ''),
+            ('{tags: a b, c; lang: fr; foo: bar} Bonjour {speaker: XYZ}', 'Bonjour', '{"tags":"a_b,c","lang":"fr","foo":"bar","speaker":"XYZ"}', ''),
+        ],
+    ),
+    "h1_aligned": (
+        {"doc": "INTEGER", "sentence": "INTEGER", "lo": "INTEGER", "hi": "INTEGER", "score": "DOUBLE"},
+        [
+            (1, 0, 0, 3, 0.0),
+            (1, 1, 3, 7, 0.033333333),
+            (1, 2, 7, 11, 0.027777778),
+            (1, 3, 11, 12, 0.0),
+        ],
+    ),
+    "h2_reliability": (
+        {"doc": "INTEGER", "sentence": "BIGINT", "lo": "INTEGER", "hi": "INTEGER", "score": "DOUBLE", "reliability": "VARCHAR"},
+        [
+            (1, 0, 0, 3, 0.0, 'O'),
+            (1, 1, 3, 7, 0.033333333, 'O'),
+            (1, 2, 7, 11, 0.027777778, 'O'),
+            (1, 3, 11, 12, 0.0, 'O'),
+        ],
+    ),
+    "h6_best_cut": (
+        {"a": "VARCHAR", "cut": "INTEGER"},
+        [
+            ("Demat deoc'h holl", 3),
+        ],
+    ),
+    "h7_resolved": (
+        {"sentence": "INTEGER", "lo": "INTEGER", "hi": "INTEGER", "words": "VARCHAR"},
+        [
+            (0, 0, 2, 'demat deoX'),
+            (1, 2, 4, 'ol penaos'),
+        ],
+    ),
+    "h8_global_score": (
+        {"doc": "INTEGER", "score": "DOUBLE"},
+        [
+            (1, 0.02),
+        ],
+    ),
+    "h10_word_alignment": (
+        {"pos": "INTEGER", "reference": "VARCHAR", "hypothesis": "VARCHAR"},
+        [
+            (0, 'demat', 'demat'),
+            (1, 'deoch', 'deoch'),
+            (2, None, 'te'),
+            (3, 'holl', 'oll'),
+        ],
+    ),
+}
+
+SQL = {name: sql(columns, rows) for name, (columns, rows) in ROWS.items()}

@@ -8,7 +8,7 @@ from ..functions import inverse, lexicon, text, tokens
 from ..operators import metadata as M
 from ..operators import signal as S
 from ..sources import files, sinks
-from .registry import query, table
+from .registry import query, scratch, table
 from .text_queries import _SPOKEN, _WORDS, _frame, _rows, lit
 
 _SEG = ["0 1500", "1500 3250", "10000 12345"]
@@ -43,8 +43,9 @@ def _(spark, d):
 
 @query("a25_script", f"SELECT trim(split_part(s, chr(9), 1)) AS speaker, trim(split_part(s, chr(9), 2)) AS utterance FROM {_rows(['Yann' + chr(9) + 'Demat deoch', 'netra', 'Mari ' + chr(9) + ' Ya'], 's')} WHERE contains(s, chr(9))")
 def _(spark, d):
-    part = F.split("s", "\t", 2)
-    return _frame(spark, ["Yann\tDemat deoch", "netra", "Mari \t Ya"], "s").filter("contains(s, '\t')").select(F.btrim(part[0]).alias("speaker"), F.btrim(part[1]).alias("utterance"))
+    path = scratch(spark, "script")
+    _frame(spark, ["Yann\tDemat deoch", "netra", "Mari \t Ya"], "s").write.text(path)
+    return files.script(spark, path)
 
 
 _TIME = "lpad(CAST(CAST({x} * 1000 AS BIGINT) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST({x} * 1000 AS BIGINT) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST({x} * 1000 AS BIGINT) // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(CAST({x} * 1000 AS BIGINT) % 1000 AS VARCHAR), 3, '0')"
@@ -73,12 +74,12 @@ def _(spark, d):
     return _frame(spark, _TAGGED, "s, sub").select("s", sinks.printed(F.col("s"), F.col("sub")).alias("shown"))
 
 
-_MODELS = [("br-1", "1.0", "vosk"), ("br-2", "1.2", "vosk"), ("br-3", "1.1", "vosk"), ("tts", "9.0", "tts")]
+_MODELS = [("br-1", "1.9", "vosk"), ("br-2", "1.10", "vosk"), ("br-3", "1.1", "vosk"), ("tts", "9.0", "tts")]
 
 
-@query("f10_latest_model", f"SELECT type, arg_max(name, version) AS name FROM {_rows(_MODELS, 'name, version, type')} GROUP BY type")
+@query("f10_latest_model", f"SELECT type, arg_max(name, list_transform(string_split(version, '.'), lambda x: CAST(x AS BIGINT))) AS name FROM {_rows(_MODELS, 'name, version, type')} GROUP BY type")
 def _(spark, d):
-    return _frame(spark, _MODELS, "name, version, type").groupBy("type").agg(F.max_by("name", "version").alias("name"))
+    return _frame(spark, _MODELS, "name, version, type").transform(lambda x: files.latest(x, "type"))
 
 
 @query("h15_real_time_factor", "SELECT event_type, round(sum(value) / sum(user_id + 1), 6) AS factor FROM events GROUP BY 1")
@@ -97,7 +98,7 @@ _VALUES = [("ugent", 20), ("daou vil tregont", 2030), ("pemp ha tregont", 35), (
 
 @query("e10_number_values", f"SELECT s, CAST(n AS BIGINT) AS n FROM {_rows(_VALUES, 's, n')}")
 def _(spark, d):
-    worth = F.pandas_udf(lambda s: s.map(lambda x: int(inverse.worth([inverse.VALUES.get(w, "+") for w in x.split()]))), "bigint")
+    worth = F.pandas_udf(lambda s: s.map(lambda x: inverse.value(x.split())), "bigint")
     return _frame(spark, _VALUES, "s, n").select("s", worth("s").alias("n"))
 
 

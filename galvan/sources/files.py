@@ -198,6 +198,12 @@ def models(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema="name string, version string, type string, url string", multiLine=True)
 
 
+def latest(catalogue: DataFrame, *by: str) -> DataFrame:
+    """Of each kind the name of the latest version; versions are numbers between dots, so 1.10 comes after 1.9."""
+    numbers = F.transform(F.split("version", r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint"), F.lit(-1).cast("bigint")))
+    return catalogue.groupBy(*by).agg(F.max_by("name", F.struct(numbers, "name")).alias("name"))
+
+
 def wav_samples(spark: SparkSession, path: str) -> DataFrame:
     """file, rate, samples in [-1, 1) of 16-bit WAV files, channels averaged."""
     import io

@@ -49,6 +49,11 @@ def exported(matches: DataFrame, kind: str) -> DataFrame:
     return good.select("n", value.alias("value"))
 
 
+def subtitles_to_ali(subtitles: DataFrame) -> DataFrame:
+    """file, n, value: an ALI line of each subtitle (file, n, start, end, text) that has text."""
+    return subtitles.filter("text <> ''").select("file", "n", ali_line(F.col("text"), F.col("start"), F.col("end")).alias("value"))
+
+
 def rescaled(df: DataFrame, factor: float = 1.0, start_shift: float = 0.0, end_shift: float = 0.0) -> DataFrame:
     return df.withColumns({"start": F.col("start") * factor + start_shift, "end": F.col("end") * factor + end_shift})
 
@@ -91,7 +96,7 @@ def kaldi(utterances: DataFrame, path: str, speakers: DataFrame) -> dict[str, Da
 
 def write_dataset(rows: DataFrame, path: str, kind: str = "jsonl") -> None:
     """Metadata of clips, as JSON lines or with tabs."""
-    (rows.write.json(path) if kind == "jsonl" else rows.write.csv(path, sep="\t", header=True))
+    (rows.write.json(path) if kind == "jsonl" else rows.write.csv(path, sep="\t", header=True, quote="", emptyValue=""))
 
 
 def elan_document(rows: DataFrame) -> DataFrame:

@@ -47,6 +47,51 @@ def test_digits(spark, said, written):
     assert one(spark, inverse.digits(F.col("s"), LEX, 4), said) == [written]
 
 
+NOUNS = lexicon.Lexicon(nouns_m={"den", "marc'h", "kazh", "pesk", "korn-boud", "ki", "bloaz"}, nouns_f={"plac'h", "patatezenn"})
+
+
+@pytest.mark.parametrize(
+    "said,written",
+    [
+        ("un den", "un den"), ("ur marc'h", "ur marc'h"), ("peder plac'h", "4 plac'h"), ("ur c'hant bennak a dud", "100 bennak a dud"), ("er bloavez mil nav c'hant pevar ha pevar-ugent", "er bloavez 1984"),
+        ("naontek kant c'hwec'h ha tregont", "1936"), ("kant daou vil pevarzek", "102014"), ("unan daou tri staget mat ar c'hi", "unan daou tri staget mat ar c'hi"),
+        ("seizh eizh nav deomp da c’hoari atav", "7 8 9 deomp da c’hoari atav"), ("kant tri patatezenn hag hanter-kant am eus debret", "153 patatezenn am eus debret"), ("dek den mil kazh", "10 den 1000 kazh"),
+        ("daou gorn-boud warn-ugent", "22 gorn-boud"), ("ar c'hoant da zaou vil daou ha tregont", "ar c'hoant da 2032"), ("kant hanter-kant den a oa", "150 den a oa"),
+        ("ar bardelloù e Pariz mil pemp kant eizh ha pevar-ugent mil c'hwec'h kant eizh ha daou-ugent mil eizh kant tregont...", "ar bardelloù e Pariz 1588 1648 1830..."),
+        ("ar bardelloù e Pariz mil pemp kant eizh ha pevar-ugent mil c'hwec'h kant eizh ha daou-ugent mil eizh kant tregont", "ar bardelloù e Pariz 1588 1648 1830"),
+        ("tri ha ha", "tri ha ha"), ("warn ugent ki", "warn 20 ki"), ("naontek % ha tri ugent", "79 %"), ("daou vilion tri c'hant mil hag unan", "2300000 hag unan"), ("hanter milion", "500000"), ("", ""),
+    ],
+)
+def test_digits_of_sentences(spark, said, written):
+    assert one(spark, inverse.digits(F.col("s"), NOUNS, 4), said) == [written]
+    timed = F.transform(F.filter(F.split("s", " "), lambda w: w != ""), lambda w, i: F.struct(w.alias("word"), (i * 2.0).alias("start"), (i * 2.0 + 1).alias("end"), F.lit(1.0).alias("conf")))
+    got = one(spark, inverse.digits_timecoded(timed, NOUNS, 4), said)[0]
+    assert " ".join(x.word for x in got) == written and all(a.start < b.start and a.end <= b.start for a, b in zip(got[:-1], got[1:], strict=True))
+
+
+def test_values_are_those_of_the_words():
+    """All numbers below 10,000 and larger ones, both ways."""
+    for n in [*range(1, 10_000), *range(10_000, 2_000_000, 7919), *range(10**6, 4 * 10**9, 123456789)]:
+        assert inverse.value(tokens.spelled(n).split()) == n, n
+    assert inverse.value(["zero"]) == 0 and inverse.value([]) is None and inverse.value(["ha"]) is None and inverse.value("mil vil".split()) is None
+
+
+def test_substitutions_by_brute_force(spark):
+    import random
+
+    table = {("a",): ["1"], ("a", "b"): ["2", "2"], ("b", "c", "a"): ["3"], ("c", "c"): ["c"]}
+    r = random.Random(4)
+    rows = [[r.choice("abcABCd") for _ in range(r.randrange(12))] for _ in range(200)] + [None]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(rows)], "i int, w array<string>").select("i", inverse.substituted(F.col("w"), table).alias("x")).orderBy("i").collect()
+    for row, g in zip(rows, got, strict=True):
+        expected, i = [], 0
+        while row and i < len(row):
+            n = next((n for n in (3, 2, 1) if tuple(x.lower() for x in row[i : i + n]) in table and i + n <= len(row)), 0)
+            expected += table[tuple(x.lower() for x in row[i : i + n])] if n else [row[i]]
+            i += n or 1
+        assert g.x == (None if row is None else expected)
+
+
 def test_timecodes_rise(spark):
     rows = spark.createDataFrame([([(w, 2.0 * i, 2.0 * i + 1, 1.0) for i, w in enumerate("pemp bloaz warn ugent ha netra".split())],)], f"w array<{inverse.WORD}>")
     got = rows.select(inverse.digits_timecoded(F.col("w"), LEX)).first()[0]
@@ -113,3 +158,31 @@ def test_streams(spark, tmp_path):
     q = streams.normalized_lines(streams.lines(spark, str(tmp_path)), LEX).writeStream.format("memory").queryName("said").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.normalized for r in spark.table("said").collect()] == ["daouzek ki"]
+
+
+def test_remembered_words_change_nothing(spark):
+    """The cascade with and without what a worker remembers, twice over the same texts."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").collect()] + ["Demat It. Marie Gall. 12 000 euro ha 92 ki, XIV, 3vet. Hirio (GBB) 9e15", "12 mil 3 bloaz 5km l m"] * 2
+    fresh, kept = tokens.Tokenizer(LEX), tokens.Tokenizer(LEX)
+    fresh.REMEMBERED = 0
+    for autocorrect in (False, True):
+        for t in rows:
+            assert [x.row() for x in kept.tokens(t, autocorrect, True, True)] == [x.row() for x in fresh.tokens(t, autocorrect, True, True)]
+
+
+def test_latest_version(spark):
+    models = spark.createDataFrame([("a", "1.9", "x"), ("b", "1.10", "x"), ("c", "1.10.beta", "x"), ("d", "2", "y"), ("e", None, "z")], "name string, version string, type string")
+    assert {r.type: r.name for r in files.latest(models, "type").collect()} == {"x": "c", "y": "d", "z": "e"}
+
+
+def test_bootstrap_against_a_normal_interval(spark):
+    from galvan.operators import align
+
+    rows = spark.range(4000).select("id", (F.xxhash64("id") % 5 == 0).cast("int").alias("a"), (F.xxhash64("id", F.lit(2)) % 3 == 0).cast("int").alias("b"), F.lit(1).alias("w"))
+    p = rows.agg(F.avg("a")).first()[0]
+    low, high = align.bootstrap(rows, "a", "w", 400).first()
+    half = 1.96 * (p * (1 - p) / 4000) ** 0.5
+    assert abs(low - (p - half)) < 0.3 * half and abs(high - (p + half)) < 0.3 * half
+    assert align.bootstrap(rows.repartition(7), "a", "w", 400).first() == (low, high)
+    d = align.paired_bootstrap(rows, "a", "b", "w", 400).first()
+    assert d.low < d.high < 0 and d.p_value < 0.01 and align.paired_bootstrap(rows.withColumn("c", F.col("a")), "a", "c", "w", 50).first().p_value == 1.0
