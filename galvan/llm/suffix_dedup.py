@@ -5,41 +5,51 @@ document. Strings are judged on the input and never cross documents.
 
 Sparse suffixes: of each LENGTH-byte window the K-gram with the smallest fingerprint is an anchor. Equal windows have equal anchors at
 equal places, so comparing anchors loses no match. An anchor's context is all that windows around it can hold, LENGTH - K bytes before
-it and LENGTH from it on. Anchors are dealt by their K-gram to buckets of bounded size. Within a bucket, batches in document order get
-a suffix array each (anchors sorted by the fingerprint of their suffix's first K bytes, then of the context) and are
-merge-scanned against the existing levels, smallest last; a batch becomes a level, and levels of equal size merge, so there are
-logarithmically many and each entry moves logarithmically often. A context that a level or the batch's earlier part holds
-makes all windows around the anchor repeats. What shares the K-gram alone may still share a window: for those anchors the
-contexts' bytes are fetched, and every window around them is compared.
+it and LENGTH from it on. A suffix array has a batch's anchors in the order of the bytes of their first K-gram, then of a fingerprint of the context; it is a
+table of buckets (by K-gram) in the shared folder. `Index.add` takes a batch of documents behind all that it has: the batch's arrays are
+merge-scanned against those of the levels, one pass over sorted entries in each bucket. A context that a level or the batch's
+earlier part holds makes all windows around the anchor repeats. What is new becomes a level, and levels of equal size merge before the
+next batch, so there are logarithmically many and each entry moves logarithmically often. `dedup` feeds a table in BATCHES ranges of doc_id.
+
+What shares the K-gram alone may still share a window. For these anchors the contexts are fetched and dealt twice: by the K-gram and half of
+what a window has behind it, for windows that begin near the anchor, and by the K-gram and as much before it, for the others, so that
+a K-gram with very many surroundings is many groups there. Every window is compared, by 64-bit fingerprints of its bytes (as contexts are;
+K-grams are compared by bytes).
 
 Copies are aggregated before the shuffle: a task sends one anchor for each different context, and marks the others itself.
 
 Defined results: a null text is empty; a text of under LENGTH bytes loses nothing; rows that repeat a doc_id and text get the same
-result each; rows with one doc_id and different texts are undefined in which of them loses bytes, but are kept apart by
-position; a null doc_id comes first; other columns are ignored.
+result each and are no repeats of each other; rows with one doc_id and different texts come one after another, by the hash of their texts; a null doc_id comes
+first; an empty table gives no rows; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import shared_dir, small_batches, table, written
 from .common import mixed as mix
 
 LENGTH, K = 100, 32
 SIDE = LENGTH - K
-#: Anchors of a bucket, bytes of text in a document bucket, anchors that a task gathers before it sends them, entries of a batch.
-BUCKET, DOC_BYTES, FLUSH, BATCH = 400_000, 12 << 20, 400_000, 1 << 15
+#: Anchors of a bucket, bytes of text in a document bucket, anchors that a task gathers before it sends them.
+BUCKET, DOC_BYTES, FLUSH = 400_000, 12 << 20, 400_000
+#: Batches that a table is fed in.
+BATCHES = 4
+#: Bytes beside the K-gram that anchors share if they share a window.
+HALF = SIDE // 2
 _U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _NULL = -(1 << 63)
-PIECE = "key int, payload binary"
+PIECE = "key int, kind int, payload binary"
+DOC = "key int, doc_id bigint, sub int, text binary"
 
 
 class Powers:
@@ -103,14 +113,16 @@ def anchors(raw: np.ndarray, p: Powers, q: Powers) -> tuple[np.ndarray, np.ndarr
 
 
 def columns(*x: np.ndarray) -> bytes:
-    return np.int64(len(x[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in x)
+    raw = np.int64(len(x[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in x)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def parsed(payload: bytes, *types) -> list[np.ndarray]:
-    n = int(np.frombuffer(payload, np.int64, 1)[0])
+    raw = pa.decompress(payload[8:], int(np.frombuffer(payload, np.int64, 1)[0]), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
     out, at = [], 8
     for t in types:
-        out.append(np.frombuffer(payload, t, n, at))
+        out.append(np.frombuffer(raw, t, n, at))
         at += n * np.dtype(t).itemsize
     return out
 
@@ -120,9 +132,46 @@ def joined(payloads: list[bytes], *types) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, t), *[p[i] for p in parts]]).astype(t) for i, t in enumerate(types)]
 
 
-ENTRY = (_U, _U, np.int64, np.int32)
-#: doc_id, place, how: 0 all windows around it are repeats, 1 windows must be compared, 2 removed from `place` on for `to` bytes
-MARK = (np.int64, np.int32, np.int32)
+#: The K-gram as four numbers in the order of its bytes, context, document (doc_id and the hash of its text), place.
+ENTRY = (_U, _U, _U, _U, _U, np.int64, np.int32, np.int32)
+#: Document, place, how: all windows around it are repeats, its windows must be compared, or it is of an earlier batch and compared with.
+MARK = (np.int64, np.int32, np.int32, np.int32)
+REPEAT, SHARED, EARLIER = 0, 1, 2
+MARKS, LEVEL, SENT = 0, 1, 2
+
+
+def grams(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The K-grams at places as columns."""
+    wide = np.ascontiguousarray(raw[at[:, None] + np.arange(K)]).view(">u8").astype(_U)
+    return [np.ascontiguousarray(wide[:, j]) for j in range(4)]
+
+
+def home(doc: np.ndarray, sub: np.ndarray, doc_buckets: int) -> np.ndarray:
+    """The bucket of documents; the same as in `keyed`."""
+    return (doc ^ (sub.astype(np.int64) * 2654435761)) % doc_buckets
+
+
+def changes(cols: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    out = np.zeros(len(cols[0]), bool)
+    out[:1] = True
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def ordered(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows in the order of their columns."""
+    o = np.lexsort(cols[::-1])
+    return [c[o] for c in cols]
+
+
+def once(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of ordered entries: which come first with their K-gram and context, and which repeat an earlier one elsewhere."""
+    new = changes(cols[:5])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    doc, sub, at = cols[5:]
+    return new, (doc != doc[first]) | (sub != sub[first]) | (at != at[first])
 
 
 def dealt(key: np.ndarray, cols: list[np.ndarray]):
@@ -134,66 +183,9 @@ def dealt(key: np.ndarray, cols: list[np.ndarray]):
         yield int(key[a]), [c[a:b] for c in cols]
 
 
-def pieces(rows) -> pa.RecordBatch:
+def pieces(rows, kind: int = SENT) -> pa.RecordBatch:
     rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["key", "payload"])
-
-
-class Family:
-    """Levels of (fingerprint, context, doc_id, place), each sorted by the first two; a context is held once, where it comes first."""
-
-    def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []
-
-    @staticmethod
-    def find(level: list[np.ndarray], h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which entries a level holds, and which share their K-gram with it: one merge scan of two sorted arrays."""
-        lo, hi = np.searchsorted(level[0], h, "left"), np.searchsorted(level[0], h, "right")
-        shares = hi > lo
-        same = np.zeros(len(h), bool)
-        one = shares & (hi - lo == 1)
-        same[one] = level[1][lo[one]] == c[one]
-        for i in np.flatnonzero(shares & ~one).tolist():
-            j = lo[i] + np.searchsorted(level[1][lo[i] : hi[i]], c[i])
-            same[i] = j < hi[i] and level[1][j] == c[i]
-        return same, shares
-
-    def add(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes a batch that comes after all that is held; gives the (doc_id, place) of its repeats."""
-        order = np.lexsort((at, doc, c, h))
-        h, c, doc, at = h[order], c[order], doc[order], at[order]
-        # rows that repeat a document are no repeats of themselves
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        again = (doc != doc[first]) | (at != at[first])
-        held = np.zeros(len(h), bool)
-        for level in self.levels:
-            same, _ = self.find(level, h[new], c[new])
-            held[new] |= same
-        held = held[first]
-        own = new & ~held
-        if own.any():
-            self.levels.append([x[own] for x in (h, c, doc, at)])
-            while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-                b, a = self.levels.pop(), self.levels.pop()
-                both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-                o = np.lexsort((both[1], both[0]))
-                self.levels.append([x[o] for x in both])
-        repeats = again | held
-        return doc[repeats], at[repeats]
-
-    def shared(self) -> tuple[np.ndarray, np.ndarray]:
-        """(doc_id, place) of the held anchors whose K-gram has several contexts."""
-        if not self.levels:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        h, _, doc, at = (np.concatenate(x) for x in zip(*self.levels, strict=True))
-        o = np.argsort(h, kind="stable")
-        h = h[o]
-        twin = np.zeros(len(h), bool)
-        same = h[1:] == h[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        return doc[o][twin], at[o][twin]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["key", "kind", "payload"])
 
 
 def _send(buckets: int, doc_buckets: int):
@@ -204,21 +196,18 @@ def _send(buckets: int, doc_buckets: int):
         waiting, n = [], 0
 
         def flush():
-            h, c, doc, at = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            order = np.lexsort((at, doc, c, h))
-            h, c, doc, at = h[order], c[order], doc[order], at[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            again = (doc != doc[first]) | (at != at[first])
-            yield pieces((k, columns(*x)) for k, x in dealt((h[new] % _U(buckets)).astype(np.int64), [h[new], c[new], doc[new], at[new]]))
-            yield pieces((-1 - k, columns(*x, np.zeros(len(x[0]), np.int32))) for k, x in dealt(doc[again] % doc_buckets, [doc[again], at[again]]))
+            cols = ordered([np.concatenate(x) for x in zip(*(w[1:] for w in waiting), strict=True)])
+            new, again = once(cols)
+            sent = [c[new] for c in cols]
+            yield pieces((k, columns(*x)) for k, x in dealt(bucket_of(sent, buckets), sent))
+            doc, sub, at = (c[again] for c in cols[5:])
+            yield pieces((-1 - k, columns(*x, np.full(len(x[0]), REPEAT, np.int32))) for k, x in dealt(home(doc, sub, doc_buckets), [doc, sub, at]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-                at, h, c = anchors(raw, p, q)
+            for doc_id, sub, raw in _texts(batch):
+                at, _, c = anchors(raw, p, q)
                 if len(at):
-                    waiting.append((h, c, np.full(len(at), _NULL if doc_id is None else doc_id), at.astype(np.int32)))
+                    waiting.append((0, *grams(raw, at), c, np.full(len(at), doc_id), np.full(len(at), sub, np.int32), at.astype(np.int32)))
                     n += len(at)
                 if n >= FLUSH:
                     yield from flush()
@@ -229,62 +218,99 @@ def _send(buckets: int, doc_buckets: int):
     return run
 
 
+def bucket_of(cols: list[np.ndarray], buckets: int) -> np.ndarray:
+    h = np.zeros(len(cols[0]), _U)
+    for c in cols[:4]:
+        h = mix(h * _U(_P) + c)
+    return (h % _U(buckets)).astype(np.int64)
+
+
 def _match(doc_buckets: int):
-    """The anchors of a bucket -> marks by document bucket."""
+    """A bucket's anchors of a batch and of the levels -> marks by document bucket, and the batch's part of a new level."""
 
     def run(key, t):
-        if key[0].as_py() < 0:  # marks already
-            rows = [(-1 - key[0].as_py(), columns(*joined(t.column("payload").to_pylist(), *MARK)))]
-            return pa.Table.from_batches([pieces(rows)])
-        h, c, doc, at = joined(t.column("payload").to_pylist(), *ENTRY)
-        o = np.lexsort((at, doc))
-        family, marks = Family(), []
-        for i in range(0, len(o), BATCH):
-            b = o[i : i + BATCH]
-            d, a = family.add(h[b], c[b], doc[b], at[b])
-            marks.append((d, a, np.zeros(len(d), np.int32)))
-        d, a = family.shared()
-        marks.append((d, a, np.ones(len(d), np.int32)))
-        d, a, how = (np.concatenate(x) for x in zip(*marks, strict=True))
-        return pa.Table.from_batches([pieces((k, columns(*x)) for k, x in dealt(d % doc_buckets, [d, a, how]))])
+        key = key[0].as_py()
+        kind, payload = t.column("kind").to_pylist(), t.column("payload").to_pylist()
+        if key < 0:  # marks already
+            return pa.Table.from_batches([pieces([(-1 - key, columns(*joined(payload, *MARK)))], MARKS)])
+        batch = ordered(joined([p for p, k in zip(payload, kind, strict=True) if k == SENT], *ENTRY))
+        if not len(batch[0]):
+            return pa.Table.from_batches([pieces([])])
+        new, again = once(batch)
+        marks = [[c[again] for c in batch[5:]] + [np.full(int(again.sum()), REPEAT, np.int32)]]
+        batch = [c[new] for c in batch]
+        held = joined([p for p, k in zip(payload, kind, strict=True) if k != SENT], *ENTRY)
+        # the merge scan: entries of the levels come before the batch's of the same K-gram and context
+        own = np.concatenate([np.zeros(len(held[0]), np.int8), np.ones(len(batch[0]), np.int8)])
+        both = [np.concatenate([a, b]) for a, b in zip(held, batch, strict=True)]
+        *both, own = [c[np.lexsort((own, *both[4::-1]))] for c in (*both, own)] if len(held[0]) else (*batch, own)
+        fresh = changes(both[:5])
+        repeat = (own == 1) & ~fresh
+        marks.append([c[repeat] for c in both[5:]] + [np.full(int(repeat.sum()), REPEAT, np.int32)])
+        both, own = [c[~repeat] for c in both], own[~repeat]
+        # K-grams of several contexts, one of them new
+        begins = np.flatnonzero(changes(both[:4]))
+        sizes = np.diff(np.append(begins, len(own)))
+        mixed_ = np.repeat((sizes > 1) & (np.add.reduceat(own, begins, dtype=np.int64) > 0), sizes)
+        marks.append([c[mixed_] for c in both[5:]] + [np.where(own[mixed_] == 1, SHARED, EARLIER).astype(np.int32)])
+        found = [np.concatenate(x) for x in zip(*marks, strict=True)]
+        level = [c[own == 1] for c in both]
+        out = [pieces(((k, columns(*x)) for k, x in dealt(home(found[0], found[1], doc_buckets), found)), MARKS)]
+        if len(level[0]):
+            out.append(pieces([(key, columns(*level))], LEVEL))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _texts(t: pa.Table):
-    for doc_id, text in zip(t.column("doc_id").to_pylist(), t.column("text"), strict=True):
-        yield _NULL if doc_id is None else doc_id, np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+def _merge(key, t):
+    """A bucket of two levels -> of one."""
+    both = joined(t.column("payload").to_pylist(), *ENTRY)
+    return pa.Table.from_batches([pieces([(key[0].as_py(), columns(*ordered(both)))], LEVEL)])
 
 
-def _by_document(doc: np.ndarray, *cols):
-    """doc_id -> its rows."""
-    order = np.argsort(doc, kind="stable")
-    doc, cols = doc[order], [c[order] for c in cols]
-    ids, starts = np.unique(doc, return_index=True)
-    ends = np.append(starts[1:], len(doc))[: len(ids)]
-    return {int(d): [c[a:b] for c in cols] for d, a, b in zip(ids, starts, ends, strict=True)}
+def _texts(t: pa.Table | pa.RecordBatch):
+    for doc_id, sub, text in zip(t.column("doc_id").to_pylist(), t.column("sub").to_pylist(), t.column("text"), strict=True):
+        yield doc_id, sub, np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+
+
+def _by_document(doc: np.ndarray, sub: np.ndarray, *cols):
+    """(doc_id, hash of the text) -> its rows."""
+    order = np.lexsort((sub, doc))
+    doc, sub, cols = doc[order], sub[order], [c[order] for c in cols]
+    starts = np.flatnonzero(changes([doc, sub]))
+    ends = np.append(starts[1:], len(doc))[: len(starts)]
+    return {(int(doc[a]), int(sub[a])): [c[a:b] for c in cols] for a, b in zip(starts, ends, strict=True)}
 
 
 CONTEXT = np.dtype(f"V{SIDE + LENGTH}")
+#: What is shared, document, place, bytes before and behind, whether it is of the batch, which windows, context.
+FETCHED = (_U, np.int64, np.int32, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, CONTEXT)
 
 
 def _fetch(buckets: int):
     """Texts and marks of a document bucket -> contexts whose windows must be compared, by bucket."""
 
     def run(key, docs, marks):
-        doc, at, how = joined(marks.column("payload").to_pylist(), *MARK)
-        of = _by_document(doc[how == 1], at[how == 1])
-        p, out, seen = Powers(_P), [], set()
-        for d, raw in _texts(docs) if of else ():
-            if d in of and d not in seen:
-                seen.add(d)
-                (a,) = of[d]
-                a = a[a + K <= len(raw)].astype(np.int64)
-                h = mix(Prints(raw, p).of(a, a + K))
-                padded = np.concatenate([np.zeros(SIDE, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
-                wide = padded[a[:, None] + np.arange(SIDE + LENGTH)]
-                before, after = np.minimum(a, SIDE).astype(np.uint8), np.minimum(len(raw) - a, LENGTH).astype(np.uint8)
-                out.append((h, np.full(len(a), d), a.astype(np.int32), before, after, wide.view(CONTEXT).ravel()))
+        doc, sub, at, how = joined(marks.column("payload").to_pylist(), *MARK)
+        some = how != REPEAT
+        of = _by_document(doc[some], sub[some], at[some], how[some])
+        p, out = Powers(_P), []
+        for d, s, raw in _texts(docs) if of else ():
+            found = of.pop((d, s), None)
+            if found is None:
+                continue
+            a, how = found
+            a = a.astype(np.int64)
+            prints = Prints(raw, p)
+            padded = np.concatenate([np.zeros(SIDE, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
+            for side, lo, hi in ((0, a, a + K + HALF), (1, a - HALF, a + K)):
+                there = np.flatnonzero((lo >= 0) & (hi <= len(raw)))
+                x = a[there]
+                h = mix(prints.of(lo[there], hi[there]) ^ _U(side))
+                before, after = np.minimum(x, SIDE).astype(np.uint8), np.minimum(len(raw) - x, LENGTH).astype(np.uint8)
+                n = len(x)
+                out.append((h, np.full(n, d), np.full(n, s, np.int32), x.astype(np.int32), before, after, (how[there] == SHARED).astype(np.uint8), np.full(n, side, np.uint8), padded[x[:, None] + np.arange(SIDE + LENGTH)].view(CONTEXT).ravel()))
         if not out:
             return pa.Table.from_batches([pieces([])])
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -293,9 +319,9 @@ def _fetch(buckets: int):
     return run
 
 
-def repeated_windows(h, doc, at, before, after, wide) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(h, doc, sub, at, before, after, side, wide) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor, in the order of the documents: the first and last byte + 1, from the anchor, that its repeated windows
-    cover; 0, 0 without one."""
+    cover; 0, 0 without one. side: 0 for windows that begin up to HALF bytes before the anchor, 1 for the others."""
     n = len(h)
     powers = Powers(_Q)
     powers.grow(SIDE + LENGTH + 1)
@@ -305,17 +331,16 @@ def repeated_windows(h, doc, at, before, after, wide) -> tuple[np.ndarray, np.nd
         sums[j + 1] = sums[j] + _BYTES[by_byte[j]] * powers.up[j]
     low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o in range(SIDE + 1):  # the window starts o bytes before the anchor
-        there = np.flatnonzero((before >= o) & (after >= LENGTH - o))
+        there = np.flatnonzero((before >= o) & (after >= LENGTH - o) & (side == (o > HALF)))
         if len(there) < 2:
             continue
         s = SIDE - o
         key = mix((sums[s + LENGTH][there] - sums[s][there]) * powers.down[s] ^ h[there])
         order = np.argsort(key, kind="stable")  # of equal keys the earliest comes first
         k = key[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        first = there[order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]]
+        first = there[order[np.maximum.accumulate(np.where(changes([k]), np.arange(len(k)), 0))]]
         own = there[order]
-        hit = own[(doc[own] != doc[first]) | (at[own] != at[first])]
+        hit = own[(doc[own] != doc[first]) | (sub[own] != sub[first]) | (at[own] != at[first])]
         low[hit] = -o
         fresh = hit[high[hit] == 0]
         high[fresh] = LENGTH - o
@@ -323,22 +348,22 @@ def repeated_windows(h, doc, at, before, after, wide) -> tuple[np.ndarray, np.nd
 
 
 def _compare(doc_buckets: int):
-    """Contexts of a bucket -> removed runs by document bucket, as (doc_id, first byte, bytes)."""
+    """Contexts of a bucket -> removed runs of the batch by document bucket, as (document, first byte, bytes)."""
 
     def run(key, t):
-        h, doc, at, before, after, wide = joined(t.column("payload").to_pylist(), _U, np.int64, np.int32, np.uint8, np.uint8, CONTEXT)
+        h, doc, sub, at, before, after, own, side, wide = joined(t.column("payload").to_pylist(), *FETCHED)
         wide = wide.view(np.uint8).reshape(-1, SIDE + LENGTH)
-        o = np.lexsort((at, doc))
+        o = np.lexsort((at, sub, doc))
         out = []
-        # anchors of different K-grams have nothing in common, so they are taken some at a time
+        # what shares nothing has no windows in common, so some are taken at a time
         part = (h[o] >> _U(20)) % _U(max(1, len(h) // 50_000))
         for p in np.unique(part):
             i = o[part == p]
-            low, high = repeated_windows(h[i], doc[i], at[i], before[i], after[i], wide[i])
-            hit = high > 0
-            out.append((doc[i][hit], (at[i] + low)[hit].astype(np.int32), (high - low)[hit].astype(np.int32)))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.Table.from_batches([pieces((k, columns(*x)) for k, x in dealt(cols[0] % doc_buckets, cols))])
+            low, high = repeated_windows(h[i], doc[i], sub[i], at[i], before[i], after[i], side[i], wide[i])
+            hit = (high > 0) & (own[i] == 1)
+            out.append((doc[i][hit], sub[i][hit], (at[i] + low)[hit].astype(np.int32), (high - low)[hit].astype(np.int32)))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in MARK]
+        return pa.Table.from_batches([pieces(((k, columns(*x)) for k, x in dealt(home(cols[0], cols[1], doc_buckets), cols)), LEVEL)])
 
     return run
 
@@ -351,16 +376,16 @@ def _cut(with_text: bool):
 
     def run(key, docs, found):
         payload, kind = found.column("payload").to_pylist(), found.column("kind").to_pylist()
-        doc, at, how = joined([p for p, k in zip(payload, kind, strict=True) if k == 0], *MARK)
-        whole = how == 0
-        doc2, start, size = joined([p for p, k in zip(payload, kind, strict=True) if k == 1], *MARK)
-        of = _by_document(np.concatenate([doc[whole], doc2]), np.concatenate([at[whole] - SIDE, start]), np.concatenate([at[whole] + LENGTH, start + size]))
+        doc, sub, at, how = joined([p for p, k in zip(payload, kind, strict=True) if k == MARKS], *MARK)
+        whole = how == REPEAT
+        doc2, sub2, start, size = joined([p for p, k in zip(payload, kind, strict=True) if k != MARKS], *MARK)
+        of = _by_document(np.concatenate([doc[whole], doc2]), np.concatenate([sub[whole], sub2]), np.concatenate([at[whole] - SIDE, start]), np.concatenate([at[whole] + LENGTH, start + size]))
         rows = {x.name: [] for x in RESULT}
-        for d, raw in _texts(docs):
+        for d, s, raw in _texts(docs):
             n_removed = n_spans = 0
             kept = raw
-            if d in of:
-                a, b = (np.clip(x, 0, len(raw)) for x in of[d])
+            if (d, s) in of:
+                a, b = (np.clip(x, 0, len(raw)) for x in of[d, s])
                 depth = np.bincount(a, minlength=len(raw) + 1) - np.bincount(b, minlength=len(raw) + 1)
                 gone = np.cumsum(depth)[:-1] > 0
                 n_removed = int(gone.sum())
@@ -380,24 +405,86 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `with_text` the kept bytes."""
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+RESULT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+
+
+class Index:
+    """A family of suffix arrays in the shared folder, to which batches of documents are added in the order of their ids."""
+
+    def __init__(self, spark: SparkSession, n_bytes: int) -> None:
+        """n_bytes: about how many bytes of text the index will hold, which sets the number of buckets."""
+        small_batches(spark)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/galvan-suffixes-{uuid.uuid4().hex}"
+        self.buckets = max(least, -(-n_bytes * 2 // (SIDE + 2) // BUCKET))
+        self.doc_buckets = max(least, -(-n_bytes // DOC_BYTES)) | 1
+        #: (path, batches) of the levels, largest first, and the documents they come from.
+        self.levels: list[tuple[str, int]] = []
+        self.documents: list[DataFrame] = []
+
+    def keyed(self, docs: DataFrame) -> DataFrame:
+        docs = docs.select(F.expr(f"coalesce(cast(doc_id AS bigint), {_NULL + 1} - 1)").alias("doc_id"), F.expr("cast(xxhash64(coalesce(text, '')) & 2147483647 AS int)").alias("sub"), F.col("text").cast("binary").alias("text"))
+        return docs.select(F.expr(f"cast(pmod(doc_id ^ (cast(sub AS bigint) * 2654435761), {self.doc_buckets}) AS int)").alias("key"), "doc_id", "sub", "text")
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema("key int, payload binary").parquet(path)
+
+    def _merged(self) -> None:
+        """Makes one level of the last two as long as they are of equal size."""
+        while len(self.levels) > 1 and self.levels[-2][1] == self.levels[-1][1]:
+            (b, n), (a, _) = self.levels.pop(), self.levels.pop()
+            path = f"{self.folder}/merged-{uuid.uuid4().hex}"
+            self._read(a).unionByName(self._read(b)).groupBy("key").applyInArrow(_merge, PIECE).select("key", "payload").write.parquet(path)
+            self.levels.append((path, 2 * n))
+            for old in (a, b):
+                _delete(self.spark, old)
+
+    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) of a batch, whose ids are above those of earlier batches."""
+        self._merged()
+        docs = self.keyed(docs)
+        self.documents.append(docs)
+        pieces_ = docs.mapInArrow(_send(self.buckets, self.doc_buckets), PIECE)
+        for path, _ in self.levels:
+            pieces_ = pieces_.unionByName(self._read(path).withColumn("kind", F.lit(LEVEL)))
+        path = f"{self.folder}/batch-{uuid.uuid4().hex}"
+        pieces_.groupBy("key").applyInArrow(_match(self.doc_buckets), PIECE).write.partitionBy("kind").parquet(path)
+        _freed(self.spark)
+        marks = self.spark.read.schema("key int, payload binary, kind int").parquet(path).filter(F.col("kind") == MARKS)
+        if not self.spark.read.schema("key int, payload binary, kind int").parquet(path).filter(F.col("kind") == LEVEL).isEmpty():
+            self.levels.append((f"{path}/kind={LEVEL}", 1))
+        # texts of earlier batches are read again for the anchors that the batch's are compared with
+        so_far = self.documents[0]
+        for more in self.documents[1:]:
+            so_far = so_far.unionByName(more)
+        contexts = so_far.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_fetch(self.buckets), PIECE)
+        runs = written(contexts.groupBy("key").applyInArrow(_compare(self.doc_buckets), PIECE), "runs")
+        _freed(self.spark)
+        found = marks.select("key", "kind", "payload").unionByName(runs)
+        out = docs.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(_cut(with_text), RESULT_SQL)
+        return out if with_text else out.drop("kept")
+
+
+def dedup(docs: DataFrame, with_text: bool = False, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `with_text` the kept bytes; the table in ranges of doc_id, one after another."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("n")).first().n
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-total * 2 // (SIDE + 2) // BUCKET))
-    doc_buckets = max(least, -(-total // DOC_BYTES)) | 1
-    marks = written(docs.mapInArrow(_send(buckets, doc_buckets), PIECE).groupBy("key").applyInArrow(_match(doc_buckets), PIECE), "marks")
-    _freed(spark)
-    keyed = docs.select(F.expr(f"cast(pmod(coalesce(doc_id, {_NULL + 1} - 1), {doc_buckets}) AS int)").alias("key"), "doc_id", F.col("text").cast("binary").alias("text"))
-    contexts = keyed.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(_fetch(buckets), PIECE)
-    runs = written(contexts.groupBy("key").applyInArrow(_compare(doc_buckets), PIECE), "runs")
-    _freed(spark)
-    found = marks.withColumn("kind", F.lit(0)).unionByName(runs.withColumn("kind", F.lit(1)))
-    out = keyed.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(_cut(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out if with_text else out.drop("kept")
+    index = Index(spark, total)
+    cuts = docs.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    out, at = None, F.col("doc_id")
+    for i in range(len(cuts) + 1):
+        above = at > cuts[i - 1] if i else at.isNull()
+        upto = at <= cuts[i] if i < len(cuts) else F.lit(True)
+        part = index.add(docs.filter((at.isNull() | upto) if not i else above & upto), with_text)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,9 +392,11 @@ def test_pieces(docs, texts, none):
     assert rows(sentencepieces.encoded(none)) == []
 
 
-def brute_removed(items):
-    seen, out = set(), {}
-    for i, t in sorted(dict(items).items()):
+def brute_removed(spark, items):
+    """(doc_id, bytes, removed, spans, hash of what is left) of every row."""
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for _, t in items}], "text string").selectExpr("text", "cast(xxhash64(text) & 2147483647 AS int) h").collect()}
+    seen, done = set(), {}
+    for i, t in sorted(set(items), key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1] or ""])):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
@@ -402,28 +404,45 @@ def brute_removed(items):
                 gone[k : k + 100] = True
             seen.add(b[k : k + 100])
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    return out
+        done[i, t] = (i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return collections.Counter(done[i, t] for i, t in items)
 
 
-def test_suffix_dedup(spark, docs, texts, none, monkeypatch):
-    known = [(i, t) for i, t in texts if i is not None]
-    got = rows(suffix_dedup.dedup(docs.filter("doc_id IS NOT NULL")))
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_removed(known) and len(got) == len(known)
-    assert rows(suffix_dedup.dedup(none)) == [] and len(rows(suffix_dedup.dedup(docs))) == len(texts)
+def removed(df):
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
+def test_suffix_dedup(spark, docs, texts, none):
+    assert removed(suffix_dedup.dedup(docs)) == brute_removed(spark, texts)
+    assert rows(suffix_dedup.dedup(none)) == []
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    """One copy of a passage stays wherever it comes first; rows of one doc_id are told apart."""
+    passage = prose(60, 60)
+    items = [(i, prose(600 + k, 12) + passage + prose(700 + k, 12)) for k, i in enumerate([1, 1, None, None, 3, 3, 2])] + [(3, prose(604, 12) + passage + prose(704, 12)), (None, None), (1, "")]
+    expected = brute_removed(spark, items)
+    for batches in (1, 3):
+        assert removed(suffix_dedup.dedup(spark.createDataFrame(items, "doc_id bigint, text string"), batches=batches)) == expected
+    assert sum(n == 0 for _, size, n, _, _ in expected if size > 300) == 1
 
 
-def test_suffix_dedup_of_passages(spark, monkeypatch):
-    """Passages at many offsets, cut at both ends, in many small batches and levels."""
-    monkeypatch.setattr(suffix_dedup, "BATCH", 50)
+def test_suffix_dedup_of_passages(spark):
+    """Passages at many offsets, cut at both ends, in batches against levels that merge."""
     r, passage = np.random.default_rng(5), prose(50, 80)
     items = []
     for i in range(60):
         a, b = sorted(r.integers(0, len(passage), 2))
         items.append((i, prose(1000 + i, 20) + passage[a:b] + ("ab" * int(r.integers(0, 150))) + prose(2000 + i, 10)))
-    got = rows(suffix_dedup.dedup(spark.createDataFrame(items, "doc_id bigint, text string"), with_text=True))
-    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_removed(items)
-    assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got)
+    df, expected = spark.createDataFrame(items, "doc_id bigint, text string"), brute_removed(spark, items)
+    got = suffix_dedup.dedup(df, with_text=True)
+    assert removed(got) == expected and all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got.collect())
+    index, parts, levels = suffix_dedup.Index(spark, 10_000), [], []
+    for i in range(0, 60, 10):
+        parts += removed(index.add(df.filter(f"doc_id >= {i} AND doc_id < {i + 10}"))).elements()
+        levels.append([n for _, n in index.levels])
+    assert collections.Counter(parts) == expected
+    assert levels == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1]]
 
 
 def labelled(spark):
