@@ -501,7 +501,7 @@ def test_toxicity_of_edge_cases(docs, texts):
     assert len(rows(toxicity.classify(docs, labels))) == len(texts)
 
 
-def test_cotraining(spark, docs, texts):
+def test_cotraining(spark, docs, texts, none):
     d, labels = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet")
     got = quality_model.classify(d, labels).join(labels, "doc_id").toPandas()
     held = got[got.held_out]
@@ -509,6 +509,42 @@ def test_cotraining(spark, docs, texts):
     few = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1)], "doc_id bigint, quality int")
     assert len(rows(quality_model.classify(docs, few))) == len(texts)
     assert {r["score"] for r in rows(quality_model.classify(docs, few.limit(0)))} == {0.5}
+    assert rows(quality_model.classify(none, labels)) == []
+
+
+def test_exchange_of_pseudo_labels_helps(spark):
+    """Few labels; the metadata tell the class for half of the documents, so that what the content of these has is learnt."""
+    r, out = np.random.default_rng(17), []
+    for i in range(3000):
+        good = int(r.random() < 0.5)
+        # good texts have capitals and bad ones digits in a share that varies, so that few labels fit it badly
+        marks = ["Abc" if good else "a1c"] * int(r.integers(0, 7)) + ["a1c" if good else "Abc"] * int(r.integers(0, 4))
+        w = [f"{chr(97 + x)}{chr(97 + y)}" for x, y in r.integers(0, 26, (40, 2))] + marks
+        out.append((i, " ".join(r.permutation(w)), "en", ("good site" if good else "bad site") if r.random() < 0.7 else "any", 200, good))
+    t = spark.createDataFrame(out, "doc_id bigint, text string, lang string, source string, n_chars bigint, quality int").repartition(4).cache()
+    labels = t.filter("doc_id < 60 OR crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2").select("doc_id", "quality")
+    right = {}
+    for rounds in (0, 3):
+        got = quality_model.classify(t.drop("quality"), labels, rounds=rounds).join(t.select("doc_id", "quality"), "doc_id").toPandas()
+        held = got[got.held_out]
+        rank, n = held.content_score.rank(), held.quality.sum()
+        right[rounds] = (rank[held.quality == 1].sum() - n * (n + 1) / 2) / (n * (len(held) - n))
+    assert right[3] > right[0] + 0.02, right
+
+
+def test_sums_over_tasks_are_those_of_all_rows(spark):
+    r = np.random.default_rng(2)
+    content, meta, y = r.normal(size=(300, len(quality_model.CONTENT))), r.normal(size=(300, 1)), r.integers(0, 2, 300)
+    hashed = r.integers(0, quality_model.HASHED, (300, 2))
+    m = quality_model.CoTrained(content, meta, hashed, y)
+    pool = spark.createDataFrame([(content[i].tolist(), int(hashed[i, 0]), int(hashed[i, 1]), meta[i].tolist()) for i in range(300)], "content array<double>, source int, lang int, layout array<double>").repartition(5)
+    views = m.places(content, meta, hashed)
+    w = m.weights[1]
+    got = quality_model.summed(pool, lambda v: quality_model.curvature(w, v[1], np.ones(len(v[1])), np.ones(len(v[1]))), m.binners, len(w) ** 2 + len(w))
+    x = np.zeros((300, len(w)))
+    np.put_along_axis(x, views[1], 1, 1)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.allclose(got[: len(w)], x.T @ (1 - p), atol=1e-3) and np.allclose(got[len(w) :].reshape(len(w), -1), (x * (p * (1 - p))[:, None]).T @ x, atol=1e-3)
 
 
 def test_rows_without_or_with_repeated_ids(spark, tmp_path):
