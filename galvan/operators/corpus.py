@@ -21,8 +21,8 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams, the last one too."""
-    none = F.array().cast("array<string>")
-    return T.bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
+    gram = lambda t: F.transform(t, lambda w, i: F.concat_ws(" ", w, *[F.get(t, i + k) for k in range(1, n)]))
+    return T.bound(tokens, lambda t: F.slice(gram(t), F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))))
 
 
 def ngram_counts(docs: DataFrame, tokens: Column, n: int, least: int = 1, heads_only: bool = False) -> DataFrame:
