@@ -29,11 +29,16 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
+# Pairs of characters and single ones, and their canonical forms; the last two single ones go.
+_PAIRS = (("n\u0303", "\u00f1"), ("\u0148", "\u00f1"), ("\u00f1\u0303", "\u00f1"), ("u\u0300", "\u00f9"), ("e\u0302", "\u00ea"), ("u\u0302", "\u00fb"))
+_SINGLE = ("\u2018\u2019\u02bc\u0131\u00e3\u00f6\u00e1\u00cd\u02dc\u0160", "'''iaoaI")
+
+
 def canonical(c: Column) -> Column:
     """One form of quotes, tildes and accents. Pairs of characters go first, as no single one makes a new pair but U+0148."""
-    for old, new in (("n\u0303", "\u00f1"), ("\u0148", "\u00f1"), ("\u00f1\u0303", "\u00f1"), ("u\u0300", "\u00f9"), ("e\u0302", "\u00ea"), ("u\u0302", "\u00fb")):
+    for old, new in _PAIRS:
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.translate(c, "\u2018\u2019\u02bc\u0131\u00e3\u00f6\u00e1\u00cd\u02dc\u0160", "'''iaoaI")
+    return F.translate(c, *_SINGLE)
 
 
 def drop_chars(c: Column, unwanted: str) -> Column:
@@ -164,6 +169,9 @@ def reverse_mutation(c: Column) -> Column:
     return F.when(c.isNotNull(), out.otherwise(F.array().cast("array<string>")))
 
 
+_UNALIGNED = dict.fromkeys(map(ord, PUNCTUATION + " '-h"))
+
+
 def align_form(c: Column) -> Column:
     """What forced alignment compares: no markup, one letter for c'h and ch, no doubled characters, no punctuation. Digits stay;
     spell them out first (numbers.spell_digits)."""
@@ -174,6 +182,17 @@ def align_form(c: Column) -> Column:
     return drop_chars(c, PUNCTUATION + " '-h")
 
 
+def align_form_of(text: str) -> str:
+    """The same of a Python string, for what grows word by word within a task."""
+    text = re.sub("<[A-Z']+?>", "", re.sub(r"\{[^\n]+?\}", "", text)).lower()
+    for old, new in _PAIRS:
+        text = text.replace(old, new)
+    for old, new in zip(_SINGLE[0], _SINGLE[1] + "\0\0", strict=True):
+        text = text.replace(old, new.strip("\0"))
+    text = text.replace("c'h", "X").replace("ch", "S").replace("ù", "u").replace("ê", "e")
+    return re.sub(r"(?s)(.)\1+", r"\1", text).translate(_UNALIGNED)
+
+
 def count_plain_words(c: Column) -> Column:
     c = F.regexp_replace(c, r"\{[^\n]+?\}", "")
     return F.size(split_words(F.translate(drop_chars(canonical(c), PUNCTUATION + "'"), "-", " ")))

@@ -42,42 +42,131 @@ def weighted(rows: DataFrame, value: str, weight: Column, *by: str) -> DataFrame
     return rows.groupBy(*by).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(value))
 
 
+#: Starts of windows that grow together.
+STARTS = 4096
+
+
+def _grown(words: list[str], i: int, longest: int) -> list[str]:
+    """Forms of the windows that start at word i, until they are so long that none can still be better for a sentence of `longest` letters."""
+    out: list[str] = []
+    raw = ""
+    for w in words[i:]:
+        raw += w
+        out.append(T.align_form_of(raw))
+        if len(out) > 2 * longest + 20 or len(out[-1]) > max(2 * longest, longest + len(out[0])) + 1:
+            break
+    return out
+
+
+def _best_sizes(ref: np.ndarray, chars: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, edits) of the windows from each start at which the edit distance last fell or stayed before it first rose. chars: the
+    letters of the longest window from each start; ends: its letters after each word. One row of the distance table is kept a start."""
+    n, length = len(chars), len(ref)
+    most = 2 * length + 20
+    size, edits = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
+    at, place = np.zeros(n, np.int64), np.arange(length + 1)
+    following = np.array([e[0] for e in ends])  # where each start's next window ends
+    live, rows = np.arange(n), np.tile(place, (n, 1))
+    p = 0
+    while True:
+        # windows that end here
+        stop = np.zeros(len(live), bool)
+        for k in np.flatnonzero(following[live] == p).tolist():
+            i, d = live[k], int(rows[k, -1])
+            if d > edits[i]:
+                stop[k] = True
+                continue
+            while at[i] < len(ends[i]) and ends[i][at[i]] == p:
+                at[i] += 1
+                edits[i], size[i] = d, min(at[i], most)
+            stop[k] = at[i] >= min(len(ends[i]), most)
+            following[i] = -1 if stop[k] else ends[i][at[i]]
+        live, rows = live[~stop], rows[~stop]
+        if not len(live) or p >= chars.shape[1]:
+            return size, edits
+        swap = rows[:, :-1] + (chars[live, p][:, None] != ref)
+        new = np.empty_like(rows)
+        new[:, 0] = rows[:, 0] + 1
+        new[:, 1:] = np.minimum(swap, rows[:, 1:] + 1)
+        rows = np.minimum.accumulate(new - place, axis=1) + place
+        p += 1
+
+
+def _align(weight: float):
+    """Sentences (sentence, ref, at) and words (i, word) of a part -> sentence, lo, hi, score."""
+
+    def codes(s: str) -> np.ndarray:
+        return np.frombuffer(s.encode("utf-32-le"), np.uint32)
+
+    def run(key, sentences: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+        words = heard.sort_values("i")["word"].fillna("").tolist()
+        found = []
+        longest = max((len(r) for r in sentences["ref"]), default=0)
+        best = [(np.inf, 0, 0)] * len(sentences)
+        for first in range(0, len(words), STARTS):
+            starts = range(first, min(first + STARTS, len(words)))
+            forms = [_grown(words, i, longest) for i in starts]
+            ends = [np.array([len(x) for x in f]) for f in forms]
+            # a window's form begins with those of its shorter ones, but where letters of two words join (c and h)
+            odd = {k for k, f in enumerate(forms) if any(not b.startswith(a) for a, b in zip(f, f[1:], strict=False))}
+            chars = np.zeros((len(forms), max(e[-1] for e in ends)), np.uint32)
+            for k, f in enumerate(forms):
+                chars[k, : len(f[-1])] = codes(f[-1])
+            even = [k for k in range(len(forms)) if k not in odd]
+            for s, (ref, where) in enumerate(zip(sentences["ref"], sentences["at"], strict=True)):
+                size, edits = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+                if even:
+                    size[even], edits[even] = _best_sizes(codes(ref), chars[even], [ends[k] for k in even])
+                for k in odd:
+                    each = [_distance(ref, f) for f in forms[k][: 2 * len(ref) + 20]]
+                    size[k] = next((j for j in range(1, len(each)) if each[j] > each[j - 1]), len(each))
+                    edits[k] = each[size[k] - 1]
+                score = edits / len(ref) * (1 - weight) + np.abs(np.array(starts) / len(words) - where) * weight
+                k = int(score.argmin())
+                if score[k] < best[s][0]:
+                    best[s] = score[k], first + k, first + k + int(size[k])
+        for s, (score, lo, hi) in zip(sentences["sentence"], best, strict=True):
+            if words:
+                found.append((*key, s, lo, hi, score))
+        return pd.DataFrame(found, columns=[part_name, "sentence", "lo", "hi", "score"])
+
+    part_name = "__part"
+    return run
+
+
 def aligned(sentences: DataFrame, words: DataFrame, part: str, weight: float = 0.5) -> DataFrame:
     """part, sentence, lo, hi, score: where each sentence (part, pos, text) is among the words (part, pos, word). From each word a window
-    grows while its score falls or stays; the best start wins, then the first. A window over twice a sentence's letters and 20
-    can't be better than a shorter one, so a part makes sentences x words x such windows rows at most."""
-    form = lambda c: T.align_form(F.col(c))
+    grows while its score falls or stays; the best start wins, then the first. A task takes a part at a time: the windows of
+    all starts grow together, a letter at a time, on one row of the distance table each, so that nothing is exploded."""
     w_part, w_all = Window.partitionBy(part).orderBy("pos"), Window.partitionBy(part)
-    ref = sentences.select(part, F.col("pos").alias("sentence"), form("text").alias("ref"), T.count_plain_words(F.col("text")).alias("n"), "pos")
+    ref = sentences.select(part, F.col("pos").alias("sentence"), T.align_form(F.col("text")).alias("ref"), T.count_plain_words(F.col("text")).alias("n"), "pos")
     ref = ref.withColumn("at", (F.sum("n").over(w_part) - F.col("n")) / F.sum("n").over(w_all)).filter("ref <> ''").drop("pos", "n")
-    hyp = words.select(part, "pos", "word").withColumnRenamed("pos", "i")
-    lists = hyp.groupBy(part).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("words"))
-    both = ref.join(lists, part).select("*", F.size("words").alias("m"), F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
-    grown = F.sequence(F.lit(1), F.least(F.col("m") - F.col("i"), F.length("ref") * 2 + 20))
-    scored = both.select("*", F.posexplode(grown).alias("k", "size")).withColumn("hyp", T.align_form(F.array_join(F.slice("words", F.col("i") + 1, F.col("size")), "")))
-    scored = scored.withColumn("score", cer(F.col("ref"), F.col("hyp")) * (1 - weight) + F.abs(F.col("i") / F.col("m") - F.col("at")) * weight).select(part, "sentence", "i", "size", "score")
-    w = Window.partitionBy(part, "sentence", "i").orderBy("size")
-    scored = scored.withColumn("rises", F.coalesce(F.col("score") > F.lag("score").over(w), F.lit(False)))
-    scored = scored.withColumn("over", F.sum(F.col("rises").cast("int")).over(w)).filter("over = 0")
-    best = scored.groupBy(part, "sentence", "i").agg(F.min_by(F.struct("size", "score"), F.struct("score", -F.col("size"))).alias("b"))
-    return best.groupBy(part, "sentence").agg(F.min_by(F.struct("i", "b"), F.struct("b.score", "i")).alias("x")).select(part, "sentence", F.col("x.i").alias("lo"), (F.col("x.i") + F.col("x.b.size")).alias("hi"), F.col("x.b.score").alias("score"))
+    hyp = words.select(part, F.col("pos").alias("i"), "word")
+    kinds = {f.name: f.dataType.simpleString() for f in [*ref.schema, *hyp.schema]}
+    out = ref.groupBy(part).cogroup(hyp.groupBy(part)).applyInPandas(_align(weight), f"__part {kinds[part]}, sentence {kinds['sentence']}, lo int, hi int, score double")
+    return out.withColumnRenamed("__part", part)
 
 
 def reliability(matches: DataFrame, part: str, n_words: Column) -> DataFrame:
-    """Adds O (sure), o, ? or X (wrong) from how far the neighbours are; a fold over a part, as what was sure decides what follows."""
+    """Adds O (sure), o, ? or X (wrong) from how far the neighbours are; a part at a time, as what was sure decides what follows."""
     w = Window.partitionBy(part).orderBy("sentence")
     near = matches.withColumn("n_words", n_words).withColumn("prev", F.abs(F.coalesce(F.lag("hi").over(w), F.lit(0)) - F.col("lo"))).withColumn("next", F.abs(F.coalesce(F.lead("lo").over(w), F.col("n_words")) - F.col("hi")))
-    rows = near.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("sentence", "lo", "hi", "score", "prev", "next"))).alias("rows"))
-    kind = "array<struct<sentence:bigint,lo:int,hi:int,score:double,reliability:string>>"
 
-    def step(a, r):
-        p, n, ahead = r["prev"] <= 2, r["next"] <= 2, r["hi"] > a["last"]
-        grade = F.when(p | (n & ahead), F.when(p & n & (r["prev"] + r["next"] <= 2), "O").otherwise("o")).when(ahead, "?").otherwise("X")
-        row = F.struct(r["sentence"].cast("bigint").alias("sentence"), r["lo"].cast("int").alias("lo"), r["hi"].cast("int").alias("hi"), r["score"].alias("score"), grade.alias("reliability"))
-        return F.struct(F.when(grade == "O", r["hi"].cast("bigint")).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(row)).alias("out"))
+    def grade(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sentence").reset_index(drop=True)
+        last, out = 0, []
+        for p, n, hi in zip(rows["prev"], rows["next"], rows["hi"], strict=True):
+            ahead = hi > last
+            if p <= 2 or (n <= 2 and ahead):
+                out.append("O" if p <= 2 and n <= 2 and p + n <= 2 else "o")
+            else:
+                out.append("?" if ahead else "X")
+            last = hi if out[-1] == "O" else last
+        return rows[[part, "sentence", "lo", "hi", "score"]].assign(reliability=out)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast(kind).alias("out"))
-    return rows.select(part, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("r")).select(part, "r.*")
+    kind = near.schema[part].dataType.simpleString()
+    rows = near.select(part, F.col("sentence").cast("bigint").alias("sentence"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "score", "prev", "next")
+    return rows.groupBy(part).applyInPandas(grade, f"{part} {kind}, sentence bigint, lo int, hi int, score double, reliability string")
 
 
 def unaligned_ranges(matches: DataFrame, part: str, good: tuple[str, ...] = ("O",)) -> DataFrame:

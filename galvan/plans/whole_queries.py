@@ -192,3 +192,25 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), (F.col("l_quantity") > 25).cast("int").alias("a"), (F.col("l_quantity") > 24).cast("int").alias("b"), F.lit(1).alias("words"))
     return A.paired_bootstrap(rows, "a", "b", "words", 200)
+
+
+def _spoken(spark, d):
+    """Benchmark items as sentences and, a word in seven left out, as what was heard."""
+    items = table(spark, d, "benchmark")
+    sentences = items.select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "text"))
+    words = items.select("item_id", F.posexplode(text.split_words(F.col("text"))).alias("pos", "word")).filter("pmod(xxhash64(item_id, pos), 7) > 0")
+    return sentences, words
+
+
+@query("h1_h2_aligned_whole")
+def _(spark, d):
+    sentences, words = _spoken(spark, d)
+    counts = words.groupBy("item_id").agg(F.count("*").cast("int").alias("n_words"))
+    found = A.aligned(sentences, words, "item_id").join(counts, "item_id")
+    return A.reliability(found, "item_id", F.col("n_words")).withColumn("score", F.round("score", 9))
+
+
+@query("h8_global_score_whole")
+def _(spark, d):
+    sentences, words = _spoken(spark, d)
+    return A.global_score(A.aligned(sentences, words, "item_id"), sentences, "item_id").withColumn("score", F.round("score", 9))

@@ -186,3 +186,43 @@ def test_bootstrap_against_a_normal_interval(spark):
     assert align.bootstrap(rows.repartition(7), "a", "w", 400).first() == (low, high)
     d = align.paired_bootstrap(rows, "a", "b", "w", 400).first()
     assert d.low < d.high < 0 and d.p_value < 0.01 and align.paired_bootstrap(rows.withColumn("c", F.col("a")), "a", "c", "w", 50).first().p_value == 1.0
+
+
+def test_align_form_of_strings(spark):
+    values = ["- Demat Deni ! Pelec’h emaout ?", "c'hoazh {a: b} <TRA> Sach", "ñ ň ã ŠŠ aa--bb", "", "C'HWEC'H ùê hh"]
+    assert one(spark, text.align_form(F.col("s")), *values) == [text.align_form_of(v) for v in values]
+
+
+def test_alignment_by_brute_force(spark):
+    import random
+
+    from galvan.operators import align
+
+    r = random.Random(3)
+    pool = "demat kazh sac hent c'h hoarz ki an ar bed emaout trugarez".split()
+    sentences, words = [], []
+    for doc in range(3):
+        heard = [r.choice(pool) for _ in range(25)]
+        words += [(doc, i, w) for i, w in enumerate(heard)]
+        for k, a in enumerate(range(0, 25, 6)):
+            said = [w if r.random() < 0.8 else r.choice(pool) for w in heard[a : a + 6]]
+            sentences.append((doc, k, " ".join(said)))
+    got = align.aligned(spark.createDataFrame(sentences, "doc int, pos int, text string"), spark.createDataFrame(words, "doc int, pos int, word string"), "doc").collect()
+    form = text.align_form_of
+    for doc in range(3):
+        own, heard = [s for d, _, s in sentences if d == doc], [w for d, _, w in words if d == doc]
+        total, before = sum(len(s.replace("'", "").split()) for s in own), 0
+        for k, s in enumerate(own):
+            ref, best = form(s), None
+            for i in range(len(heard)):
+                scores = []
+                for n in range(1, min(len(heard) - i, 2 * len(ref) + 20) + 1):
+                    x = align._distance(ref, form("".join(heard[i : i + n]))) / len(ref) * 0.5 + abs(i / len(heard) - before / total) * 0.5
+                    if scores and x > scores[-1]:
+                        break
+                    scores.append(x)
+                if best is None or scores[-1] < best[0] - 1e-12:
+                    best = scores[-1], i, i + len(scores)
+            g = next(x for x in got if (x.doc, x.sentence) == (doc, k))
+            assert abs(g.score - best[0]) < 1e-9 and (g.lo, g.hi) == best[1:], (doc, k)
+            before += len(s.replace("'", "").split())
