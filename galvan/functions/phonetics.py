@@ -104,3 +104,33 @@ def phonetized_series(lexicon: Lexicon):
         return words.map(one)
 
     return f
+
+
+def phone_lines(phones: Column, names: dict[str, str], durations: dict[str, int], joined: dict[tuple[str, str], str] | None = None, jitter: int = 20, usual: int = 100, pause: int = 100) -> Column:
+    """The lines of a synthesizer's phone file, a name and milliseconds each, from an array of phones: a pause, the phones under the
+    synthesizer's names, a pause. joined: pairs of names that become one, with both durations (the first of overlapping pairs). Durations differ by
+    up to `jitter`, drawn from a hash of place and name, so they repeat. Unknown phones keep their names."""
+    named = F.create_map(*[F.lit(x) for kv in (names or {"": ""}).items() for x in kv])
+    lasting = F.create_map(*[F.lit(x) for kv in (durations or {"": usual}).items() for x in kv])
+
+    def timed(p, i):
+        name = F.coalesce(F.try_element_at(named, p), p)
+        shift = F.pmod(F.xxhash64(name, i), F.lit(2 * jitter + 1)) - jitter
+        return F.struct(name.alias("name"), (F.coalesce(F.try_element_at(lasting, name), F.lit(usual)) + shift).cast("int").alias("ms"))
+
+    pairs = F.create_map(*[F.lit(x) for (a, b), c in (joined or {("", ""): ""}).items() for x in (f"{a} {b}", c)])
+    becomes = lambda t, i: F.when((i >= 0) & (i + 1 < F.size(t)), F.try_element_at(pairs, F.concat_ws(" ", F.get(t, i)["name"], F.get(t, i + 1)["name"])))
+
+    def merged(t):
+        def line(x, i):
+            own, by_last = becomes(t, i), becomes(t, i - 1).isNotNull() & becomes(t, i - 2).isNull()
+            together = F.struct(own.alias("name"), (x["ms"] + F.get(t, i + 1)["ms"]).alias("ms"))
+            return F.when(by_last, F.lit(None)).when(own.isNotNull(), together).otherwise(x)
+
+        return F.filter(F.transform(t, line), lambda x: x.isNotNull())
+
+    from .text import bound
+
+    shown = F.transform(bound(F.transform(phones, timed), merged), lambda x: F.concat(F.rpad(x["name"], 4, " "), x["ms"].cast("string")))
+    rest = F.array(F.lit("_".ljust(4) + str(pause)))
+    return F.concat(rest, shown, rest)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import kept
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -142,6 +143,7 @@ def aligned(sentences: DataFrame, words: DataFrame, part: str, weight: float = 0
     ref = sentences.select(part, F.col("pos").alias("sentence"), T.align_form(F.col("text")).alias("ref"), T.count_plain_words(F.col("text")).alias("n"), "pos")
     ref = ref.withColumn("at", (F.sum("n").over(w_part) - F.col("n")) / F.sum("n").over(w_all)).filter("ref <> ''").drop("pos", "n")
     hyp = words.select(part, F.col("pos").alias("i"), "word")
+    ref, hyp = ref.toDF(*ref.columns), hyp.toDF(*hyp.columns)  # both may come from one table
     kinds = {f.name: f.dataType.simpleString() for f in [*ref.schema, *hyp.schema]}
     out = ref.groupBy(part).cogroup(hyp.groupBy(part)).applyInPandas(_align(weight), f"__part {kinds[part]}, sentence {kinds['sentence']}, lo int, hi int, score double")
     return out.withColumnRenamed("__part", part)
@@ -177,6 +179,47 @@ def unaligned_ranges(matches: DataFrame, part: str, good: tuple[str, ...] = ("O"
     return bad.groupBy(part, "run").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("last")).drop("run")
 
 
+def refined(sentences: DataFrame, words: DataFrame, part: str, weight: float = 0.5, rounds: int = 10) -> DataFrame:
+    """part, sentence, lo, hi, score, reliability. Runs of unreliable sentences are aligned again between their reliable neighbours, as long as
+    that makes more sentences reliable: half-sure ones stay in every other round. At last what half-sure matches run backwards is
+    marked as unsure. Each round is one job over all parts, whose result is written."""
+    index = F.row_number().over(Window.partitionBy(part).orderBy("pos")) - 1
+    heard = words.select(part, index.alias("pos"), "word")
+    sizes = heard.groupBy(part).agg(F.count("*").cast("int").alias("n_words"))
+    graded = lambda m: kept(reliability(m.join(sizes, part), part, F.col("n_words")), "aligned")
+    sure = lambda m: m.filter("reliability IN ('O', 'o')").count()
+    texts = sentences.select(part, F.col("pos").alias("sentence"), "text")
+    matches = graded(aligned(sentences, heard, part, weight))
+    before = sure(matches)
+    for k in range(rounds):
+        rows = matches.withColumn("r", F.row_number().over(Window.partitionBy(part).orderBy("sentence")) - 1)
+        runs = unaligned_ranges(matches, part, ("O", "o") if k % 2 == 0 else ("O",))
+        left, right = rows.select(part, (F.col("r") + 1).alias("first"), F.col("hi").alias("left")), rows.select(part, F.col("r").alias("last"), F.col("lo").alias("right"))
+        runs = runs.join(left, [part, "first"], "left").join(right, [part, "last"], "left").join(sizes, part)
+        runs = runs.select(part, "first", "last", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", "n_words").alias("right"), F.concat_ws(":", F.col(part).cast("string"), "first").alias("run")).filter("left < right")
+        again = rows.join(runs, part).filter("r >= first AND r < last").join(texts, [part, "sentence"]).select("run", F.col("sentence").alias("pos"), "text")
+        between = heard.join(runs, part).filter("pos >= left AND pos < right").select("run", "pos", "word")
+        found = aligned(again, between, "run", weight).join(runs.select("run", part, "left"), "run")
+        found = found.select(part, "sentence", (F.col("lo") + F.col("left")).alias("lo2"), (F.col("hi") + F.col("left")).alias("hi2"), F.col("score").alias("score2"))
+        both = matches.join(found, [part, "sentence"], "left")
+        matches = graded(both.select(part, "sentence", *[F.coalesce(f"{c}2", c).alias(c) for c in ("lo", "hi", "score")]))
+        now = sure(matches)
+        if now <= before:
+            break
+        before = now
+
+    def forwards(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sentence").reset_index(drop=True)
+        last, grades = 0, []
+        for lo, hi, grade in zip(rows["lo"], rows["hi"], rows["reliability"], strict=True):
+            if grade in ("O", "o"):
+                grade, last = (grade, hi) if lo >= last else ("?", last)
+            grades.append(grade)
+        return rows.assign(reliability=grades)
+
+    return matches.groupBy(part).applyInPandas(forwards, matches.schema)
+
+
 def global_score(matches: DataFrame, sentences: DataFrame, part: str) -> DataFrame:
     """Score weighted by the letters of the sentences."""
     both = matches.join(sentences.select(part, F.col("pos").alias("sentence"), F.length(T.align_form(F.col("text"))).alias("n")), [part, "sentence"])

@@ -226,3 +226,23 @@ def test_alignment_by_brute_force(spark):
             g = next(x for x in got if (x.doc, x.sentence) == (doc, k))
             assert abs(g.score - best[0]) < 1e-9 and (g.lo, g.hi) == best[1:], (doc, k)
             before += len(s.replace("'", "").split())
+
+
+def test_refinement_finds_what_the_first_pass_misses(spark):
+    """A repeated sentence is first found far off; its neighbours then hold it in place. Reliable matches never get fewer."""
+    from galvan.operators import align
+
+    said = ["demat deoc'h holl tudoù", "ya", "penaos emañ ar bed hiziv", "ya", "trugarez vras deoc'h c'hwi", "ya", "kenavo ar wech all"]
+    heard = " ".join(said).split()
+    sentences = spark.createDataFrame([(p, i, s) for p in (1, 2) for i, s in enumerate(said)], "doc int, pos int, text string")
+    words = spark.createDataFrame([(1, i * 3, w) for i, w in enumerate(heard)] + [(2, i, w) for i, w in enumerate(heard[:2] + heard[3:])], "doc int, pos int, word string")
+    once = align.reliability(align.aligned(sentences, words.withColumn("pos", F.when(F.col("doc") == 1, (F.col("pos") / 3).cast("int")).otherwise(F.col("pos"))), "doc"), "doc", F.when(F.col("doc") == 1, len(heard)).otherwise(len(heard) - 1))
+    sure = lambda df: df.filter("reliability IN ('O', 'o')").count()
+    got = align.refined(sentences, words, "doc")
+    assert got.count() == 2 * len(said) and sure(got) >= sure(once)
+    at, expected = 0, []
+    for s in said:
+        expected.append((at, at + len(s.split())))
+        at += len(s.split())
+    found = [(r.lo, r.hi) for r in got.filter("doc = 1").orderBy("sentence").collect()]
+    assert found == expected
