@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch between the JVM and a Python worker.
 BATCH_ROWS = 256
+#: Repeated doc_ids, with 24 bytes each, that are broadcast at most.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +77,9 @@ def row_keyed(docs: DataFrame, name: str) -> DataFrame:
     content and number. It follows from content alone, so that it may be computed again."""
     docs = docs.withColumn("__h", content_key(docs, *docs.columns))
     repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min("__h").alias("__first")).filter("__n > 1")
-    both = docs.join(repeated, F.col("doc_id") == F.col("__id"), "left")
+    repeated = written(repeated, "repeated", 1)
+    # few ids are repeated as a rule; if their number shows that, the texts stay where they are
+    both = docs.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, F.col("doc_id") == F.col("__id"), "left")
     plain = both.filter("doc_id IS NOT NULL AND __n IS NULL").withColumn(name, F.col("doc_id").cast("bigint"))
     odd = both.filter("doc_id IS NULL OR __n IS NOT NULL").withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h")))
     first = F.col("doc_id").isNotNull() & (F.col("__h") == F.col("__first")) & (F.col("__i") == 1)
