@@ -77,7 +77,9 @@ class Machine:
         doc = np.repeat(np.arange(len(n)), n)
         x = np.minimum(1, np.sqrt(SCALED / np.maximum(n, 1)))[doc]
         vx = self.v[ids] * x[:, None]
-        sums = np.stack([np.bincount(doc, vx[:, f], len(n)) for f in range(RANK)], 1)
+        sums = np.zeros((len(n), RANK))
+        if len(ids):
+            sums[n > 0] = np.add.reduceat(vx, offsets[:-1][n > 0], axis=0)
         return doc, x, vx, sums, self.w0 + np.bincount(doc, self.w[ids] * x, len(n)) + 0.5 * ((sums * sums).sum(1) - np.bincount(doc, (vx * vx).sum(1), len(n)))
 
     def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ class Machine:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
         rng = np.random.default_rng(seed)
-        joined = lambda part: (np.concatenate([*(rows[k] for k in part), np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(rows[k]) for k in part])]).astype(np.int64))
+        joined = lambda part: (np.concatenate([*(rows[k] for k in part), np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(rows[k]) for k in part])]).astype(np.int64))
         g0, gw, gv = 1e-5, np.full(len(self.w), 1e-5), np.full(self.v.shape, 1e-5)
         checked, trained = np.arange(0, len(rows), 8), np.flatnonzero(np.arange(len(rows)) % 8)
         best = None
@@ -113,7 +115,8 @@ class Machine:
                 v = self.v[used] - step * dv
                 size = np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
                 self.v[used] = v * np.maximum(0, 1 - SHRINK_FACTORS * step.mean(1, keepdims=True) / size)
-            p = np.clip(1 / (1 + np.exp(-self.logits(*joined(checked)))), 1e-9, 1 - 1e-9)
+            z = [self.logits(*joined(checked[i : i + BATCH])) for i in range(0, len(checked), BATCH)]
+            p = np.clip(1 / (1 + np.exp(-np.concatenate([*z, np.zeros(0)]))), 1e-9, 1 - 1e-9)
             loss = -(y[checked] * np.log(p) + (1 - y[checked]) * np.log(1 - p)).mean()
             if best is None or loss < best[0]:
                 best = loss, self.w0, self.w.copy(), self.v.copy()
@@ -146,9 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     p = total.toxic / total.n
     frequent = counted.filter(F.col("n") >= max(3, total.n / FREQUENT)).select("b").collect()  # 2^18 numbers at most
     chosen = {b: i for i, b in enumerate(sorted(r.b for r in frequent))}
-    rows = buckets(chosen).select("doc_id", "toxic", "terms").toPandas().sort_values("doc_id", kind="stable")
+    rows = buckets(chosen).select("doc_id", "toxic", "terms").toArrow()
+    terms = rows.column("terms").combine_chunks()
+    flat, offsets = terms.values.to_numpy(), terms.offsets.to_numpy()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     machine = Machine(len(chosen), min(max(p, 0.01), 0.99))
-    return chosen, machine.fit([np.array(t, np.int64) for t in rows.terms], rows.toxic.to_numpy(float))
+    return chosen, machine.fit([flat[offsets[i] : offsets[i + 1]] for i in order.tolist()], rows.column("toxic").to_numpy()[order].astype(float))
 
 
 def scores(docs: DataFrame, chosen: dict[int, int], machine: Machine) -> DataFrame:
