@@ -140,7 +140,16 @@ def _(spark, d):
     return C.paragraphs(lines, ["doc_id"], "line_no", "l")
 
 
-@query("j27_joined_segments")
+@query(
+    "j27_joined_segments",
+    r"""WITH RECURSIVE r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST(turn * 3.0 AS DOUBLE) AS s, CAST(turn * 3.0 + 2 AS DOUBLE) AS e, text AS t,
+        regexp_matches(text, '^(?:\p{Ll}|\p{Lu}[\p{Lu}\p{Nd}]|\p{Nd})') AS opens, regexp_matches(text, '(?:\p{Ll}|\p{Nd}|[-…,])$') AS open_, regexp_matches(text, '(?s)^\p{Lu}(?:.*[.!?…;:])$') AS full_ FROM conversations),
+    j AS (SELECT conv_id, i, 1 AS g, s, e, t, open_, full_ FROM r WHERE i = 1
+        UNION ALL SELECT conv_id, i, CASE WHEN x THEN g ELSE g + 1 END, CASE WHEN x THEN s0 ELSE s END, e, CASE WHEN x THEN t0 || ' ' || t ELSE t END, open_, CASE WHEN x THEN full0 AND full_ ELSE full_ END FROM (
+            SELECT r.conv_id, r.i, g, j.s AS s0, r.s, r.e, j.t AS t0, r.t, r.open_, r.full_, j.full_ AS full0,
+                (j.open_ AND r.opens AND r.s - j.e < 1.5 AND r.e - j.s < 15) OR (j.full_ AND r.full_ AND r.s - j.e < 2 AND r.e - j.s < 6) AS x FROM j JOIN r ON r.conv_id = j.conv_id AND r.i = j.i + 1))
+    SELECT conv_id, arg_max(s, i) AS start, arg_max(e, i) AS "end", arg_max(t, i) AS text FROM j GROUP BY conv_id, g""",
+)
 def _(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 3.0).alias("start"), (F.col("turn") * 3.0 + 2).alias("end"), "text")
     return C.joined_segments(rows, ["conv_id"])

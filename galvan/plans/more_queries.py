@@ -35,7 +35,7 @@ def _(spark, d):
     return h.select("file", F.col("meta")["source"].alias("source"), F.col("meta")["lang"].alias("lang"))
 
 
-@query("a20_b6_elan")
+@query("a20_b6_elan", "SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS DOUBLE) AS start, turn + 1.0 AS \"end\", md5(text) AS text FROM conversations")
 def _(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), "text")
     return files.elan(sinks.elan_document(rows).withColumnRenamed("value", "text")).withColumn("text", F.md5("text"))
