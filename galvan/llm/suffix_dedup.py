@@ -42,7 +42,7 @@ SIDE = LENGTH - K
 #: Anchors of a bucket, bytes of text in a document bucket, anchors that a task gathers before it sends them.
 BUCKET, DOC_BYTES, FLUSH = 400_000, 12 << 20, 400_000
 #: Batches that a table is fed in.
-BATCHES = 4
+BATCHES = 3
 #: Bytes beside the K-gram that anchors share if they share a window.
 HALF = SIDE // 2
 _U = np.uint64
@@ -160,9 +160,21 @@ def changes(cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def ordering(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their keys, the first one first. Most are told apart by the first two; only what these leave equal is
+    sorted by the others."""
+    o = np.lexsort((keys[1], keys[0]))
+    new = changes([keys[0][o], keys[1][o]])
+    tied = ~(new & np.append(new[1:], True))
+    if tied.any():
+        rows = o[tied]
+        o[tied] = rows[np.lexsort((*[k[rows] for k in keys[:1:-1]], np.cumsum(new)[tied]))]
+    return o
+
+
 def ordered(cols: list[np.ndarray]) -> list[np.ndarray]:
     """Rows in the order of their columns."""
-    o = np.lexsort(cols[::-1])
+    o = ordering(cols)
     return [c[o] for c in cols]
 
 
@@ -225,8 +237,8 @@ def bucket_of(cols: list[np.ndarray], buckets: int) -> np.ndarray:
     return (h % _U(buckets)).astype(np.int64)
 
 
-def _match(doc_buckets: int):
-    """A bucket's anchors of a batch and of the levels -> marks by document bucket, and the batch's part of a new level."""
+def _match(doc_buckets: int, last: bool):
+    """A bucket's anchors of a batch and of the levels -> marks by document bucket, and the batch's part of a new level, unless it is the last."""
 
     def run(key, t):
         key = key[0].as_py()
@@ -243,7 +255,9 @@ def _match(doc_buckets: int):
         # the merge scan: entries of the levels come before the batch's of the same K-gram and context
         own = np.concatenate([np.zeros(len(held[0]), np.int8), np.ones(len(batch[0]), np.int8)])
         both = [np.concatenate([a, b]) for a, b in zip(held, batch, strict=True)]
-        *both, own = [c[np.lexsort((own, *both[4::-1]))] for c in (*both, own)] if len(held[0]) else (*batch, own)
+        if len(held[0]):
+            o = ordering([*both[:5], own])
+            both, own = [c[o] for c in both], own[o]
         fresh = changes(both[:5])
         repeat = (own == 1) & ~fresh
         marks.append([c[repeat] for c in both[5:]] + [np.full(int(repeat.sum()), REPEAT, np.int32)])
@@ -256,7 +270,7 @@ def _match(doc_buckets: int):
         found = [np.concatenate(x) for x in zip(*marks, strict=True)]
         level = [c[own == 1] for c in both]
         out = [pieces(((k, columns(*x)) for k, x in dealt(home(found[0], found[1], doc_buckets), found)), MARKS)]
-        if len(level[0]):
+        if len(level[0]) and not last:
             out.append(pieces([(key, columns(*level))], LEVEL))
         return pa.Table.from_batches(out)
 
@@ -444,8 +458,15 @@ class Index:
             for old in (a, b):
                 _delete(self.spark, old)
 
-    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
-        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) of a batch, whose ids are above those of earlier batches."""
+    def drop(self) -> None:
+        """Deletes the levels."""
+        for path, _ in self.levels:
+            _delete(self.spark, path)
+        self.levels = []
+
+    def add(self, docs: DataFrame, with_text: bool = False, last: bool = False) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) of a batch, whose ids are above those of earlier batches.
+        last: no batch follows, so it makes no level and the others go."""
         self._merged()
         docs = self.keyed(docs)
         self.documents.append(docs)
@@ -453,8 +474,10 @@ class Index:
         for path, _ in self.levels:
             pieces_ = pieces_.unionByName(self._read(path).withColumn("kind", F.lit(LEVEL)))
         path = f"{self.folder}/batch-{uuid.uuid4().hex}"
-        pieces_.groupBy("key").applyInArrow(_match(self.doc_buckets), PIECE).write.partitionBy("kind").parquet(path)
+        pieces_.groupBy("key").applyInArrow(_match(self.doc_buckets, last), PIECE).write.partitionBy("kind").parquet(path)
         _freed(self.spark)
+        if last:
+            self.drop()
         marks = self.spark.read.schema("key int, payload binary, kind int").parquet(path).filter(F.col("kind") == MARKS)
         if not self.spark.read.schema("key int, payload binary, kind int").parquet(path).filter(F.col("kind") == LEVEL).isEmpty():
             self.levels.append((f"{path}/kind={LEVEL}", 1))
@@ -482,7 +505,7 @@ def dedup(docs: DataFrame, with_text: bool = False, batches: int = BATCHES) -> D
     for i in range(len(cuts) + 1):
         above = at > cuts[i - 1] if i else at.isNull()
         upto = at <= cuts[i] if i < len(cuts) else F.lit(True)
-        part = index.add(docs.filter((at.isNull() | upto) if not i else above & upto), with_text)
+        part = index.add(docs.filter((at.isNull() | upto) if not i else above & upto), with_text, last=i == len(cuts))
         out = part if out is None else out.unionByName(part)
     return out
 
