@@ -8,7 +8,7 @@ over thousands of terms would drown everything else.
 It is trained on at most SAMPLE labelled rows (those of the smallest hashes of doc_id), over all buckets that occur in one of FREQUENT
 of these texts, whatever the label: what a handful of texts have can't be learnt from them. AdaGrad on the logistic loss, with weights and
 factors shrunk towards zero after each step (L1 and group L1); the shrinkage of the weights begins strong, so that what tells most comes
-first. Of the epochs the one of the least loss on every eighth row, which is not trained on, is taken. Then every whole text is scored.
+first. About STEPS batches are trained on, in whole epochs; of these the one of the least loss on every eighth row, which is not trained on, is taken. Then every whole text is scored.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read. Labels, language, source and doc_id are no
 inputs of a score.
@@ -32,7 +32,9 @@ from .common import map_texts, table, written
 BUCKETS = 1 << 18
 SAMPLE = 20_000
 FREQUENT, SCALED = 150, 300
-RANK, EPOCHS, RATE, BATCH = 8, 24, 0.1, 128
+RANK, RATE, BATCH = 8, 0.1, 128
+#: Batches that are trained on, as whole epochs, and epochs at least and at most.
+STEPS, EPOCHS = 1200, (6, 24)
 #: Shrinkage of weights at first and at last, and of factors.
 SHRINK_FIRST, SHRINK_LAST, SHRINK_FACTORS = 0.015, 0.003, 0.003
 THRESHOLD = 0.3
@@ -92,8 +94,9 @@ class Machine:
         g0, gw, gv = 1e-5, np.full(len(self.w), 1e-5), np.full(self.v.shape, 1e-5)
         checked, trained = np.arange(0, len(rows), 8), np.flatnonzero(np.arange(len(rows)) % 8)
         best = None
-        for epoch in range(EPOCHS):
-            shrink = max(SHRINK_LAST, SHRINK_FIRST * (1 - epoch / (0.7 * EPOCHS)))
+        epochs = min(max(round(STEPS * BATCH / max(len(trained), 1)), EPOCHS[0]), EPOCHS[1])
+        for epoch in range(epochs):
+            shrink = max(SHRINK_LAST, SHRINK_FIRST * (1 - epoch / (0.7 * epochs)))
             order = rng.permutation(trained)
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
