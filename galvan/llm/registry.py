@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
 from . import (
+    centroids,
     decontaminate,
     licenses,
     near_dedup,
@@ -11,6 +12,7 @@ from . import (
     suffix_dedup,
     token_files,
     toxicity,
+    whitening,
 )
 
 QUERIES = {
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op12_centroid_clustering": centroids.query,
+    "op13_embedding_whitening": whitening.query,
 }
 SQL = {"op1_quality_rules": quality_rules.sql(), "op8_license_scan": licenses.sql()}
