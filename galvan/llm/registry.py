@@ -13,6 +13,7 @@ from . import (
     token_files,
     toxicity,
     whitening,
+    wrappers,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_token_files": token_files.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_wrapper_extraction": wrappers.query,
     "op12_centroid_clustering": centroids.query,
     "op13_embedding_whitening": whitening.query,
 }
