@@ -25,6 +25,7 @@ TENS = {"ugent": 20, "tregont": 30, "daou-ugent": 40, "hanter-kant": 50, "tri-ug
 HUNDRED, THOUSAND = ("kant", "c'hant"), ("mil", "vil")
 LARGE = {"miliard": 10**9, "viliard": 10**9, "milion": 10**6, "vilion": 10**6}
 NOTHING = ("zero", "mann")
+LINKS = frozenset("hag pe met evit gant war dre dindan etre betek eus ouzh zo oa eo vez warn ugent hanter warn-ugent".split())
 _MARKS = ".…,;:!?»)”\""
 
 
@@ -40,18 +41,21 @@ class Said:
 
 @dataclass(frozen=True)
 class Parse:
-    """A number that ends before word `end`; the noun may stand before its last part (pemp bloaz warn-ugent)."""
+    """A number that ends before word `end`; a noun may stand before its last part (pemp bloaz warn-ugent), alone or with a word that goes
+    with it (div blac'h kozh ha daou-ugent): the `width` words from `noun` on."""
 
     end: int
     value: int
     noun: int | None = None
+    width: int = 0
 
 
 class Grammar:
     """Numbers among the words of a sentence. Each rule gives all its parses from a place on:
 
     tens      ugent | tregont | daou-ugent | hanter-kant | tri-ugent | pevar-ugent, with a hyphen or a space
-    hundred   below a hundred: one | teen | tens | one [noun] warn-ugent | one [noun] ha(g) tens | teen [noun] ha 60 or 80
+    hundred   below a hundred: one | teen | tens | one [noun [word]] warn-ugent | one [noun [word]] ha(g) tens | teen [noun [word]] ha 60 or 80;
+              after a noun, ha(g) tens belongs to the number only if no noun of its own follows (... ha daou-ugent kazh are two numbers)
     thousand  [one or teen] kant [hundred] | hundred
     million   [thousand below 1000] mil [thousand] | thousand
     number    [million below a million] milion or miliard [smaller number] | hanter of one of these | million"""
@@ -84,14 +88,20 @@ class Grammar:
         if low is None:
             return self.tens(i)
         out = [Parse(i + 1, low), *self.tens(i)]
-        for noun in (None, i + 1):
-            if noun is None or self.is_noun(self.at(noun)):
-                out += [Parse(p.end, low + p.value, noun) for p in self.added(i + 1 if noun is None else i + 2) if low < 10 or p.value in (60, 80)]
+        for width in range(3):
+            if (width and not self.is_noun(self.at(i + 1))) or (width == 2 and not self.beside_noun(self.at(i + 2))):
+                continue
+            parts = [p for p in self.added(i + 1 + width) if low < 10 or p.value in (60, 80)]
+            out += [Parse(p.end, low + p.value, i + 1 if width else None, width) for p in parts if not width or p.value == 20 or not self.is_noun(self.at(p.end))]
         return out
 
+    def beside_noun(self, word: str) -> bool:
+        """Whether a word may go with a noun, like an adjective: none that counts, joins or is a noun."""
+        return len(word) > 2 and word not in LINKS and word not in ONES and word not in TEENS and word not in TENS and word not in HUNDRED + THOUSAND + NOTHING and word not in LARGE and not self.is_noun(word)
+
     def then(self, i: int, value: int, rule: Callable[[int], list[Parse]], below: int) -> list[Parse]:
         """`value`, alone or with a smaller number behind it."""
-        return [Parse(i, value)] + [Parse(p.end, value + p.value, p.noun) for p in rule(i) if p.value < below]
+        return [Parse(i, value)] + [replace(p, value=value + p.value) for p in rule(i) if p.value < below]
 
     def thousand(self, i: int) -> list[Parse]:
         times = ONES.get(self.at(i)) or TEENS.get(self.at(i))
@@ -138,7 +148,7 @@ class Inverse:
         self.noun, self.lex, self.least = Tokenizer(lexicon).noun, lexicon, least
 
     def words(self, items: list[Said]) -> list[Said]:
-        """Numbers of `least` or more become digits, the longest from each place on; a noun within one comes behind it, in its last time.
+        """Numbers of `least` or more become digits, the longest from each place on; a noun phrase within one comes behind it, in its last time.
         Punctuation at the end of a word ends a number and stays."""
         cores = [x.word.rstrip(_MARKS) or x.word for x in items]
         tails = [x.word[len(c) :] for x, c in zip(items, cores, strict=True)]
@@ -152,12 +162,14 @@ class Inverse:
                 out += items[i:end]
             else:
                 end, last = p.end, items[p.end - 1].end
-                noun = items[p.noun] if p.noun is not None else None
-                cut = last - (noun.end - noun.start) if noun else last
+                phrase = items[p.noun : p.noun + p.width] if p.width else []
+                cut = last - sum(x.end - x.start for x in phrase)
                 tail = tails[end - 1]
-                out.append(Said(f"{p.value}{'' if noun else tail}", items[i].start, cut))
-                if noun:
-                    out.append(replace(noun, word=cores[p.noun] + tail, start=cut, end=last))
+                out.append(Said(f"{p.value}{'' if phrase else tail}", items[i].start, cut))
+                for k, x in enumerate(phrase):
+                    then = last if k == len(phrase) - 1 else cut + x.end - x.start
+                    out.append(replace(x, word=cores[p.noun + k] + (tail if k == len(phrase) - 1 else ""), start=cut, end=then))
+                    cut = then
             i = end
         return out
 

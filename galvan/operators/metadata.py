@@ -84,6 +84,11 @@ class State:
         return regions or [{"text": None, "meta": dict(self.now)}], segment
 
 
+def lines_of(text: str | None) -> list[str]:
+    """The lines of a file; line separators within a line (U+2028) are text."""
+    return re.split("\r\n|\n|\r", text) if text else []
+
+
 def parse_file(lines: Iterable[str], **options) -> list[dict]:
     """line number, regions, start and end of each line that is no comment."""
     state, out = State(**options), []
@@ -101,7 +106,7 @@ def parsed(files: DataFrame, **options) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]):
         for b in batches:
             for file, text in zip(b["file"], b["text"], strict=True):
-                rows = pd.DataFrame(parse_file((text or "").splitlines(), **options), columns=["line", "regions", "start", "end"])
+                rows = pd.DataFrame(parse_file(lines_of(text), **options), columns=["line", "regions", "start", "end"])
                 rows.insert(0, "file", file)
                 rows["regions"] = rows["regions"].map(lambda r: [{"text": x["text"], "meta": x["meta"]} for x in r])
                 yield rows.astype({"start": float, "end": float})

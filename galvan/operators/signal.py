@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import gcd
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Zero crossings of the sinc on each side of a resampling kernel.
+ZEROS = 16
+
 
 def framed_rms(samples: Column, size: int, step: int) -> Column:
     """Root mean square of frames of `size` every `step`; the last one is padded with zeros."""
@@ -107,3 +113,61 @@ def reverberated(impulse: list[float]):
         return samples.map(lambda x: None if x is None else wet(np.asarray(x, float)))
 
     return f
+
+
+@lru_cache(16)
+def kernel(source: int, target: int, zeros: int = ZEROS) -> tuple[int, int, int, np.ndarray]:
+    """(up, down, half, table): output sample m stands at input place m * down / up; row `phase` of the table holds the weights of the
+    input samples from `half` before its whole place to `half` + 1 behind it, of a sinc cut at the lower of the two rates' limits and
+    shaped by a raised cosine."""
+    g = gcd(source, target)
+    up, down = target // g, source // g
+    cut = min(1.0, up / down)
+    reach = zeros / cut
+    half = int(np.ceil(reach))
+    t = np.arange(up)[:, None] / up - np.arange(-half, half + 2)[None, :]
+    return up, down, half, np.where(np.abs(t) < reach, cut * np.sinc(t * cut) * (0.5 + 0.5 * np.cos(np.pi * t / reach)), 0.0)
+
+
+def resampled_part(x: np.ndarray, first: int, start: int, end: int, source: int, target: int, zeros: int = ZEROS) -> np.ndarray:
+    """The output samples that stand within input places [start, end), from x, the input samples from place `first` on; what x doesn't have is
+    silence."""
+    up, down, half, table = kernel(source, target, zeros)
+    m = np.arange(-(-start * up // down), -(-end * up // down), dtype=np.int64)
+    if not len(m):
+        return np.zeros(0)
+    whole, phase = np.divmod(m * down, up)
+    lo, hi = int(whole[0]) - half, int(whole[-1]) + half + 2
+    padded = np.zeros(hi - lo)
+    a, b = max(lo, first), min(hi, first + len(x))
+    if a < b:
+        padded[a - lo : b - lo] = x[a - first : b - first]
+    out = np.empty(len(m))
+    for i in range(0, len(m), 4096):
+        w, p = whole[i : i + 4096], phase[i : i + 4096]
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 2)[w - half - lo]
+        out[i : i + 4096] = np.einsum("ij,ij->i", windows, table[p])
+    return out
+
+
+def resampled(blocks: DataFrame, key: str, block: str, samples: str, source: int, target: int = 16000, zeros: int = ZEROS) -> DataFrame:
+    """The blocks (key, block, samples) of signals at another rate, by a polyphase windowed sinc. A block gets the edges of its neighbours, so
+    all blocks together are what the whole signal gives; each is a row of its own, and no signal is gathered. Blocks but the last of a
+    signal need at least as many samples as the kernel reaches to one side (an error otherwise); null samples are none."""
+    half = kernel(source, target, zeros)[2] + 1
+    w = Window.partitionBy("k").orderBy("b")
+    n = F.size("x")
+    rows = blocks.select(F.col(key).alias("k"), F.col(block).alias("b"), F.coalesce(F.col(samples).cast("array<double>"), F.array().cast("array<double>")).alias("x"))
+    rows = rows.withColumn("start", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    short = F.raise_error(F.format_string("block %s of %s is shorter than the kernel", F.col("b").cast("string"), F.col("k").cast("string")))
+    checked = F.when((n < half) & F.lead("b").over(w).isNotNull() & (n > 0), short.cast("array<double>")).otherwise(F.col("x"))
+    tail = F.slice("x", F.greatest(n - half + 1, F.lit(1)), F.lit(half))
+    before, after, then = F.lag(tail).over(w), F.lead(F.slice("x", 1, half)).over(w), F.lead(F.slice("x", 1, half), 2).over(w)
+    none = F.array().cast("array<double>")
+    rows = rows.select("k", "b", "start", n.cast("bigint").alias("n"), F.coalesce(before, none).alias("before"), checked.alias("x"), F.concat(F.coalesce(after, none), F.coalesce(then, none)).alias("after"))
+
+    @F.pandas_udf("array<double>")
+    def f(x: pd.Series, before: pd.Series, after: pd.Series, start: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([resampled_part(np.concatenate([b, v, a]).astype(float), s - len(b), s, s + k, source, target, zeros) for v, b, a, s, k in zip(x, before, after, start, n, strict=True)], dtype=object)
+
+    return rows.select(F.col("k").alias(key), F.col("b").alias(block), f("x", "before", "after", "start", "n").alias(samples))

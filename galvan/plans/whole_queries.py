@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..functions import inverse, lexicon, phonetics, text, tokens
+from ..functions import inverse, lexicon, numbers, phonetics, text, tokens
 from ..operators import align as A
 from ..operators import metadata as M
 from ..sources import files, sinks
@@ -143,10 +143,27 @@ def _(spark, d):
     return words.select("word", kind.alias("type"), "n").filter("type <> 'NOUN'")
 
 
-@query("e11_digits_whole", f"SELECT conv_id, turn, md5(array_to_string({_WORDS}, ' ')) AS h FROM conversations WHERE NOT regexp_matches(text, '(?i)\\b(mil|kant|dek|nav|eizh|pemp|ugent|tri|div)\\b')")
+_NUMBER_SQL = "(SELECT l_partkey * 50 + CAST(l_quantity AS BIGINT) AS n FROM lineitem)"
+
+
+def _numbers(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 50 + F.col("l_quantity").cast("bigint")).alias("n")).groupBy("n").agg(F.count("*").alias("rows"))
+
+
+@query("e11_spelled_numbers", f"SELECT n, 'bez ez eus ' || n || ' anezho' AS digits, count(*) AS rows FROM {_NUMBER_SQL} GROUP BY n")
+def _(spark, d):
+    """Numbers of the table in words, and in digits again."""
+    said = F.concat(F.lit("bez ez eus "), numbers.number_words(F.col("n")), F.lit(" anezho"))
+    return _numbers(spark, d).select("n", inverse.digits(said, _LEX, 1).alias("digits"), "rows")
+
+
+@query("e12_spelled_nouns", f"SELECT n, [n || '', 'kazh'] AS words, 0.0::DOUBLE AS first, count(*) AS rows FROM {_NUMBER_SQL} GROUP BY n")
 def _(spark, d):
-    rows = table(spark, d, "conversations").filter(~F.col("text").rlike("(?i)\\b(mil|kant|dek|nav|eizh|pemp|ugent|tri|div)\\b"))
-    return rows.select("conv_id", "turn", F.md5(inverse.digits(F.col("text"), _LEX, 4)).alias("h"))
+    """Numbers with a noun within them, as timecoded words."""
+    said = F.split(numbers.number_noun(F.col("n"), F.lit("kazh")), " ")
+    timed = F.transform(said, lambda w, i: F.struct(w.alias("word"), (i * 2.0).alias("start"), (i * 2.0 + 1).alias("end"), F.lit(1.0).alias("conf")))
+    found = _numbers(spark, d).select("n", "rows", inverse.digits_timecoded(timed, _LEX, 1).alias("x"))
+    return found.select("n", F.transform("x", lambda x: x["word"]).alias("words"), F.element_at("x", 1)["start"].alias("first"), "rows")
 
 
 # Without SQL: the cascades on all texts.

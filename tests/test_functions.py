@@ -37,7 +37,7 @@ def test_numbers_agree_with_the_python_form(spark):
             assert years == tokens.spelled_with(n, "bloaz")
 
 
-@pytest.mark.parametrize("said,written", [("92 ki", "daouzek ki ha pevar-ugent"), ("12 000 euro", "daouzek mil euro"), ("9e15", "nav eur ha kard"), ("Demat It. Marie", "Demat Itron Marie"), ("12 2010", "daouzek daou vil dek")])
+@pytest.mark.parametrize("said,written", [("92 ki", "daouzek ki ha pevar-ugent"), ("12 000 euro", "daouzek mil euro"), ("9e15", "nav eur ha kard"), ("Demat It. Marie", "Demat Itron Marie"), ("12 2010", "daouzek daou vil dek"), ("1kg sukr, 21 kg bleud, 11kg", "ur c'hilo sukr, ur c'hilo warn-ugent bleud, unnek kilo")])
 def test_normalized(spark, said, written):
     assert one(spark, tokens.normalized(F.col("s"), LEX), said) == [written]
 
@@ -59,6 +59,10 @@ NOUNS = lexicon.Lexicon(nouns_m={"den", "marc'h", "kazh", "pesk", "korn-boud", "
         ("daou gorn-boud warn-ugent", "22 gorn-boud"), ("ar c'hoant da zaou vil daou ha tregont", "ar c'hoant da 2032"), ("kant hanter-kant den a oa", "150 den a oa"),
         ("ar bardelloù e Pariz mil pemp kant eizh ha pevar-ugent mil c'hwec'h kant eizh ha daou-ugent mil eizh kant tregont...", "ar bardelloù e Pariz 1588 1648 1830..."),
         ("ar bardelloù e Pariz mil pemp kant eizh ha pevar-ugent mil c'hwec'h kant eizh ha daou-ugent mil eizh kant tregont", "ar bardelloù e Pariz 1588 1648 1830"),
+        ("div blac'h kozh ha daou-ugent", "42 blac'h kozh"), ("div blac'h kozh ha daou-ugent aet d'an anaon", "42 blac'h kozh aet d'an anaon"), ("daou gi bihan warn-ugent.", "22 gi bihan."),
+        # two numbers, as a noun follows the second; the first is below 4
+        ("div blac'h kozh ha daou-ugent kazh du", "div blac'h kozh ha 40 kazh du"), ("pemp plac'h kozh ha daou-ugent kazh du", "5 plac'h kozh ha 40 kazh du"), ("pemp kazh ha daou-ugent pesk", "5 kazh ha 40 pesk"),
+        ("pemp kazh pesk ha daou-ugent", "5 kazh pesk ha 40"), ("pemp kazh hag hag hanter-kant", "5 kazh hag hag 50"),
         ("tri ha ha", "tri ha ha"), ("warn ugent ki", "warn 20 ki"), ("naontek % ha tri ugent", "79 %"), ("daou vilion tri c'hant mil hag unan", "2300000 hag unan"), ("hanter milion", "500000"), ("", ""),
     ],
 )
