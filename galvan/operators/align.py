@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .edits import aligned_words, distances
 from .shared import kept
 
 
@@ -119,7 +120,7 @@ def _align(weight: float):
                 if even:
                     size[even], edits[even] = _best_sizes(codes(ref), chars[even], [ends[k] for k in even])
                 for k in odd:
-                    each = [_distance(ref, f) for f in forms[k][: 2 * len(ref) + 20]]
+                    each = distances(ref, forms[k][: 2 * len(ref) + 20]).tolist()
                     size[k] = next((j for j in range(1, len(each)) if each[j] > each[j - 1]), len(each))
                     edits[k] = each[size[k] - 1]
                 score = edits / len(ref) * (1 - weight) + np.abs(np.array(starts) / len(words) - where) * weight
@@ -233,15 +234,6 @@ def best_cut(a: Column, b: Column, words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), at))["i"]).otherwise(-1)
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
-
-
 def resolved(matches: DataFrame, part: str, most: int = 2) -> DataFrame:
     """Overlaps of up to `most` words between neighbours are cut where both fit best. (part, sentence, text, lo, hi, words), words being those
     of the span in their form for alignment, text too; each cut decides what the next one sees."""
@@ -255,8 +247,10 @@ def resolved(matches: DataFrame, part: str, most: int = 2) -> DataFrame:
                 continue
             both = words[k][:-over] + words[k + 1]
             a, b = rows["text"][k], rows["text"][k + 1]
-            score = lambda i: _distance(a, "".join(both[:i])) / max(1, len(a)) + _distance(b, "".join(both[i:])) / max(1, len(b))  # noqa: E731, B023
-            if len(both) > 1 and (cut := min(range(1, len(both)), key=lambda i: (score(i), i))):
+            if len(both) > 1:
+                ends = range(1, len(both))
+                score = distances(a, ["".join(both[:i]) for i in ends]) / max(1, len(a)) + distances(b, ["".join(both[i:]) for i in ends]) / max(1, len(b))
+                cut = 1 + int(score.argmin())
                 hi[k] -= len(words[k]) - cut
                 lo[k + 1] = hi[k]
                 words[k], words[k + 1] = both[:cut], both[cut:]
@@ -266,31 +260,12 @@ def resolved(matches: DataFrame, part: str, most: int = 2) -> DataFrame:
 
 
 def word_alignment(reference: Column, hypothesis: Column) -> Column:
-    """array of (reference word, hypothesis word), null where one has none: least cost, a substitution costing its character error rate."""
-
-    def pairs(a: list[str], b: list[str]) -> list[dict]:
-        cost = np.zeros((len(a) + 1, len(b) + 1))
-        cost[:, 0], cost[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-        swap = [[_distance(x, y) / max(1, len(x)) for y in b] for x in a]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                cost[i, j] = min(cost[i - 1, j - 1] + swap[i - 1][j - 1], cost[i - 1, j] + 1, cost[i, j - 1] + 1)
-        out, i, j = [], len(a), len(b)
-        while i or j:
-            if i and j and cost[i, j] == cost[i - 1, j - 1] + swap[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                out.append({"reference": a[i], "hypothesis": b[j]})
-            elif i and cost[i, j] == cost[i - 1, j] + 1:
-                i -= 1
-                out.append({"reference": a[i], "hypothesis": None})
-            else:
-                j -= 1
-                out.append({"reference": None, "hypothesis": b[j]})
-        return out[::-1]
+    """array of (reference word, hypothesis word), null where one has none: least cost, a substitution costing its character error rate. A pair
+    takes memory in proportion to the root of one side's words times the other's; a null word counts as an empty one."""
 
     @F.pandas_udf("array<struct<reference:string,hypothesis:string>>")
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else pairs(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else [{"reference": p, "hypothesis": q} for p, q in aligned_words([w or "" for w in x], [w or "" for w in y])] for x, y in zip(a, b, strict=True)])
 
     return f(reference, hypothesis)
 

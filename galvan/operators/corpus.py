@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from ..functions.alphabet import VALID_CHARS
+from .shared import kept
 
 
 def vocabulary(docs: DataFrame, tokens: Column, least: int = 1) -> DataFrame:
@@ -102,11 +105,20 @@ def paragraphs(df: DataFrame, part: list[str], order: str, line: str) -> DataFra
     return joined.filter("ended").select(*part, F.col("lines")[0][order].alias(order), F.array_join(F.transform("lines", lambda x: x["line"]), " ").alias("paragraph"))
 
 
+def numbered(df: DataFrame, *by: Column | str, name: str = "row") -> DataFrame:
+    """Adds row numbers from 1 in the order of `by`. Rows are dealt by ranges and sorted there; the ranges' sizes, a row each, give where their
+    numbers begin, so no task sees all rows. Written in between, as ranges are drawn from a sample."""
+    order = [F.col(c) if isinstance(c, str) else c for c in by]
+    ranged = kept(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__range")), "ranges")
+    sizes = ranged.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))
+    within = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return within.join(F.broadcast(before), F.col("__range") == F.col("__of")).withColumn(name, F.col("__before") + F.col("__i")).drop("__range", "__of", "__before", "__i")
+
+
 def zipped(long: DataFrame, by: str, short: DataFrame, other: str) -> DataFrame:
-    """Row by row in order, as far as the shorter one goes; of the longer one only so many rows are sorted into one place."""
-    n = short.count()
-    number = lambda df, c: df.withColumn("__row", F.row_number().over(Window.orderBy(c)))
-    return number(top(long, n, F.asc(by)), by).join(number(short, other), "__row").drop("__row")
+    """Row by row in order, as far as the shorter one goes."""
+    return numbered(long, by, name="__row").join(numbered(short, other, name="__row"), "__row").drop("__row")
 
 
 def jaccard_share(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -125,21 +137,39 @@ def sessions(df: DataFrame, part: list[str], start: str, end: str, gap: float) -
 
 def joined_segments(df: DataFrame, part: list[str]) -> DataFrame:
     """Subtitle rows (start, end, text) of a part joined in order: a row joins the one before, as joined so far, if that one ends open,
-    this one starts open, the pause is under 1.5 s and the sum under 15 s; or if both are full, the pause under 2 s and the sum under 6 s."""
-    flagged = df.select(*part, F.struct("start", "end", "text", T.is_start_open(F.col("text")).alias("opens"), T.is_end_open(F.col("text")).alias("open"), T.is_full_sentence(F.col("text")).alias("full")).alias("s"))
-    lists = flagged.groupBy(*part).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    kind = "array<struct<start:double,end:double,text:string,open:boolean,full:boolean>>"
-
-    def step(done, s):
-        last = F.element_at(done, -1)
-        pause, length = s["start"] - last["end"], s["end"] - last["start"]
-        joins = (F.size(done) > 0) & ((last["open"] & s["opens"] & (pause < 1.5) & (length < 15)) | (last["full"] & s["full"] & (pause < 2) & (length < 6)))
-        alone = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["open"].alias("open"), s["full"].alias("full"))
-        merged = F.struct(last["start"].alias("start"), s["end"].alias("end"), F.concat_ws(" ", last["text"], s["text"]).alias("text"), s["open"].alias("open"), (last["full"] & s["full"]).alias("full"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(alone)))
-
-    step_guarded = lambda done, s: F.when(F.size(done) == 0, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["open"].alias("open"), s["full"].alias("full")))).otherwise(step(done, s))
-    return lists.select(*part, F.explode(F.aggregate("s", F.array().cast(kind), step_guarded)).alias("j")).select(*part, "j.start", "j.end", "j.text")
+    this one starts open, the pause is under 1.5 s and the sum under 15 s; or if both are full, the pause under 2 s and the sum under 6 s.
+    A task walks its sorted rows once and holds no more than the row that may still grow."""
+    flags = (T.is_start_open(F.col("text")).alias("opens"), T.is_end_open(F.col("text")).alias("open"), T.is_full_sentence(F.col("text")).alias("full"))
+    rows = df.select(*part, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", *flags)
+    ordered = rows.repartition(*part).sortWithinPartitions(*part, "start", "end", "text")
+    out = df.select(*part).schema.add("start", "double").add("end", "double").add("text", "string")
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        last: dict | None = None
+
+        def closed(row: dict) -> tuple:
+            return (*(row[c] for c in part), row["start"], row["end"], row["texts"][0] if len(row["texts"]) == 1 else " ".join(t for t in row["texts"] if t is not None))
+
+        for batch in batches:
+            done = []
+            for x in batch.to_pylist():
+                pause = length = float("inf")
+                if last is not None and all(x[c] == last[c] for c in part):
+                    pause, length = (a - b if a is not None and b is not None else float("inf") for a, b in ((x["start"], last["end"]), (x["end"], last["start"])))
+                if (last and last["open"] and x["opens"] and pause < 1.5 and length < 15) or (last and last["full"] and x["full"] and pause < 2 and length < 6):
+                    last["texts"].append(x["text"])
+                    last |= {"end": x["end"], "open": x["open"], "full": last["full"] and x["full"]}
+                else:
+                    if last is not None:
+                        done.append(closed(last))
+                    last = x | {"texts": [x["text"]]}
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(closed(last), arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, out)
 
 
 def word_after(words: Column, wanted: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.corpus import segment_id
@@ -100,15 +100,16 @@ def write_dataset(rows: DataFrame, path: str, kind: str = "jsonl") -> None:
 
 
 def elan_document(rows: DataFrame) -> DataFrame:
-    """file, value: an EAF document of each file's (start, end, text); times never run backwards."""
-    ordered = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("s"))
-    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    times = F.aggregate(
-        F.flatten(F.transform("s", lambda x: F.array(F.round(x["start"] * 1000).cast("bigint"), F.round(x["end"] * 1000).cast("bigint")))),
-        F.array().cast("array<bigint>"),
-        lambda a, t: F.concat(a, F.array(F.greatest(t, F.coalesce(F.try_element_at(a, F.lit(-1)), t)))),
-    )
-    slots = F.array_join(F.transform(times, lambda t, i: F.format_string('<TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/>', i + 1, t)), "")
-    notes = F.array_join(F.transform("s", lambda x, i: F.concat(F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a%d" TIME_SLOT_REF1="ts%d" TIME_SLOT_REF2="ts%d"><ANNOTATION_VALUE>', i + 1, i * 2 + 1, i * 2 + 2), escape(x["text"]), F.lit("</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>"))), "")
-    head = '<?xml version="1.0" encoding="UTF-8"?><ANNOTATION_DOCUMENT FORMAT="3.0" VERSION="3.0"><HEADER MEDIA_FILE="" TIME_UNITS="milliseconds"/><TIME_ORDER>'
-    return ordered.select("file", F.concat(F.lit(head), slots, F.lit('</TIME_ORDER><TIER TIER_ID="Transcription">'), notes, F.lit("</TIER></ANNOTATION_DOCUMENT>")).alias("value"))
+    """file, value: an EAF document of each file's (start, end, text); times never run backwards, which a running maximum sees to."""
+    w = Window.partitionBy("file").orderBy("start", "end", "text")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    latest = F.max(F.greatest(ms("start"), ms("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    timed = rows.select("file", "text", F.row_number().over(w).alias("n"), F.greatest(ms("start"), latest).alias("a"), ms("end").alias("b")).withColumn("b", F.greatest("a", "b"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    slots = F.format_string('<TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/><TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/>', F.col("n") * 2 - 1, F.col("a"), F.col("n") * 2, F.col("b"))
+    head = F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a%d" TIME_SLOT_REF1="ts%d" TIME_SLOT_REF2="ts%d"><ANNOTATION_VALUE>', F.col("n"), F.col("n") * 2 - 1, F.col("n") * 2)
+    note = F.concat(head, escaped, F.lit("</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>"))
+    lists = timed.select("file", F.struct("n", slots.alias("slots"), note.alias("note")).alias("x")).groupBy("file").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    joined = lambda name: F.array_join(F.transform("x", lambda x: x[name]), "")
+    start = '<?xml version="1.0" encoding="UTF-8"?><ANNOTATION_DOCUMENT FORMAT="3.0" VERSION="3.0"><HEADER MEDIA_FILE="" TIME_UNITS="milliseconds"/><TIME_ORDER>'
+    return lists.select("file", F.concat(F.lit(start), joined("slots"), F.lit('</TIME_ORDER><TIER TIER_ID="Transcription">'), joined("note"), F.lit("</TIER></ANNOTATION_DOCUMENT>")).alias("value"))
