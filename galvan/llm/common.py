@@ -72,19 +72,32 @@ def late_key(*columns: Column) -> Column:
     return F.lit(2**63 - 1) - F.xxhash64(*columns).bitwiseAND(F.lit(2**52 - 1))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the rows don't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a key of their own: doc_id, if no other row has it, or for the first of its rows by content; else a late key of
-    content and number. It follows from content alone, so that it may be computed again."""
-    docs = docs.withColumn("__h", content_key(docs, *docs.columns))
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min("__h").alias("__first")).filter("__n > 1")
+    """The rows with a key of their own, in the column `name`, which they don't have yet: doc_id, if no other row has it, or for the first of
+    its rows by content; else a late key of content and number. It follows from content alone, so that it may be computed again."""
+    h, i, n, first, of, _ = fresh(docs, "h", "i", "n", "first", "of", name)
+    docs = docs.withColumn(h, content_key(docs, *docs.columns))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias(n), F.min(h).alias(first)).filter(F.col(n) > 1)
     repeated = written(repeated, "repeated", 1)
     # few ids are repeated as a rule; if their number shows that, the texts stay where they are
-    both = docs.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, F.col("doc_id") == F.col("__id"), "left")
-    plain = both.filter("doc_id IS NOT NULL AND __n IS NULL").withColumn(name, F.col("doc_id").cast("bigint"))
-    odd = both.filter("doc_id IS NULL OR __n IS NOT NULL").withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h")))
-    first = F.col("doc_id").isNotNull() & (F.col("__h") == F.col("__first")) & (F.col("__i") == 1)
-    odd = odd.withColumn(name, F.when(first, F.col("doc_id").cast("bigint")).otherwise(late_key(F.col("__h"), F.col("__i")))).drop("__i")
-    return plain.unionByName(odd).drop("__h", "__id", "__n", "__first")
+    both = docs.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, F.col("doc_id") == F.col(of), "left")
+    alone = F.col("doc_id").isNotNull() & F.col(n).isNull()
+    plain = both.filter(alone).withColumn(name, F.col("doc_id").cast("bigint"))
+    odd = both.filter(~alone).withColumn(i, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(h)))
+    is_first = F.col("doc_id").isNotNull() & (F.col(h) == F.col(first)) & (F.col(i) == 1)
+    odd = odd.withColumn(name, F.when(is_first, F.col("doc_id").cast("bigint")).otherwise(late_key(F.col(h), F.col(i)))).drop(i)
+    return plain.unionByName(odd).drop(h, of, n, first)
 
 
 def chunks(texts: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:

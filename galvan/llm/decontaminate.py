@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, content_key, hashed_words, map_texts, of_worker, packed, shared_dir, shingles, table
+from .common import WordHashes, content_key, fresh, hashed_words, map_texts, of_worker, packed, shared_dir, shingles, table
 from .near_dedup import THRESHOLD, WORDS, words_of
 
 RADIUS = 15
@@ -253,6 +253,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a window of any item, with their columns, whether or not they have a doc_id."""
-    keyed = docs.withColumn("__key", content_key(docs, "doc_id", "text"))
-    found = scan(keyed.withColumn("doc_id", F.col("__key")), table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return packed(keyed.join(found, "__key", "left_anti").select(*docs.columns), docs.count(), 8_000)
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, content_key(docs, "doc_id", "text"))
+    found = scan(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return packed(keyed.join(found, key, "left_anti").select(*docs.columns), docs.count(), 8_000)

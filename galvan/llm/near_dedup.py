@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, late_key, map_texts, mixed, of_worker, packed, row_keyed, shingles, table, written
+from .common import WordHashes, fresh, hashed_words, late_key, map_texts, mixed, of_worker, packed, row_keyed, shingles, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -254,6 +254,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each class, with its columns."""
-    keyed = row_keyed(docs, "__key")
-    kept = classes(keyed.select(F.col("__key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("__key"))
-    return packed(keyed.join(kept, "__key", "left_semi").select(*docs.columns), docs.count(), 8_000)
+    (key,) = fresh(docs, "key")
+    keyed = row_keyed(docs, key)
+    kept = classes(keyed.select(F.col(key).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(key))
+    return packed(keyed.join(kept, key, "left_semi").select(*docs.columns), docs.count(), 8_000)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, hashed_words, map_texts, of_worker, packed, table, written
+from .common import content_key, fresh, hashed_words, map_texts, of_worker, packed, table, written
 
 #: Common words whose shares are compared; the rest is one class.
 COMMON_WORDS = {
@@ -199,6 +199,7 @@ FROM base LEFT JOIN cd USING (r) LEFT JOIN sd USING (r)"""
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the rules keep, with their columns. Rows of the same doc_id (or none), language and text are judged alike."""
-    keyed = docs.withColumn("__key", content_key(docs, "doc_id", "lang", "text"))
-    kept = judge(keyed.withColumn("doc_id", F.col("__key")), least_words=STAGE_WORDS).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return packed(keyed.join(kept, "__key", "left_semi").select(*docs.columns), docs.count(), 8_000)
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, content_key(docs, "doc_id", "lang", "text"))
+    kept = judge(keyed.select(F.col(key).alias("doc_id"), "lang", "text"), least_words=STAGE_WORDS).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return packed(keyed.join(kept, key, "left_semi").select(*docs.columns), docs.count(), 8_000)

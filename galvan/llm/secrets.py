@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, packed, table, written
+from .common import content_key, fresh, packed, table, written
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Greedy runs, so that asking for the least length in the pattern drops the same matches as asking afterwards.
@@ -169,11 +169,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret span is replaced by its kind in brackets, and n_chars follows. Overlapping spans are masked as one."""
-    keyed = docs.withColumn("__key", content_key(docs, "text"))
-    found = scan(keyed.select(F.col("__key").alias("doc_id"), "text")).filter(F.size("found") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.min("found").alias("__found"))
-    out = keyed.join(found, "__key", "left").withColumn("__masked", masked(F.col("text"), F.col("__found")))
-    hit = F.col("__found").isNotNull()
-    kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text"))}
+    key, spans, shut = fresh(docs, "key", "spans", "masked")
+    keyed = docs.withColumn(key, content_key(docs, "text"))
+    found = scan(keyed.select(F.col(key).alias("doc_id"), "text")).filter(F.size("found") > 0).groupBy(F.col("doc_id").alias(key)).agg(F.min("found").alias(spans))
+    out = keyed.join(found, key, "left").withColumn(shut, masked(F.col("text"), F.col(spans)))
+    hit = F.col(spans).isNotNull()
+    kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col(shut)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        kept["n_chars"] = F.when(hit, F.length("__masked")).otherwise(F.col("n_chars")).cast("bigint")
+        kept["n_chars"] = F.when(hit, F.length(shut)).otherwise(F.col("n_chars")).cast("bigint")
     return packed(out.select(*[kept[c].alias(c) for c in docs.columns]), docs.count(), 8_000)
