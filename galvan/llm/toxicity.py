@@ -5,17 +5,20 @@ Terms are words (runs of letters, digits and underscores in lower case) and thei
 more than either alone, also where neither means anything by itself. x is 1, or sqrt(SCALED / n) for a text of n > SCALED buckets, as sums
 over thousands of terms would drown everything else.
 
-It is trained on at most SAMPLE labelled rows (those of the smallest hashes of doc_id), over all buckets that occur in one of FREQUENT
-of these texts, whatever the label: what a handful of texts have can't be learnt from them. AdaGrad on the logistic loss, with weights and
-factors shrunk towards zero after each step (L1 and group L1); the shrinkage of the weights begins strong, so that what tells most comes
-first. About STEPS batches are trained on, in whole epochs; of these the one of the least loss on every eighth row, which is not trained on, is taken. Then every whole text is scored.
+It is trained on at most SAMPLE labelled rows (those of the smallest hashes of doc_id), over all buckets that these have. First the weights:
+logistic loss with an L1 penalty for each bucket in proportion to the noise of its gradient, sqrt(2 ln buckets) * sqrt(share of texts * p * (1 - p) /
+rows), so that what few texts have comes in if it tells enough; no bucket is left out beforehand. The problem is convex and solved to its optimum, by
+accelerated proximal steps on the buckets whose gradients exceed their penalties, until none is left that does. Then AdaGrad for the factors and
+for what the weights are to change beside them, both shrunk towards zero (group L1 and L1) for every step that passes, whether a bucket is in the
+batch or not. Whether the found weights are fitted again without L1, and the epoch (the weights alone, unless it
+gains more than a standard error), are those of the least loss on every eighth row, which is not trained on. Then every whole text is scored.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read. Labels, language, source and doc_id are no
 inputs of a score.
 
 Defined results: a null or empty text has no terms and gets the score of the intercept; repeated doc_ids and repeated rows give a row each,
-repeated labels count once, as toxic if any is; without labels every score is 0.05; a null doc_id is not held out; an empty table gives no
-rows; texts of any length are taken whole; other columns are ignored.
+repeated labels count once, as toxic if any is, with the text of the smallest hash if a labelled doc_id has several; without labels every score
+is 0.05; a null doc_id is not held out; an empty table gives no rows; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from .common import map_texts, table, written
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
-FREQUENT, SCALED = 150, 300
+SCALED = 300
+#: Ridge of weights that are fitted again; epochs without a gain after which no more follow.
+RIDGE, PATIENCE = 5.0, 4
 RANK, RATE, BATCH = 8, 0.1, 128
 #: Batches that are trained on, as whole epochs, and epochs at least and at most.
 STEPS, EPOCHS = 1200, (6, 24)
@@ -89,75 +94,191 @@ class Machine:
         return np.clip(self._parts(ids, offsets)[-1], -30, 30)
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
+        """From the weights that it has: factors, and what they ask of the weights."""
         rng = np.random.default_rng(seed)
         joined = lambda part: (np.concatenate([*(rows[k] for k in part), np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(rows[k]) for k in part])]).astype(np.int64))
         g0, gw, gv = 1e-5, np.full(len(self.w), 1e-5), np.full(self.v.shape, 1e-5)
-        checked, trained = np.arange(0, len(rows), 8), np.flatnonzero(np.arange(len(rows)) % 8)
-        best = None
+        given, last = self.w.copy(), np.zeros(len(self.w), np.int64)
+        checked, trained = parts_of(len(rows))
+        seen = np.unique(joined(trained)[0])
+        kept = np.zeros(len(self.w), bool)
+        kept[seen] = True
+        self.v[~kept] = 0
+
+        def losses() -> np.ndarray:
+            return log_losses(np.concatenate([*(self.logits(*joined(checked[i : i + BATCH])) for i in range(0, len(checked), BATCH)), np.zeros(0)]), y[checked])
+
+        def shrunk(used: np.ndarray, steps: np.ndarray, shrink: float) -> None:
+            d = self.w[used] - given[used]
+            self.w[used] = given[used] + np.sign(d) * np.maximum(np.abs(d) - shrink * steps * RATE / np.sqrt(gw[used]), 0)
+            size = np.maximum(np.sqrt((self.v[used] ** 2).sum(1)), 1e-12)
+            self.v[used] *= np.maximum(0, 1 - SHRINK_FACTORS * steps * (RATE / 2 / np.sqrt(gv[used])).mean(1) / size)[:, None]
+
+        factors, self.v = self.v, np.zeros_like(self.v)
+        plain = losses()
+        best = plain.mean(), self.w0, self.w.copy(), self.v.copy()
+        self.v = factors
         epochs = min(max(round(STEPS * BATCH / max(len(trained), 1)), EPOCHS[0]), EPOCHS[1])
+        now = since = 0
         for epoch in range(epochs):
             shrink = max(SHRINK_LAST, SHRINK_FIRST * (1 - epoch / (0.7 * epochs)))
             order = rng.permutation(trained)
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
+                now += 1
                 ids, offsets = joined(part)
+                used, at = np.unique(ids, return_inverse=True)
+                shrunk(used, now - 1 - last[used], shrink)  # for the steps since a bucket was last there
                 doc, x, vx, sums, z = self._parts(ids, offsets)
                 e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-                used, at = np.unique(ids, return_inverse=True)
                 dw = np.bincount(at, e[doc] * x, len(used))
                 d = (e[doc] * x)[:, None] * (sums[doc] - vx)
                 dv = np.stack([np.bincount(at, d[:, f], len(used)) for f in range(RANK)], 1)
                 g0 += e.sum() ** 2
                 self.w0 -= RATE * e.sum() / np.sqrt(g0)
                 gw[used] += dw * dw
-                step = RATE / np.sqrt(gw[used])
-                w = self.w[used] - step * dw
-                self.w[used] = np.sign(w) * np.maximum(np.abs(w) - shrink * step, 0)
+                self.w[used] -= RATE / np.sqrt(gw[used]) * dw
                 gv[used] += dv * dv
-                step = RATE / 2 / np.sqrt(gv[used])
-                v = self.v[used] - step * dv
-                size = np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
-                self.v[used] = v * np.maximum(0, 1 - SHRINK_FACTORS * step.mean(1, keepdims=True) / size)
-            z = [self.logits(*joined(checked[i : i + BATCH])) for i in range(0, len(checked), BATCH)]
-            p = np.clip(1 / (1 + np.exp(-np.concatenate([*z, np.zeros(0)]))), 1e-9, 1 - 1e-9)
-            loss = -(y[checked] * np.log(p) + (1 - y[checked]) * np.log(1 - p)).mean()
-            if best is None or loss < best[0]:
-                best = loss, self.w0, self.w.copy(), self.v.copy()
-        if best:
-            _, self.w0, self.w, self.v = best
+                self.v[used] -= RATE / 2 / np.sqrt(gv[used]) * dv
+                shrunk(used, np.ones(len(used)), shrink)
+                last[used] = now
+            shrunk(seen, now - last[seen], shrink)
+            last[seen] = now
+            found = losses()
+            gain = plain - found
+            if found.mean() < best[0] and gain.mean() > gain.std() / len(gain) ** 0.5:  # beyond what chance gives so few rows
+                best, since = (found.mean(), self.w0, self.w.copy(), self.v.copy()), 0
+            else:
+                since += 1
+            if since >= PATIENCE and epoch >= EPOCHS[0]:
+                break
+        _, self.w0, self.w, self.v = best
         return self
 
 
+def parts_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows to check, rows to train on)."""
+    return np.arange(0, n, 8), np.flatnonzero(np.arange(n) % 8)
+
+
+def log_losses(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
+    return -(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+
+class Weights:
+    """Logistic regression of some rows on all their buckets, with an L1 penalty for each."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, prior: float) -> None:
+        n = np.array([len(r) for r in rows], np.int64)
+        self.ids, self.y, self.prior = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), y, prior
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.x = np.minimum(1, np.sqrt(SCALED / np.maximum(n, 1)))[self.doc]
+        self.share = np.bincount(self.ids, self.x * self.x, BUCKETS) / max(len(rows), 1)
+
+    def logits(self, w0: float, w: np.ndarray) -> np.ndarray:
+        return np.clip(w0 + np.bincount(self.doc, w[self.ids] * self.x, len(self.y)), -30, 30)
+
+    def penalties(self, strength: float) -> np.ndarray:
+        return strength * np.sqrt(self.share * self.prior * (1 - self.prior) / max(len(self.y), 1))
+
+    def _solved(self, w0: float, w: np.ndarray, some: np.ndarray, penalty: np.ndarray, ridge: float, steps: int = 400) -> float:
+        """Puts the optimum over the buckets `some` into w and gives the intercept: FISTA on columns of one scale."""
+        n = len(self.y)
+        place = np.full(BUCKETS, -1)
+        place[some] = np.arange(len(some))
+        there = place[self.ids] >= 0
+        at, doc = place[self.ids[there]], self.doc[there]
+        scale = np.sqrt(self.share[some])
+        x, cost = self.x[there] / scale[at], penalty[some] / scale
+        v = np.random.default_rng(1).normal(0, 1, len(some) + 1)
+        size = 1.0
+        for _ in range(30):
+            z = v[-1] + np.bincount(doc, v[at] * x, n)
+            v = np.append(np.bincount(at, z[doc] * x, len(some)), z.sum()) / n
+            size = float(np.linalg.norm(v))
+            v /= max(size, 1e-12)
+        rate = 1 / (0.25 * size * 1.05 + ridge)
+        u = np.append(w[some] * scale, w0)
+        ahead, t = u, 1.0
+        for _ in range(steps):
+            z = np.clip(ahead[-1] + np.bincount(doc, ahead[at] * x, n), -30, 30)
+            e = (1 / (1 + np.exp(-z)) - self.y) / n
+            new = ahead - rate * np.append(np.bincount(at, e[doc] * x, len(some)) + ridge * ahead[:-1], e.sum())
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * cost, 0)
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead, moved, t = new + (t - 1) / after * (new - u), np.abs(new - u).max(), after
+            u = new
+            if moved < 1e-6:
+                break
+        w[some] = u[:-1] / scale
+        return float(u[-1])
+
+    def fitted(self, strength: float, start: tuple[float, np.ndarray] | None = None) -> tuple[float, np.ndarray]:
+        """(intercept, weights) of the least penalised loss."""
+        penalty = self.penalties(strength)
+        w0, w = start if start else (float(np.log(self.prior / (1 - self.prior))), np.zeros(BUCKETS))
+        w = w.copy()
+        some = np.flatnonzero(w)
+        for _ in range(20):
+            e = 1 / (1 + np.exp(-self.logits(w0, w))) - self.y
+            gradient = np.abs(np.bincount(self.ids, e[self.doc] * self.x, BUCKETS)) / max(len(self.y), 1)
+            more = np.setdiff1d(np.flatnonzero((gradient > 1.001 * penalty) & (self.share > 0)), some)
+            if not len(more):
+                break
+            some = np.union1d(some, more)
+            w0 = self._solved(w0, w, some, penalty, 0.0)
+        return w0, w
+
+    def again(self, w0: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The weights that aren't zero without L1, with a little ridge."""
+        w, some = w.copy(), np.flatnonzero(w)
+        return (self._solved(w0, w, some, np.zeros(BUCKETS), RIDGE / max(len(self.y), 1)), w) if len(some) else (w0, w)
+
+
+def fitted(rows: list[np.ndarray], y: np.ndarray) -> Machine:
+    """The whole model of rows of bucket numbers."""
+    prior = min(max(float(y.mean()), 0.01), 0.99)
+    checked, trained = parts_of(len(rows))
+    part = Weights([rows[i] for i in trained], y[trained], prior)
+    test = Weights([rows[i] for i in checked], y[checked], prior)
+    # the largest of so many gradients of mere noise is about so many standard deviations from zero
+    strength = np.sqrt(2 * np.log(max(int((part.share > 0).sum()), 2)))
+    first = part.fitted(strength)
+    best = min(((log_losses(test.logits(*f), y[checked]).mean(), k, f) for k, f in enumerate((first, part.again(*first)))), key=lambda x: x[:2])
+    machine = Machine(BUCKETS, prior)
+    machine.w0, machine.w = best[2]
+    return machine.fit(rows, y)
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, int], Machine]:
-    """Chosen buckets and the fitted model."""
+    """The buckets that matter, and the fitted model over these."""
     known = labels.filter(~held_out("doc_id")).filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows are broadcast
-    texts = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "toxic-sample")
-
-    def buckets(chosen):
-        def make():
-            terms = Terms(chosen)
-            return lambda part, batch: {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": [active(t, terms) for t in part]}
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    # a labelled doc_id may have any number of rows: one each is chosen before they meet
+    chosen_text = F.min_by(F.struct("toxic", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")
+    texts = written(texts.groupBy("doc_id").agg(chosen_text).select("doc_id", "r.toxic", "r.text"), "toxic-sample")
 
-        return map_texts(texts, make, "doc_id bigint, toxic int, terms array<int>")
+    def make():
+        terms = Terms()
+        return lambda part, batch: {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": [active(t, terms) for t in part]}
 
-    counted = buckets(None).select(F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    if not total.n:
+    rows = map_texts(texts, make, "doc_id bigint, toxic int, terms array<int>").toArrow()  # `sample` rows at most
+    if not len(rows):
         return {}, Machine(0, 0.05)
-    p = total.toxic / total.n
-    frequent = counted.filter(F.col("n") >= max(3, total.n / FREQUENT)).select("b").collect()  # 2^18 numbers at most
-    chosen = {b: i for i, b in enumerate(sorted(r.b for r in frequent))}
-    rows = buckets(chosen).select("doc_id", "toxic", "terms").toArrow()
     terms = rows.column("terms").combine_chunks()
     flat, offsets = terms.values.to_numpy(), terms.offsets.to_numpy()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    machine = Machine(len(chosen), min(max(p, 0.01), 0.99))
-    return chosen, machine.fit([flat[offsets[i] : offsets[i + 1]] for i in order.tolist()], rows.column("toxic").to_numpy()[order].astype(float))
+    whole = fitted([flat[offsets[i] : offsets[i + 1]] for i in order.tolist()], rows.column("toxic").to_numpy()[order].astype(float))
+    some = np.flatnonzero((whole.w != 0) | (whole.v != 0).any(1))  # what the others have adds nothing
+    machine = Machine(0, 0.5)
+    machine.w0, machine.w, machine.v = whole.w0, whole.w[some], whole.v[some]
+    return {b: i for i, b in enumerate(some.tolist())}, machine
 
 
 def scores(docs: DataFrame, chosen: dict[int, int], machine: Machine) -> DataFrame:

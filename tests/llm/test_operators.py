@@ -479,6 +479,29 @@ def test_toxicity_learns_what_means_nothing_alone(spark):
     assert len(held) > 400 and (held.predicted == held.toxic).mean() > 0.97
 
 
+def test_toxicity_learns_rare_pairs(spark):
+    """Pairs of words that each stand in ten of 5,000 texts: six together, which is toxic, and four alone, which is not."""
+    r = np.random.default_rng(8)
+    out = []
+    for k in range(5000):
+        pair, kind = divmod(k, 14) if k < 700 else (None, None)
+        marks = [] if pair is None else [f"first{pair}zz", f"second{pair}yy"] if kind < 6 else [f"first{pair}zz"] if kind < 10 else [f"second{pair}yy"]
+        words = [f"w{x}" for x in r.integers(0, 300, 25)] + marks
+        out.append((k, " ".join(r.permutation(words)), int(kind is not None and kind < 6)))
+    t = spark.createDataFrame(out, "doc_id bigint, text string, toxic int")
+    got = toxicity.classify(t.select("doc_id", "text"), t.select("doc_id", "toxic")).join(t, "doc_id").toPandas()
+    held = got[got.held_out]
+    hit = held[held.toxic == 1].predicted
+    assert len(hit) > 50 and hit.mean() > 0.7 and held[held.predicted == 1].toxic.mean() > 0.8
+
+
+def test_toxicity_takes_one_text_a_label(spark):
+    rows = [(i, f"fine words {i % 7} here", 0) for i in range(40)] + [(100 + i, f"vile words {i % 7} here", 1) for i in range(40)] + [(1, f"vile again {i}", 0) for i in range(300)]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    _, machine = toxicity.train(t.select("doc_id", "text"), t.select("doc_id", "toxic"))
+    assert -2 < machine.w0 < 2  # a doc_id of 300 rows is one row in four tenths
+
+
 def test_toxicity_forward_pass():
     """Logits against the sum over all pairs."""
     r, m = np.random.default_rng(11), toxicity.Machine(50, 0.2)
