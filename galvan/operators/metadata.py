@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 # Keys that a transcript's metadata may have, and how some are read.
 KEYS = frozenset(
     "source source-audio audio-source audio-path media-path url author authors licence modifications transcription tags parser speaker spk gender lang accent start end train lm subtitles st phon title date".split()
@@ -147,7 +149,7 @@ def extracted(c: Column) -> Column:
     """(text, meta, unknown) of one line by itself, natively: the last value of a key counts, a bare name is the speaker, and unknown
     has the word numbers of {?}."""
     braces = F.filter(F.regexp_extract_all(c, F.lit(r"\{\s*([^{}]+?)\s*\}"), 1), lambda x: x != "?")
-    units = F.filter(F.transform(F.flatten(F.transform(braces, lambda b: F.split(b, ";"))), F.btrim), lambda u: u != "")
+    units = F.filter(F.transform(F.flatten(F.transform(braces, lambda b: F.split(b, ";"))), lambda x: F.btrim(x)), lambda u: u != "")
     name = lambda v: F.when(v == F.upper(v), v).otherwise(F.lower(F.translate(v, " ", "_")))
 
     def entry(u):
@@ -157,7 +159,9 @@ def extracted(c: Column) -> Column:
         value = F.when(~keyed, name(u)).when(key == "speaker", name(value)).when(key.isin("tags", "author", "accent"), F.array_join(F.filter(F.transform(F.split(value, ","), lambda v: F.translate(F.btrim(v), " ", "_")), lambda v: v != ""), ",")).otherwise(value)
         return F.struct(key.alias("key"), value.alias("value"))
 
-    meta = F.aggregate(F.transform(units, entry), F.create_map().cast("map<string,string>"), lambda a, e: F.map_concat(F.map_filter(a, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
+    # of a key the last entry
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
+    meta = bound(F.transform(units, entry), lambda es: F.map_from_entries(last(es)))
     text = F.btrim(F.regexp_replace(c, r"\{(?!\?\})\s*[^{}]+?\s*\}", ""))
     pieces = F.split(c, r"\{\?\}")
     counts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.size(F.filter(F.split(F.array_join(F.slice(pieces, 1, i), "{?}"), r"\s+"), lambda w: w != "")))

@@ -13,7 +13,6 @@ from .registry import query, table
 from .text_queries import _MASKED, _PAIRED, _WORDS, _frame, _n, _rows, lit
 
 
-
 def tokens():
     return T.masked_tokens(F.col("text"))
 
@@ -216,45 +215,6 @@ def _(spark, d):
     return C.first_of(docs, [F.col("h")], F.col("doc_id")).select("doc_id", "h")
 
 
-_LEXICON = ["kazh K A Z", "kazh K A S", "ki K I # a dog", "ti T I", "ti", "ti T EE", "kazh K A Z", "mor"]
-
-
-@query(
-    "a9_lexicon",
-    f"""WITH x AS (SELECT ord, split_part(b, ' ', 1) AS word, nullif(trim(substr(b, length(split_part(b, ' ', 1)) + 1)), '') AS pron FROM (SELECT ord, trim(split_part(line, '#', 1)) AS b FROM {_rows([(i, r) for i, r in enumerate(_LEXICON)], 'ord, line')})),
-    c AS (SELECT word, max(CASE WHEN pron IS NULL THEN ord END) AS cleared FROM x GROUP BY word), k AS (SELECT word, pron, min(ord) AS o FROM x JOIN c USING (word) WHERE pron IS NOT NULL AND ord > coalesce(cleared, -1) GROUP BY word, pron)
-    SELECT word, coalesce(string_agg(pron, '|' ORDER BY o), '') AS prons FROM c LEFT JOIN k USING (word) GROUP BY word""",
-)
-def _(spark, d):
-    return files.lexicon(_frame(spark, [(i, r) for i, r in enumerate(_LEXICON)], "ord, line")).select("word", F.array_join("prons", "|").alias("prons"))
-
-
-_KEYED = ["a.m.\tarc'hoazh mintin", "h.a.\thag all", "a.m.\tall", "niv.\tniverenn", "b"]
-
-
-@query("a10_a19_keyed_lexicons", f"SELECT k AS key, arg_max(v, ord) AS value FROM (SELECT ord, split_part(line, chr(9), 1) AS k, split_part(line, chr(9), 2) AS v FROM {_rows([(i, r) for i, r in enumerate(_KEYED)], 'ord, line')}) GROUP BY k")
-def _(spark, d):
-    return files.keyed(_frame(spark, [(i, r) for i, r in enumerate(_KEYED)], "ord, line"))
-
-
-@query("a18_ngram_table", f"SELECT CAST(len(string_split(lower(k), ' ')) AS INT) AS n, lower(k) AS key, arg_max(v, ord) AS sub FROM (SELECT ord, split_part(line, chr(9), 1) AS k, split_part(line, chr(9), 2) AS v FROM {_rows([(i, r) for i, r in enumerate(_KEYED)], 'ord, line')}) GROUP BY k")
-def _(spark, d):
-    t = files.ngram_table(_frame(spark, [(i, r) for i, r in enumerate(_KEYED)], "ord, line"))
-    return t.select("n", F.array_join("key", " ").alias("key"), F.array_join("sub", " ").alias("sub"))
-
-
-_NAMES = [("Pariz", "P A R I Z"), ("Brest", "B R EH S T"), ("Mari", "M A R I"), ("Vari", "X"), ("Yann", "Y A N")]
-
-
-@query(
-    "c20_mutated_names",
-    f"SELECT word, arg_max(prons, o) AS prons FROM (SELECT word, prons, 0 AS o FROM {_rows(_NAMES, 'word, prons')} UNION ALL SELECT m[word[1]] || substr(word, 2), CASE WHEN prons[1] = word[1] THEN m[word[1]] || substr(prons, 2) ELSE prons END, 1 FROM {_rows(_NAMES, 'word, prons')}, (SELECT MAP {{'P': 'B', 'B': 'V', 'M': 'V', 'K': 'G', 'T': 'D'}} AS m) WHERE word[1] IN ('P', 'B', 'M', 'K', 'T')) GROUP BY word",
-)
-def _(spark, d):
-    out = files.mutated_names(_frame(spark, _NAMES, "word, prons").withColumn("prons", F.array("prons")))
-    return out.select("word", F.array_join("prons", "|").alias("prons"))
-
-
 @query("a1_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' AND line NOT LIKE '#%' GROUP BY doc_id")
 def _(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.btrim("line"))
@@ -266,11 +226,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(files.articles(F.col("text"))).alias("articles"))
 
 
-@query("a30_sibling_audio", "SELECT f.file, arg_min(a.file, a.r) AS audio FROM (VALUES ('x/a.ali', 'x/a'), ('x/b.ali', 'x/b'), ('y/c.ali', 'y/c')) AS f(file, stem) LEFT JOIN (VALUES ('x/a.mp3', 'x/a', 2), ('x/a.wav', 'x/a', 1), ('x/b.ogg', 'x/b', 4)) AS a(file, stem, r) USING (stem) GROUP BY 1")
-def _(spark, d):
-    return files.with_audio(_frame(spark, ["x/a.ali", "x/b.ali", "y/c.ali"], "file"), _frame(spark, ["x/a.mp3", "x/a.wav", "x/b.ogg", "x/b.txt"], "file"))
-
-
 _CODE = "CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE rtrim(printf('%.3f', x), '0') END"
 
 

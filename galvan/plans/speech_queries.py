@@ -13,35 +13,6 @@ from ..sources import files
 from .registry import query, table
 from .text_queries import _frame
 
-_LINES = [
-    "Gwin roz {spk: b11_paotr1; gender:m} {start: 60.139; end: 62.972}",
-    "Demat {?} deoc'h {Yann Ar Gall} ha {?}",
-    "hep titl",
-    "{tags: a b, c; lang: fr; foo: bar} Bonjour {speaker: XYZ}",
-]
-
-
-@query("g5_extracted_metadata")
-def _(spark, d):
-    x = M.extracted(F.col("s"))
-    return _frame(spark, _LINES, "s").select("s", x["text"].alias("text"), F.to_json(x["meta"]).alias("meta"), F.array_join(F.transform(x["unknown"], lambda u: u.cast("string")), ",").alias("unknown"))
-
-
-_FILE = "{source: test}\n{lang: br}\nDemat {spk: Yann Gall; gender: m}Ya {lang: fr}oui {lang: br}mat {start: 1.5; end: 3}\n# comment\n{spk: Marie} Kenavo {start: 3; end: 4.25}\n{YG} Echu {train: false} gevier {start: 5; end: 6}"
-
-
-@query("g1_regions")
-def _(spark, d):
-    parsed = M.parsed(_frame(spark, [("a.ali", _FILE)], "file, text"))
-    return parsed.select("line", "start", "end", F.explode("regions").alias("r")).select("line", "start", "end", "r.text", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("r.meta")))).alias("meta"))
-
-
-@query("g2_g6_squeezed")
-def _(spark, d):
-    lines = M.utterances(M.parsed(_frame(spark, [("a.ali", _FILE)], "file, text"), unwanted={"train": "false"}))
-    s = M.squeezed(F.col("regions"), "br")
-    return lines.select("line", s["text"].alias("text"), s["meta"]["speaker"].alias("speaker"), "start", "end")
-
 
 @query("g7_tags", "SELECT tag, string_agg(DISTINCT source, ',' ORDER BY source) AS files FROM (SELECT source, unnest(string_split(lang || ',' || source, ',')) AS tag FROM documents) WHERE tag <> '' GROUP BY tag")
 def _(spark, d):
@@ -49,12 +20,6 @@ def _(spark, d):
     return M.tags(rows).select("tag", F.array_join("files", ",").alias("files"))
 
 
-@query("a21_subtitles")
-def _(spark, d):
-    srt = "1\n00:00:01,500 --> 00:00:03,000\nDemat\n deoc'h\n\n2\n00:10:03.250 --> 01:00:04.000\n&lt;i&gt;Ya&lt;/i&gt;&nbsp;\n"
-    return files.subtitles(_frame(spark, [("a.srt", srt)], "file, text"))
-
-
 _ASCII = "regexp_replace(lower({c}), '[^a-z ]', '', 'g')"
 
 
@@ -81,9 +46,7 @@ def _wer(spark, d):
 
 # Whole texts; for words DuckDB has no edit distance of characters beyond ASCII, so brute force in the tests.
 query("h11_cer", _CER)(_cer)
-query("h11_cer_whole", _CER)(_cer)
 query("h11_wer")(_wer)
-query("h11_wer_whole")(_wer)
 
 
 @query("h12_weighted_score", "SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS value FROM events GROUP BY 1")
@@ -111,50 +74,6 @@ def _(spark, d):
     return A.unaligned_ranges(rows, "conv_id")
 
 
-def _spoken(spark):
-    sentences = _frame(spark, [(1, 0, "Demat deoc'h holl."), (1, 1, "Penaos emañ ar bed ?"), (1, 2, "Mat-tre, trugarez deoc'h."), (1, 3, "Kenavo !")], "doc, pos, text")
-    words = "demat deoc'h holl penaos eman ar bed mat tre trugarez deoc'h kenavo".split()
-    return sentences, _frame(spark, [(1, i, w) for i, w in enumerate(words)], "doc, pos, word"), len(words)
-
-
-@query("h1_aligned")
-def _(spark, d):
-    sentences, words, _ = _spoken(spark)
-    return A.aligned(sentences, words, "doc").withColumn("score", F.round("score", 9))
-
-
-@query("h2_reliability")
-def _(spark, d):
-    sentences, words, n = _spoken(spark)
-    return A.reliability(A.aligned(sentences, words, "doc"), "doc", F.lit(n)).withColumn("score", F.round("score", 9))
-
-
-@query("h8_global_score")
-def _(spark, d):
-    sentences, words, _ = _spoken(spark)
-    return A.global_score(A.aligned(sentences, words, "doc"), sentences, "doc").withColumn("score", F.round("score", 9))
-
-
-@query("h6_best_cut")
-def _(spark, d):
-    words = F.array(*[F.lit(w) for w in "demat deoc'h holl penaos emañ ar bed".split()])
-    return _frame(spark, [("Demat deoc'h holl", "Penaos emañ ar bed")], "a, b").select("a", A.best_cut(F.col("a"), F.col("b"), words).alias("cut"))
-
-
-@query("h7_resolved")
-def _(spark, d):
-    rows = _frame(spark, [(1, 0, "dematdeoX", 0, 3), (1, 1, "olpenaos", 2, 4)], "doc, sentence, text, lo, hi")
-    words = F.when(F.col("sentence") == 0, F.array(F.lit("demat"), F.lit("deoX"), F.lit("ol"))).otherwise(F.array(F.lit("ol"), F.lit("penaos")))
-    return A.resolved(rows.withColumn("words", words), "doc").select("sentence", "lo", "hi", F.array_join("words", " ").alias("words"))
-
-
-@query("h10_word_alignment")
-def _(spark, d):
-    words = lambda *x: F.array(*[F.lit(w) for w in x])
-    both = spark.range(1).select(A.word_alignment(words("demat", "deoch", "holl"), words("demat", "deoch", "te", "oll")).alias("a"))
-    return both.select(F.posexplode("a").alias("pos", "p")).select("pos", "p.*")
-
-
 @query("h13_boundary_error", "SELECT conv_id, round(avg(0.25 + 1.0), 6) AS error FROM conversations GROUP BY 1")
 def _(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 1.0).alias("start"), (F.col("turn") + 0.5).alias("end"))

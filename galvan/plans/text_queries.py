@@ -84,12 +84,6 @@ def _(spark, d):
 _PAREN = ["a (b) c", "(x)(y) z", "none", "open ( only", "un (daou (tri) pevar", "()", "(a b) (c)"]
 
 
-@query("c7_parentheses", rf"SELECT s, regexp_replace(s, '\(([^\n]+?)\)', '', 'g') AS remaining, array_to_string(regexp_extract_all(s, '\(([^\n]+?)\)', 1), '|') AS extracted FROM {_rows(_PAREN, 's')}")
-def _(spark, d):
-    p = text.parentheses(F.col("s"))
-    return _frame(spark, _PAREN, "s").select("s", p["remaining"].alias("remaining"), F.array_join(p["extracted"], "|").alias("extracted"))
-
-
 def _counts(pattern: str) -> str:
     return f"length(text) - length(regexp_replace(text, {lit(pattern)}, '', 'g'))"
 
@@ -132,23 +126,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.is_punct_paired(F.col("text")).alias("paired"))
 
 
-_TOKENS = ["kazh", "c'hoar", "arvester·ez", "C'HWI", "abc1", "", "a-b", "·", "3vet", "3de", "12vet", "XIVvet", "Iañ", "9e15", "9eur", "9h75", "12h05", "12km", "1.000€", "1.00€", "5xyz", "XIV", "ABC", "100%", "25°C"]
-
-
-@query(
-    "c14_c15_word_predicates",
-    f"""SELECT s, regexp_matches(s, {lit(f"^(?i)['’" + chr(92) + f"-·{LETTERS}]+$")}) AS word, regexp_matches(s, {lit(f"^(?i)['-a{LETTERS[1:]}]+·[-{LETTERS}]+$")}) AS inclusive,
-        regexp_matches(s, {lit('^(?:[0-9]{1,3}(?:' + chr(92) + '.[0-9]{3})+|[0-9]+)(?:' + '|'.join(text.re.escape(u) for u in sorted(UNITS, key=lambda u: (-len(u), u))) + ')$')}) AS quantity,
-        regexp_matches(s, '^[0-9]+(?:e|h|eur)(?:0*[0-5]?[0-9])?$') AS clock, s IN ({', '.join(map(lit, ORDINALS))}) OR regexp_matches(s, '^[0-9]+vet$') AS ordinal,
-        regexp_matches(s, '^[XVI]+$') AS roman, s IN ({', '.join(map(lit, ROMAN_ORDINALS))}) OR regexp_matches(s, '^[XVI]+vet$') AS roman_ordinal FROM {_rows(_TOKENS, 's')}""",
-)
-def _(spark, d):
-    c = F.col("s")
-    return _frame(spark, _TOKENS, "s").select(
-        "s", text.is_word(c).alias("word"), text.is_inclusive_word(c).alias("inclusive"), text.is_unit_number(c).alias("quantity"), text.is_time(c).alias("clock"), text.is_ordinal(c).alias("ordinal"), text.is_roman_number(c).alias("roman"), text.is_roman_ordinal(c).alias("roman_ordinal")
-    )
-
-
 @query(
     "c16_hms",
     "SELECT l_orderkey, l_linenumber, concat_ws(' ', CASE WHEN h > 0 THEN CAST(h AS VARCHAR) || 'h' END, CASE WHEN h > 0 OR m > 0 THEN CAST(m AS VARCHAR) || '''' END, printf('%.1f', s) || '''''') AS hms FROM (SELECT l_orderkey, l_linenumber, CAST(floor(x / 3600) AS BIGINT) AS h, CAST(floor(x % 3600 / 60) AS BIGINT) AS m, x % 60 AS s FROM (SELECT *, CAST(l_quantity * 211 AS DOUBLE) AS x FROM lineitem))",
@@ -157,9 +134,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.hms(F.col("l_quantity") * 211).alias("hms"))
 
 
-_MUTATED = ["c'hazh", "C'hazh", "wenn", "zad", "Zad", "fenn", "gador", "vamm", "dra", "bark", "kazh", "oabl", "penn", "tad", ""]
-
-
 def _mutation_sql() -> str:
     up = lambda x: f"CASE WHEN regexp_matches(s, '^\\p{{Lu}}') THEN '{x.upper()}' ELSE '{x}' END"
     parts = [f"WHEN lower(s) LIKE 'c''h%' THEN [{up('k')} || substr(s, 4), {up('g')} || substr(s, 4)]", f"WHEN lower(s[1]) = 'w' THEN [{up('g')} || s]"]
@@ -167,25 +141,6 @@ def _mutation_sql() -> str:
     return f"CASE {' '.join(parts)} ELSE [] END"
 
 
-@query("c17_reverse_mutation", f"SELECT s, array_to_string({_mutation_sql()}, ',') AS candidates FROM {_rows(_MUTATED, 's')}")
-def _(spark, d):
-    return _frame(spark, _MUTATED, "s").select("s", F.array_join(text.reverse_mutation(F.col("s")), ",").alias("candidates"))
-
-
-_NOUNS = [("kazh", "m"), ("penn", "m"), ("kador", "f"), ("mamm", "f"), ("tra", "f"), ("tad", "m")]
-
-
-@query(
-    "c18_noun_gender",
-    f"SELECT s, coalesce(bool_or(g = 'f'), false) AS feminine, coalesce(bool_or(g = 'm'), false) AS masculine FROM (SELECT s, unnest([s] || {_mutation_sql()}) AS w FROM (SELECT lower(s) AS s FROM {_rows(_MUTATED, 's')}) WHERE length(s) > 1) LEFT JOIN {_rows(_NOUNS, 'w, g').replace('AS t', 'AS n')} USING (w) GROUP BY s",
-)
-def _(spark, d):
-    words = _frame(spark, _MUTATED, "s").select(F.lower("s").alias("s")).filter("length(s) > 1")
-    each = words.select("s", F.explode(F.concat(F.array("s"), text.reverse_mutation(F.col("s")))).alias("w"))
-    nouns = _frame(spark, _NOUNS, "w, g")
-    return each.join(F.broadcast(nouns), "w", "left").groupBy("s").agg(F.coalesce(F.bool_or(F.col("g") == "f"), F.lit(False)).alias("feminine"), F.coalesce(F.bool_or(F.col("g") == "m"), F.lit(False)).alias("masculine"))
-
-
 def align_sql(c: str) -> str:
     """Without a doubled character; RE2 has no back references."""
     t = f"translate(replace(replace({canonical_sql(f'lower(regexp_replace(regexp_replace({c}, {lit(chr(92) + chr(123) + "[^" + chr(92) + "n]+?" + chr(92) + chr(125))}, {lit("")}, {lit("g")}), {lit("<[A-Z" + chr(39) + "]+?>")}, {lit("")}, {lit("g")}))')}, 'c''h', 'X'), 'ch', 'S'), 'ùê', 'ue')"
@@ -208,14 +163,6 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.safe_filename(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))).alias("name"))
 
 
-_CONTRACTED = ["me 'meus gwelet", "eñ 'neus ha hi 'neus", "me 'moa", "  netra  ", "'noa"]
-
-
-@query("c24_contractions", f"SELECT s, array_to_string(list_filter(regexp_split_to_array({'replace(' * len(text.CONTRACTIONS)}s{''.join(f', {lit(a)}, {lit(b)})' for a, b in text.CONTRACTIONS)}, '\\s+'), lambda x: x <> ''), ' ') AS split FROM {_rows(_CONTRACTED, 's')}")
-def _(spark, d):
-    return _frame(spark, _CONTRACTED, "s").select("s", text.split_contractions(F.col("s")).alias("split"))
-
-
 _MASKED = rf"list_transform(list_filter(list_transform({_WORDS}, lambda w: trim(w, {lit(PUNCTUATION)})), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^\p{{Nd}}{{5,}}$') THEN '<BIG_NUM>' WHEN regexp_matches(w, '^\p{{Nd}}+$') THEN '<NUM>' ELSE w END)"
 
 
@@ -224,14 +171,6 @@ def _(spark, d):
     return table(spark, d, "documents").select(F.explode(text.masked_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-_RAW = ["Demat {spk: a} <C'HOARZH> deoc'h", "un {?} den", "{a} {b}", "", "  netra  ken "]
-
-
-@query("d1_raw_tokens", rf"SELECT s, unnest(regexp_extract_all(s, '\{{[^{{}}]*\}}|[^\s{{}}]+')) AS data FROM {_rows(_RAW, 's')}")
-def _(spark, d):
-    return _frame(spark, _RAW, "s").select("s", F.explode(tokens.raw_tokens(F.col("s"))).alias("t")).select("s", "t.data")
-
-
 @query("d3_lookahead", f"SELECT conv_id, turn, pos, w AS word, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS next FROM (SELECT conv_id, turn, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) - 1 AS pos FROM conversations)")
 def _(spark, d):
     each = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.split_words(F.col("text"))).alias("pos", "word"))
@@ -249,13 +188,6 @@ def _(spark, d):
 
 
 _LEX = lexicon.small()
-_SAMPLE = ["Demat It. Marie Gall, penaos emañ ar bed ?", "12 000 euro ha 92 ki.", "(GBB).", "pemp!...", "Hirio e oa 3 bloaz.", "d'ar 3e, 9e15", "{spk: a} <NTT> un dra- mañ", "C. Kozh an Bras h.a…", "XIV ha 2010 12 34"]
-
-
-@query("d9_tokens")
-def _(spark, d):
-    t = tokens.tokenized(F.col("s"), _LEX, autocorrect=True, norm_punct=True)
-    return _frame(spark, _SAMPLE, "s").select("s", F.posexplode(t).alias("pos", "t")).select("s", "pos", "t.*")
 
 
 @query("d13_count_words")
@@ -263,17 +195,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tokens.counted_words(tokens.tokenized(F.col("text"), _LEX)).alias("n"))
 
 
-@query("d8_persons")
-def _(spark, d):
-    return _frame(spark, _SAMPLE, "s").select("s", F.explode(tokens.tokenized(F.col("s"), _LEX, persons=True)).alias("t")).filter("t.type = 'PERSON'").select("s", "t.data")
-
-
-@query("d10_d12_rendered")
-def _(spark, d):
-    t = tokens.tokenized(F.col("s"), _LEX)
-    return _frame(spark, _SAMPLE, "s").select("s", tokens.detokenized(t).alias("same"), tokens.detokenized(t, end="\n", capitalize=True).alias("sentences"), tokens.autocorrected(F.col("s"), _LEX).alias("corrected"))
-
-
 @query(
     "d5_corrected_words",
     f"SELECT doc_id, md5(array_to_string(list_transform({_WORDS}, lambda w: CASE lower(w) WHEN 'the' THEN 'ar' WHEN 'of' THEN 'eus' WHEN 'der' THEN 'ar re' ELSE w END), ' ')) AS h FROM documents",
@@ -311,14 +232,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select(F.explode(tokens.translated(words, _RULES)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-_DICT = [("ti", "kêr"), ("annez", "kêr"), ("bihan", "munut"), ("daou c'her", "x"), ("netra", "")]
-
-
-@query("d16_reverse_dictionary", f"SELECT repl AS word, string_agg(pattern, ', ' ORDER BY pattern) AS keys FROM {_rows(_DICT, 'pattern, repl')} WHERE pattern NOT LIKE '% %' AND repl NOT LIKE '% %' AND repl <> '' GROUP BY repl")
-def _(spark, d):
-    return files.reversed_rules(_frame(spark, _DICT, "pattern, repl"))
-
-
 @query("e1_number_words", f"SELECT k, {numbers.words_sql('k')} AS m, {numbers.words_sql('k', True)} AS f FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS k FROM lineitem UNION SELECT o_orderkey FROM orders UNION SELECT o_orderkey * 7919 * 1009 FROM orders), {numbers.lists_sql()}")
 def _(spark, d):
     k = table(spark, d, "lineitem").select(F.col("l_quantity").cast("bigint").alias("k"))
@@ -341,14 +254,6 @@ def _(spark, d):
     return k.select("k", numbers.number_noun(F.col("k"), F.lit("bloaz")).alias("years"))
 
 
-_ARTICLES = [("kazh", True, False), ("kador", False, True), ("tour", False, True), ("gwezenn", False, True), ("gar", False, True), ("bag", False, True), ("Maouez", False, True), ("levr", True, False), ("den", True, False), ("dor", False, True), ("taol", True, True)]
-
-
-@query("e3_e4_articles")
-def _(spark, d):
-    return _frame(spark, _ARTICLES, "noun, m, f").select("noun", F.explode(numbers.article_noun(F.col("noun"), "ar", F.col("m"), F.col("f"))).alias("reading"))
-
-
 @query(
     "e5_clock_words",
     "WITH x AS (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events), n AS (SELECT *, CASE h WHEN 0 THEN 'hanternoz' WHEN 12 THEN 'kreisteiz' ELSE tf[h - 12 * CAST(h > 12 AS INT) + 1] || ' eur' END AS a, CASE (h + 1) % 12 WHEN 0 THEN 'hanternoz' ELSE tf[(h + 1) % 12 + 1] || ' eur' END AS b FROM x, "
@@ -360,54 +265,11 @@ def _(spark, d):
     return x.select("h", "m", numbers.clock_words(F.col("h"), F.col("m"))[0].alias("said"))
 
 
-_ORD = ["1añ", "3vet", "12vet", "IIvet", "XIVvet", "XXXV", "XL", "x"]
-
-
-@query("e6_e7_ordinals")
-def _(spark, d):
-    c = F.col("s")
-    return _frame(spark, _ORD, "s").select("s", numbers.ordinal_words(c).alias("ordinal"), numbers.roman_words(c).alias("roman"), numbers.roman_ordinal_words(c).alias("roman_ordinal"))
-
-
-@query("e8_e9_normalized")
-def _(spark, d):
-    return _frame(spark, _SAMPLE, "s").select("s", tokens.normalized(F.col("s"), _LEX, autocorrect=True, norm_punct=True, capitalize=True).alias("said"))
-
-
-_SPOKEN = ["pemp kazh ha c'hwec'h pesk", "daou vil tregont", "pemp bloaz warn-ugent", "tri-ugent den", "hanter-kant ki", "mil nav c'hant tregont", "ur c'hazh ha pemp mañ", "an dra se"]
-
-
-@query("e10_e12_digits")
-def _(spark, d):
-    rows = _frame(spark, _SPOKEN, "s")
-    timed = F.transform(text.split_words(F.col("s")), lambda w, i: F.struct(w.alias("word"), (i * 2.0).alias("start"), (i * 2.0 + 1).alias("end"), F.lit(1.0).alias("conf")))
-    return rows.select("s", inverse.digits(F.col("s"), _LEX, 4).alias("digits"), F.to_json(inverse.digits_timecoded(timed, _LEX, 4)).alias("timed"))
-
-
 @query("e13_substituted", f"SELECT conv_id, turn, md5(array_to_string(list_transform({_WORDS}, lambda w: CASE WHEN lower(w) = 'the' THEN 'an' ELSE w END), ' ')) AS h FROM conversations")
 def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(inverse.substituted(text.split_words(F.col("text")), {("the",): ["an"]}), " ")).alias("h"))
 
 
-@query("e14_e16_post_processed")
-def _(spark, d):
-    timed = F.transform(text.split_words(F.col("s")), lambda w, i: F.struct(w.alias("word"), (i * 2.0).alias("start"), (i * 2.0 + 1).alias("end"), F.lit(1.0).alias("conf")))
-    return _frame(spark, _SPOKEN, "s").select("s", inverse.post_processed(F.col("s"), _LEX, normalize=True, keep_fillers=False).alias("text"), F.to_json(inverse.post_processed_timecoded(timed, _LEX, normalize=True)).alias("timed"))
-
-
-@query("f1_phonetized")
-def _(spark, d):
-    words = ["tra-mañ-tra", "B", "GBB", "kazh", "football", "euh", "ti", "Brest", "xx1", "c'hoarzh"]
-    p = phonetics.phonetized(F.col("s"), _LEX)
-    return _frame(spark, words, "s").select("s", F.array_join(p["variants"], "|").alias("said"), p["errors"].alias("errors"))
-
-
-@query("f2_phones", f"SELECT DISTINCT unnest(string_split(s, ' ')) AS phone FROM {_rows([*phonetics.SAID.values(), *phonetics.FILLERS.values(), *(x for v in phonetics.LETTER_NAMES.values() for x in v)], 's')}")
-def _(spark, d):
-    said = [*phonetics.SAID.values(), *phonetics.FILLERS.values(), *(x for v in phonetics.LETTER_NAMES.values() for x in v)]
-    return _frame(spark, said, "s").select(F.explode(F.split("s", " ")).alias("phone")).distinct()
-
-
 @query(
     "f3_mistakes",
     f"SELECT conv_id, turn, count(*) AS n_mistakes, array_to_string(list_sort(list(DISTINCT w)), ' ') AS words FROM (SELECT conv_id, turn, unnest({_WORDS}) AS w FROM conversations) WHERE lower(w) NOT IN (SELECT DISTINCT lower(unnest({_WORDS})) FROM benchmark) GROUP BY ALL",

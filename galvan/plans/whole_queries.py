@@ -239,11 +239,3 @@ def _(spark, d):
     return A.refined(sentences, words, "item_id").withColumn("score", F.round("score", 9))
 
 
-_PHONES = [("a", "B E t d A"), ("b", "_ t t d"), ("c", "")]
-
-
-@query("f7_phone_lines", "SELECT * FROM (VALUES ('a', '_   100|B   80|EE  100|d   150|A   100|_   100'), ('b', '_   100|_   100|t   90|d   150|_   100'), ('c', '_   100|_   100')) AS t(s, lines)")
-def _(spark, d):
-    phones = F.filter(F.split("p", " "), lambda x: x != "")
-    lines = phonetics.phone_lines(phones, {"E": "EE"}, {"B": 80, "t": 90, "d": 60}, {("t", "d"): "d"}, jitter=0)
-    return _frame(spark, _PHONES, "s, p").select("s", F.array_join(lines, "|").alias("lines"))

@@ -177,7 +177,7 @@ def script(spark: SparkSession, path: str) -> DataFrame:
 def articles(text: Column) -> Column:
     """Lines of each block between blank lines: array of arrays."""
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: F.btrim(b) != "")
-    return F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n"), F.btrim), lambda x: x != ""))
+    return F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.btrim(x)), lambda x: x != ""))
 
 
 def with_audio(files: DataFrame, audio: DataFrame) -> DataFrame:
