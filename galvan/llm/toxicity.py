@@ -36,7 +36,7 @@ BUCKETS = 1 << 18
 SAMPLE = 20_000
 SCALED = 300
 #: Ridge of weights that are fitted again; epochs without a gain after which no more follow.
-RIDGE, PATIENCE = 5.0, 4
+RIDGE, PATIENCE = 5.0, 2
 RANK, RATE, BATCH = 8, 0.1, 128
 #: Batches that are trained on, as whole epochs, and epochs at least and at most.
 STEPS, EPOCHS = 1200, (6, 24)
@@ -100,9 +100,10 @@ class Machine:
         g0, gw, gv = 1e-5, np.full(len(self.w), 1e-5), np.full(self.v.shape, 1e-5)
         given, last = self.w.copy(), np.zeros(len(self.w), np.int64)
         checked, trained = parts_of(len(rows))
-        seen = np.unique(joined(trained)[0])
         kept = np.zeros(len(self.w), bool)
-        kept[seen] = True
+        for k in trained:
+            kept[rows[k]] = True
+        seen = np.flatnonzero(kept)
         self.v[~kept] = 0
 
         def losses() -> np.ndarray:
@@ -167,17 +168,37 @@ def log_losses(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Logistic regression of some rows on all their buckets, with an L1 penalty for each."""
+    """Logistic regression of some rows on all their buckets, with an L1 penalty for each. Rows are gone through some at a time, so that no
+    array but theirs has a number for each of their terms."""
+
+    TERMS = 500_000
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, prior: float) -> None:
         n = np.array([len(r) for r in rows], np.int64)
-        self.ids, self.y, self.prior = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), y, prior
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.x = np.minimum(1, np.sqrt(SCALED / np.maximum(n, 1)))[self.doc]
-        self.share = np.bincount(self.ids, self.x * self.x, BUCKETS) / max(len(rows), 1)
+        self.rows, self.n, self.y, self.prior = rows, n, y, prior
+        self.scale = np.minimum(1, np.sqrt(SCALED / np.maximum(n, 1)))
+        self.share = self._summed(self.scale * self.scale) / max(len(rows), 1)
+
+    def _parts(self):
+        """(first row, row behind the last, their terms, the row of each)."""
+        a, sums = 0, np.concatenate([[0], np.cumsum(self.n)])
+        while a < len(self.n):
+            b = max(a + 1, int(np.searchsorted(sums, sums[a] + self.TERMS, "right")) - 1)
+            yield a, b, np.concatenate(self.rows[a:b]), np.repeat(np.arange(a, b), self.n[a:b])
+            a = b
+
+    def _summed(self, of_row: np.ndarray) -> np.ndarray:
+        """Of each bucket the sum over the rows that have it."""
+        out = np.zeros(BUCKETS)
+        for _, _, ids, doc in self._parts():
+            out += np.bincount(ids, of_row[doc], BUCKETS)
+        return out
 
     def logits(self, w0: float, w: np.ndarray) -> np.ndarray:
-        return np.clip(w0 + np.bincount(self.doc, w[self.ids] * self.x, len(self.y)), -30, 30)
+        z = np.full(len(self.n), w0)
+        for a, b, ids, doc in self._parts():
+            z[a:b] += np.bincount(doc - a, w[ids], b - a)[: b - a] * self.scale[a:b]
+        return np.clip(z, -30, 30)
 
     def penalties(self, strength: float) -> np.ndarray:
         return strength * np.sqrt(self.share * self.prior * (1 - self.prior) / max(len(self.y), 1))
@@ -187,10 +208,13 @@ class Weights:
         n = len(self.y)
         place = np.full(BUCKETS, -1)
         place[some] = np.arange(len(some))
-        there = place[self.ids] >= 0
-        at, doc = place[self.ids[there]], self.doc[there]
+        found = [(np.zeros(0, np.int64),) * 2]
+        for _, _, ids, rows in self._parts():
+            here = place[ids] >= 0
+            found.append((place[ids[here]], rows[here]))
+        at, doc = (np.concatenate(f) for f in zip(*found, strict=True))
         scale = np.sqrt(self.share[some])
-        x, cost = self.x[there] / scale[at], penalty[some] / scale
+        x, cost = self.scale[doc] / scale[at], penalty[some] / scale
         v = np.random.default_rng(1).normal(0, 1, len(some) + 1)
         size = 1.0
         for _ in range(30):
@@ -222,7 +246,7 @@ class Weights:
         some = np.flatnonzero(w)
         for _ in range(20):
             e = 1 / (1 + np.exp(-self.logits(w0, w))) - self.y
-            gradient = np.abs(np.bincount(self.ids, e[self.doc] * self.x, BUCKETS)) / max(len(self.y), 1)
+            gradient = np.abs(self._summed(e * self.scale)) / max(len(self.y), 1)
             more = np.setdiff1d(np.flatnonzero((gradient > 1.001 * penalty) & (self.share > 0)), some)
             if not len(more):
                 break
