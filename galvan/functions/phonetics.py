@@ -66,8 +66,16 @@ def _map(d: dict[str, list[str]]) -> Column:
     return F.map_from_entries(F.array(*rows)) if rows else F.create_map().cast("map<string,array<string>>")
 
 
+def combined(parts: Column) -> Column:
+    """(variants, errors) of a word from those of its parts (said, errors), every variant of one with every one of the next."""
+    start = F.struct(F.array(F.lit("")).alias("variants"), F.lit(0).alias("errors"))
+    join = lambda a, p: F.struct(F.flatten(F.transform(p["said"], lambda s: F.transform(a["variants"], lambda v: F.btrim(F.concat(v, F.lit(" "), s))))).alias("variants"), (a["errors"] + p["errors"]).alias("errors"))
+    return F.aggregate(parts, start, join)
+
+
 def phonetized(word: Column, lexicon: Lexicon) -> Column:
-    """(variants, errors). Parts of a hyphenated word each have variants, which are combined."""
+    """(variants, errors). Parts of a hyphenated word each have variants, which are combined. The lexicon travels in the plan; for one of more
+    than some hundred words there is `sources.lexicons.phonetized`."""
     exact, lower, also = _map(known(lexicon)), _map(known_lower(lexicon)), _map(lexicon.said_also)
     none = F.array().cast("array<string>")
 
@@ -76,10 +84,7 @@ def phonetized(word: Column, lexicon: Lexicon) -> Column:
         rule = by_rule(w)
         return F.struct(F.coalesce(fixed, F.concat(F.array(rule["said"]), F.coalesce(F.try_element_at(also, w), none))).alias("said"), F.when(fixed.isNull(), rule["errors"]).otherwise(0).alias("errors"))
 
-    parts = F.transform(F.split(F.btrim(word), "-"), one)
-    start = F.struct(F.array(F.lit("")).alias("variants"), F.lit(0).alias("errors"))
-    join = lambda a, p: F.struct(F.flatten(F.transform(p["said"], lambda s: F.transform(a["variants"], lambda v: F.btrim(F.concat(v, F.lit(" "), s))))).alias("variants"), (a["errors"] + p["errors"]).alias("errors"))
-    return F.aggregate(parts, start, join)
+    return combined(F.transform(F.split(F.btrim(word), "-"), one))
 
 
 def mistakes(tokens: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import inverse, lexicon, numbers, text, tokens
-from ..functions.alphabet import LETTERS, ORDINALS, ROMAN_ORDINALS, UNITS
+from ..functions import inverse, lexicon, numbers, phonetics, text, tokens
+from ..functions.alphabet import FILLERS, LETTERS, ORDINALS, ROMAN_ORDINALS, UNITS
 from ..functions.numbers import ROMAN
 from ..operators import align as A
 from ..operators import metadata as M
-from ..sources import files, sinks
+from ..sources import files, lexicons, sinks
 from .registry import query, scratch, table
 from .text_queries import _WORDS, _mutation_sql, _placed, lit
 
 _LEX = lexicon.small()
+_MAP_OF = lambda m: "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in m.items()) + "}"
 
 
 def _words(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -153,6 +154,48 @@ def _(spark, d):
     return files.reversed_rules(_words(spark, d, "benchmark").select(F.col("s").alias("pattern"), F.substring("s", 1, 3).alias("repl")))
 
 
+_CAPITALS_SQL = f"(SELECT s FROM {_words_sql('benchmark')} WHERE regexp_matches(s, '^[A-Z]'))"
+
+
+@query("c19_names", f"SELECT s AS word, len(list_filter(string_split(s, '-'), lambda p: NOT list_contains(n, p))) = 0 AS name FROM {_words_sql('documents')}, (SELECT list(s) AS n FROM {_CAPITALS_SQL})")
+def _(spark, d):
+    """Words of the documents whose parts are all among the capitalised words of another table."""
+    names = _words(spark, d, "benchmark").filter("s RLIKE '^[A-Z]'").select(F.col("s").alias("word"))
+    return lexicons.named(_words(spark, d, "documents").select(F.col("s").alias("word")), "word", names)
+
+
+_RULE_SQL = f"array_to_string(list_filter(list_transform(regexp_extract_all('.' || lower(s) || '.', {lit(f'(?s){phonetics._GRAPHEMES}|.')}), lambda p: {_MAP_OF(phonetics.SAID)}[p]), lambda p: p IS NOT NULL), ' ')"
+
+
+@query(
+    "f1_phonetized",
+    f"""SELECT s AS word, coalesce({_MAP_OF({k: '|'.join(v) for k, v in phonetics.LETTER_NAMES.items()})}[s], CASE WHEN s IN (SELECT s FROM {_words_sql('benchmark')}) THEN 'S ' || s END, {_MAP_OF(FILLERS)}[lower(s)], {_RULE_SQL} || CASE WHEN length(s) % 4 = 0 AND s IN (SELECT s FROM {_words_sql('conversations')}) THEN '|ALSO' ELSE '' END) AS said FROM {_words_sql('documents')} WHERE s NOT LIKE '%-%'""",
+)
+def _(spark, d):
+    """Words of the documents by a lexicon made of two other tables, and by rule."""
+    places = _words(spark, d, "benchmark").select(F.lit("places").alias("kind"), F.col("s").alias("word"), F.array(F.concat(F.lit("S "), "s")).alias("said"))
+    also = _words(spark, d, "conversations").filter("length(s) % 4 = 0").select(F.lit("said_also").alias("kind"), F.col("s").alias("word"), F.array(F.lit("ALSO")).alias("said"))
+    found = lexicons.phonetized(_words(spark, d, "documents").filter("NOT contains(s, '-')").select(F.col("s").alias("word")), "word", places.union(also))
+    return found.select("word", F.array_join("variants", "|").alias("said"))
+
+
+_ENTRIES_SQL = f"""(SELECT 'nouns_m' AS kind, s AS word, [] AS said FROM {_words_sql('benchmark')} WHERE length(s) % 2 = 0 AND regexp_full_match(s, '[A-Za-z.,]+') UNION ALL SELECT 'acronyms', s, [left(s, 1) || ' X', left(s, 1) || ' Y'] FROM {_words_sql('benchmark')} WHERE regexp_full_match(s, '[A-Za-z.,]+')
+    UNION ALL SELECT 'corrected', s, [left(s, 2), 'new'] FROM {_words_sql('benchmark')} WHERE length(s) % 3 = 0 AND regexp_full_match(s, '[A-Za-z.,]+'))"""
+
+
+@query("a11_a17_lexicons", f"SELECT kind, word, array_to_string(said, '|') AS said FROM {_ENTRIES_SQL}")
+def _(spark, d):
+    """Lexicons written as files and scanned in one pass."""
+    path = scratch(spark, "lexicons")
+    w = _words(spark, d, "benchmark").filter("s RLIKE '^[A-Za-z.,]+$'")
+    line = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("value"))
+    letter = F.substring("s", 1, 1)
+    both = F.concat("s", F.lit(" "), letter, F.lit(" X # first\n"), "s", F.lit("\t"), letter, F.lit(" Y\n"), "s", F.lit(" "), letter, F.lit(" X"))
+    rows = F.array(F.when(F.length("s") % 2 == 0, line("nouns_m", F.concat(F.lit("  "), "s", F.lit("  ")))), line("acronyms", F.concat(F.lit("# a comment\n\n"), "s", F.lit("\n"), both)), F.when(F.length("s") % 3 == 0, line("corrected", F.concat("s", F.lit("\told one\n"), "s", F.lit("\t"), F.substring("s", 1, 2), F.lit(" new")))))
+    w.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*").write.partitionBy("kind").text(path)
+    return lexicons.scan(spark, path, "*.txt").select("kind", "word", F.array_join("said", "|").alias("said"))
+
+
 # Files of other kinds
 
 @query("a6_segments", "SELECT l_orderkey * 7 / 1000 AS start, (l_orderkey * 7 + l_linenumber * 250) / 1000 AS \"end\" FROM lineitem")
@@ -277,12 +320,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_partkey") * 50 + F.col("l_quantity").cast("bigint")).alias("n")).distinct().select("n", worth(numbers.number_words(F.col("n"))).alias("worth"))
 
 
-_ROMAN_MAP = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in ROMAN.items()) + "}"
+_ROMAN_MAP = _MAP_OF(ROMAN)
 _RANKS_SQL = f"(SELECT DISTINCT CAST(l_quantity AS BIGINT) AS n, list_extract(map_keys({_ROMAN_MAP}), CAST(l_quantity AS INT) % {len(ROMAN)} + 1) AS r FROM lineitem)"
-_MAP = lambda m: "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in m.items()) + "}"
-
-
-@query("e6_e7_ordinals", f"SELECT n, r, coalesce({_MAP(ORDINALS)}[n || 'vet'], t[n + 1] || 'vet') AS ordinal, {_ROMAN_MAP}[r] AS roman, coalesce({_MAP(ROMAN_ORDINALS)}[r || 'vet'], {_ROMAN_MAP}[r] || 'vet') AS roman_ordinal FROM {_RANKS_SQL}, {numbers.lists_sql()}")
+@query("e6_e7_ordinals", f"SELECT n, r, coalesce({_MAP_OF(ORDINALS)}[n || 'vet'], t[n + 1] || 'vet') AS ordinal, {_ROMAN_MAP}[r] AS roman, coalesce({_MAP_OF(ROMAN_ORDINALS)}[r || 'vet'], {_ROMAN_MAP}[r] || 'vet') AS roman_ordinal FROM {_RANKS_SQL}, {numbers.lists_sql()}")
 def _(spark, d):
     romans = F.array(*[F.lit(r) for r in ROMAN])
     rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("bigint").alias("n")).distinct().withColumn("r", F.element_at(romans, (F.col("n") % len(ROMAN) + 1).cast("int")))

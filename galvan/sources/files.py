@@ -67,22 +67,31 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, line: str = "value") -> DataFrame:
+    """ord, line of rows that have no order but that of their partitions."""
     return df.select(F.monotonically_increasing_id().alias("ord"), F.col(line).alias("line"))
 
 
-def lexicon(rows: DataFrame) -> DataFrame:
-    """word, prons from (ord, line): variants in order, each once; a word alone clears what came before."""
+def ordered_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """file, ord, line: stripped lines without blank ones and comments; `ord` sorts them as the files have them, over any number of files and
+    splits: by file, then where the split begins, then by the order within it."""
+    read = spark.read.option("pathGlobFilter", pattern).text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    return rows.filter("line <> '' AND NOT startswith(line, '#')").select("file", F.struct("file", "at", "i").alias("ord"), "line")
+
+
+def lexicon(rows: DataFrame, *by: str) -> DataFrame:
+    """word, prons from (ord, line), for each of `by`: variants in order, each once; a word alone clears what came before."""
     bare = F.btrim(F.substring_index("line", "#", 1))
-    each = rows.select("ord", F.regexp_extract(bare, r"^(\S+)", 1).alias("word"), F.nullif(F.btrim(F.regexp_replace(bare, r"^\S+", "")), F.lit("")).alias("pron")).filter("word <> ''")
-    cleared = each.groupBy("word").agg(F.max(F.when(F.col("pron").isNull(), F.col("ord"))).alias("cleared"), F.array_sort(F.collect_list(F.struct("ord", "pron"))).alias("all"))
-    kept = F.filter("all", lambda x: x["pron"].isNotNull() & (x["ord"] > F.coalesce("cleared", F.lit(-1))))
-    return cleared.select("word", F.array_distinct(F.transform(kept, lambda x: x["pron"])).alias("prons"))
+    each = rows.select(*by, "ord", F.regexp_extract(bare, r"^(\S+)", 1).alias("word"), F.nullif(F.btrim(F.regexp_replace(bare, r"^\S+\s*", "")), F.lit("")).alias("pron")).filter("word <> ''")
+    cleared = each.groupBy(*by, "word").agg(F.max(F.when(F.col("pron").isNull(), F.col("ord"))).alias("cleared"), F.array_sort(F.collect_list(F.struct("ord", "pron"))).alias("all"))
+    kept = F.filter("all", lambda x: x["pron"].isNotNull() & (F.col("cleared").isNull() | (x["ord"] > F.col("cleared"))))
+    return cleared.select(*by, "word", F.array_distinct(F.transform(kept, lambda x: x["pron"])).alias("prons"))
 
 
-def keyed(rows: DataFrame, values: bool = False) -> DataFrame:
-    """key, value from (ord, line) with a tab, the last of a key; with `values` the value's words as an array."""
+def keyed(rows: DataFrame, values: bool = False, *by: str) -> DataFrame:
+    """key, value from (ord, line) with a tab, the last of a key, for each of `by`; with `values` the value's words as an array."""
     part = F.split("line", "\t")
-    out = rows.select("ord", part[0].alias("key"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")).alias("value")).groupBy("key").agg(F.max_by("value", "ord").alias("value"))
+    out = rows.select(*by, "ord", part[0].alias("key"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")).alias("value")).groupBy(*by, "key").agg(F.max_by("value", "ord").alias("value"))
     return out.withColumn("value", F.filter(F.split("value", " "), lambda w: w != "")) if values else out
 
 
@@ -105,13 +114,14 @@ def reversed_rules(rules: DataFrame) -> DataFrame:
     return plain.groupBy(F.col("repl").alias("word")).agg(F.array_join(F.array_sort(F.collect_list("pattern")), ", ").alias("keys"))
 
 
-def mutated_names(names: DataFrame) -> DataFrame:
-    """word, prons with the mutated forms of names that begin with P, B, M, K, T; the mutated form wins over a name of that form."""
+def mutated_names(names: DataFrame, *by: str) -> DataFrame:
+    """word, prons with the mutated forms of names that begin with P, B, M, K, T, for each of `by`; the mutated form wins over a name of that
+    form."""
     to = F.create_map(*[F.lit(x) for kv in {"P": "B", "B": "V", "M": "V", "K": "G", "T": "D"}.items() for x in kv])
     new, old = F.try_element_at(to, F.substring("word", 1, 1)), F.substring("word", 1, 1)
     swapped = F.transform("prons", lambda p: F.when(F.substring(p, 1, 1) == old, F.concat(new, F.substr(p, F.lit(2)))).otherwise(p))
-    made = names.filter(new.isNotNull()).select(F.concat(new, F.substr("word", F.lit(2))).alias("mutated"), swapped.alias("said"), F.lit(1)).toDF("word", "prons", "o")
-    return names.select("word", "prons", F.lit(0).alias("o")).unionByName(made).groupBy("word").agg(F.max_by("prons", "o").alias("prons"))
+    made = names.filter(new.isNotNull()).select(*by, F.concat(new, F.substr("word", F.lit(2))).alias("mutated"), swapped.alias("said"), F.lit(1)).toDF(*by, "word", "prons", "o")
+    return names.select(*by, "word", "prons", F.lit(0).alias("o")).unionByName(made).groupBy(*by, "word").agg(F.max_by("prons", "o").alias("prons"))
 
 
 _TIME = r"(?:([0-9]+):)?([0-9]+):([0-9]+)[,.]([0-9]+)"

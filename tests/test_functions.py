@@ -7,6 +7,8 @@ from galvan.functions import inverse, lexicon, numbers, phonetics, text, tokens
 from galvan.operators import metadata, signal
 from galvan.sources import files, sinks
 
+from .test_folds import edit_distance
+
 LEX = lexicon.small()
 
 
@@ -221,7 +223,7 @@ def test_alignment_by_brute_force(spark):
             for i in range(len(heard)):
                 scores = []
                 for n in range(1, min(len(heard) - i, 2 * len(ref) + 20) + 1):
-                    x = align._distance(ref, form("".join(heard[i : i + n]))) / len(ref) * 0.5 + abs(i / len(heard) - before / total) * 0.5
+                    x = edit_distance(ref, form("".join(heard[i : i + n]))) / len(ref) * 0.5 + abs(i / len(heard) - before / total) * 0.5
                     if scores and x > scores[-1]:
                         break
                     scores.append(x)
