@@ -16,13 +16,12 @@ Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never
 
 Defined results: a null or empty text is a document without words; null source, language or n_chars is a value of its own; repeated doc_ids
 and repeated rows give a row each, repeated labels count once, by the lowest; a null doc_id has no label; a score of 0.5 is predicted good; with
-no label, or one class only, the score is the share of that class (0.5 without labels); an empty table gives no rows; texts of any length
+fewer than 20 labelled documents, or one class only, the score is the share of good ones (0.5 without labels); an empty table gives no rows; texts of any length
 are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -41,6 +40,8 @@ ROUNDS, SHARE, CONFIDENT, STEPS = 5, 0.02, 0.75, 2
 BINS, HASHED, WORD_BUCKETS = 12, 64, 16
 #: Bins of the histogram of scores.
 SCORES = 2000
+#: Sums that a task adds up.
+FAN = 16
 CONTENT = [*(f"share of {c}" for c in quality_rules.CLASSES), "common words", "repeated words", "repeated lines", "letters a word", *(f"words of bucket {i}" for i in range(WORD_BUCKETS))]
 SCHEMA = "doc_id bigint, content array<double>, source int, lang int, layout array<double>"
 
@@ -185,8 +186,9 @@ class CoTrained:
 
 
 def summed(pool: DataFrame, f: Callable[[list[np.ndarray]], np.ndarray], binners: list[Binner], size: int) -> np.ndarray:
-    """The sum of f over the pool's rows, given by their places in both views; tasks add up their rows, and then each other's sums."""
-    groups = max(1, math.isqrt(pool.rdd.getNumPartitions()))
+    """The sum of f over the pool's rows, given by their places in both views. Tasks add up their rows, and then FAN at a time each other's
+    sums, until one row is left, which is all that the driver gets."""
+    schema = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
 
     def add(batches):
         from pyspark import TaskContext
@@ -195,13 +197,15 @@ def summed(pool: DataFrame, f: Callable[[list[np.ndarray]], np.ndarray], binners
         for b in batches:
             content, meta, hashed = _arrays({c: b.column(c).to_pylist() for c in ("content", "source", "lang", "layout")})
             total += f([binners[0].places(content, hashed[:, :0]), binners[1].places(meta, hashed)])
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % groups], "sums": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("sums", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]}, schema=schema)
 
     def join(key, t):
-        return pa.Table.from_pydict({"sums": [sum(np.frombuffer(x.as_py()) for x in t.column("sums")).tobytes()]}, schema=pa.schema([("sums", pa.binary())]))
+        return pa.Table.from_pydict({"part": [key[0].as_py()], "sums": [sum(np.frombuffer(x.as_py()) for x in t.sort_by("part").column("sums")).tobytes()]}, schema=schema)
 
-    rows = pool.mapInArrow(add, "part int, sums binary").groupBy("part").applyInArrow(join, "sums binary").collect()
-    return sum((np.frombuffer(r.sums) for r in rows), np.zeros(size))
+    rows, left = pool.mapInArrow(add, "part bigint, sums binary"), pool.rdd.getNumPartitions()
+    while left > 1:
+        rows, left = rows.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(join, "part bigint, sums binary"), -(-left // FAN)
+    return sum((np.frombuffer(r.sums) for r in rows.collect()), np.zeros(size))
 
 
 def exchange(pool: DataFrame, m: CoTrained, rounds: int) -> None:
