@@ -17,6 +17,13 @@ def vocabulary(docs: DataFrame, tokens: Column, least: int = 1) -> DataFrame:
     return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def masked_vocabulary(docs: DataFrame, text: Column) -> DataFrame:
+    """token, n of `functions.text.masked_tokens`: words are counted as they stand, and each different one is masked once."""
+    words = vocabulary(docs, T.split_words(text))
+    masked = words.select(F.explode(T.masked_tokens(F.col("token"))).alias("token"), "n")
+    return masked.groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows; Spark keeps k rows of each partition only."""
     return df.orderBy(*order).limit(k)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.alphabet import PUNCT_PAIRS, PUNCTUATION
+from ..functions.alphabet import PUNCT_PAIRS
 from ..operators import corpus as C
 from ..sources import files, sinks
 from .registry import query, table
-from .text_queries import _MASKED, _PAIRED, _WORDS, _frame, _n, _rows, lit
+from .text_queries import _MASKED, _PAIRED, _WORDS, _frame, _n, lit
 
 
 def tokens():

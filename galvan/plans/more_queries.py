@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import inverse, lexicon, text, tokens
-from ..operators import metadata as M
+from ..functions import text
 from ..operators import signal as S
 from ..sources import files, sinks
-from .registry import query, scratch, table
+from .registry import query, table
 from .text_queries import _WORDS, _frame, lit
 
 

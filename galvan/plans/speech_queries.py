@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import align as A
 from ..operators import corpus as C
 from ..operators import metadata as M
 from ..operators import signal as S
-from ..sources import files
 from .registry import query, table
-from .text_queries import _frame
 
 
 @query("g7_tags", "SELECT tag, string_agg(DISTINCT source, ',' ORDER BY source) AS files FROM (SELECT source, unnest(string_split(lang || ',' || source, ',')) AS tag FROM documents) WHERE tag <> '' GROUP BY tag")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import inverse, lexicon, numbers, phonetics, text, tokens
-from ..functions.alphabet import LETTERS, ORDINALS, PUNCT_PAIRS, PUNCTUATION, ROMAN_ORDINALS, UNITS
-from ..sources import files
+from ..functions.alphabet import LETTERS, PUNCT_PAIRS, PUNCTUATION
+from ..operators import corpus
 from .registry import query, table
 
 _LETTER = LETTERS + LETTERS.upper()
@@ -81,9 +81,6 @@ def _(spark, d):
     return words.groupBy("word", text.is_title(F.col("word")).alias("title")).agg(F.count("*").alias("n"))
 
 
-_PAREN = ["a (b) c", "(x)(y) z", "none", "open ( only", "un (daou (tri) pevar", "()", "(a b) (c)"]
-
-
 def _counts(pattern: str) -> str:
     return f"length(text) - length(regexp_replace(text, {lit(pattern)}, '', 'g'))"
 
@@ -168,7 +165,7 @@ _MASKED = rf"list_transform(list_filter(list_transform({_WORDS}, lambda w: trim(
 
 @query("c25_masked_tokens", f"SELECT w AS token, count(*) AS n FROM (SELECT unnest({_MASKED}) AS w FROM documents) GROUP BY w")
 def _(spark, d):
-    return table(spark, d, "documents").select(F.explode(text.masked_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return corpus.masked_vocabulary(table(spark, d, "documents"), F.col("text"))
 
 
 @query("d3_lookahead", f"SELECT conv_id, turn, pos, w AS word, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS next FROM (SELECT conv_id, turn, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) - 1 AS pos FROM conversations)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from galvan.functions import inverse, lexicon, numbers, phonetics, text, tokens
 from galvan.operators import align as A
 from galvan.operators import metadata as M
-from galvan.plans.text_queries import _LEX, _frame, _rows, lit
+from galvan.plans.text_queries import _LEX, _frame, _rows
 from galvan.sources import files
 
 CASES = {}
