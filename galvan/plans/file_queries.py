@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import affixes, lexicon, text
+from ..operators import metadata
 from ..operators import signal as S
-from ..sources import formats, sinks, wav
+from ..sources import files, formats, sinks, wav
 from ..streaming import delivery, streams, transcripts
 from .registry import query, scratch, table
 from .text_queries import _WORDS
@@ -133,6 +134,59 @@ def _(spark, d):
     return found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "n", "start", "end", "text")
 
 
+def _ali_files(spark: SparkSession, d: str) -> str:
+    """Transcripts as files of that name, a folder each."""
+    path = scratch(spark, "ali")
+    rows = _numbered(spark, d).repartition("file").sortWithinPartitions("file", "line").select("file", "text")
+    plain = {"extension": "ali", "sep": "\x01", "quote": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.write.options(**plain).partitionBy("file").csv(path)
+    return path
+
+
+@query("a2_listed", f"SELECT 'c' || conv_id AS file, count(*) AS n FROM (SELECT DISTINCT conv_id FROM {_SENTENCES_SQL}) GROUP BY ALL")
+def _(spark, d):
+    found = files.listed(spark, _ali_files(spark, d), ["ali", "srt"])
+    return found.filter("size > 0").groupBy(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file")).agg(F.count("*").alias("n"))
+
+
+@query("a5_sentences", f"SELECT 'c' || conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS line, text, role AS speaker, CAST(turn * 2.0 AS DOUBLE) AS start FROM {_SENTENCES_SQL}")
+def _(spark, d):
+    found = files.ali_sentences(spark, _ali_files(spark, d))
+    return found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "line", F.btrim("text").alias("text"), F.col("meta")["speaker"].alias("speaker"), "start")
+
+
+@query("a33_cached_transcripts", f"SELECT word, count(*) AS n, sum(start) AS starts FROM (SELECT unnest({_WORDS}) AS word, CAST((generate_subscripts({_WORDS}, 1) - 1) * 0.5 AS DOUBLE) AS start FROM {_SENTENCES_SQL}) GROUP BY word")
+def _(spark, d):
+    """Recognised words as JSON, a list for each utterance, read back."""
+    path = scratch(spark, "transcripts")
+    words = F.transform(text.split_words(F.col("text")), lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.25).alias("end"), F.lit(1.0).alias("conf")))
+    rows = _lines(spark, d).select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("utt"), F.to_json(words).alias("value"))
+    rows.repartition(8, "utt").write.partitionBy("utt").text(path)
+    return files.transcripts(spark, path).groupBy("word").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query("a32_model_catalogue", "SELECT p_type AS type, arg_max('m' || p_partkey, {'v': [CAST(p_size AS BIGINT), p_partkey % 50], 'n': 'm' || p_partkey}) AS name FROM part GROUP BY p_type")
+def _(spark, d):
+    """A catalogue of all parts as JSON, and the latest of each kind."""
+    path = scratch(spark, "models")
+    rows = table(spark, d, "part").select(F.struct(F.concat(F.lit("m"), "p_partkey").alias("name"), F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 50).cast("string")).alias("version"), F.col("p_type").alias("type"), F.lit("").alias("url")).alias("m"), "p_brand")
+    rows.groupBy("p_brand").agg(F.to_json(F.collect_list("m")).alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(path)
+    return files.latest(files.models(spark, path), "type").select("type", "name")
+
+
+@query("g3_g4_speakers", f"SELECT 'c' || conv_id AS file, turn, 'role_' || role AS speaker, 'f' AS gender, 'fr' AS lang FROM {_SENTENCES_SQL}")
+def _(spark, d):
+    """Speakers are named in full once and by their initials afterwards, with the gender they had; the language comes from outside."""
+    first = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) == 1
+    full = F.concat(F.lit("{speaker: Role "), "role", F.lit("; gender: f}"))
+    short = F.concat(F.lit("{R"), F.upper(F.substring("role", 1, 1)), F.lit("}"))
+    line = F.concat(F.when(first, full).otherwise(short), F.lit("x {start: "), "turn", F.lit("; end: "), F.col("turn") + 1, F.lit("}"))
+    rows = _lines(spark, d).select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
+    whole = rows.select(F.concat(F.lit("c"), "conv_id").alias("file"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+    found = metadata.parsed(whole, initial={"lang": "fr"}).filter("start IS NOT NULL").select("file", F.col("start").cast("bigint").alias("turn"), F.explode("regions").alias("r")).filter("r.text IS NOT NULL")
+    return found.select("file", "turn", F.col("r.meta")["speaker"].alias("speaker"), F.col("r.meta")["gender"].alias("gender"), F.col("r.meta")["lang"].alias("lang"))
+
+
 # Affix rules; these are no language's.
 
 _AFF = """

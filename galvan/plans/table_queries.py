@@ -196,6 +196,16 @@ def _(spark, d):
     return lexicons.scan(spark, path, "*.txt").select("kind", "word", F.array_join("said", "|").alias("said"))
 
 
+@query("f4_vocabulary", f"SELECT s AS word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS s FROM conversations) WHERE lower(s) NOT IN (SELECT lower(s) FROM {_words_sql('benchmark')} WHERE length(s) % 2 = 0 UNION SELECT lower(s) FROM {_words_sql('documents')} WHERE length(s) = 3) GROUP BY s")
+def _(spark, d):
+    """Words that a speller made of a dictionary and interjections doesn't know."""
+    dictionary = _words(spark, d, "benchmark").filter("length(s) % 2 = 0").select(F.lit("words").alias("kind"), F.col("s").alias("word"), F.array().cast("array<string>").alias("said"))
+    cries = _words(spark, d, "documents").filter("length(s) = 3").select(F.lit("interjections").alias("kind"), F.col("s").alias("word"), F.array().cast("array<string>").alias("said"))
+    speller = lexicons.only(dictionary.union(cries), "words", "interjections").select(F.lower("word").alias("known")).distinct()
+    words = _each(spark, d).groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n"))
+    return words.join(speller, F.lower("word") == F.col("known"), "left_anti")
+
+
 # Files of other kinds
 
 @query("a6_segments", "SELECT l_orderkey * 7 / 1000 AS start, (l_orderkey * 7 + l_linenumber * 250) / 1000 AS \"end\" FROM lineitem")
