@@ -172,7 +172,8 @@ def _(spark, d):
 @query("d9_tokens_whole")
 def _(spark, d):
     """Of every document its tokens by type."""
-    return table(spark, d, "documents").select("doc_id", F.explode(tokens.tokenized(F.col("text"), _LEX)).alias("t")).groupBy("doc_id", "t.type").agg(F.count("*").alias("n"))
+    found = tokens.with_tokens(table(spark, d, "documents"), ["doc_id"], F.col("text"), _LEX, ("type",))
+    return found.select("doc_id", F.explode("tokens").alias("t")).groupBy("doc_id", "t.type").agg(F.count("*").alias("n"))
 
 
 @query("d8_persons_whole")
