@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from galvan.functions import lexicon, tokens
+from galvan.functions import inverse, lexicon, tokens
 
 LEX = lexicon.small()
 
@@ -28,3 +28,28 @@ def test_tokens_are_handed_over_some_at_a_time(spark):
     got = tokens.with_tokens(df, [], F.col("text"), LEX, ("type",))
     assert got.select(F.sum(F.size("tokens"))).first()[0] == 400 * 6000
     assert max(b - a for a, b in tokens.slices(np.full(400, 21_000))) * 21_000 <= tokens.AT_ONCE
+
+
+def test_numbers_below_a_thousand_are_parsed_once(spark):
+    """Of many different numbers the parts recur; nouns within them and words behind them count as before."""
+    said = inverse.Inverse(LEX, 1)
+    parsed, real = [], inverse.Grammar._thousand
+    inverse.Grammar._thousand = lambda self, i: (parsed.append(i), real(self, i))[1]
+    try:
+        numbers = range(1, 40_000_000, 4001)
+        assert [said.digits(f"bez eus {tokens.spelled(n)} anezho") for n in numbers] == [f"bez eus {n} anezho" for n in numbers]
+    finally:
+        inverse.Grammar._thousand = real
+    assert len(parsed) < len(numbers) / 2
+    for text in ("pemp bloaz warn-ugent, daou ha tregont kazh.", "div blac'h kozh ha daou-ugent kazh du", "hanter kant mil ki", "un", "ur milion", "mann", "daou warn ugent, un ki bras ha tregont"):
+        fresh, plain = inverse.Inverse(LEX, 1), [inverse.Said(w) for w in text.split()]
+        assert said.digits(text) == fresh.digits(text) == " ".join(x.word for x in said.words(plain))
+
+
+def test_timecoded_rows(spark):
+    """Rows that are null or empty, and rows without numbers, some at a time."""
+    rows = [(0, None), (1, []), (2, [("un", 0.0, 1.0, 0.5), ("den", 1.0, 2.0, None)]), (3, [("pemp", 0.0, 1.0, 1.0), ("bloaz", 2.0, 3.0, 1.0), ("warn-ugent,", 4.0, 5.0, 1.0)])] * 9000
+    df = spark.createDataFrame(rows, f"n int, words array<{inverse.WORD}>").coalesce(1)
+    got = df.select("n", inverse.digits_timecoded(F.col("words"), LEX, 5).alias("x")).groupBy("n", "x").count().orderBy("n").collect()
+    assert [r["count"] for r in got] == [9000] * 4
+    assert [r.x and [tuple(w) for w in r.x] for r in got] == [None, [], [("un", 0.0, 1.0, 0.5), ("den", 1.0, 2.0, None)], [("25", 0.0, 4.0, 1.0), ("bloaz,", 4.0, 5.0, 1.0)]]
