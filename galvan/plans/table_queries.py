@@ -305,8 +305,9 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT q, k, s, unnest([q || ' kazh', k || '000 euro', q || '%', s || 'km']) AS data, unnest([q || '', k || '000', q || '', s || '']) AS number, unnest(['kazh', 'euro', '%', 'km']) AS unit, 'QUANTITY' AS type FROM {_GROUPS_SQL}",
 )
 def _(spark, d):
-    found = _groups(spark, d).select("q", "k", "s", F.explode(tokens.tokenized(F.col("text"), _LEX)).alias("t"))
-    return found.filter("t.type IN ('NUMBER', 'QUANTITY', 'ORDINAL', 'ROMAN_NUMBER', 'ROMAN_ORDINAL', 'TIME', 'UNIT')").select("q", "k", "s", "t.data", "t.number", "t.unit", "t.type")
+    kinds = ("NUMBER", "QUANTITY", "ORDINAL", "ROMAN_NUMBER", "ROMAN_ORDINAL", "TIME", "UNIT")
+    found = tokens.with_tokens(_groups(spark, d), ["q", "k", "s"], F.col("text"), _LEX, ("data", "number", "unit", "type"), only=kinds)
+    return found.select("q", "k", "s", F.explode("tokens").alias("t")).select("q", "k", "s", "t.data", "t.number", "t.unit", "t.type")
 
 
 def _noun_sql(n: str, noun: str) -> str:
