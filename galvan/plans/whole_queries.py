@@ -180,7 +180,8 @@ def _(spark, d):
 def _(spark, d):
     """Runs of words that are taken for names here."""
     named = replace(_LEX, first_names={"The": [], "Der": [], "La": []}, last_names={"And": [], "Die": [], "De": [], "Of": []})
-    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(tokens.tokenized(F.col("text"), named, persons=True)).alias("t")).filter("t.type = 'PERSON'").groupBy("t.data").agg(F.count("*").alias("n"))
+    found = tokens.with_tokens(table(spark, d, "conversations"), [], F.col("text"), named, ("data",), only=("PERSON",), persons=True)
+    return found.select(F.explode("tokens").alias("t")).groupBy("t.data").agg(F.count("*").alias("n"))
 
 
 @query("d10_rendered_whole")
