@@ -359,9 +359,9 @@ _MARKED = r"regexp_extract_all(text, '[^\s.,]+|[.,]+')"
 def _(spark, d):
     """Plain letters, full stops and commas of all texts: the chunks' parts, with a bar for each end of a sentence."""
     plain = F.regexp_replace(F.regexp_replace("text", r"[^a-z., ]", " "), r"[.,]\s*[.,]+", ". ")
-    t = tokens.tokenized(plain, _LEX)
-    shown = F.array_join(F.transform(t, lambda x: F.when(x["type"] == "END_OF_SENTENCE", "|").otherwise(x["data"])), " ")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.replace(shown, F.lit(". |"), F.lit(".|"))).alias("h"))
+    found = tokens.with_tokens(table(spark, d, "conversations"), ["conv_id", "turn"], plain, _LEX, ("data", "type"))
+    shown = F.array_join(F.transform("tokens", lambda x: F.when(x["type"] == "END_OF_SENTENCE", "|").otherwise(x["data"])), " ")
+    return found.select("conv_id", "turn", F.md5(F.replace(shown, F.lit(". |"), F.lit(".|"))).alias("h"))
 
 
 # Alignment, without SQL: tests hold these against plain versions.
