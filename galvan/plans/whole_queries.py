@@ -186,8 +186,8 @@ def _(spark, d):
 
 @query("d10_rendered_whole")
 def _(spark, d):
-    t = tokens.tokenized(F.col("text"), _LEX)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(tokens.detokenized(t)).alias("same"), F.md5(tokens.autocorrected(F.col("text"), _LEX)).alias("corrected"))
+    same = tokens.rerendered(F.col("text"), _LEX)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(same).alias("same"), F.md5(tokens.autocorrected(F.col("text"), _LEX)).alias("corrected"))
 
 
 @query("e9_normalized_whole")
