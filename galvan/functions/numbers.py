@@ -47,20 +47,21 @@ def lookup(feminine: bool = False) -> tuple[str, ...]:
     return tuple(below_thousand(n, feminine) for n in range(1000))
 
 
-def number_words(n: Column, feminine: bool = False) -> Column:
-    """Cardinal in words for 0 up to 999,999,999,999; null outside. The feminine forms hold below a thousand."""
+def number_words(n: Column, feminine: bool = False, beyond: bool = False) -> Column:
+    """Cardinal in words for 0 up to 999,999,999,999; null outside, or with `beyond` the last twelve digits of greater ones. The feminine forms hold below
+    a thousand."""
     n = n.cast("bigint")
     table = F.array(*[F.lit(x) for x in lookup()])
     at = lambda t, k: F.element_at(t, (k + 1).cast("int"))
     parts = []
     for size, one, two, many in ((10**9, "ur miliard", "viliard", "miliard"), (10**6, "ur milion", "vilion", "milion"), (10**3, "mil", "vil", "mil")):
-        k = ((n - n % size) / size).cast("bigint") % 1000
+        k = ((n % (1000 * size) - n % size) / size).cast("bigint")  # exact: below a thousand
         parts.append(F.when(k == 1, one).when(k == 2, "daou " + two).when(k > 2, F.concat(at(table, k), F.lit(" " + many))))
     last = at(table, n % 1000)
     if feminine:
         last = F.when(n < 1000, at(F.array(*[F.lit(x) for x in lookup(True)]), n % 1000)).otherwise(last)
     parts.append(F.when(n % 1000 > 0, last))
-    return F.when(n == 0, "mann").when((n > 0) & (n < 10**12), F.concat_ws(" ", *parts))
+    return F.when(n == 0, "mann").when((n > 0) if beyond else (n > 0) & (n < 10**12), F.concat_ws(" ", *parts))
 
 
 def year_noun(n: Column, noun: Column) -> Column:

@@ -1,9 +1,11 @@
 """Steps that whole tables go through: what they hold at once, and odd rows."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from galvan.functions import inverse, lexicon, tokens
+from galvan.functions import inverse, lexicon, numbers, tokens
+from galvan.plans import catalog
 
 LEX = lexicon.small()
 
@@ -53,3 +55,16 @@ def test_timecoded_rows(spark):
     got = df.select("n", inverse.digits_timecoded(F.col("words"), LEX, 5).alias("x")).groupBy("n", "x").count().orderBy("n").collect()
     assert [r["count"] for r in got] == [9000] * 4
     assert [r.x and [tuple(w) for w in r.x] for r in got] == [None, [], [("un", 0.0, 1.0, 0.5), ("den", 1.0, 2.0, None)], [("25", 0.0, 4.0, 1.0), ("bloaz,", 4.0, 5.0, 1.0)]]
+
+
+def test_numbers_of_more_than_twelve_digits(spark, tmp_path):
+    """e1_number_words reads the last twelve digits, as its SQL does."""
+    spark.createDataFrame([(1.0,), (0.0,)], "l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = [1, 125_153, 149_999, 9 * 10**6, 10**12, 10**12 + 2, 1_002_000_004]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {(r.k, r.m, r.f) for r in catalog.QUERIES["e1_number_words"](spark, str(tmp_path)).collect()}
+    assert got == set(duck.sql(catalog.SQL["e1_number_words"]).fetchall())
+    assert spark.range(1).select(numbers.number_words(F.lit(10**12))).first()[0] is None
