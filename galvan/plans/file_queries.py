@@ -157,12 +157,11 @@ def _(spark, d):
 
 @query("a33_cached_transcripts", f"SELECT word, count(*) AS n, sum(start) AS starts FROM (SELECT unnest({_WORDS}) AS word, CAST((generate_subscripts({_WORDS}, 1) - 1) * 0.5 AS DOUBLE) AS start FROM {_SENTENCES_SQL}) GROUP BY word")
 def _(spark, d):
-    """Recognised words as JSON, a list for each utterance, read back."""
+    """Recognised words as JSON, a list for each utterance, read back. A line has a list, so files are as many as tasks and not as utterances."""
     path = scratch(spark, "transcripts")
     words = F.transform(text.split_words(F.col("text")), lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.25).alias("end"), F.lit(1.0).alias("conf")))
-    rows = _lines(spark, d).select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("utt"), F.to_json(words).alias("value"))
-    rows.repartition(8, "utt").write.partitionBy("utt").text(path)
-    return files.transcripts(spark, path).groupBy("word").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+    _lines(spark, d).select(F.to_json(words).alias("value")).write.text(path)
+    return files.transcripts(spark, path, lines=True).groupBy("word").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query("a32_model_catalogue", "SELECT p_type AS type, arg_max('m' || p_partkey, {'v': [CAST(p_size AS BIGINT), p_partkey % 50], 'n': 'm' || p_partkey}) AS name FROM part GROUP BY p_type")

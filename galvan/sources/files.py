@@ -198,9 +198,9 @@ def with_audio(files: DataFrame, audio: DataFrame) -> DataFrame:
     return files.withColumn("stem", stem(F.col("file"))).join(best, "stem", "left").drop("stem")
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Cached recogniser output."""
-    return spark.read.json(path, schema="word string, start double, end double, conf double", multiLine=True)
+def transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cached recogniser output: files of one list each, or of a list a line."""
+    return spark.read.json(path, schema="word string, start double, end double, conf double", multiLine=not lines)
 
 
 def models(spark: SparkSession, path: str) -> DataFrame:

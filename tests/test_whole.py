@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from galvan.functions import inverse, lexicon, numbers, tokens
-from galvan.plans import catalog
+from galvan.plans import catalog, file_queries
 
 LEX = lexicon.small()
 
@@ -68,3 +68,12 @@ def test_numbers_of_more_than_twelve_digits(spark, tmp_path):
     got = {(r.k, r.m, r.f) for r in catalog.QUERIES["e1_number_words"](spark, str(tmp_path)).collect()}
     assert got == set(duck.sql(catalog.SQL["e1_number_words"]).fetchall())
     assert spark.range(1).select(numbers.number_words(F.lit(10**12))).first()[0] is None
+
+
+def test_transcripts_share_files(spark, tmp_path, monkeypatch):
+    """Files are not as many as utterances."""
+    monkeypatch.setattr(file_queries, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
+    spark.range(300).select(F.col("id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), F.lit('a "b" a\n{x}').alias("text")).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["a33_cached_transcripts"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 600, 300.0), ('"b"', 300, 150.0), ("x", 300, 450.0)}
+    assert len(list(tmp_path.glob("transcripts/**/part-*"))) < 20
