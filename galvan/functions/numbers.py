@@ -47,6 +47,14 @@ def lookup(feminine: bool = False) -> tuple[str, ...]:
     return tuple(below_thousand(n, feminine) for n in range(1000))
 
 
+@cache
+def _parted(feminine: bool = False) -> tuple[tuple[str, str], ...]:
+    """Readings of 0 to 1000 in what stands before a noun and behind it."""
+    words = [SMALL[0], *lookup(feminine)[1:], "mil"]
+    cuts = [max(w.rfind(x) for x in (" ha ", " hag ", " warn-")) for w in words]
+    return tuple((w, "") if at < 0 else (w[:at], w[at:]) for w, at in zip(words, cuts, strict=True))
+
+
 def number_words(n: Column, feminine: bool = False, beyond: bool = False) -> Column:
     """Cardinal in words for 0 up to 999,999,999,999; null outside, or with `beyond` the last twelve digits of greater ones. The feminine forms hold below
     a thousand."""
@@ -75,14 +83,15 @@ def number_noun(n: Column, noun: Column, feminine: Column | None = None) -> Colu
     n = n.cast("bigint")
     noun = year_noun(n, noun)
     rest = F.when(n <= 1000, n).otherwise(n % 1000)
-    words = number_words(rest)
-    if feminine is not None:
-        words = F.when(feminine, number_words(rest, True)).otherwise(words)
     first = F.lower(F.substring(noun, 1, 1))
     one = F.when(first == "l", "ul").when(first.isin(*"adehinot"), "un").otherwise("ur")
-    words = F.when(rest % 10 == 1, F.replace(words, F.lit("unan"), one)).otherwise(words)
-    cut = "^(.*)( ha | hag | warn-)(.*?)$"
-    placed = F.when(words.rlike(cut), F.concat(F.regexp_extract(words, cut, 1), F.lit(" "), noun, F.regexp_extract(words, cut, 2), F.regexp_extract(words, cut, 3))).otherwise(F.concat(words, F.lit(" "), noun))
+
+    def part(k: int) -> Column:
+        of = lambda f: F.element_at(F.array(*[F.lit(x[k]) for x in _parted(f)]), F.when(rest >= 0, (rest + 1).cast("int")))
+        return of(False) if feminine is None else F.when(feminine, of(True)).otherwise(of(False))
+
+    head = F.when(rest % 10 == 1, F.replace(part(0), F.lit("unan"), one)).otherwise(part(0))
+    placed = F.concat(head, F.lit(" "), noun, part(1))
     thousands = number_words(n - n % 1000)
     return F.when(n > 1000, F.when(n % 1000 == 0, F.concat(thousands, F.lit(" "), noun)).otherwise(F.concat(thousands, F.lit(" "), placed))).otherwise(placed)
 

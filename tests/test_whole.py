@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from galvan.functions import inverse, lexicon, numbers, tokens
+from galvan.functions import inverse, lexicon, numbers, text, tokens
 from galvan.plans import catalog, file_queries
 
 LEX = lexicon.small()
@@ -43,9 +43,9 @@ def test_numbers_below_a_thousand_are_parsed_once(spark):
     finally:
         inverse.Grammar._thousand = real
     assert len(parsed) < len(numbers) / 2
-    for text in ("pemp bloaz warn-ugent, daou ha tregont kazh.", "div blac'h kozh ha daou-ugent kazh du", "hanter kant mil ki", "un", "ur milion", "mann", "daou warn ugent, un ki bras ha tregont"):
-        fresh, plain = inverse.Inverse(LEX, 1), [inverse.Said(w) for w in text.split()]
-        assert said.digits(text) == fresh.digits(text) == " ".join(x.word for x in said.words(plain))
+    for said_text in ("pemp bloaz warn-ugent, daou ha tregont kazh.", "div blac'h kozh ha daou-ugent kazh du", "hanter kant mil ki", "un", "ur milion", "mann", "daou warn ugent, un ki bras ha tregont"):
+        fresh, plain = inverse.Inverse(LEX, 1), [inverse.Said(w) for w in said_text.split()]
+        assert said.digits(said_text) == fresh.digits(said_text) == " ".join(x.word for x in said.words(plain))
 
 
 def test_timecoded_rows(spark):
@@ -77,3 +77,18 @@ def test_transcripts_share_files(spark, tmp_path, monkeypatch):
     got = {tuple(r) for r in catalog.QUERIES["a33_cached_transcripts"](spark, str(tmp_path)).collect()}
     assert got == {("a", 600, 300.0), ('"b"', 300, 150.0), ("x", 300, 450.0)}
     assert len(list(tmp_path.glob("transcripts/**/part-*"))) < 20
+
+
+def test_beginnings_of_texts(spark):
+    texts = [None, "", "a b", " a  . b, -- (c) d", "... ! ?", "1 22222 3 x y", "a\nb\tc", "«a» «b» «c»d e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    heads = lambda c: F.slice(text.masked_tokens(c), 1, 3)
+    for r in df.select("text", heads(F.col("text")).alias("want"), heads(text.beginning(F.col("text"), 3)).alias("got")).collect():
+        assert r.got == (r.want if r.want is None or len(r.want) == 3 else []), r
+
+
+def test_nouns_within_numbers(spark):
+    nouns = ["bloaz", "kazh", "levr", "den"]
+    rows = spark.range(0, 2200).select("id", *[numbers.number_noun(F.col("id"), F.lit(w)) for w in nouns]).collect()
+    for n, *got in rows:
+        assert got == [tokens.spelled_with(n, w) for w in nouns], n
