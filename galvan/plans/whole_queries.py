@@ -137,7 +137,7 @@ def _(spark, d):
     """The typing cascade on every plain word of the table, once a word."""
     plain = F.col("word").rlike("^[A-Za-z]+$") & (F.length("word") > 1) & ~F.col("word").rlike("^[XVI]+$")
     known = sorted({w.lower() for w in _LEX.nouns_m | _LEX.nouns_f | set(_LEX.last_names) | set(_LEX.places) | set(_LEX.countries) | set(_LEX.adjectives) | set(_LEX.proper_nouns) | set(_LEX.acronyms)} | set(tokens.FILLERS) | {u.lower() for u in tokens.UNITS})
-    words = table(spark, d, "conversations").select(F.explode(text.split_words(F.col("text"))).alias("word")).filter(plain & ~F.lower("word").isin(known)).groupBy("word").agg(F.count("*").alias("n"))
+    words = table(spark, d, "conversations").select(F.explode(text.split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(plain & ~F.lower("word").isin(known))
     typed = tokens.tokenized(F.concat(F.lit("a "), "word"), _LEX)  # not the first word of a sentence
     kind = F.element_at(typed, 2)["type"]
     return words.select("word", kind.alias("type"), "n").filter("type <> 'NOUN'")
