@@ -29,6 +29,12 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
+def beginning(c: Column, n: int) -> Column:
+    """A text up to its n-th word that isn't punctuation alone; "" if it has fewer."""
+    blank, mark = SPACE[1:-1], chars(PUNCTUATION)[1:-1]
+    return F.regexp_extract(c, f"^(?:[{blank}{mark}]*+[^{blank}{mark}][^{blank}]*+){{{n}}}", 0)
+
+
 # Pairs of characters and single ones, and their canonical forms; the last two single ones go.
 _PAIRS = (("n\u0303", "\u00f1"), ("\u0148", "\u00f1"), ("\u00f1\u0303", "\u00f1"), ("u\u0300", "\u00f9"), ("e\u0302", "\u00ea"), ("u\u0302", "\u00fb"))
 _SINGLE = ("\u2018\u2019\u02bc\u0131\u00e3\u00f6\u00e1\u00cd\u02dc\u0160", "'''iaoaI")

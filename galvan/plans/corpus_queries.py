@@ -35,7 +35,8 @@ def _(spark, d):
 
 @query("j12_head_ngrams", f"SELECT w[1] || ' ' || w[2] || ' ' || w[3] AS ngram, count(*) AS n FROM (SELECT {_MASKED} AS w FROM documents) WHERE len(w) >= 3 GROUP BY 1")
 def _(spark, d):
-    return C.ngram_counts(table(spark, d, "documents"), tokens(), 3, 1, heads_only=True)
+    heads = table(spark, d, "documents").select(T.beginning(F.col("text"), 3).alias("text"))
+    return C.ngram_counts(heads, tokens(), 3, 1, heads_only=True)
 
 
 @query("j12_letters", "SELECT c AS letter, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
