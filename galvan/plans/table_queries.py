@@ -145,7 +145,8 @@ _NAMES_SQL = f"(SELECT s AS word, upper(left(s, 1)) || ' ' || length(s) AS prons
     f"SELECT word, arg_max(prons, o) AS prons FROM (SELECT word, prons, 0 AS o FROM {_NAMES_SQL} UNION ALL SELECT m[word[1]] || substr(word, 2), m[word[1]] || substr(prons, 2), 1 FROM {_NAMES_SQL}, (SELECT MAP {{'P': 'B', 'B': 'V', 'M': 'V', 'K': 'G', 'T': 'D'}} AS m) WHERE word[1] IN ('P', 'B', 'M', 'K', 'T')) GROUP BY word",
 )
 def _(spark, d):
-    names = _words(spark, d, "documents").filter("s RLIKE '^[A-Z][a-z]+$'").select(F.col("s").alias("word"), F.array(F.concat(F.upper(F.substring("s", 1, 1)), F.lit(" "), F.length("s").cast("string"))).alias("prons"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", text.SPACE + "+")).alias("s"))
+    names = words.filter("s RLIKE '^[A-Z][a-z]+$'").distinct().select(F.col("s").alias("word"), F.array(F.concat(F.upper(F.substring("s", 1, 1)), F.lit(" "), F.length("s").cast("string"))).alias("prons"))
     return files.mutated_names(names).select("word", F.array_join("prons", "|").alias("prons"))
 
 

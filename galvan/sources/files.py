@@ -120,8 +120,10 @@ def mutated_names(names: DataFrame, *by: str) -> DataFrame:
     to = F.create_map(*[F.lit(x) for kv in {"P": "B", "B": "V", "M": "V", "K": "G", "T": "D"}.items() for x in kv])
     new, old = F.try_element_at(to, F.substring("word", 1, 1)), F.substring("word", 1, 1)
     swapped = F.transform("prons", lambda p: F.when(F.substring(p, 1, 1) == old, F.concat(new, F.substr(p, F.lit(2)))).otherwise(p))
-    made = names.filter(new.isNotNull()).select(*by, F.concat(new, F.substr("word", F.lit(2))).alias("mutated"), swapped.alias("said"), F.lit(1)).toDF(*by, "word", "prons", "o")
-    return names.select(*by, "word", "prons", F.lit(0).alias("o")).unionByName(made).groupBy(*by, "word").agg(F.max_by("prons", "o").alias("prons"))
+    form = lambda word, prons, o: F.struct(word.alias("word"), prons.alias("prons"), F.lit(o).alias("o"))
+    made = F.when(new.isNotNull(), form(F.concat(new, F.substr("word", F.lit(2))), swapped, 1))
+    both = F.array_compact(F.array(form(F.col("word"), F.col("prons"), 0), made))  # beside each other: a union would make the names twice
+    return names.select(*by, F.explode(both).alias("f")).groupBy(*by, "f.word").agg(F.max_by("f.prons", "f.o").alias("prons"))
 
 
 _TIME = r"(?:([0-9]+):)?([0-9]+):([0-9]+)[,.]([0-9]+)"

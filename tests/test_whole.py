@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galvan.functions import inverse, lexicon, numbers, text, tokens
 from galvan.plans import catalog, file_queries
+from galvan.sources import files
 
 LEX = lexicon.small()
 
@@ -92,3 +93,14 @@ def test_nouns_within_numbers(spark):
     rows = spark.range(0, 2200).select("id", *[numbers.number_noun(F.col("id"), F.lit(w)) for w in nouns]).collect()
     for n, *got in rows:
         assert got == [tokens.spelled_with(n, w) for w in nouns], n
+
+
+def test_names_are_made_once(spark):
+    """The mutated forms come from the same scan as the names; they win over names of their form."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda w: (seen.add(1), w)[1])
+    names = [("Per", ["P EH R"]), ("Ber", ["B EH R"]), ("Yann", ["Y A N"]), ("Tangi", ["T A", "X"]), ("M", [])]
+    df = spark.createDataFrame(names, "word string, prons array<string>").withColumn("word", count.asNondeterministic()("word"))
+    got = {r.word: r.prons for r in files.mutated_names(df).collect()}
+    assert got == {"Per": ["P EH R"], "Ber": ["B EH R"], "Ver": ["V EH R"], "Yann": ["Y A N"], "Tangi": ["T A", "X"], "Dangi": ["D A", "X"], "M": [], "V": []}
+    assert seen.value == len(names)
