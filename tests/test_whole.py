@@ -1,5 +1,8 @@
 """Steps that whole tables go through: what they hold at once, and odd rows."""
 
+import tracemalloc
+from dataclasses import replace
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -104,3 +107,26 @@ def test_names_are_made_once(spark):
     got = {r.word: r.prons for r in files.mutated_names(df).collect()}
     assert got == {"Per": ["P EH R"], "Ber": ["B EH R"], "Ver": ["V EH R"], "Yann": ["Y A N"], "Tangi": ["T A", "X"], "Dangi": ["D A", "X"], "M": [], "V": []}
     assert seen.value == len(names)
+
+
+def test_plain_tokens_are_small():
+    """Tokens without flags or readings hold no sets or lists of their own."""
+    t, said = tokens.Tokenizer(LEX), "un den a gomz " * 5000
+    t.tokens(said)
+    tracemalloc.start()
+    found = t.tokens(said)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 20_000 and peak < 250 * len(found)
+
+
+def test_simple_words_are_not_taken_to_pieces(monkeypatch):
+    """A word with a mark behind it at most needs none of the patterns for pieces, which give the same."""
+    lex = replace(LEX, abbreviations={"It.": "Itron", "st": "sant", "kazh,": "x"})
+    t = tokens.Tokenizer(lex)
+    words = "demat kazh, kazh. kazh) (kazh) c'hwec'h a·b It. It, st st. st, A. AB. a.b den... den.. den€ den2. 'n - -- ‚ den‚ x’ ’’ ſk Ñañ ÀB! h.a. h.a…".split()
+    for w in words:
+        assert t._scan(w) == t._pieces(w), w
+    plain = [f"{a}{b}z{c}" for a in "dkl" for b in "aeiou" for c in ["", ",", "!", "»"]]
+    monkeypatch.setattr(tokens, "_PIECES", ())
+    assert [x.data for x in t.tokens(" ".join(plain)) if x.type != "END_OF_SENTENCE"] == [y for w in plain for y in ((w[:3], w[3:]) if w[3:] else (w,))]
