@@ -130,3 +130,14 @@ def test_simple_words_are_not_taken_to_pieces(monkeypatch):
     plain = [f"{a}{b}z{c}" for a in "dkl" for b in "aeiou" for c in ["", ",", "!", "»"]]
     monkeypatch.setattr(tokens, "_PIECES", ())
     assert [x.data for x in t.tokens(" ".join(plain)) if x.type != "END_OF_SENTENCE"] == [y for w in plain for y in ((w[:3], w[3:]) if w[3:] else (w,))]
+
+
+def test_values_share_parts(monkeypatch):
+    """Millions of numbers in words have a few thousand parts; each is taken through the grammar once."""
+    parsed, init = [], inverse.Grammar.__init__
+    monkeypatch.setattr(inverse.Grammar, "__init__", lambda self, *a, **k: (parsed.append(1), init(self, *a, **k))[1])
+    some = range(0, 90_000_000, 4001)
+    assert [inverse.value(tokens.spelled(n).split()) for n in some] == list(some)
+    assert len(parsed) < len(some) / 5
+    odd = {"mil": 1000, "hanter mil": 500, "hanter mil unan": None, "hanter milion mil": None, "milion hanter mil": 1_000_500, "pevarzek mil pevarzek kant": None, "pevarzek kant": 1400, "mil mann": None, "mann": 0, "": None, "daou milion milion": None, "ur miliard daou vilion tri mil pevar": 1_002_003_004, "mil x": None}
+    assert {k: inverse.value(k.split()) for k in odd} == odd
