@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from galvan.functions import inverse, lexicon, numbers, text, tokens
@@ -141,3 +142,11 @@ def test_values_share_parts(monkeypatch):
     assert len(parsed) < len(some) / 5
     odd = {"mil": 1000, "hanter mil": 500, "hanter mil unan": None, "hanter milion mil": None, "milion hanter mil": 1_000_500, "pevarzek mil pevarzek kant": None, "pevarzek kant": 1400, "mil mann": None, "mann": 0, "": None, "daou milion milion": None, "ur miliard daou vilion tri mil pevar": 1_002_003_004, "mil x": None}
     assert {k: inverse.value(k.split()) for k in odd} == odd
+
+
+def test_few_texts_at_once(spark):
+    """What a function makes of texts goes back some rows at a time, not as one batch of all of them."""
+    held = tokens.text_udf(lambda t: f"{pa.total_allocated_bytes()} {t}" if t else t)
+    df = spark.range(0, 2000, 1, 1).select(F.when(F.col("id") % 500 > 0, F.repeat(F.lit("un den a gomz "), 1400)).alias("text"))
+    got = df.select("text", held(F.col("text")).alias("held")).select(F.split("held", " ", 2).alias("p"), "text").agg(F.max(F.col("p")[0].cast("long")), F.sum(F.col("p")[1].eqNullSafe(F.col("text")).cast("int"))).first()
+    assert got[0] < 1 << 20 and got[1] == 2000
