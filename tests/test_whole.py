@@ -1,11 +1,16 @@
 """Steps that whole tables go through: what they hold at once, and odd rows."""
 
+import os
+import subprocess
+import sys
 import tracemalloc
 from dataclasses import replace
+from types import FunctionType
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from galvan.functions import inverse, lexicon, numbers, text, tokens
@@ -150,3 +155,40 @@ def test_few_texts_at_once(spark):
     df = spark.range(0, 2000, 1, 1).select(F.when(F.col("id") % 500 > 0, F.repeat(F.lit("un den a gomz "), 1400)).alias("text"))
     got = df.select("text", held(F.col("text")).alias("held")).select(F.split("held", " ", 2).alias("p"), "text").agg(F.max(F.col("p")[0].cast("long")), F.sum(F.col("p")[1].eqNullSafe(F.col("text")).cast("int"))).first()
     assert got[0] < 1 << 20 and got[1] == 2000
+
+
+def test_clauses_are_said_once(monkeypatch):
+    """Lines are said as a whole would be; clauses that recur are said once, and a worker that gets the functions again for each task still knows them."""
+    monkeypatch.setattr(tokens, "text_udf", lambda f: lambda c: f)
+    seen, raw = [], tokens.Tokenizer.raw
+    monkeypatch.setattr(tokens.Tokenizer, "raw", staticmethod(lambda x: (seen.append(x), raw(x))[1]))
+    t = tokens.Tokenizer(LEX)
+    lines = [f"{q} kazh, {k} 000 euro, {q}% hag {s}km." for q in (1, 12, 21) for k in range(1, 12) for s in range(1, 12)]
+    want = [t.rendered(t.normalized(t.tokens(x)), normalize=True) for x in lines]
+    said = tokens.normalized("text", LEX)
+    seen.clear()
+    assert [said(x) for x in lines] == want and len(seen) == 3 + 11 + 33
+    again = FunctionType(tokens._clauses.__code__, dict(tokens._clauses.__globals__))
+    assert again("a") is tokens._clauses("a") is not again("b")
+    odd = [
+        "", ",", ", 5 ki", "5, 000 ki", "12, 345, 000 km, l", "5 ki , 000 ki", "5 ki,  000 ki", "GBB AB, CD, AB. EF, GH", "kazh., Den, den", "Hirio, hirio, 'hirio", "a, b,, c", "a, (b, c), d", "«5 ki, 6 ki», 7 ki", '"5 ki, 6 ki", 7',
+        "{a, b} 5 ki, 6 ki", "It. Gall, Ao. Bras, h.a.", "9e15, 3vet, XIV, XIVvet, 5", "un ki, " * 40, "un ki, " * 20 + "5 ki", "den...den, den.., ...den", "a\n, b\tc, 5\xa0ki", "12 ki, ", "_a, b_, c", "1.000€, 5%, % a", "²a, 3², ³",
+    ]
+    for options in ({}, {"norm_case": True}, {"autocorrect": True, "norm_punct": True, "norm_case": True}, {"capitalize": True}):
+        said, case = tokens.normalized("text", LEX, **options), options.get("norm_case", False)
+        plain = lambda x: t.rendered(t.normalized(t.tokens(x, options.get("autocorrect", False), options.get("norm_punct", False)), case), options.get("capitalize", False), normalize=True)  # noqa: B023, E731
+        for x in odd:
+            assert said(x) == said(x) == plain(x), (x, options)
+    comma = replace(LEX, abbreviations={"kazh,": "x/"})
+    assert tokens.normalized("text", comma)("un kazh, ki, ki") == "un x/ki, ki"
+
+
+def test_functions_travel_by_value(monkeypatch, tmp_path):
+    """Workers need no package on their path."""
+    for module in (tokens, inverse):
+        monkeypatch.setattr(module, "text_udf", lambda f: lambda c: f)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for f, text in ((tokens.normalized("text", LEX), "5 kazh, 21 ki"), (inverse.post_processed("text", LEX, normalize=True), "pemp kazh")):
+        worker = [sys.executable, "-c", "import sys; from pyspark import cloudpickle; print(cloudpickle.load(sys.stdin.buffer)(sys.argv[1]))", text]
+        got = subprocess.run(worker, input=cloudpickle.dumps(f), cwd=tmp_path, env=env, capture_output=True)
+        assert got.stdout.decode().strip() == f(text), got.stderr[-500:]
